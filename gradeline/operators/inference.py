@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import f64, hash_index, is_finite
 from ..functions.student import critical_value, two_sided_p
+from .running import number_rows, running_folds, score_buckets
 
 
 def paired_t(diffs: DataFrame, keys: Sequence[str], diff: str = "difference", confidence: float = 0.95) -> DataFrame:
@@ -124,28 +125,53 @@ def validate_p_values(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn("rule", rule).where("rule is not null")
 
 
+def _ranked(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str]) -> DataFrame:
+    """Add rank `_k` by p inside the family and the family size `_m`."""
+    rising = [-b for b in score_buckets(f64(p))]
+    ranked = number_rows(df, family, rising, [F.col(p), *[F.col(o) for o in order]], "_k")
+    sizes = df.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
+    return ranked.join(sizes, list(family))
+
+
 def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Holm step-down adjustment inside each family; ties keep the `order` columns' order."""
-    ranked = Window.partitionBy(*family).orderBy(p, *order)
-    whole = Window.partitionBy(*family)
-    scaled = df.withColumn("_scaled", (F.count(F.lit(1)).over(whole) - F.row_number().over(ranked) + 1) * f64(p))
-    upto = ranked.rowsBetween(Window.unboundedPreceding, 0)
-    adjusted = scaled.withColumn("holm_p", F.least(F.lit(1.0), F.max("_scaled").over(upto)))
-    return adjusted.withColumn("holm_rejected", F.col("holm_p") <= alpha).drop("_scaled")
+    """Holm step-down adjustment inside each family; `order` makes the rank of tied p-values unique.
+
+    Ranks and the running maximum are cut into p buckets, so one family may hold most of the rows.
+    """
+    scaled = _ranked(df, family, p, order).withColumn("_scaled", (F.col("_m") - F.col("_k") + 1) * f64(p))
+    rising = [-b for b in score_buckets(f64(p))]
+    run = running_folds(scaled, family, rising, [F.col("_k")], {"_scaled": "max"}, prefix="_run")
+    adjusted = run.withColumn("holm_p", F.least(F.lit(1.0), F.col("_run_scaled")))
+    return adjusted.withColumn("holm_rejected", F.col("holm_p") <= alpha).drop("_k", "_m", "_scaled", "_run_scaled")
 
 
 def benjamini_hochberg(
     df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05
 ) -> DataFrame:
     """Benjamini-Hochberg step-up adjustment inside each family."""
+    scaled = _ranked(df, family, p, order).withColumn("_scaled", f64(p) * F.col("_m") / F.col("_k"))
+    run = running_folds(scaled, family, score_buckets(f64(p)), [F.col("_k").desc()], {"_scaled": "min"}, prefix="_run")
+    adjusted = run.withColumn("bh_p", F.least(F.lit(1.0), F.col("_run_scaled")))
+    return adjusted.withColumn("bh_rejected", F.col("bh_p") <= alpha).drop("_k", "_m", "_scaled", "_run_scaled")
+
+
+def adjust_small_families(
+    df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05
+) -> DataFrame:
+    """Both adjustments in one exchange, for families declared up front (a fixed number of tests each)."""
     ranked = Window.partitionBy(*family).orderBy(p, *order)
     whole = Window.partitionBy(*family)
-    scaled = df.withColumn(
-        "_scaled", f64(p) * F.count(F.lit(1)).over(whole) / F.row_number().over(ranked)
-    )
+    k, m = F.row_number().over(ranked), F.count(F.lit(1)).over(whole)
+    scaled = df.withColumns({"_down": (m - k + 1) * f64(p), "_up": f64(p) * m / k})
+    upto = ranked.rowsBetween(Window.unboundedPreceding, 0)
     onward = ranked.rowsBetween(0, Window.unboundedFollowing)
-    adjusted = scaled.withColumn("bh_p", F.least(F.lit(1.0), F.min("_scaled").over(onward)))
-    return adjusted.withColumn("bh_rejected", F.col("bh_p") <= alpha).drop("_scaled")
+    adjusted = scaled.withColumns({
+        "holm_p": F.least(F.lit(1.0), F.max("_down").over(upto)),
+        "bh_p": F.least(F.lit(1.0), F.min("_up").over(onward)),
+    })
+    return adjusted.withColumns({
+        "holm_rejected": F.col("holm_p") <= alpha, "bh_rejected": F.col("bh_p") <= alpha,
+    }).drop("_down", "_up")
 
 
 def compare_arms(
@@ -163,7 +189,7 @@ def compare_arms(
     in_headline = F.col(metric).isin(list(headline))
     families = F.explode(F.when(in_headline, F.array(F.lit("all"), F.lit("headline"))).otherwise(F.array(F.lit("all"))))
     rows = tested.withColumn("family", families)
-    return benjamini_hochberg(holm(rows, ["family"], order=[arm, metric], alpha=alpha), ["family"], order=[arm, metric], alpha=alpha)
+    return adjust_small_families(rows, ["family"], order=[arm, metric], alpha=alpha)
 
 
 def family_summary(compared: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -16,54 +16,72 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_text
 
 
-def _offsets(totals: DataFrame, keys: list[str], levels: list[str], sums: list[str]) -> DataFrame:
+_FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _merge(fold: str, a: Column, b: Column) -> Column:
+    """Combine two partial results; either may be null when it covers no rows."""
+    if fold == "sum":
+        return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    return F.greatest(a, b) if fold == "max" else F.least(a, b)
+
+
+def _offsets(totals: DataFrame, keys: list[str], levels: list[str], folds: dict[str, str]) -> DataFrame:
     """Exclusive prefix of every bucket path, one level at a time from the outermost."""
     outer = levels[:-1]
     order = Window.partitionBy(*keys, *outer) if keys or outer else Window.partitionBy(F.lit(0))
     before = order.orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    local = totals.select(
-        *keys, *levels, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums]
-    )
+    local = totals.select(*keys, *levels, *[_FOLDS[f](s).over(before).alias(f"_before_{s}") for s, f in folds.items()])
     if not outer:
         return local
     upper = _offsets(
-        totals.groupBy(*keys, *outer).agg(*[F.sum(s).alias(s) for s in sums]), keys, outer, sums
-    ).withColumnsRenamed({f"_before_{s}": f"_upper_{s}" for s in sums})
+        totals.groupBy(*keys, *outer).agg(*[_FOLDS[f](s).alias(s) for s, f in folds.items()]), keys, outer, folds
+    ).withColumnsRenamed({f"_before_{s}": f"_upper_{s}" for s in folds})
     return local.join(upper, [*keys, *outer]).select(
-        *keys, *levels, *[(F.col(f"_before_{s}") + F.col(f"_upper_{s}")).alias(f"_before_{s}") for s in sums]
+        *keys, *levels,
+        *[_merge(f, F.col(f"_before_{s}"), F.col(f"_upper_{s}")).alias(f"_before_{s}") for s, f in folds.items()],
     )
 
 
-def running_totals(
+def running_folds(
     df: DataFrame,
     keys: Sequence[str],
     buckets: Sequence[Column],
     order: Sequence[Column],
-    sums: Sequence[str],
+    folds: dict[str, str],
     prefix: str = "cum_",
 ) -> DataFrame:
-    """Add inclusive running totals `cum_<s>` of integer columns, per key group in `order`.
+    """Add the inclusive running sum, max or min `cum_<column>` of each column, per key group in `order`.
 
-    `buckets` are expressions that never decrease along `order`, coarsest first; a null bucket is not
-    allowed. `order` must be unique inside a group, or the totals of tied rows are arbitrary.
+    `folds` maps column to 'sum', 'max' or 'min'. `buckets` are expressions that never decrease along
+    `order`, coarsest first. `order` must be unique inside a group, or the results of tied rows are
+    arbitrary. Rows with a null key or bucket are dropped.
     """
-    keys, sums = list(keys), list(sums)
+    keys = list(keys)
     levels = [f"_bucket{i}" for i in range(len(buckets))]
     # stated once here, the null filters that the joins imply are the same in every branch, so the
     # branches share one exchange of the rows instead of recomputing them
     cut = df.withColumns(dict(zip(levels, buckets)))
     for name in (*keys, *levels):
         cut = cut.where(F.col(name).isNotNull())
-    totals = cut.groupBy(*keys, *levels).agg(*[F.sum(s).alias(s) for s in sums])
+    totals = cut.groupBy(*keys, *levels).agg(*[_FOLDS[f](s).alias(s) for s, f in folds.items()])
     inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns({f"{prefix}{s}": F.sum(s).over(inside) for s in sums})
-    joined = local.join(_offsets(totals, keys, levels, sums), [*keys, *levels])
-    out = [c for c in df.columns]
+    local = cut.withColumns({f"{prefix}{s}": _FOLDS[f](s).over(inside) for s, f in folds.items()})
+    joined = local.join(_offsets(totals, keys, levels, folds), [*keys, *levels])
     return joined.select(
-        *out, *[(F.col(f"{prefix}{s}") + F.col(f"_before_{s}")).alias(f"{prefix}{s}") for s in sums]
+        *df.columns,
+        *[_merge(f, F.col(f"{prefix}{s}"), F.col(f"_before_{s}")).alias(f"{prefix}{s}") for s, f in folds.items()],
     )
 
 
+def running_totals(
+    df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], sums: Sequence[str],
+    prefix: str = "cum_",
+) -> DataFrame:
+    """`running_folds` with sums only."""
+    return running_folds(df, keys, buckets, order, dict.fromkeys(sums, "sum"), prefix)
+
+
 def score_buckets(score: Column) -> list[Column]:
     """Buckets of a score in [0, 1], rising as the score falls.
 
