@@ -97,25 +97,33 @@ def manifest_fingerprint(df: DataFrame, keys: Sequence[str], cls: str, name: str
 
 
 def tree_signature(
-    df: DataFrame, keys: Sequence[str], cls: str, name: str, digest: str, shards: int = 4096
+    df: DataFrame, keys: Sequence[str], cls: str, name: str, digest: str, depth: int = 6, step: int = 3
 ) -> DataFrame:
-    """Order-free two-level digest of a snapshot of any size.
+    """Order-free digest tree over a snapshot of any size.
 
-    Entries are hashed into shards by name, each shard digests its own sorted entries, and the root
-    digests the fixed number of shard digests, so no task holds more than one shard. Any changed
-    byte, added, removed or renamed entry changes the root; it is not byte-compatible with the
-    sequential forms. Choose `shards` so that one shard's entries fit a row.
+    Entries fall into leaves by the first `depth` hex digits of their name's hash, each leaf digests
+    its sorted entries, and every level above digests at most 16^step children. Any changed, added,
+    removed or renamed entry changes the root. Raise `depth` with the snapshot so that a leaf stays
+    small; the root is comparable only between equal depths and is not byte-compatible with the
+    sequential forms.
     """
     line = F.concat_ws(":", F.concat_ws("/", F.col(cls), F.col(name).cast("string")), F.col(digest))
-    shard = F.conv(F.substring(F.md5(F.col(name).cast("string")), 1, 8), 16, 10).cast("bigint") % shards
-    leaves = (
-        df.select(*keys, shard.alias("shard"), line.alias("line"))
-        .groupBy(*keys, "shard")
-        .agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("leaf"),
-            F.count(F.lit(1)).alias("n"),
-        )
+    nodes = (
+        df.select(*keys, F.substring(F.md5(F.col(name).cast("string")), 1, depth).alias("node"), line.alias("entry"))
+        .groupBy(*keys, "node")
+        .agg(_digest_of("entry").alias("entry"), F.count(F.lit(1)).alias("n"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("shard", "leaf")))
-    joined = F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["shard"].cast("string"), s["leaf"])), "|")
-    return leaves.groupBy(*keys).agg(F.sha2(joined, 256).alias("root"), F.sum("n").alias("n_entries"))
+    width = depth
+    while width > 0:
+        width = max(0, width - step)
+        child = F.concat_ws(":", "node", "entry").alias("entry")
+        nodes = (
+            nodes.select(*keys, F.substring("node", 1, width).alias("node"), child, "n")
+            .groupBy(*keys, "node")
+            .agg(_digest_of("entry").alias("entry"), F.sum("n").alias("n"))
+        )
+    return nodes.select(*keys, F.col("entry").alias("root"), F.col("n").alias("n_entries"))
+
+
+def _digest_of(entry: str) -> Column:
+    return F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256)

@@ -134,8 +134,11 @@ def soft_ceil(x: ColumnLike, knee: float, hi: float = 255.0) -> Column:
 
 def conditional_features(probs: Sequence[ColumnLike], features: ColumnLike) -> Column:
     """Flattened outer product of class probabilities and a feature array, class-major."""
-    blocks = [F.transform(col(features), lambda f, p=f64(p): p * f.cast("double")) for p in probs]
-    return F.flatten(F.array(*blocks))
+
+    def block(p: Column) -> Column:
+        return F.transform(col(features), lambda f: p * f.cast("double"))
+
+    return F.flatten(F.array(*[block(f64(p)) for p in probs]))
 
 
 def class_index(label: ColumnLike, classes: Sequence[str]) -> Column:

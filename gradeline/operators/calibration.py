@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, col, entropy, equal_width_bin, f64, is_finite, total
 from .metrics import classification_metrics
+from .running import quantiles
 
 PROBS = ("p0", "p1")
 
@@ -93,19 +94,11 @@ def confidence_entropy(df: DataFrame, keys: Sequence[str], probs: Sequence[str]
     )
 
 
-def quantile_edges(df: DataFrame, value: str, n_bins: int, exact: bool = True) -> DataFrame:
-    """One row with the distinct linear-interpolation quantile edges of the finite values.
-
-    The exact form counts distinct values per task and merges them; `exact=False` bounds that state
-    with a sketch for continuous columns too large for it.
-    """
-    points = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    finite = F.when(is_finite(value), f64(value))
-    edges = F.percentile(finite, points) if exact else F.percentile_approx(finite, points, 100_000)
-    return df.agg(
-        F.array_distinct(edges).alias("edges"),
-        F.count(F.when(~is_finite(value), 1)).alias("excluded"),
-    )
+def quantile_edges(df: DataFrame, value: str, n_bins: int) -> DataFrame:
+    """One row with the distinct linear-interpolation quantile edges of the finite values."""
+    points = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
+    edges = quantiles(df, [], value, points).select(F.array_distinct(F.array(*points)).alias("edges"))
+    return edges.join(df.agg(F.count(F.when(~is_finite(value), 1)).alias("excluded")))
 
 
 def stratified_metrics(

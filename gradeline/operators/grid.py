@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64
+from .running import quantiles
 
 
 def expected_grid(spark: SparkSession, dims: dict[str, Sequence]) -> DataFrame:
@@ -192,10 +193,9 @@ def ceiling_gap(cells: DataFrame, arm: Sequence[str], value: str, ceiling: float
 
 def cost_summary(runs: DataFrame, keys: Sequence[str], timing: str, peak: str, flops: str | None = None) -> DataFrame:
     """Quartiles and range of a timing, number of distinct peaks, derived work rate."""
-    q = F.percentile(f64(timing), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [q.alias("_q"), F.min(timing).alias("min"), F.max(timing).alias("max"),
-            F.count_distinct(peak).alias("distinct_peaks"), F.count(F.lit(1)).alias("n")]
+    aggs = [F.min(timing).alias("min"), F.max(timing).alias("max"), F.count_distinct(peak).alias("distinct_peaks")]
     if flops:
         aggs.append((F.sum(f64(flops)) / F.sum(f64(timing))).alias("flops_per_second"))
+    quartiles = quantiles(runs, keys, timing, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = runs.groupBy(*keys).agg(*aggs)
-    return out.withColumns({"q1": F.col("_q")[0], "median": F.col("_q")[1], "q3": F.col("_q")[2]}).drop("_q")
+    return out.join(quartiles, list(keys)) if keys else out.join(quartiles)

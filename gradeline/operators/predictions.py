@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import argmax, col
+from ..functions.scalars import argmax, col, softmax
 
 PROBS = ("p0", "p1")
 
@@ -109,10 +109,11 @@ def score_checkpoints(
     features: str,
     checkpoints: dict[int, Callable],
     n_classes: int,
+    width: int,
     batch_size: int = 4096,
     probs_prefix: str = "p",
 ) -> DataFrame:
-    """Run caller-supplied models over a feature column, one output row per (input row, checkpoint).
+    """Run caller-supplied models over a feature array of `width`, one output row per (input row, checkpoint).
 
     `checkpoints` maps an epoch to a factory returning `predict(np.ndarray) -> np.ndarray` of logits.
     Factories run once per Python worker; the rows themselves stay partitioned.
@@ -122,11 +123,9 @@ def score_checkpoints(
 
     per_epoch = []
     for epoch, factory in sorted(checkpoints.items()):
-        udf = predict_batch_udf(factory, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+        udf = predict_batch_udf(factory, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[width]])
         per_epoch.append(F.struct(F.lit(epoch).alias("epoch"), udf(F.col(features)).alias("logits")))
     scored = df.withColumn("_ckpt", F.explode(F.array(*per_epoch)))
-    from ..functions.scalars import softmax
-
     logits = [F.col("_ckpt.logits")[i] for i in range(n_classes)]
     return scored.select(
         *df.columns,

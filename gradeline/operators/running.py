@@ -98,6 +98,49 @@ def score_buckets(score: Column) -> list[Column]:
     return [F.when(below < edge, near_one).when(score < edge, near_zero).otherwise(slices).cast("bigint")]
 
 
+def value_bucket(value: Column) -> Column:
+    """Monotone bucket of any finite double: sign, binary exponent and 12 mantissa bits.
+
+    A column spanning 2^40 yields at most 330 thousand buckets, however many distinct values it has.
+    """
+    size = F.greatest(F.abs(value), F.lit(1e-300))
+    exponent = F.floor(F.log2(size))
+    mantissa = size / F.pow(F.lit(2.0), exponent) - F.lit(1.0)
+    magnitude = (exponent + 1100) * 4096 + F.floor(mantissa * F.lit(4096.0))
+    return F.when(value < 0, -magnitude).when(value == 0, F.lit(0)).otherwise(magnitude).cast("bigint")
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles per key, one column per entry of `points`; adds the count `n`.
+
+    The built-in exact percentile keeps all distinct values of a group in one buffer. Here they stay
+    rows: counts per distinct value are accumulated across buckets and the bracketing ranks are
+    picked by an aggregate.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    counts = df.where(finite).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_totals(counts, keys, [value_bucket(F.col("_v"))], [F.col("_v")], ["_n"], prefix="_cum")
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    rows = cum.join(sizes, keys) if keys else cum.join(sizes)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_cum_n") - F.col("_n") <= rank) & (rank < F.col("_cum_n")), F.col("_v")))
+
+    aggs = []
+    for name, q in points.items():
+        position = F.lit(float(q)) * (F.col("n") - 1)
+        aggs += [at(F.floor(position)).alias(f"_lo_{name}"), at(F.ceil(position)).alias(f"_hi_{name}")]
+    out = rows.groupBy(*keys, "n").agg(*aggs)
+    cols = []
+    for name, q in points.items():
+        part = F.lit(float(q)) * (F.col("n") - 1)
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        cols.append((lo + (hi - lo) * (part - F.floor(part))).alias(name))
+    return out.select(*keys, *cols, "n")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:

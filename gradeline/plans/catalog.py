@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import comparing, run_health, scoring, shifting  # noqa: F401
+from . import auditing, comparing, imaging, run_health, sampling, scoring, shifting, storing, watching  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
