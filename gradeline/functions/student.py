@@ -1,8 +1,9 @@
 """Student-t tail and quantile for integer degrees of freedom as column expressions.
 
 With theta = atan(|t|/sqrt(df)) the central probability is a finite trigonometric sum (Abramowitz and
-Stegun 26.7.3, 26.7.4). It loses relative accuracy in the tail, so for t^2 >= df the two-sided p is
-taken from the power series of the incomplete beta function in x = df/(df + t^2) <= 1/2 instead.
+Stegun 26.7.3, 26.7.4). It loses relative accuracy in the tail, so for t^2 >= df, and wherever the sum
+leaves less than a millionth, the two-sided p is the power series of the incomplete beta function in
+x = df/(df + t^2), whose terms are all positive.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .scalars import ColumnLike, col, f64
 
-SERIES_TERMS = 80
 BISECTIONS = 60
 
 
@@ -42,7 +42,7 @@ def _central(theta: Column, df: Column) -> Column:
 
 
 def _tail_series(x: Column, df: Column) -> Column:
-    """Regularised incomplete beta I_x(df/2, 1/2) for x <= 1/2."""
+    """Regularised incomplete beta I_x(df/2, 1/2); about 40/ln(1/x) terms reach double precision."""
     a = f64(df) / 2
     even = (df % 2) == 0
     steps = F.when(even, (df / 2).cast("int") - 1).otherwise(((df - 1) / 2).cast("int"))
@@ -58,7 +58,7 @@ def _tail_series(x: Column, df: Column) -> Column:
         return F.struct(coeff.alias("coeff"), (acc["sum"] + coeff / (a + n)).alias("sum"))
 
     series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(SERIES_TERMS)),
+        F.sequence(F.lit(1), F.greatest(F.lit(8), F.ceil(F.lit(40.0) / -F.log(x)).cast("int"))),
         F.struct(F.lit(1.0).alias("coeff"), (F.lit(1.0) / a).alias("sum")),
         step,
         lambda acc: acc["sum"],
@@ -70,9 +70,8 @@ def two_sided_p(t: ColumnLike, df: ColumnLike) -> Column:
     """Two-sided p-value of a t statistic with integer df >= 1."""
     stat, d = F.abs(f64(t)), col(df).cast("int")
     x = f64(d) / (f64(d) + stat * stat)
-    return F.when(stat * stat >= f64(d), _tail_series(x, d)).otherwise(
-        F.lit(1.0) - _central(F.atan(stat / F.sqrt(f64(d))), d)
-    )
+    rest = F.lit(1.0) - _central(F.atan(stat / F.sqrt(f64(d))), d)
+    return F.when((stat * stat >= f64(d)) | (rest < 1e-6), _tail_series(x, d)).otherwise(rest)
 
 
 def critical_value(confidence: float, df: ColumnLike) -> Column:
