@@ -53,13 +53,14 @@ def run_metrics(
         df.withColumn("_pred", argmax(probs))
         .groupBy(*keys, f64(probs[0]).alias("score"))
         .agg(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
-        .withColumn("pos", F.col("c00") + F.col("c01"))
-        .withColumn("n", F.col("pos") + F.col("c10") + F.col("c11"))
     )
-    cum = running_totals(steps, keys, score_buckets(F.col("score")), [F.col("score").desc()], ["pos", "n"])
+    # accumulating exactly the aggregated cells keeps both branches of the running totals on one exchange
+    cum = running_totals(steps, keys, score_buckets(F.col("score")), [F.col("score").desc()], cells)
+    cum_pos = F.col("cum_c00") + F.col("cum_c01")
+    cum_n = cum_pos + F.col("cum_c10") + F.col("cum_c11")
     counts = cum.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in cells],
-        F.sum(F.col("pos") * (F.col("cum_pos") / F.col("cum_n"))).alias("_weighted"),
+        F.sum((F.col("c00") + F.col("c01")) * (cum_pos / cum_n)).alias("_weighted"),
     )
     scored = with_class_metrics(counts)
     mixed = (F.col("support_0") > 0) & (F.col("support_1") > 0)

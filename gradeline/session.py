@@ -21,6 +21,7 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
         .getOrCreate()
     )
 
