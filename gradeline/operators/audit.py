@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import is_sha256, normalise_path, stays_inside
 from ..functions.scalars import f64, is_finite, is_integral
+from .running import with_summary
 
 Rule = tuple[str, Column]
 
@@ -160,7 +161,7 @@ def probe_record_rules(counts: dict[str, tuple[int, int, int]], n_resamples: int
 def align_labels(pred: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """Strict 1:1 join on id; duplicate, missing or extra ids stop the job."""
     bad = align_violations(pred, labels, id_col).agg(F.count(F.lit(1)).alias("_bad"))
-    checked = pred.join(labels, id_col).join(bad)
+    checked = with_summary(pred.join(labels, id_col), bad)
     guard = F.when(F.col("_bad") == 0, F.lit(True)).otherwise(
         F.raise_error(F.concat(F.col("_bad").cast("string"), F.lit(" ids are duplicated or unmatched")))
     )

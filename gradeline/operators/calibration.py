@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, col, entropy, equal_width_bin, f64, is_finite, total
 from .metrics import classification_metrics
-from .running import quantiles
+from .running import quantiles, with_summary
 
 PROBS = ("p0", "p1")
 
@@ -98,7 +98,7 @@ def quantile_edges(df: DataFrame, value: str, n_bins: int) -> DataFrame:
     """One row with the distinct linear-interpolation quantile edges of the finite values."""
     points = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
     edges = quantiles(df, [], value, points).select(F.array_distinct(F.array(*points)).alias("edges"))
-    return edges.join(df.agg(F.count(F.when(~is_finite(value), 1)).alias("excluded")))
+    return with_summary(edges, df.agg(F.count(F.when(~is_finite(value), 1)).alias("excluded")))
 
 
 def stratified_metrics(
@@ -112,7 +112,7 @@ def stratified_metrics(
     """
     cut = edges if edges is not None else quantile_edges(df, cov, n_bins)
     inner = F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    binned = df.join(cut).where(is_finite(cov)).withColumns({
+    binned = with_summary(df, cut).where(is_finite(cov)).withColumns({
         "bin": F.size(F.filter(inner, lambda e: e <= col(cov).cast("double"))),
         "n_edges": F.size("edges"),
     })

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64
-from .running import quantiles
+from .running import quantiles, with_summary
 
 
 def expected_grid(spark: SparkSession, dims: dict[str, Sequence]) -> DataFrame:
@@ -198,4 +198,4 @@ def cost_summary(runs: DataFrame, keys: Sequence[str], timing: str, peak: str, f
         aggs.append((F.sum(f64(flops)) / F.sum(f64(timing))).alias("flops_per_second"))
     quartiles = quantiles(runs, keys, timing, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = runs.groupBy(*keys).agg(*aggs)
-    return out.join(quartiles, list(keys)) if keys else out.join(quartiles)
+    return out.join(quartiles, list(keys)) if keys else with_summary(out, quartiles)

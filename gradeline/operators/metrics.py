@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, f64, is_finite, pick, safe_div, total
+from .running import with_summary
 
 # The ten scalar metrics of a two-class run, class 0 = airplane, class 1 = ship.
 SCALAR_METRICS = (
@@ -159,8 +160,7 @@ def class_weights(counts: DataFrame, cls: str, n: str, scheme: str = "inverse",
         weight = F.col("_raw") / F.col("_total") * F.col("_classes")
     else:
         raise ValueError(f"unknown scheme {scheme!r}")
-    # one summary row joined to one row per class
-    return table.join(summary).select(*counts.columns, weight.alias("weight"))
+    return with_summary(table, summary).select(*counts.columns, weight.alias("weight"))
 
 
 def weighted_log_loss(

@@ -65,21 +65,18 @@ def class_columns(df: DataFrame, array_col: str, n_classes: int, prefix: str = "
 def select_last_k(df: DataFrame, run_keys: Sequence[str], name_col: str, tag: str | Column, k: int) -> DataFrame:
     """The K highest epochs per run from names `<tag>_epoch<digits>.pth`, compared as numbers.
 
-    Other names are ignored. Two names with one epoch in a run stop the job; `last_k_violations`
-    lists them, and runs without any match, without stopping.
+    Other names are ignored. Two names for one selected epoch stop the job; `last_k_violations` lists
+    every duplicate, and runs without any match, without stopping.
     """
     parsed = _parse_epochs(df, name_col, tag)
+    others = [c for c in parsed.columns if c not in (*run_keys, "epoch")]
+    # one row per (run, epoch) before ranking; the rank filter then prunes to k rows per run on the map side
+    per_epoch = parsed.groupBy(*run_keys, "epoch").agg(F.count(F.lit(1)).alias("_same"), F.min(F.struct(*others)).alias("_row"))
     newest = Window.partitionBy(*run_keys).orderBy(F.col("epoch").desc())
-    same = Window.partitionBy(*run_keys, "epoch")
-    ranked = parsed.withColumns({"_rank": F.row_number().over(newest), "_same": F.count(F.lit(1)).over(same)})
-    checked = F.when(F.col("_same") == 1, F.col("epoch")).otherwise(
-        F.raise_error(F.concat(F.lit("duplicate epoch "), F.col("epoch").cast("string")))
-    )
-    return (
-        ranked.withColumn("epoch", checked)
-        .where(F.col("_rank") <= k)
-        .drop("_rank", "_same")
-    )
+    message = F.concat(F.lit("duplicate epoch "), F.col("epoch").cast("string"))
+    single = F.when(F.col("_same") == 1, F.col("epoch")).otherwise(F.raise_error(message))
+    top = per_epoch.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= k)
+    return top.select(*run_keys, *[F.col("_row")[c].alias(c) for c in others], single.alias("epoch"))
 
 
 def last_k_violations(df: DataFrame, run_keys: Sequence[str], name_col: str, tag: str | Column) -> DataFrame:

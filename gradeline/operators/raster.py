@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64
-from .running import number_rows, quantiles
+from .running import number_rows, quantiles, with_summary
 from .vectors import _field_types
 
 
@@ -86,7 +86,7 @@ def block_pool_summary(tiles: DataFrame) -> DataFrame:
     out = kept.agg(*aggs)
     for c in ("mean", "std"):
         points = {f"{c}_p5": 0.05, f"{c}_p50": 0.5, f"{c}_p95": 0.95}
-        out = out.join(quantiles(kept, [], c, points).drop("n"))
+        out = with_summary(out, quantiles(kept, [], c, points).drop("n"))
     return out
 
 
@@ -187,12 +187,12 @@ def weibull_rank_map(
     fine = F.least(F.greatest(F.floor(span * F.lit(float(2**20))), F.lit(-1)), F.lit(2**20)).cast("bigint")
     ranked = number_rows(df, keys, [F.shiftright(fine, 10), fine], [f64(value), F.col(id_col)], "_rank")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, keys) if keys else ranked.join(sizes)
+    joined = ranked.join(sizes, keys) if keys else with_summary(ranked, sizes)
     p = (F.col("_rank") - F.lit(0.5)) / F.col("_n")
     grey = F.lit(loc) + F.lit(scale) * F.pow(-F.log(F.lit(1.0) - p), F.lit(1.0 / max(shape, floor)))
     mapped = joined.withColumn("_g", grey)
     stats = mapped.groupBy(*keys).agg(F.avg("_g").alias("_m"), F.stddev_pop("_g").alias("_s"))
-    both = mapped.join(stats, keys) if keys else mapped.join(stats)
+    both = mapped.join(stats, keys) if keys else with_summary(mapped, stats)
     spread = F.when(F.col("_s") < 1e-6, F.lit(1.0)).otherwise(F.col("_s"))
     matched = (F.col("_g") - F.col("_m")) / spread * F.lit(target_std) + F.lit(target_mean)
     out = F.least(F.greatest(F.bround(matched, 0), F.lit(0.0)), F.lit(255.0))

@@ -16,6 +16,19 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hash_text
 
 
+def with_summary(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of an ungrouped aggregate to every row.
+
+    A scalar subquery: the aggregate is evaluated once, must have exactly one row, and reaches the
+    tasks as a constant, so no join is involved.
+    """
+    names = one_row.columns
+    if len(names) == 1:
+        return df.withColumn(names[0], one_row.scalar())
+    packed = df.withColumn("_summary", one_row.select(F.struct(*names)).scalar())
+    return packed.select(*df.columns, *[F.col("_summary")[n].alias(n) for n in names])
+
+
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -123,7 +136,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     counts = df.where(finite).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     cum = running_totals(counts, keys, [value_bucket(F.col("_v"))], [F.col("_v")], ["_n"], prefix="_cum")
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
-    rows = cum.join(sizes, keys) if keys else cum.join(sizes)
+    rows = cum.join(sizes, keys) if keys else with_summary(cum, sizes)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_cum_n") - F.col("_n") <= rank) & (rank < F.col("_cum_n")), F.col("_v")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, f64, hash_text, is_finite
 from .ranking import roc_auc
-from .running import number_by_hash
+from .running import number_by_hash, with_summary
 from .vectors import logistic_fits, moments
 
 PROBS = ("p0", "p1")
@@ -27,7 +27,7 @@ def validate_features(df: DataFrame, keys: Sequence[str], features: str, min_row
         F.count(F.lit(1)).alias("n"),
     )
     width = agg.agg(F.max("max_width").alias("_width"))
-    joined = agg.join(width)
+    joined = with_summary(agg, width)
     rules = F.array_compact(F.array(
         F.when(F.col("nonfinite_rows") > 0, "nonfinite_rows"),
         F.when((F.col("min_width") != F.col("_width")) | (F.col("max_width") != F.col("_width")), "unequal_width"),
@@ -82,7 +82,7 @@ def domain_standardize(
         joined = df.join(packed, domain)
     elif mode in ("target", "frozen"):
         chosen = packed.where(F.col(domain) == (target if mode == "target" else source)).select("_stats")
-        joined = df.join(chosen)  # a single statistics row
+        joined = with_summary(df, chosen)
     else:
         raise ValueError(f"unknown mode {mode!r}")
     scaled = F.zip_with(
@@ -203,7 +203,7 @@ def rbf_mmd2(
     )
     sizes = df.agg(F.count_if(F.col(domain) == source).cast("double").alias("m"), F.count_if(F.col(domain) != source).cast("double").alias("n"))
     m, n = F.col("m"), F.col("n")
-    return sums.join(sizes).select(
+    return with_summary(sums, sizes).select(
         (F.col("ss") / (m * (m - 1)) + F.col("tt") / (n * (n - 1)) - F.lit(2.0) * F.col("st") / (m * n)).alias("mmd2"),
         F.lit(sigma).alias("bandwidth"),
         F.lit("pooled median pairwise Euclidean distance" if bandwidth is None else "explicit").alias("bandwidth_source"),
@@ -350,13 +350,13 @@ def proxy_a_distance(
         F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))),
         lambda s: F.struct(s["mean"].alias("m"), F.when(s["var"] > 0, F.sqrt(s["var"])).otherwise(F.lit(1.0)).alias("d")),
     ).alias("_stats"))
-    scaled = split.join(packed).withColumn(
+    scaled = with_summary(split, packed).withColumn(
         "f", F.zip_with("f", "_stats", lambda x, s: (x - s["m"]) / s["d"])
     )
     fit = scaled.where(~F.col("test"))
     balance = fit.groupBy("y").agg(F.count(F.lit(1)).alias("_c"))
     total = fit.agg(F.count(F.lit(1)).alias("_t"))
-    weighted = fit.join(balance, "y").join(total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
+    weighted = with_summary(fit.join(balance, "y"), total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
     beta = logistic_fits(weighted, [], "f", "y", None, "w")[(-1,)]
     decision = _linear_score("f", beta)
     test = scaled.where(F.col("test"))
@@ -382,7 +382,7 @@ def balanced_downsample(df: DataFrame, keys: Sequence[str], domain: str, id_col:
     spread = df.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     keyed = spread.withColumn("_pick", F.concat_ws("|", "resample", id_col))
     ranked = number_by_hash(keyed, [*keys, "resample", domain], seed, "_pick")
-    limited = ranked.join(smaller, list(keys)) if keys else ranked.join(smaller)
+    limited = ranked.join(smaller, list(keys)) if keys else with_summary(ranked, smaller)
     return limited.where((F.col("rn") <= F.col("_min")) & (F.col("_domains") == 2)).drop("_pick", "_min", "_domains")
 
 

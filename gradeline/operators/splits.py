@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64, hash_index, hash_text, hash_uniform, total
-from .running import number_by_hash, number_by_id, quantiles
+from .running import number_by_hash, number_by_id, quantiles, with_summary
 
 
 def stratified_kfold(df: DataFrame, strata: Sequence[str], label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -100,7 +100,7 @@ def round_robin_assign(rows: DataFrame, row_id: str, bank: DataFrame, bank_id: s
     left = number_by_id(rows, [], row_id, name="_i").withColumn("_i", F.col("_i") - 1)
     right = number_by_id(bank, [], bank_id, name="_slot").withColumn("_slot", F.col("_slot") - 1)
     size = bank.agg(F.count(F.lit(1)).alias("_n"))
-    keyed = left.join(size).withColumn("_slot", F.col("_i") % F.col("_n")).drop("_i", "_n")
+    keyed = with_summary(left, size).withColumn("_slot", F.col("_i") % F.col("_n")).drop("_i", "_n")
     return keyed.join(right, "_slot").drop("_slot")
 
 
@@ -110,7 +110,7 @@ def band_filter_pool(pool: DataFrame, mean: str, lo: str | float = "p5", clamp:
     low: Column = F.col("_p5") if lo == "p5" else F.lit(float(lo))
     if lo == "p5" and clamp is not None:
         low = F.greatest(low, F.lit(float(clamp)))
-    banded = pool.join(edges).withColumn("lo", low)
+    banded = with_summary(pool, edges).withColumn("lo", low)
     return banded.where(F.col(mean).between(F.col("lo"), F.col("p95"))).drop("_p5")
 
 
@@ -118,7 +118,7 @@ def draw_pairs(rows: DataFrame, row_id: str, pool: DataFrame, pool_id: str, seed
     """One hashed index per row picks a pool entry, so paired pool columns stay together."""
     slots = number_by_id(pool, [], pool_id, name="_slot").withColumn("_slot", F.col("_slot") - 1)
     size = pool.agg(F.count(F.lit(1)).alias("_n"))
-    drawn = rows.join(size).withColumn("_slot", hash_index("_n", seed, row_id)).drop("_n")
+    drawn = with_summary(rows, size).withColumn("_slot", hash_index("_n", seed, row_id)).drop("_n")
     return drawn.join(slots, "_slot").drop("_slot")
 
 
@@ -172,7 +172,7 @@ def share_audit(df: DataFrame, category: str, weights: dict[str, float]) -> Data
     target: Column = F.lit(0.0)
     for label, w in weights.items():
         target = F.when(F.col(category) == label, w / scale).otherwise(target)
-    return counts.join(size).select(category, "n", (F.col("n") / F.col("_t")).alias("share"), target.alias("target_share"))
+    return with_summary(counts, size).select(category, "n", (F.col("n") / F.col("_t")).alias("share"), target.alias("target_share"))
 
 
 def unimodal_check(df: DataFrame, keys: Sequence[str], pos: str, value: str, tol: float = 0.02) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bank, raster
-from ..sources import tables
+from ..sources import files, tables
 from .registry import query, rounded
 
 
@@ -183,3 +183,36 @@ def _(spark, folder):
     return rounded(out.withColumnRenamed("check", "chk"), "value")
 
 
+
+
+def _image_table(spark, folder):
+    """Rows shaped like the `image` source: one 40x40 grey image per id, every third one unreadable."""
+    pixels = tables.strip(spark, folder).groupBy("image_id", "x", "y").agg(F.max("v").alias("v"))
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit(1599)), lambda i: F.lpad(F.hex(F.coalesce(F.element_at("_grid", i), F.lit(0))), 2, "0")
+    )
+    # at most 1600 cells per image
+    packed = pixels.groupBy("image_id").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("y") * 40 + F.col("x"), "v"))).alias("_grid")
+    )
+    ok = F.col("image_id") % 3 != 0
+    size = F.when(ok, 40).otherwise(-1)
+    return packed.select("image_id", F.struct(
+        F.col("image_id").cast("string").alias("origin"), size.alias("height"), size.alias("width"),
+        F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.when(ok, F.unhex(F.array_join(cells, ""))).alias("data"),
+    ).alias("image"))
+
+
+@query("image_area", """
+select cast(image_id as varchar) as origin, case when image_id % 3 <> 0 then 40 end as width, case when image_id % 3 <> 0 then 40 end as height,
+       case when image_id % 3 <> 0 then 1600e0 end as area, case when image_id % 3 = 0 then 'unreadable' end as error from (select distinct image_id from strip)""")
+def _(spark, folder):
+    return files.image_area(_image_table(spark, folder))
+
+
+@query("explode_images", """select * from (
+with p as (select image_id, x, y, max(v) as v from strip group by 1, 2, 3),
+g as (select image_id, gx as x, gy as y from (select distinct image_id from strip where image_id % 3 <> 0), (select cast(unnest(range(0, 40)) as int) as gx), (select cast(unnest(range(0, 40)) as int) as gy))
+select image_id, x, y, coalesce(v, 0) as v from g left join p using (image_id, x, y))""")
+def _(spark, folder):
+    return raster.explode_images(_image_table(spark, folder), ["image_id"]).drop("origin")

@@ -188,3 +188,12 @@ def _(spark, folder):
     return grid.pending_cells(cells, spark.read.parquet(path), RUN, ["k"])
 
 
+
+
+@query("scan_labeled_tree", "select 'cls=' || source as label, sum(octet_length(encode(text)) + 1)::bigint as n_bytes from documents group by 1")
+def _(spark, folder):
+    path = scratch_path(spark, "tree")
+    docs = tables.table(spark, folder, "documents").select(F.col("source").alias("cls"), "text")
+    docs.write.partitionBy("cls").text(path)
+    tree = files.scan_labeled_tree(spark, path, ("txt",))
+    return tree.groupBy("label").agg(F.sum("length").alias("n_bytes"))

@@ -57,3 +57,32 @@ def test_no_task_holds_a_whole_group(skewed):
     plan = running.number_by_hash(df, ["k"], 3, "i")._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("_bucket" in line for line in windows)
+
+
+def test_no_registered_operator_plans_a_cross_join(spark, sf_dir):
+    """Summaries arrive as scalar subqueries and fan-outs as generators, never as products of tables."""
+    from gradeline.plans import catalog
+
+    for name in ("stratified_metrics", "threshold_sweep", "round_robin_assign", "draw_pairs", "weighted_draw", "grid_complete",
+                 "class_weights_inverse", "align_labels", "block_pool_summary", "comparison_blocks", "bootstrap_paired_ci"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_checkpoint_mean_needs_no_exchange_of_predictions(spark, sf_dir):
+    """Only the narrow orders table is shuffled; the 125-fold predictions are averaged in place."""
+    from gradeline.plans import scoring
+
+    plan = scoring.averaged(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_run_metrics_reads_predictions_once(spark, sf_dir):
+    """Both branches of the running totals share the exchange of the distinct-score table."""
+    from gradeline.operators import ranking
+    from gradeline.plans import scoring
+
+    df = ranking.run_metrics(scoring.averaged(spark, sf_dir), scoring.RUN)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan[: plan.index("Initial Plan")]
