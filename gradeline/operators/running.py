@@ -111,16 +111,18 @@ def score_buckets(score: Column) -> list[Column]:
     return [F.when(below < edge, near_one).when(score < edge, near_zero).otherwise(slices).cast("bigint")]
 
 
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket of any finite double: sign, binary exponent and 12 mantissa bits.
+def value_buckets(value: Column) -> list[Column]:
+    """Monotone two-level buckets of any finite double: sign, binary exponent and mantissa bits.
 
-    A column spanning 2^40 yields at most 330 thousand buckets, however many distinct values it has.
+    The coarse level keeps 12 mantissa bits (a column spanning 2^40 has at most 330 thousand coarse
+    buckets), the fine one 12 more, so values crowded around a large number still separate.
     """
     size = F.greatest(F.abs(value), F.lit(1e-300))
     exponent = F.floor(F.log2(size))
     mantissa = size / F.pow(F.lit(2.0), exponent) - F.lit(1.0)
-    magnitude = (exponent + 1100) * 4096 + F.floor(mantissa * F.lit(4096.0))
-    return F.when(value < 0, -magnitude).when(value == 0, F.lit(0)).otherwise(magnitude).cast("bigint")
+    magnitude = (exponent + 1100) * (1 << 24) + F.floor(mantissa * F.lit(float(1 << 24)))
+    fine = F.when(value < 0, -magnitude).when(value == 0, F.lit(0)).otherwise(magnitude).cast("bigint")
+    return [F.shiftright(fine, 12), fine]
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -134,7 +136,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
     counts = df.where(finite).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, keys, [value_bucket(F.col("_v"))], [F.col("_v")], ["_n"], prefix="_cum")
+    cum = running_totals(counts, keys, value_buckets(F.col("_v")), [F.col("_v")], ["_n"], prefix="_cum")
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("n"))
     rows = cum.join(sizes, keys) if keys else with_summary(cum, sizes)
 

@@ -61,10 +61,21 @@ def _(spark, folder):
     return raster.otsu_by_group(tables.strip(spark, folder), ["image_id"], "v")
 
 
-@query("weibull_fit_by_group")
+# the same likelihood equation solved by bisection on the grey histogram
+@query("weibull_fit_by_group", """select * from (
+with recursive h as (select l_suppkey as image_id, floor(l_quantity) as v, cast(count(*) as double) as n from lineitem group by 1, 2),
+g as (select image_id, list(ln(v) order by v) as lx, list(n order by v) as ns, cast(sum(n) as bigint) as n_px, sum(n * ln(v)) / sum(n) as ml, sum(n) as total from h group by 1),
+b as (select image_id, 0.01e0 as lo, 60e0 as hi, 0 as k from g where n_px >= 50
+      union all select b.image_id, case when f < 0 then mid else lo end, case when f < 0 then hi else mid end, k + 1 from (
+        select b.*, (lo + hi) / 2 as mid, list_sum(list_transform(range(1, len(lx) + 1), lambda i: ns[i] * exp((lo + hi) / 2 * lx[i]) * lx[i]))
+               / list_sum(list_transform(range(1, len(lx) + 1), lambda i: ns[i] * exp((lo + hi) / 2 * lx[i]))) - 2 / (lo + hi) - ml as f
+        from b join g using (image_id)) b where k < 70),
+c as (select image_id, (lo + hi) / 2 as c from b where k = 70)
+select g.image_id, round(c, 6) as c, case when c is not null then 0e0 end as loc,
+       round(power(list_sum(list_transform(range(1, len(lx) + 1), lambda i: ns[i] * exp(c * lx[i]))) / total, 1 / c), 6) as scale, n_px from g left join c using (image_id))""")
 def _(spark, folder):
     pixels = tables.table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("image_id"), F.col("l_quantity").alias("v"))
-    return raster.weibull_fit_by_group(pixels, ["image_id"], "v")
+    return rounded(raster.weibull_fit_by_group(pixels, ["image_id"], "v"), "c", "scale", digits=6)
 
 
 @query("weibull_rank_map", """select * from (

@@ -55,11 +55,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a narrow table by `keys` before it is fanned out.
+TARGET_PARTITION_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, *keys: str, fan_out: int = 1) -> DataFrame:
+    """Hash-partition a narrow table by `keys` before every row becomes `fan_out` rows.
 
     The partitioning survives projections and generators, so later aggregations whose grouping keys
-    include `keys` need no exchange of the (much larger) fanned-out rows. The count is given
-    explicitly because adaptive coalescing sizes partitions by the narrow input, not by its fan-out.
+    include `keys` need no exchange of the (much larger) fanned-out rows. Adaptive coalescing would
+    size partitions by the narrow input, so the count is explicit: the configured shuffle partitions,
+    or more when the optimiser's size estimate times the fan-out asks for it.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(configured, -(-estimate * fan_out // TARGET_PARTITION_BYTES)), *keys)

@@ -28,8 +28,10 @@ def predictions(spark: SparkSession, folder: str, arms=(0, 4), seeds=(0, 4), epo
 
     Partitioned by sample before the fan-out, as a prediction store bucketed by sample would be.
     """
+    size = lambda span: span[1] - span[0] + 1
     orders = spread(
-        table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey"
+        table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey",
+        fan_out=size(arms) * size(seeds) * size(epochs),
     )
     first_class = F.col("o_orderpriority").startswith("1")
     grid = (

@@ -35,9 +35,12 @@ def test_two_bucket_levels_keep_order(skewed):
 
 def test_value_bucket_is_monotone(spark):
     values = sorted([0.0, -0.0, 1e-300, 5e-10, 1.0, 2.0, 4.0, 1 - 2**-53, 2 - 2**-52, 4 + 2**-50, 7.999999999999999, 8.0, 1e200, -3.0, -1e-9, -1e30])
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("b", running.value_bucket(F.col("v")))
-    buckets = [r["b"] for r in df.orderBy("i").collect()]
-    assert buckets == sorted(buckets)
+    values = sorted(values + [1.7e9 + i for i in range(0, 5000, 61)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    coarse, fine = running.value_buckets(F.col("v"))
+    pairs = [(r["c"], r["f"]) for r in df.select("i", coarse.alias("c"), fine.alias("f")).orderBy("i").collect()]
+    assert pairs == sorted(pairs)
+    assert len({f for _, f in pairs}) > 80  # crowded values separate
 
 
 def test_quantiles_match_linear_interpolation(skewed):
