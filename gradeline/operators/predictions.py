@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,11 +130,6 @@ def score_checkpoints(
     )
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Arrow-batched hook for per-row decoding that has no built-in expression."""
-    return df.mapInPandas(fn, schema)
-
-
 def blind(df: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """Keep an allow-list of columns, so labels can not travel along."""
     missing = [c for c in allowed if c not in df.columns]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MERGE_SHARDS = 64
 
 
@@ -93,56 +95,54 @@ def logistic_fits(
     """
     models = list(models)
     spark = rows.sparkSession
-    slim = rows.select(
+    # every step reads these rows again: write them once where any executor can find them
+    slim = cut_lineage(rows.select(
         *models, F.col(features).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"),
         F.col(weight).cast("double").alias("w"), (F.col(held_out) if held_out else F.lit(-1)).cast("int").alias("fold"),
-    ).persist()
-    try:
-        ids = [tuple(r) for r in slim.select(*models, "fold").distinct().collect()]
-        dim = slim.select(F.max(F.size("f"))).first()[0] + 1
-        betas = {i: np.zeros(dim) for i in ids}
-        key_types = _field_types(slim, models)
-        schema = f"{key_types + ', ' if models else ''}fold int, vec array<double>, n bigint"
-        active = set(ids)
-        for _ in range(max_iter):
-            shipped = spark.sparkContext.broadcast({i: betas[i] for i in active})
-
-            def partial(batches: Iterator[pd.DataFrame], current=shipped) -> Iterator[pd.DataFrame]:
-                coefs = current.value
-                state: dict[tuple, np.ndarray] = {}
-                for pdf in batches:
-                    groups = pdf.groupby(models, sort=False) if models else [((), pdf)]
-                    for key, part in groups:
-                        key = key if isinstance(key, tuple) else (key,)
-                        x = np.column_stack([np.stack(part["f"].to_numpy()), np.ones(len(part))])
-                        target, weights, folds = part["y"].to_numpy(), part["w"].to_numpy(), part["fold"].to_numpy()
-                        for ident, beta in coefs.items():
-                            if ident[:-1] != key:
-                                continue
-                            w = weights * (folds != ident[-1]) if ident[-1] >= 0 else weights
-                            p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -500, 500)))
-                            grad = x.T @ (w * (p - target))
-                            hess = (x * (w * p * (1 - p))[:, None]).T @ x
-                            state[ident] = state.get(ident, 0.0) + np.concatenate([grad, hess.ravel()])
-                if state:
-                    yield pd.DataFrame([
-                        {**dict(zip(models, i[:-1])), "fold": i[-1], "vec": v, "n": 1} for i, v in state.items()
-                    ])
-
-            sums = sum_vectors(slim.mapInPandas(partial, schema), [*models, "fold"]).collect()
-            for r in sums:
-                ident = (*[r[m] for m in models], r["fold"])
-                vec = np.asarray(r["vec"])
-                beta = betas[ident]
-                grad = cost * vec[:dim] + beta
-                hess = cost * vec[dim:].reshape(dim, dim) + np.eye(dim)
-                move = np.linalg.solve(hess, grad)
-                step = 1.0 if np.abs(move).max() < 5 else 5 / np.abs(move).max()
-                betas[ident] = beta - step * move
-                if np.abs(step * move).max() < tol:
-                    active.discard(ident)
-            if not active:
-                break
-        return betas
-    finally:
-        slim.unpersist()
+    ))
+    ids = [tuple(r) for r in slim.select(*models, "fold").distinct().collect()]
+    dim = slim.select(F.max(F.size("f"))).first()[0] + 1
+    betas = {i: np.zeros(dim) for i in ids}
+    key_types = _field_types(slim, models)
+    schema = f"{key_types + ', ' if models else ''}fold int, vec array<double>, n bigint"
+    active = set(ids)
+    for _ in range(max_iter):
+        shipped = spark.sparkContext.broadcast({i: betas[i] for i in active})
+
+        def partial(batches: Iterator[pd.DataFrame], current=shipped) -> Iterator[pd.DataFrame]:
+            coefs = current.value
+            state: dict[tuple, np.ndarray] = {}
+            for pdf in batches:
+                groups = pdf.groupby(models, sort=False) if models else [((), pdf)]
+                for key, part in groups:
+                    key = key if isinstance(key, tuple) else (key,)
+                    x = np.column_stack([np.stack(part["f"].to_numpy()), np.ones(len(part))])
+                    target, weights, folds = part["y"].to_numpy(), part["w"].to_numpy(), part["fold"].to_numpy()
+                    for ident, beta in coefs.items():
+                        if ident[:-1] != key:
+                            continue
+                        w = weights * (folds != ident[-1]) if ident[-1] >= 0 else weights
+                        p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -500, 500)))
+                        grad = x.T @ (w * (p - target))
+                        hess = (x * (w * p * (1 - p))[:, None]).T @ x
+                        state[ident] = state.get(ident, 0.0) + np.concatenate([grad, hess.ravel()])
+            if state:
+                yield pd.DataFrame([
+                    {**dict(zip(models, i[:-1])), "fold": i[-1], "vec": v, "n": 1} for i, v in state.items()
+                ])
+
+        sums = sum_vectors(slim.mapInPandas(partial, schema), [*models, "fold"]).collect()
+        for r in sums:
+            ident = (*[r[m] for m in models], r["fold"])
+            vec = np.asarray(r["vec"])
+            beta = betas[ident]
+            grad = cost * vec[:dim] + beta
+            hess = cost * vec[dim:].reshape(dim, dim) + np.eye(dim)
+            move = np.linalg.solve(hess, grad)
+            step = 1.0 if np.abs(move).max() < 5 else 5 / np.abs(move).max()
+            betas[ident] = beta - step * move
+            if np.abs(step * move).max() < tol:
+                active.discard(ident)
+        if not active:
+            break
+    return betas

@@ -174,7 +174,7 @@ def _(spark, folder):
     out = log.groupBy("caller", "reason", "domain").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_labels_read").alias("n_labels_read"), F.min("ts").alias("t")
     )
-    text = F.regexp_replace(F.date_format("t", "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0+$", "")
+    text = F.regexp_replace(F.date_format(F.to_utc_timestamp("t", F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0+$", "")
     return out.select("caller", "reason", "domain", "n", "n_labels_read", text.alias("first_read"))
 
 

@@ -55,7 +55,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-TARGET_PARTITION_BYTES = 256 << 20
+TARGET_PARTITION_BYTES = 128 << 20
 
 
 def spread(df: DataFrame, *keys: str, fan_out: int = 1) -> DataFrame:
@@ -63,9 +63,9 @@ def spread(df: DataFrame, *keys: str, fan_out: int = 1) -> DataFrame:
 
     The partitioning survives projections and generators, so later aggregations whose grouping keys
     include `keys` need no exchange of the (much larger) fanned-out rows. Adaptive coalescing would
-    size partitions by the narrow input, so the count is explicit: the configured shuffle partitions,
-    or more when the optimiser's size estimate times the fan-out asks for it.
+    size partitions by the narrow input, so the count is explicit: the optimiser's size estimate
+    times the fan-out over the target size, and at least one partition per core.
     """
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(max(configured, -(-estimate * fan_out // TARGET_PARTITION_BYTES)), *keys)
+    by_size = -(-estimate * fan_out // TARGET_PARTITION_BYTES)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, by_size), *keys)
