@@ -357,7 +357,7 @@ def proxy_a_distance(
     balance = fit.groupBy("y").agg(F.count(F.lit(1)).alias("_c"))
     total = fit.agg(F.count(F.lit(1)).alias("_t"))
     weighted = with_summary(fit.join(balance, "y"), total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
-    beta = logistic_fits(weighted, [], "f", "y", None, "w")[(-1,)]
+    beta = logistic_fits(weighted, [], "f", "y", "w")[(-1,)]
     decision = _linear_score("f", beta)
     test = scaled.where(F.col("test"))
     return test.agg(
@@ -394,12 +394,17 @@ def format_probe(
 
     Balanced resamples, stratified folds, logistic regression; mean and population SD of all fold AUCs.
     """
-    rows = balanced_downsample(df.select(cls, domain, id_col, features), [cls], domain, id_col, resamples, seed)
-    data = rows.select(
-        F.col(cls).alias("cls"), "resample", ((F.col("rn") - 1) % folds).cast("int").alias("fold"), id_col,
-        (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"), F.lit(1.0).alias("w"),
+    # ranks are drawn on ids alone; a row then carries its few (resample, fold) picks next to one copy
+    # of its features
+    drawn = balanced_downsample(df.select(cls, domain, id_col), [cls], domain, id_col, resamples, seed)
+    fold = ((F.col("rn") - 1) % folds).cast("int")
+    picks = drawn.groupBy(id_col).agg(
+        F.collect_list(F.struct(F.col(cls).alias("cls"), "resample", fold.alias("fold"))).alias("picks")
     )
-    betas = logistic_fits(data, ["cls", "resample"], "f", "y", "fold", "w")
+    rows = df.select(
+        id_col, (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"), F.lit(1.0).alias("w")
+    ).join(picks, id_col)
+    betas = logistic_fits(rows, ["cls", "resample"], "f", "y", "w", "picks")
     shipped = df.sparkSession.sparkContext.broadcast(betas)
 
     def held_out_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,7 +416,8 @@ def format_probe(
             yield pdf[["cls", "resample", "fold", "y"]].assign(score=score)
 
     cls_type = df.schema[cls].dataType.simpleString()
-    scored = data.select("cls", "resample", "fold", "y", "f").mapInPandas(
+    data = rows.withColumn("m", F.explode("picks")).select("m.cls", "m.resample", "m.fold", "y", "f")
+    scored = data.mapInPandas(
         held_out_scores, f"cls {cls_type}, resample int, fold int, y int, score double"
     )
     auc = roc_auc(scored, ["cls", "resample", "fold"], "score", "y", positive=1)

@@ -18,26 +18,35 @@ def _field_types(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def _fold_vectors(keys: list[str]):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf["vec"].to_numpy()), axis=0)
-        row = {k: pdf[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "vec": total, "n": int(pdf["n"].sum())}])
+def _merge_vectors(keys: list[str]):
+    """Sum `vec` and `n` per key over all batches of a task; state is one vector per key seen."""
 
-    return fold
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict[tuple, list] = {}
+        for pdf in batches:
+            for key, vec, n in zip(zip(*[pdf[k] for k in keys]) if keys else [()] * len(pdf), pdf["vec"], pdf["n"]):
+                if key in state:
+                    state[key][0] += vec
+                    state[key][1] += int(n)
+                else:
+                    state[key] = [np.array(vec, dtype=np.float64), int(n)]
+        if state:
+            yield pd.DataFrame([{**dict(zip(keys, key)), "vec": vec, "n": n} for key, (vec, n) in state.items()])
+
+    return merge
 
 
 def sum_vectors(partials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Element-wise sum of `vec` (and `n`) per key.
 
-    Partials come one per task and key; a first step folds them inside shards, so the last one sees
+    Partials come one per task and key. They are first merged inside shards, so the last step reads
     at most MERGE_SHARDS rows per key.
     """
     keys = list(keys)
-    schema = f"{_field_types(partials, keys)}, vec array<double>, n bigint"
-    sharded = partials.withColumn("_shard", F.spark_partition_id() % MERGE_SHARDS)
-    first = sharded.groupBy(*keys, "_shard").applyInPandas(_fold_vectors(keys), schema)
-    return first.groupBy(*keys).applyInPandas(_fold_vectors(keys), schema)
+    schema = f"{_field_types(partials, keys)}{', ' if keys else ''}vec array<double>, n bigint"
+    sharded = partials.withColumn("_shard", F.spark_partition_id() % MERGE_SHARDS).repartition(*keys, "_shard").drop("_shard")
+    first = sharded.mapInPandas(_merge_vectors(keys), schema)
+    return (first.repartition(*keys) if keys else first.coalesce(1)).mapInPandas(_merge_vectors(keys), schema)
 
 
 def moments(df: DataFrame, keys: Sequence[str], features: str) -> DataFrame:
@@ -83,23 +92,32 @@ def moments(df: DataFrame, keys: Sequence[str], features: str) -> DataFrame:
 
 
 def logistic_fits(
-    rows: DataFrame, models: Sequence[str], features: str, y: str, held_out: str | None, weight: str,
+    rows: DataFrame, models: Sequence[str], features: str, y: str, weight: str, memberships: str | None = None,
     cost: float = 1.0, max_iter: int = 50, tol: float = 1e-8,
 ) -> dict[tuple, np.ndarray]:
     """L2-penalised logistic regressions, all trained together by distributed Newton steps.
 
-    `rows` carries the `models` key columns, a 0/1 target, a weight and, with `held_out`, a fold: one
-    model per (models, fold) is then trained on the other folds. Each step sends per-task gradient and
-    Hessian sums of fixed size; the driver only solves (D+1)-sized systems. The objective is
-    |w|^2/2 + cost*sum(weight*loss), intercept included in the penalty.
+    `rows` carries a 0/1 target and a weight. With `memberships`, an array of structs holding the
+    `models` fields and a fold, a row takes part in several models; one model per (models, fold) is
+    trained on the other folds, and the result is keyed that way. Without it there is one model, keyed
+    (-1,). Each step sends per-task gradient and Hessian sums of fixed size; the driver only solves
+    (D+1)-sized systems. The objective is |w|^2/2 + cost*sum(weight*loss), intercept penalised too.
     """
     models = list(models)
     spark = rows.sparkSession
-    # every step reads these rows again: write them once where any executor can find them
-    slim = cut_lineage(rows.select(
-        *models, F.col(features).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"),
-        F.col(weight).cast("double").alias("w"), (F.col(held_out) if held_out else F.lit(-1)).cast("int").alias("fold"),
+    # every step reads these rows again: write them once where any executor can find them, before
+    # memberships multiply them
+    kept = cut_lineage(rows.select(
+        F.col(features).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"),
+        F.col(weight).cast("double").alias("w"), *([F.col(memberships).alias("_m")] if memberships else []),
     ))
+    cores = spark.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() < cores:  # small input: adaptive coalescing left cores without rows
+        kept = cut_lineage(kept.repartition(cores, "f"))
+    if memberships:
+        slim = kept.withColumn("_m", F.explode("_m")).select(*[F.col(f"_m.{m}").alias(m) for m in models], "f", "y", "w", F.col("_m.fold").alias("fold"))
+    else:
+        slim = kept.withColumn("fold", F.lit(-1))
     ids = [tuple(r) for r in slim.select(*models, "fold").distinct().collect()]
     dim = slim.select(F.max(F.size("f"))).first()[0] + 1
     betas = {i: np.zeros(dim) for i in ids}

@@ -96,7 +96,7 @@ def test_logistic_fit_reaches_the_optimum(spark):
     y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=120) > 0).astype(int)
     rows = [(i, int(t), [float(v) for v in r], 1.0) for i, (r, t) in enumerate(zip(x, y))]
     df = spark.createDataFrame(rows, "id int, y int, f array<double>, w double").repartition(3)
-    beta = vectors.logistic_fits(df, [], "f", "y", None, "w")[(-1,)]
+    beta = vectors.logistic_fits(df, [], "f", "y", "w")[(-1,)]
     design = np.column_stack([x, np.ones(len(x))])
     grad = beta + design.T @ (1 / (1 + np.exp(-design @ beta)) - y)
     assert np.abs(grad).max() < 1e-6
