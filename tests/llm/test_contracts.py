@@ -1,0 +1,317 @@
+"""Operators and queries against brute force, on the given documents and on odd texts."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from gradeline.llm import bpe, exact_dedup, licences, near_dedup, packing, passages, pii, quality, queries, secrets, sharding, spans
+
+
+def by_id(df, key="sample_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def test_near_copies(spark, documents, small_dir, odd_records, odd_texts):
+    got = by_id(queries.QUERIES["op2_near_copies"](spark, small_dir), "doc_id")
+    want = brute.near(dict(documents))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in got.items()} == want
+    odd = by_id(near_dedup.near_copies(odd_records))
+    assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in odd.items()} == brute.near(dict(odd_texts))
+
+
+def test_chains_and_buckets_with_several_components(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(60):  # neighbours are similar, the ends are not
+        w = list(words)
+        w[: 3 * i] = [f"v{k}" for k in range(3 * i)]
+        rows.append((1000 - i, " ".join(w)))
+    base = [f"t{i}" for i in range(120)]
+    for i in range(40):  # one common passage, no links
+        rows.append((2000 + i, " ".join(base + [f"o{i}_{k}" for k in range(90)])))
+    df = spark.createDataFrame(rows, "sample_id bigint, content string")
+    got = {r["sample_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_copies(df).collect()}
+    assert got == brute.near(dict(rows))
+
+
+def test_members_of_other_components_are_compared(spark):
+    """A bucket whose smallest id is similar to nothing: the star fails, the blocks find the link."""
+    import numpy as np
+
+    sketch = bytes(range(128))
+    members = spark.createDataFrame(
+        [(0, 7, i, 100, sketch if i else bytes(reversed(sketch))) for i in range(30)], "band int, key bigint, id bigint, n_shingles bigint, sketch binary")
+    labels = spark.createDataFrame([], "node bigint, component bigint")
+    found = {(r["a"], r["b"]) for r in near_dedup._across(members, labels, block=4).collect()}
+    assert found == {(a, b) for a in range(1, 30) for b in range(1, a)}
+    assert np.frombuffer(sketch, np.uint8).size == 128
+
+
+@pytest.mark.parametrize("name,fn", [("op8_personal_data", brute.private), ("op3_secret_scan", brute.secret)])
+def test_spans(spark, documents, small_dir, name, fn):
+    got = by_id(queries.QUERIES[name](spark, small_dir), "doc_id")
+    assert len(got) == len(documents)
+    for i, text in documents:
+        want = fn(text)
+        counts = tuple(v for k, v in got[i].asDict().items() if k.startswith("n_") and k not in ("n_owner_specific", "n_widely_copied"))
+        assert (*counts, got[i]["base_sha256"]) == want[:-1], i
+        assert set(want[-1].split(",")) <= set(got[i]["spans"].split(",")) | {""}
+
+
+def test_odd_spans(odd_records, odd_texts):
+    private, secret = by_id(pii.find_personal_data(odd_records)), by_id(secrets.scan_secrets(odd_records))
+    for i, text in odd_texts:
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(private[i]["base"], key=lambda s: (pii.KINDS.index(s.kind), s.start))) == brute.private(text)[-1], i
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in sorted(secret[i]["base"], key=lambda s: (s.start, secrets.KINDS.index(s.kind)))) == brute.secret(text)[-1], i
+        assert len(secret[i]["owner_specific"]) + len(secret[i]["widely_copied"]) == len(secret[i]["base"]) + len(secret[i]["added"])
+
+
+def test_bpe_equals_the_library(spark, documents, small_dir, odd_records, odd_texts):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    got = by_id(queries.QUERIES["op4_bpe_codec"](spark, small_dir), "doc_id")
+    for i, text in documents:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want = (len(ids), brute.sha(",".join(map(str, ids))), brute.sha(library.decode(ids, skip_special_tokens=False)))
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want, i
+    odd = by_id(bpe.encode_texts(odd_records, path))
+    digests = by_id(bpe.encode_digests(odd_records, path))
+    for i, text in odd_texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert odd[i]["ids"] == ids, i
+        assert odd[i]["decoded"] == library.decode(ids, skip_special_tokens=False), i
+        assert digests[i]["ids_sha256"] == brute.sha(",".join(map(str, ids))), i
+
+
+def test_quality(spark, documents, small_dir, odd_records, odd_texts):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = by_id(queries.QUERIES["op5_quality_rules"](spark, small_dir), "doc_id")
+    odd = by_id(quality.quality_report(odd_records))
+    for rows, found in ((documents, got), (odd_texts, odd)):
+        assert len(found) == len(rows)
+        for i, text in rows:
+            assert tuple(found[i][n] for n in names) == brute.quality(text), i
+            assert not (found[i]["base_failed"] and found[i]["kept"])
+    kept = {r["sample_id"] for r in quality.quality_filter(odd_records).collect()}
+    assert kept == {i for i, r in odd.items() if r["kept"]}
+
+
+def test_quality_order_changes_no_verdict(odd_records):
+    text = F.coalesce("content", F.lit(""))
+    one, other = (odd_records.select("sample_id", quality.verdict(text, rules).alias("v")) for rules in (quality.RULES, quality.RULES[::-1]))
+    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}
+
+
+def test_licences(spark, documents, small_dir, odd_records, odd_texts):
+    got = by_id(queries.QUERIES["op7_licence_scan"](spark, small_dir), "doc_id")
+    odd = by_id(licences.scan_licences(odd_records))
+    for rows, found in ((documents, got), (odd_texts, odd)):
+        assert len(found) == len(rows)
+        for i, text in rows:
+            r = found[i]
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute.licence(text), i
+            assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    tagged = next(r for r in odd.values() if r["expressions"])
+    assert tagged["expressions"] == ["mit apache-2.0 or gpl-2.0-only classpath-exception-2.0 with and"]
+    assert tagged["labels"] == "apache,gpl,mit"
+
+
+def test_licence_expressions():
+    read = lambda s: licences.choices(licences.expression_postfix(s))
+    assert read("MIT OR Apache-2.0 AND BSD-3-Clause") == {frozenset(["mit"]), frozenset(["apache-2.0", "bsd-3-clause"])}
+    assert read("(MIT OR Apache-2.0) AND BSD-3-Clause") == {frozenset(["mit", "bsd-3-clause"]), frozenset(["apache-2.0", "bsd-3-clause"])}
+    assert read("((MIT") == {frozenset(["mit"])} == read("MIT )") == read("MIT OR")
+    assert read("AND MIT") == read("") == frozenset()
+
+
+def test_exact_copies(spark, documents, small_dir, odd_records, odd_texts):
+    names = ("keep_id", "group_size", "kept", "text_sha256")
+    got = by_id(queries.QUERIES["op9_exact_copies"](spark, small_dir), "doc_id")
+    assert {i: tuple(r[n] for n in names) for i, r in got.items()} == brute.exact(documents)
+    odd = by_id(exact_dedup.exact_copies(odd_records))
+    assert {i: tuple(r[n] for n in names) for i, r in odd.items()} == brute.exact(odd_texts)
+
+
+def test_hash_collisions_are_told_apart(spark):
+    rows = spark.createDataFrame(
+        [(1, 3, b"h", "s1", None), (2, 3, b"h", "s1", None), (3, 4, b"h", "s2", "other"), (4, 4, b"h", "s2", "other")],
+        "_id bigint, _size bigint, _hash binary, text_sha256 string, _odd string")
+    got = {r["sample_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup._leaders(rows).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 2), 4: (3, 2)}
+
+
+def test_empty_tables(no_records):
+    path = queries.tokenizer_path()
+    for fn in (packing.pack, near_dedup.near_copies, secrets.scan_secrets, quality.quality_report, sharding.assign_shards,
+               licences.scan_licences, pii.find_personal_data, exact_dedup.exact_copies, passages.repeated_passages,
+               lambda r: bpe.encode_texts(r, path)):
+        assert fn(no_records).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(None, text), (None, None), (5, text), (5, text), (6, text)], "sample_id bigint, content string")
+    near = sorted(((r["sample_id"], r["component_id"], r["kept"]) for r in near_dedup.near_copies(df).collect()), key=str)
+    assert near == sorted([(None, None, True), (None, None, True), (5, 5, True), (5, 5, True), (6, 5, False)], key=str)
+    exact = [(r["sample_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_copies(df).collect()]
+    assert sorted(exact, key=str) == sorted([(None, 5, 4), (None, None, 1), (5, 5, 4), (5, 5, 4), (6, 5, 4)], key=str)
+    assert {(r["sample_id"], r["kept"]) for r in passages.repeated_passages(df).collect()} == {(5, True), (6, False)}
+    wide = df.withColumn("domain", F.lit(None).cast("string")).withColumn("filepath", F.lit(None).cast("string"))
+    assert secrets.scan_secrets(wide).count() == pii.find_personal_data(df).count() == quality.quality_report(df).count() == 5
+    assert sharding.assign_shards(df).count() == packing.pack(df).count() == 5
+
+
+def test_blanked(spark):
+    df = spark.createDataFrame([("aébcdef", [(1, 3), (2, 4), (5, 6)]), ("x", [])], "t string, s array<struct<start:bigint,end:bigint>>")
+    assert [r[0] for r in df.select(spans.blanked(F.col("t"), F.col("s"), "#")).collect()] == ["a#d#f", "x"]
+
+
+def test_ownership(spark):
+    rows = [(i, f"token = {v}", o, f"r{i}") for i, (v, o) in enumerate([("a" * 8, "x"), ("a" * 8, "y"), ("a" * 8, "z"), ("b" * 8, "x"), ("b" * 8, "x"), ("b" * 8, "x")])]
+    got = by_id(secrets.scan_secrets(spark.createDataFrame(rows, "sample_id bigint, content string, domain string, filepath string")))
+    assert [(s["owners"], s["repositories"]) for i in range(3) for s in got[i]["widely_copied"]] == [(3, 3)] * 3
+    assert [(s["owners"], s["repositories"]) for i in range(3, 6) for s in got[i]["owner_specific"]] == [(1, 3)] * 3
+
+
+def _padding(bounds, lengths):
+    return sum(min(b for b in bounds if b >= x) - x for x in lengths)
+
+
+def test_packing(spark, documents, small_dir, odd_records, odd_texts):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    for _ in range(30):
+        lengths = [rng.randint(1, 9) for _ in range(rng.randint(1, 12))]
+        distinct = sorted(set(lengths))
+        for k in (1, 2, 3):
+            got = packing.bucket_bounds(distinct, [lengths.count(x) for x in distinct], k)
+            best = min(_padding([*c, distinct[-1]], lengths) for n in range(k) for c in itertools.combinations(distinct, n))
+            assert len(got) <= k and _padding(got, lengths) == best
+    for rows, df, budget in ((documents, queries.QUERIES["op1_pack_batches"](spark, small_dir).withColumnRenamed("doc_id", "sample_id"), packing.BUDGET),
+                             (odd_texts, packing.pack(odd_records, max_tokens=50, budget=200, buckets=4), 200)):
+        found = df.collect()
+        pieces, batches = {}, {}
+        for r in found:
+            pieces.setdefault(r["sample_id"], []).append((r["piece"], r["start_token"], r["n_tokens"]))
+            if r["n_tokens"]:
+                assert r["n_tokens"] <= r["bucket_tokens"]
+                batches.setdefault((r["bucket_tokens"], r["batch"]), []).append(r["bucket_tokens"])
+        for i, text in rows:
+            at = 0
+            for k, (piece, start, n) in enumerate(sorted(pieces[i])):
+                assert (piece, start) == (k, at)
+                at += n
+            assert at == len(brute.WORD.findall(text or ""))
+        for (bucket, batch), padded in batches.items():
+            assert sum(padded) <= max(budget, bucket)
+            assert (bucket, batch + 1) not in batches or len(padded) == max(1, budget // bucket)
+
+
+def _directory(rows, limit):
+    """Shards of (id, text) by splitting buckets one bit at a time."""
+    def bits(i, t):
+        inner = hashlib.md5((t or "").encode()).hexdigest()
+        return f"{int(hashlib.md5(f'{i}:{inner}'.encode()).hexdigest()[:15], 16):060b}"
+
+    todo, out = [("", [(bits(i, t), len((t or "").encode()), i) for i, t in rows])], {}
+    while todo:
+        prefix, held = todo.pop()
+        if sum(n for _, n, _ in held) <= limit or len({h for h, _, _ in held}) == 1:
+            out.update({i: prefix for _, _, i in held})
+        else:
+            for bit in "01":
+                part = [x for x in held if x[0][len(prefix)] == bit]
+                if part:
+                    todo.append((prefix + bit, part))
+    return out
+
+
+def test_shards(spark, documents, small_dir, odd_records, odd_texts, tmp_path):
+    df = spark.createDataFrame(documents, "sample_id bigint, content string")
+    for limit in (3000, 50_000, 1 << 30):
+        assert {r["sample_id"]: r["shard"] for r in sharding.assign_shards(df, limit).collect()} == _directory(documents, limit)
+        assert {r["sample_id"]: r["shard"] for r in sharding.assign_shards(odd_records, limit).collect()} == _directory(odd_texts, limit)
+    query = queries.QUERIES["op6_shards"](spark, small_dir).collect()
+    assert {r["doc_id"]: r["shard"] for r in query} == _directory(documents, sharding.LIMIT_BYTES)
+    repeated = spark.createDataFrame([(1, "x" * 100)] * 25 + [(2, "y")], "sample_id bigint, content string")
+    sums = {}
+    for r in sharding.assign_shards(repeated, 1000).collect():
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["n_bytes"]
+    assert sum(sums.values()) == 2501 and max(sums.values()) <= 1000
+    sharding.write_shards(df, str(tmp_path / "out"), 50_000)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(documents)
+
+
+def _long_runs(a, b, n=50):
+    return {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+
+
+def test_passages(spark, documents, small_dir, odd_records):
+    words = {i: brute.WORD.findall(t.translate(brute.LOWER)) for i, t in documents}
+    holders = {}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            holders.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    repeating = {i for run, ids in holders.items() if len(ids) > 1 and len(set(run)) > 25 for i in ids}
+    found = queries.QUERIES["op10_repeated_passages"](spark, small_dir).collect()
+    assert repeating <= {r["doc_id"] for r in found}
+    text = dict(documents)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    parts = {}
+    for r in found:
+        w = brute.WORD.findall(text[r["doc_id"]][r["start"] : r["end"]].translate(brute.LOWER))
+        assert len(w) >= 50
+        parts.setdefault((r["component_id"], r["component_start"]), []).append((r["doc_id"], r["kept"], grams(w)))
+    for own in parts.values():
+        assert len({i for i, _, _ in own}) > 1 and sum(k for _, k, _ in own) == 1
+        for i, _, g in own:  # a passage has a partner that it shares most of a paragraph with
+            assert any(len(g & h) >= 40 for j, _, h in own if j != i)
+    assert passages.repeated_passages(odd_records).count() > 0
+
+
+def test_planted_passages(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(55)]
+    rows, planted = [], set()
+    for i in range(60):
+        w = [word() for _ in range(rng.randint(60, 300))]
+        if i % 3 == 0:
+            p = list(passage)
+            if i % 2:
+                p[7] = word()
+            k = rng.randrange(len(w))
+            w[k:k] = p
+            planted.add(i)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "sample_id bigint, content string")
+    found = passages.repeated_passages(df).collect()
+    assert {r["sample_id"] for r in found} == planted
+    assert {(r["component_id"], r["kept"]) for r in found} == {(0, True), (0, False)}
+
+
+def test_trees_learn_formats_and_context():
+    table = [
+        {"kind": 2, "digits": d, "breaks": b, "luhn": v, "octets": 0, "left": 0, "right": 0, "keyword": 0, "spread": 2, "total": 50, "positive": 50 * v}
+        for d in (3, 4) for b in (0, 2) for v in (0, 1)]
+    trees = pii.fit_trees(table)
+    scores = [(pii._score(trees, r), r["positive"]) for r in table]
+    assert min(s for s, p in scores if p) > 0 > max(s for s, p in scores if not p)
+    limits = pii.thresholds([r | {"score": pii._score(trees, r)} for r in table])
+    assert 0 < limits["card"] < float("inf") and limits["email"] == float("inf")
+
+
+def test_loose_candidates_are_added(spark):
+    rows = [(i, f"call +1 {200 + i} 555 {1000 + i} now or card 12345678901{i:02d}9 end") for i in range(90)] + [(1000, "phone: (555) 123-4567 please")]
+    got = by_id(pii.find_personal_data(spark.createDataFrame(rows, "sample_id bigint, content string")))
+    assert [(s.kind, s.start, s.end) for s in got[1000]["added"]] == [("phone", 7, 21)]
