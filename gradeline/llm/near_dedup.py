@@ -20,7 +20,7 @@ PERMUTATIONS = 64
 #: Least probability that the bands find a pair right at the threshold.
 RECALL = 0.99999
 #: Rows of one side of a block when rows of a bucket are compared with each other.
-BLOCK = 1024
+BLOCK = 512
 #: Sketch agreement below which a pair cannot reach the threshold but by a deviation of five sigma.
 SKETCH_FLOOR = 0.55
 
@@ -114,14 +114,45 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(members: DataFrame, labels: DataFrame, block: int = BLOCK, floor: float = SKETCH_FLOOR) -> DataFrame:
-    """Likely links (a, b) inside buckets whose members are in more than one component so far.
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a block together, in one task."""
+    keys = ["band", "key", "i", "j"]
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys)
+
+
+def _partners(group: pa.Table, floor: float, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each asking row of a block with the asked rows it may link with.
+
+    They are of another component, of a size that allows the similarity, agree on the sketch, and share
+    no earlier band, in whose bucket the pair is met as well.
+    """
+    side, band = group.column("side").to_numpy(), group.column("band")[0].as_py()
+    parts, sizes = group.column("component").to_numpy(), group.column("n_shingles").to_numpy()
+    n = len(side)
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)[:, :band]
+    other = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        y = other[(parts[other] != parts[x]) & (np.minimum(sizes[other], sizes[x]) >= threshold * np.maximum(sizes[other], sizes[x]) - 1e-9)]
+        if len(y):
+            y = y[(sketch[y] == sketch[x]).mean(axis=1) >= floor]
+        if len(y) and band:
+            y = y[~(bands[y] == bands[x]).any(axis=1)]
+        if len(y):
+            yield x, y
+
+
+def _across(members: DataFrame, labels: DataFrame, records: DataFrame, shingle: int = SHINGLE,
+            threshold: float = SIMILARITY, block: int = BLOCK, floor: float = SKETCH_FLOOR) -> DataFrame:
+    """Links (a, b) inside buckets whose members are in more than one component so far.
 
     Rows of a bucket outside its largest component are the questioners; they are dealt into blocks, and
-    each block meets each block of all members in a group of its own, where sketches are compared and
-    only likely pairs come out. A bucket that its star joined into one component sends nothing.
+    each block meets each block of all members in a group of its own. Sketches pick the rows of a block
+    that may have a link; their texts join them there, and full sets decide inside the task. What leaves
+    it are links that join components of the block, not pairs. A bucket that its star joined into one
+    component sends nothing.
     """
-    kind = members.select("id").dtypes[0][1]
     rows = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = rows.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     open_ = (parts.groupBy("band", "key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
@@ -129,31 +160,54 @@ def _across(members: DataFrame, labels: DataFrame, block: int = BLOCK, floor: fl
     cells = lambda n: F.ceil(F.col(n) / block).cast("int")
     cell = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), cells(n).cast("bigint")).cast("int")
     met = rows.join(open_, ["band", "key"])
+    held = ["id", "component", "n_shingles", "sketch", "bands"]
     asking = met.where("component <> main").select(
-        "band", "key", cell(1, "asking").alias("i"), F.explode(F.sequence(F.lit(0), cells("n") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component", "n_shingles", "sketch")
+        "band", "key", cell(1, "asking").alias("i"), F.explode(F.sequence(F.lit(0), cells("n") - 1)).alias("j"), F.lit(0).alias("side"), *held)
     asked = met.select(
-        "band", "key", F.explode(F.sequence(F.lit(0), cells("asking") - 1)).alias("i"), cell(2, "n").alias("j"), F.lit(1).alias("side"), "id", "component", "n_shingles", "sketch")
+        "band", "key", F.explode(F.sequence(F.lit(0), cells("asking") - 1)).alias("i"), cell(2, "n").alias("j"), F.lit(1).alias("side"), *held)
+    dealt = asking.unionAll(asked)
+    fields = dealt.columns
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 4):
-            side = group.column("side").to_numpy()
+            used = np.zeros(group.num_rows, bool)
+            for x, y in _partners(group, floor, threshold):
+                used[x] = True
+                used[y] = True
+            if used.any():
+                yield from group.filter(pa.array(used)).select(fields).to_batches()
+
+    likely = settled(_dealt(dealt).mapInArrow(pick, dealt.schema), "likely")
+    texts = records.select(F.col("sample_id").alias("_id"), F.col("content").alias("_text")).where("_id is not null")
+    carried = texts.join(likely, F.col("_id") == F.col("id")).select(*fields, F.col("_text").alias("text"))
+    percent = round(threshold * 100)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 4):
+            sets = [s for part in slices(iter(group.to_batches()), "text") for s in distinct_sets(part.column("text"), shingle)]
             ids, parts = group.column("id").to_numpy(), group.column("component").to_numpy()
-            sizes = group.column("n_shingles").to_numpy()
-            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(side), -1)
-            other = np.flatnonzero(side == 1)
-            first, second = [], []
-            for x in np.flatnonzero(side == 0):
-                y = other[(parts[other] != parts[x]) & (4 * np.minimum(sizes[other], sizes[x]) >= 3 * np.maximum(sizes[other], sizes[x]))]
-                y = y[(sketch[y] == sketch[x]).mean(axis=1) >= floor] if len(y) else y
-                first.append(np.maximum(ids[y], ids[x]))
-                second.append(np.minimum(ids[y], ids[x]))
-            if first and sum(map(len, first)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(np.concatenate(second))], ["a", "b"])
+            root: dict = {}
+
+            def top(c):
+                while c in root:
+                    c = root[c]
+                return c
+
+            links = []
+            for x, ys in _partners(group, floor, threshold):
+                for y in ys:
+                    a, b = top(parts[x]), top(parts[y])
+                    if a == b:
+                        continue
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        root[max(a, b)] = min(a, b)
+                        links.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], ["a", "b"])
 
-    dealt = asking.unionAll(asked)
-    partitions = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (dealt.repartition(partitions, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-            .mapInArrow(compare, f"a {kind}, b {kind}").distinct())
+    kind = members.select("id").dtypes[0][1]
+    return _dealt(carried).mapInArrow(decide, f"a {kind}, b {kind}")
 
 
 def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = SIMILARITY,
@@ -170,8 +224,8 @@ def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = S
     2. Records with equal sets (128-bit fingerprint) collapse to the smallest id.
     3. In every band each bucket's members meet its smallest id only: no pairs within buckets.
     4. Full sets confirm those links; components form.
-    5. Where a bucket still spans several components, members of different components are compared by
-       sketch in blocks, and likely pairs are confirmed on the full sets as well.
+    5. Where a bucket still spans several components, members of different components meet in blocks;
+       sketches pick those whose texts are needed, and full sets decide inside the block.
 
     Null and empty texts and texts without words have no set and link with nothing. A text with fewer
     words than `shingle` has its whole sequence as one shingle. Ties go to the smaller id. Rows repeated
@@ -189,13 +243,10 @@ def near_copies(records: DataFrame, shingle: int = SHINGLE, threshold: float = S
     links = settled(confirmed(members.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), records, shingle, threshold)
                     .unionAll(same), "near-links")
     labels = settled(connected_components(links), "labels")
-    sketches = full.select(F.col("sample_id").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"])
-    asked = members.select("band", "key", "id")
-    later = settled(_across(asked.join(sketches, "id"), labels), "likely")
-    if not later.isEmpty():
-        more = settled(confirmed(later, records, shingle, threshold), "more-links")
-        if not more.isEmpty():
-            labels = connected_components(links.unionAll(more))
+    sketches = full.select(F.col("sample_id").alias("id"), "n_shingles", "sketch", "bands").dropDuplicates(["id"])
+    more = settled(_across(members.select("band", "key", "id").join(sketches, "id"), labels, records, shingle, threshold), "more-links")
+    if not more.isEmpty():
+        labels = connected_components(links.unionAll(more))
     named = labels.select(F.col("node").alias("_node"), "component")
     out = signed.join(named, F.col("sample_id") == F.col("_node"), "left")
     component = F.coalesce("component", "sample_id")
