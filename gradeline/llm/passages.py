@@ -19,6 +19,8 @@ SIMILARITY = 0.75
 PARAGRAPH = 50
 #: Hash values a stretch may spend on bands, and the least probability that they find a pair at the threshold.
 VALUES, RECALL = 3, 0.98
+#: Code points that travel on either side of the stretches in common.
+MARGIN = 400
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -41,9 +43,10 @@ def _text_rolls(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray,
 
 def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
                    threshold: float = SIMILARITY, values: int = VALUES, recall: float = RECALL) -> DataFrame:
-    """(sample_id, key): the band keys of all stretches of a record, each once.
+    """(sample_id, key, low, high): the band keys of all stretches of a record, each once.
 
-    Neighbouring stretches mostly have the same least shingle, so a text has few keys.
+    `low` and `high` bound the code points of the stretches with that key. Neighbouring stretches mostly
+    have the same least shingle, so a text has few keys.
     """
     bands, rows = band_shape(threshold, recall, values)
     width = paragraph - shingle + 1
@@ -52,7 +55,7 @@ def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, plus = permutations(bands * rows)
         for batch in slices(batches, "content"):
-            rolls, _, _, first, _ = _text_rolls(batch.column("content"), shingle)
+            rolls, begin, finish, first, base = _text_rolls(batch.column("content"), shingle)
             if len(rolls) < width:
                 continue
             n = np.maximum(np.diff(first) - paragraph + 1, 0)
@@ -64,15 +67,19 @@ def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int
                 key = np.full(len(at), b + 1, np.uint64)
                 for k in range(b * rows, (b + 1) * rows):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + _sliding_min(rolls * mult[k] + plus[k], width)[at])
-                fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
-                own, keys = text[fresh], key[fresh]
+                opens = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+                closes = np.concatenate((opens[1:], [len(at)])) - 1
+                own, keys = text[opens], key[opens]
+                low, high = begin[at[opens]] - base[own], finish[at[closes] + paragraph - 1] - base[own]
                 order = np.lexsort((keys, own))
                 own, keys = own[order], keys[order]
-                once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("sample_id").take(pa.array(own[once])), pa.array(keys[once].view(np.int64))], ["sample_id", "key"])
+                once = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("sample_id").take(pa.array(own[once])), pa.array(keys[once].view(np.int64)),
+                    pa.array(np.minimum.reduceat(low[order], once).astype(np.int32)),
+                    pa.array(np.maximum.reduceat(high[order], once).astype(np.int32))], ["sample_id", "key", "low", "high"])
 
-    return records.select("sample_id", "content").where("sample_id is not null").mapInArrow(work, f"sample_id {kind}, key bigint")
+    return records.select("sample_id", "content").where("sample_id is not null").mapInArrow(work, f"sample_id {kind}, key bigint, low int, high int")
 
 
 def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> list[tuple[int, int, int, int]]:
@@ -113,22 +120,28 @@ def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: floa
 
 
 def shared_stretches(pairs: DataFrame, records: DataFrame, paragraph: int, shingle: int, threshold: float) -> DataFrame:
-    """(a, a_start, a_end, b, b_start, b_end) in code points, for pairs (a, b) of records."""
+    """(a, a_start, a_end, b, b_start, b_end) in code points, for pairs (a, b, low, high) of records.
+
+    Only the part of `a` that its common keys bound travels to `b`; texts share one exchange on the id.
+    """
     texts = records.select(F.col("sample_id").alias("_id"), F.col("content").alias("_text")).where("_id is not null")
-    left = texts.join(pairs, F.col("_id") == F.col("a")).select("a", "b", F.col("_text").alias("text_a"))
-    both = texts.join(left, F.col("_id") == F.col("b")).select("a", "b", "text_a", F.col("_text").alias("text_b"))
+    skip = F.greatest(F.lit(0), F.col("low") - MARGIN)
+    left = texts.join(pairs, F.col("_id") == F.col("a")).select(
+        "a", "b", skip.alias("skip"), F.substring("_text", skip + 1, F.col("high") + MARGIN - skip).alias("text_a"))
+    both = texts.join(left, F.col("_id") == F.col("b")).select("a", "b", "skip", "text_a", F.col("_text").alias("text_b"))
     width = paragraph - shingle + 1
     kind = pairs.select("a").dtypes[0][1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a", "text_b"):
             x, y = (_text_rolls(batch.column(c), shingle) for c in ("text_a", "text_b"))
+            skipped = batch.column("skip").to_numpy()
             found: list[tuple[int, int, int, int, int]] = []
             for i in range(batch.num_rows):
                 (xs, xe), (ys, ye) = ((t[3][i], max(t[3][i], t[3][i + 1] - shingle + 1)) for t in (x, y))
                 for s, e, s2, e2 in matching_stretches(x[0][xs:xe], y[0][ys:ye], width, threshold):
                     found.append((
-                        i, x[1][xs + s] - x[4][i], x[2][xs + e + shingle - 2] - x[4][i],
+                        i, skipped[i] + x[1][xs + s] - x[4][i], skipped[i] + x[2][xs + e + shingle - 2] - x[4][i],
                         y[1][ys + s2] - y[4][i], y[2][ys + e2 + shingle - 2] - y[4][i]))
             if found:
                 rows, *places = (np.array(c, np.int64) for c in zip(*found))
@@ -160,7 +173,8 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     """
     keys = settled(paragraph_keys(records, paragraph, shingle, threshold), "paragraphs")
     shared = keys.groupBy("key").agg(F.min("sample_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(shared, "key").where("sample_id <> b").select(F.col("sample_id").alias("a"), "b").distinct()
+    pairs = keys.join(shared, "key").where("sample_id <> b").groupBy(F.col("sample_id").alias("a"), "b").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
     links = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "stretches")
     ends = links.select(F.col("a").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionAll(
         links.select("b", "b_start", "b_end")).distinct()
