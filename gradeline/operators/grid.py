@@ -111,14 +111,17 @@ def unmatched_seeds(a: DataFrame, b: DataFrame, keys: Sequence[str], seed: str)
     )
 
 
-def pair_against(values: DataFrame, arm: str, reference, keys: Sequence[str], seed: str, value: str) -> DataFrame:
+def pair_against(values: DataFrame, arm: str, reference, keys: Sequence[str], seed: str, value: str, strict: bool = False) -> DataFrame:
     """reference - arm for every other arm, matched on keys and seed.
 
     One exchange by (keys, seed) in place of a self-join, so the inputs are computed once. A seed the
-    reference lacks is skipped; use `grid_complete` or `unmatched_seeds` to refuse it.
+    reference lacks is skipped, or stops the job when `strict`.
     """
     cell = Window.partitionBy(*keys, seed)
     ref = F.max(F.when(F.col(arm) == reference, f64(value))).over(cell)
+    if strict:
+        message = F.concat(F.lit("the reference arm lacks seed "), F.col(seed).cast("string"))
+        ref = F.coalesce(ref, F.raise_error(message).cast("double"))
     return (
         values.withColumn("value_a", ref)
         .where((F.col(arm) != reference) & F.col("value_a").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, entropy, f64, inverse_decay, is_finite, is_integral, pick, ramp, softmax, total
+from .metrics import require_authorisation
 
 # Closed collapse bounds on the share of class 0.
 LOW, HIGH = 0.02, 0.60
@@ -99,7 +100,7 @@ def collapse_enrich(
         *keys, F.col("collapsed").alias("last_k_collapsed"), F.col("total").alias("_total")
     )
     routes = epoch_collapse_routes(epochs, keys, epoch, n0, n1)
-    joined = first.join(routes, list(keys))
+    joined = first.join(routes, list(keys), "full")  # a run that one side lacks must not vanish
     same = F.when(F.col("_total") == F.col("total"), F.col("total")).otherwise(
         F.raise_error(F.lit("epoch and last-K routes must cover the same target count"))
     )
@@ -225,11 +226,17 @@ def run_health_verdict(
     )
 
 
-def oracle_best_epoch(df: DataFrame, keys: Sequence[str], epoch: str, metrics: Sequence[str]) -> DataFrame:
-    """Per metric the epoch with the highest value, earliest on ties. Diagnostic: needs target labels."""
-    long = df.select(*keys, epoch, *[f64(m).alias(m) for m in metrics]).unpivot([*keys, epoch], list(metrics), "metric", "value")
+def oracle_best_epoch(df: DataFrame, keys: Sequence[str], epoch: str, metrics: Sequence[str], *, authorized: bool, reason: str) -> DataFrame:
+    """Per metric the epoch with the highest value, earliest on ties. Diagnostic on target labels.
+
+    Refused without authorisation and a reason; a value that is not finite or a repeated epoch stops the job.
+    """
+    require_authorisation(authorized, reason)
+    checked = lambda m: F.when(is_finite(m), f64(m)).otherwise(F.raise_error(F.lit(f"{m} has a value that is not finite")))
+    long = df.select(*keys, epoch, *[checked(m).alias(m) for m in metrics]).unpivot([*keys, epoch], list(metrics), "metric", "value")
     rank = F.struct(F.col("value"), (-F.col(epoch)).alias("neg"))
-    return long.groupBy(*keys, "metric").agg(F.max_by(epoch, rank).alias("best_epoch"), F.max("value").alias("best_value"))
+    once = F.when(F.count(epoch) == F.count_distinct(epoch), F.max_by(epoch, rank)).otherwise(F.raise_error(F.lit("an epoch occurs twice")))
+    return long.groupBy(*keys, "metric").agg(once.alias("best_epoch"), F.max("value").alias("best_value"))
 
 
 def domain_logloss(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import f64, hash_index, is_finite
 from ..functions.student import critical_value, two_sided_p
-from .running import number_rows, running_folds, score_buckets
+from .running import running_folds, running_totals, score_buckets
 
 
 def paired_t(diffs: DataFrame, keys: Sequence[str], diff: str = "difference", confidence: float = 0.95) -> DataFrame:
@@ -63,10 +63,10 @@ def t_interval(values: DataFrame, keys: Sequence[str], value: str, confidence: f
 
 
 def effect_over_se(tested: DataFrame) -> DataFrame:
-    """|mean| over its standard error, infinite for a vanishing standard error."""
+    """|mean| over its standard error, infinite for a vanishing standard error, null without one."""
     ratio = F.abs("mean_difference") / F.col("standard_error")
     return tested.withColumn(
-        "effect_over_se", F.when(F.col("standard_error") > 1e-12, ratio).otherwise(F.lit(math.inf))
+        "effect_over_se", F.when(F.col("standard_error") > 1e-12, ratio).when(F.col("standard_error").isNotNull(), F.lit(math.inf))
     )
 
 
@@ -125,49 +125,61 @@ def validate_p_values(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn("rule", rule).where("rule is not null")
 
 
-def _ranked(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str]) -> DataFrame:
-    """Add rank `_k` by p inside the family and the family size `_m`."""
-    rising = [-b for b in score_buckets(f64(p))]
-    ranked = number_rows(df, family, rising, [F.col(p), *[F.col(o) for o in order]], "_k")
-    sizes = df.groupBy(*family).agg(F.count(F.lit(1)).alias("_m"))
-    return ranked.join(sizes, list(family))
+def _steps(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
+    """One row per distinct p of a family: rows `_n` with it, rows `cum_n` up to it, family size `_m`.
+
+    A missing or invalid p-value stops the job. Tied p-values are one step however many there are.
+    """
+    message = F.concat(F.lit("invalid p-value "), F.coalesce(F.col(p).cast("string"), F.lit("null")))
+    valid = F.when(is_finite(p) & f64(p).between(0.0, 1.0), f64(p)).otherwise(F.raise_error(message))
+    steps = df.groupBy(*family, valid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    cum = running_totals(steps, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], ["_n"])
+    return cum.join(steps.groupBy(*family).agg(F.sum("_n").alias("_m")), list(family))
+
+
+def _adjusted(df: DataFrame, steps: DataFrame, family: Sequence[str], p: str, name: str, alpha: float) -> DataFrame:
+    found = steps.select(*family, F.col("_p"), F.least(F.lit(1.0), F.col("_run_scaled")).alias(name))
+    keyed = df.withColumn("_p", f64(p)).join(found, [*family, "_p"])
+    return keyed.select(*df.columns, name, (F.col(name) <= alpha).alias(name.replace("_p", "_rejected")))
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Holm step-down adjustment inside each family; `order` makes the rank of tied p-values unique.
+    """Holm step-down adjustment inside each family.
 
-    Ranks and the running maximum are cut into p buckets, so one family may hold most of the rows.
+    Works on distinct p-values: the first rank of a tie decides for all of it, so `order` is not needed.
+    Running counts and maxima are cut into p buckets, so one family may hold most of the rows.
     """
-    scaled = _ranked(df, family, p, order).withColumn("_scaled", (F.col("_m") - F.col("_k") + 1) * f64(p))
-    rising = [-b for b in score_buckets(f64(p))]
-    run = running_folds(scaled, family, rising, [F.col("_k")], {"_scaled": "max"}, prefix="_run")
-    adjusted = run.withColumn("holm_p", F.least(F.lit(1.0), F.col("_run_scaled")))
-    return adjusted.withColumn("holm_rejected", F.col("holm_p") <= alpha).drop("_k", "_m", "_scaled", "_run_scaled")
+    first = F.col("cum__n") - F.col("_n") + 1
+    scaled = _steps(df, family, p).withColumn("_scaled", (F.col("_m") - first + 1) * F.col("_p"))
+    run = running_folds(scaled, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], {"_scaled": "max"}, prefix="_run")
+    return _adjusted(df, run, family, p, "holm_p", alpha)
 
 
 def benjamini_hochberg(
     df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05
 ) -> DataFrame:
-    """Benjamini-Hochberg step-up adjustment inside each family."""
-    scaled = _ranked(df, family, p, order).withColumn("_scaled", f64(p) * F.col("_m") / F.col("_k"))
-    run = running_folds(scaled, family, score_buckets(f64(p)), [F.col("_k").desc()], {"_scaled": "min"}, prefix="_run")
-    adjusted = run.withColumn("bh_p", F.least(F.lit(1.0), F.col("_run_scaled")))
-    return adjusted.withColumn("bh_rejected", F.col("bh_p") <= alpha).drop("_k", "_m", "_scaled", "_run_scaled")
+    """Benjamini-Hochberg step-up adjustment inside each family; the last rank of a tie decides for all of it."""
+    scaled = _steps(df, family, p).withColumn("_scaled", F.col("_p") * F.col("_m") / F.col("cum__n"))
+    run = running_folds(scaled, family, score_buckets(F.col("_p")), [F.col("_p").desc()], {"_scaled": "min"}, prefix="_run")
+    return _adjusted(df, run, family, p, "bh_p", alpha)
 
 
 def adjust_small_families(
     df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequence[str] = (), alpha: float = 0.05
 ) -> DataFrame:
-    """Both adjustments in one exchange, for families declared up front (a fixed number of tests each)."""
-    ranked = Window.partitionBy(*family).orderBy(p, *order)
+    """Both adjustments in one exchange, for families declared up front (a fixed number of tests each).
+
+    A test without a p-value (too few pairs) is no member of its family and stays without adjustment.
+    """
+    ranked = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), *order)
     whole = Window.partitionBy(*family)
-    k, m = F.row_number().over(ranked), F.count(F.lit(1)).over(whole)
+    k, m = F.row_number().over(ranked), F.count(p).over(whole)
     scaled = df.withColumns({"_down": (m - k + 1) * f64(p), "_up": f64(p) * m / k})
     upto = ranked.rowsBetween(Window.unboundedPreceding, 0)
     onward = ranked.rowsBetween(0, Window.unboundedFollowing)
     adjusted = scaled.withColumns({
-        "holm_p": F.least(F.lit(1.0), F.max("_down").over(upto)),
-        "bh_p": F.least(F.lit(1.0), F.min("_up").over(onward)),
+        "holm_p": F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("_down").over(upto))),
+        "bh_p": F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_up").over(onward))),
     })
     return adjusted.withColumns({
         "holm_rejected": F.col("holm_p") <= alpha, "bh_rejected": F.col("bh_p") <= alpha,
@@ -176,16 +188,25 @@ def adjust_small_families(
 
 def compare_arms(
     seed_means: DataFrame, arm: str, reference, seed: str, metric: str, value: str, headline: Sequence[str],
-    confidence: float = 0.95, alpha: float = 0.05,
+    confidence: float = 0.95, alpha: float = 0.05, seeds: Sequence | None = None,
 ) -> DataFrame:
     """Reference arm minus every other arm for every metric, with two corrected families.
 
     `seed_means` holds one value per (arm, seed, metric). Family `all` covers every comparison,
-    `headline` those whose metric is listed. Result rows are (family, arm, metric).
+    `headline` those whose metric is listed. Result rows are (family, arm, metric). Both arms of a
+    comparison must have the same seeds, and `seeds` where given; else the job stops.
     """
     from .grid import pair_against
 
-    tested = paired_t(pair_against(seed_means, arm, reference, [metric], seed, value), [arm, metric], confidence=confidence)
+    if seeds is not None:
+        known = F.col(seed).isin(list(seeds))
+        seed_means = seed_means.withColumn(seed, F.when(known, F.col(seed)).otherwise(F.raise_error(F.concat(F.lit("unexpected seed "), F.col(seed).cast("string")))))
+    reference_seeds = seed_means.where(F.col(arm) == reference).groupBy(metric).agg(F.count(seed).alias("_expected"))
+    tested = paired_t(pair_against(seed_means, arm, reference, [metric], seed, value, strict=True), [arm, metric], confidence=confidence)
+    wanted = F.col("_expected") if seeds is None else F.lit(len(set(seeds)))
+    message = F.concat(F.lit("seed sets differ for arm "), F.col(arm).cast("string"), F.lit(", metric "), F.col(metric))
+    checked = F.when((F.col("n") == F.col("_expected")) & (F.col("n") == wanted), F.col("n")).otherwise(F.raise_error(message))
+    tested = tested.join(reference_seeds, metric, "left").withColumn("n", checked).select(*tested.columns)
     in_headline = F.col(metric).isin(list(headline))
     families = F.explode(F.when(in_headline, F.array(F.lit("all"), F.lit("headline"))).otherwise(F.array(F.lit("all"))))
     rows = tested.withColumn("family", families)
@@ -206,7 +227,8 @@ def comparison_blocks(values: DataFrame, blocks: Sequence[dict], arm: str, seed:
     """Declared comparisons y-x, each with primary and secondary metrics, in one job.
 
     A block is {name, x, y, primary, secondary, source?}; `source` selects rows of an optional
-    `source` column of `values`. Seeds missing in one arm are skipped.
+    `source` column of `values`. Seeds missing in one arm are skipped; a declared comparison without
+    any pair is in the result, with n = 0 and `insufficient`.
     """
     spark = values.sparkSession
     rows = [
@@ -222,4 +244,7 @@ def comparison_blocks(values: DataFrame, blocks: Sequence[dict], arm: str, seed:
         .join(side("y"), ["source", "y", metric, seed])
         .withColumn("difference", F.col("_y") - F.col("_x"))
     )
-    return decide(effect_over_se(paired_t(diffs, ["block", "role", metric])))
+    tested = paired_t(diffs, ["block", "role", metric])
+    declared = config.select("block", "role", metric).distinct().join(tested, ["block", "role", metric], "left")
+    return decide(effect_over_se(declared.withColumns({
+        "n": F.coalesce("n", F.lit(0).cast("bigint")), "insufficient": F.coalesce("insufficient", F.lit(True))})))

@@ -187,14 +187,24 @@ def oof_summary(folds: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -
     )
 
 
+def require_authorisation(authorized: bool, reason: str) -> None:
+    """Diagnostics that read target labels need both, stated by the caller."""
+    if authorized is not True or not isinstance(reason, str) or not reason.strip():
+        raise PermissionError("reading target labels needs authorized=True and a non-empty reason")
+
+
 def threshold_sweep(
-    df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], score: str = "p0", y: str = "y_true"
+    df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], score: str = "p0", y: str = "y_true",
+    *, authorized: bool, reason: str,
 ) -> DataFrame:
     """Two-class metrics at every given threshold of the class-0 score; nothing is selected.
 
+    A diagnostic on target labels: refused without authorisation and a reason.
+
     Each row is counted once, under the number of thresholds its score reaches; cumulating those
     counts over the (keys x thresholds) table gives every confusion matrix without multiplying rows.
     """
+    require_authorisation(authorized, reason)
     cuts = sorted(float(t) for t in thresholds)
     if not cuts or len(set(cuts)) != len(cuts) or cuts[0] < 0 or cuts[-1] > 1:
         raise ValueError("thresholds must be non-empty, unique and within [0, 1]")

@@ -64,8 +64,8 @@ def class_columns(df: DataFrame, array_col: str, n_classes: int, prefix: str = "
 def select_last_k(df: DataFrame, run_keys: Sequence[str], name_col: str, tag: str | Column, k: int) -> DataFrame:
     """The K highest epochs per run from names `<tag>_epoch<digits>.pth`, compared as numbers.
 
-    Other names are ignored. Two names for one selected epoch stop the job; `last_k_violations` lists
-    every duplicate, and runs without any match, without stopping.
+    Other names are ignored. Two names for any one epoch stop the job; `last_k_violations` lists every
+    duplicate, and runs without any match, without stopping.
     """
     parsed = _parse_epochs(df, name_col, tag)
     others = [c for c in parsed.columns if c not in (*run_keys, "epoch")]
@@ -74,8 +74,9 @@ def select_last_k(df: DataFrame, run_keys: Sequence[str], name_col: str, tag: st
     newest = Window.partitionBy(*run_keys).orderBy(F.col("epoch").desc())
     message = F.concat(F.lit("duplicate epoch "), F.col("epoch").cast("string"))
     single = F.when(F.col("_same") == 1, F.col("epoch")).otherwise(F.raise_error(message))
+    per_epoch = per_epoch.withColumn("epoch", single)
     top = per_epoch.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= k)
-    return top.select(*run_keys, *[F.col("_row")[c].alias(c) for c in others], single.alias("epoch"))
+    return top.select(*run_keys, *[F.col("_row")[c].alias(c) for c in others], "epoch")
 
 
 def last_k_violations(df: DataFrame, run_keys: Sequence[str], name_col: str, tag: str | Column) -> DataFrame:

@@ -30,6 +30,8 @@ def affine_match(df: DataFrame, keys: Sequence[str], value: str, mean: Column |
 def widest_gap(df: DataFrame, image: str, x: str, v: str, ratio: float = 0.4, margin: float = 0.5) -> DataFrame:
     """Widest run of dark columns per image (first on ties), widened by int(margin*width) on each side.
 
+    An image without a dark column has a row of nulls.
+
     Pixels reduce to column means first; a column is dark below ratio times the mean of column means.
     """
     columns = df.groupBy(image, x).agg(F.avg(v).alias("m"))
@@ -43,7 +45,7 @@ def widest_gap(df: DataFrame, image: str, x: str, v: str, ratio: float = 0.4, ma
         F.max_by(F.struct("gap_left", "gap_right"), F.struct(width.alias("w"), (-F.col("gap_left")).alias("l"))).alias("g")
     )
     pad = F.floor((F.col("g.gap_right") - F.col("g.gap_left")) * F.lit(margin)).cast("int")
-    return best.select(
+    return level.select(image).join(best, image, "left").select(
         image, F.col("g.gap_left").alias("gap_left"), F.col("g.gap_right").alias("gap_right"),
         (F.col("g.gap_right") - F.col("g.gap_left")).alias("gap_width"),
         (F.col("g.gap_left") - pad).alias("left_end"), (F.col("g.gap_right") + pad).alias("right_start"),

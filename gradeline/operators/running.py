@@ -68,13 +68,15 @@ def running_folds(
 
     `folds` maps column to 'sum', 'max' or 'min'. `buckets` are expressions that never decrease along
     `order`, coarsest first. `order` must be unique inside a group, or the results of tied rows are
-    arbitrary. Rows with a null key or bucket are dropped.
+    arbitrary. A null key or bucket has no place in the order and stops the job; no row is dropped.
     """
     keys = list(keys)
     levels = [f"_bucket{i}" for i in range(len(buckets))]
-    # stated once here, the null filters that the joins imply are the same in every branch, so the
-    # branches share one exchange of the rows instead of recomputing them
     cut = df.withColumns(dict(zip(levels, buckets)))
+    refuse = lambda name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"null in {name}: rows without a key or an order value can not be accumulated"))).otherwise(F.col(name))
+    cut = cut.withColumns({name: refuse(name) for name in (*keys, *levels)})
+    # stated once here, the null filters that the joins imply are the same in every branch, so the
+    # branches share one exchange of the rows instead of recomputing them; nulls never get this far
     for name in (*keys, *levels):
         cut = cut.where(F.col(name).isNotNull())
     totals = cut.groupBy(*keys, *levels).agg(*[_FOLDS[f](s).alias(s) for s, f in folds.items()])

@@ -200,7 +200,7 @@ select arm, seed, metric, epoch as best_epoch, round(value, 9) as best_value fro
 def _(spark, folder):
     rows = predictions.predict(tables.predictions(spark, folder))
     per_epoch = metrics.classification_metrics(rows, ["arm", "seed", "epoch"])
-    out = health.oracle_best_epoch(per_epoch, ["arm", "seed"], "epoch", ["macro_f1", "precision_0", "recall_0"])
+    out = health.oracle_best_epoch(per_epoch, ["arm", "seed"], "epoch", ["macro_f1", "precision_0", "recall_0"], authorized=True, reason="registered diagnostic")
     return rounded(out, "best_value")
 
 

@@ -59,7 +59,10 @@ def write_curve(curve: DataFrame, path: str) -> None:
 
 
 def churn_matrix(preds: DataFrame, keys: Sequence[str], slot: str, pred: str, n_slots: int) -> DataFrame:
-    """Wide prediction matrix a0..a<n-1>, one row per key and epoch."""
+    """Wide prediction matrix a0..a<n-1>, one row per key and epoch; any other slot stops the job."""
+    known = F.coalesce(F.col(slot).between(0, n_slots - 1), F.lit(False))
+    message = F.concat(F.lit("slot outside the matrix: "), F.coalesce(F.col(slot).cast("string"), F.lit("null")))
+    preds = preds.withColumn(slot, F.when(known, F.col(slot)).otherwise(F.raise_error(message)))
     wide = [F.max(F.when(F.col(slot) == i, F.col(pred))).alias(f"a{i}") for i in range(n_slots)]
     return preds.groupBy(*keys).agg(*wide)
 

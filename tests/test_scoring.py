@@ -94,12 +94,12 @@ def test_equal_width_bins_match_edges(spark):
 
 def test_threshold_sweep_matches_direct_counts(golden):
     cuts = [0.0, 0.2, 0.55, 0.9, 1.0]
-    got = {r["threshold"]: r for r in metrics.threshold_sweep(golden, ["run"], cuts).collect()}
+    got = {r["threshold"]: r for r in metrics.threshold_sweep(golden, ["run"], cuts, authorized=True, reason="test").collect()}
     for t in cuts:
         direct = metrics.classification_metrics(predictions.predict(golden, mode="threshold", threshold=t), ["run"]).first()
         assert got[t]["macro_f1"] == direct["macro_f1"]
     with pytest.raises(ValueError):
-        metrics.threshold_sweep(golden, ["run"], [0.5, 0.5])
+        metrics.threshold_sweep(golden, ["run"], [0.5, 0.5], authorized=True, reason="test")
 
 
 def test_stratified_metrics_edges_and_nulls(spark):
