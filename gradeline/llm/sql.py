@@ -1,3 +1,81 @@
-"""SQL counterparts of the numbered queries."""
+"""SQL counterparts of the numbered queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from .near_dedup import SHINGLE, SIMILARITY
+from .sharding import BITS, LIMIT_BYTES
+
+NEAR = f"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < {SHINGLE} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) end) as grams from t),
+n as (select doc_id, len(grams) as n_shingles from s),
+g as (select doc_id, unnest(grams) as gram from s),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b
+  where 100 * c >= {round(100 * SIMILARITY)} * (x.n_shingles + y.n_shingles - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id as node, doc_id as found from documents
+  union
+  select r.node, e.b from reach r join both_ways e on e.a = r.found)
+select n.doc_id, cast(n.n_shingles as bigint) as n_shingles, min(found) as component_id, min(found) = n.doc_id as kept
+from n join reach r on r.node = n.doc_id group by n.doc_id, n.n_shingles
+"""
+
+QUALITY = """
+with t as (select doc_id, coalesce(text, '') as x from documents),
+w as (
+  select doc_id, x, regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+') as w,
+    list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) as lines from t),
+windows as (
+  select doc_id, unnest(range(1, len(w) - 1)) as i,
+    unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as k from w where len(w) >= 3),
+counted as (select doc_id, i, count(*) over (partition by doc_id, k) as c from windows),
+covered as (
+  select doc_id, count(distinct j) as n from (select doc_id, unnest([i, i + 1, i + 2]) as j from counted where c > 1) group by doc_id),
+stats as (
+  select w.doc_id, x, cast(len(w.w) as bigint) as n_words, cast(length(array_to_string(w.w, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(x, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
+    cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
+  from w left join covered on covered.doc_id = w.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > n_words
+    or word_chars not between 3 * n_words and 10 * n_words or 2 * n_dup_lines > n_lines
+    or len(regexp_extract_all(x, '\\p{Lu}')) > len(regexp_extract_all(x, '\\p{Ll}'))) as kept
+from stats
+"""
+
+SHARDS = f"""
+with t as (
+  select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes,
+    cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))), 1, 15) as bigint) as h from documents),
+levels as (select doc_id, n_bytes, h, d, h >> ({BITS} - d) as prefix from t, (select unnest(range(0, {BITS + 1})) as d)),
+sums as (
+  select doc_id, n_bytes, d, prefix, sum(n_bytes) over (partition by d, prefix) as held,
+    min(h) over (partition by d, prefix) as low, max(h) over (partition by d, prefix) as high from levels),
+placed as (
+  select doc_id, any_value(n_bytes) as n_bytes, min(d) as depth, arg_min(prefix, d) as prefix
+  from sums where held <= {LIMIT_BYTES} or low = high group by doc_id)
+select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(prefix), cast(depth as integer), '0') end as shard, cast(depth as integer) as depth
+from placed
+"""
+
+COPIES = """
+with t as (
+  select doc_id, length(coalesce(text, '')) as size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents),
+g as (
+  select doc_id, norm, count(*) over (partition by norm) as group_size,
+    first_value(doc_id) over (partition by norm order by size desc, doc_id) as keep_id from t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_near_copies": NEAR,
+    "op5_quality_rules": QUALITY,
+    "op6_shards": SHARDS,
+    "op9_exact_copies": COPIES,
+}
