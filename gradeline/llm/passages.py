@@ -32,6 +32,11 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (width - span)], v[width - span :]) if width > span else v
 
 
+def _at(values: np.ndarray, places: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The values at some places, -1 where a place is not inside its text."""
+    return np.where(inside, values[np.clip(places, 0, len(values) - 1)], -1)
+
+
 def _text_rolls(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes at every word of a slice, words' byte bounds, first word of each text, code point at each byte."""
     data, offsets = text_bytes(column)
@@ -43,17 +48,20 @@ def _text_rolls(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray,
 
 def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
                    threshold: float = SIMILARITY, values: int = VALUES, recall: float = RECALL) -> DataFrame:
-    """(sample_id, key, low, high): the band keys of all stretches of a record, each once.
+    """(sample_id, key, before, after, low, high): the band keys of all stretches of a record, each context once.
 
     `low` and `high` bound the code points of the stretches with that key. Neighbouring stretches mostly
-    have the same least shingle, so a text has few keys.
+    have the same least shingle, so a text has few keys. `before` and `after` are 16 bits of the least
+    hash in half a stretch on either side of the shingle that gave the key, null where the text ends
+    sooner. Two copies of a stretch agree on one of them, as one half lies inside the stretch.
     """
     bands, rows = band_shape(threshold, recall, values)
     width = paragraph - shingle + 1
+    half = max(1, (width - 1) // 2)
     kind = records.select("sample_id").dtypes[0][1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mult, plus = permutations(bands * rows)
+        mult, plus = permutations(bands * rows + 1)
         for batch in slices(batches, "content"):
             rolls, begin, finish, first, base = _text_rolls(batch.column("content"), shingle)
             if len(rolls) < width:
@@ -63,23 +71,48 @@ def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int
             text = np.repeat(np.arange(len(n)), n)
             if not len(at):
                 continue
+            around = (mix(_sliding_min(rolls * mult[-1] + plus[-1], half)) & np.uint64(0x7FFF)).astype(np.int16)
             for b in range(bands):
                 key = np.full(len(at), b + 1, np.uint64)
                 for k in range(b * rows, (b + 1) * rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + _sliding_min(rolls * mult[k] + plus[k], width)[at])
+                    hashed = rolls * mult[k] + plus[k]
+                    least = _sliding_min(hashed, width)
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[at])
                 opens = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
                 closes = np.concatenate((opens[1:], [len(at)])) - 1
-                own, keys = text[opens], key[opens]
-                low, high = begin[at[opens]] - base[own], finish[at[closes] + paragraph - 1] - base[own]
-                order = np.lexsort((keys, own))
-                own, keys = own[order], keys[order]
-                once = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))))
+                own, keys, start = text[opens], key[opens], at[opens]
+                low, high = begin[start] - base[own], finish[at[closes] + paragraph - 1] - base[own]
+                place = start + np.argmax(hashed[start[:, None] + np.arange(width)] == least[start][:, None], axis=1)
+                sides = [_at(around, place - half, place - half >= first[own]), _at(around, place + 1, place + half + shingle <= first[own + 1])]
+                order = np.lexsort((sides[1], sides[0], keys, own))
+                own, keys, left, right = own[order], keys[order], sides[0][order], sides[1][order]
+                fresh = [c[1:] != c[:-1] for c in (own, keys, left, right)]
+                once = np.flatnonzero(np.concatenate(([True], np.any(fresh, axis=0))))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("sample_id").take(pa.array(own[once])), pa.array(keys[once].view(np.int64)),
+                    *[pa.array(c[once], mask=c[once] < 0) for c in (left, right)],
                     pa.array(np.minimum.reduceat(low[order], once).astype(np.int32)),
-                    pa.array(np.maximum.reduceat(high[order], once).astype(np.int32))], ["sample_id", "key", "low", "high"])
+                    pa.array(np.maximum.reduceat(high[order], once).astype(np.int32))],
+                    ["sample_id", "key", "before", "after", "low", "high"])
+
+    return records.select("sample_id", "content").where("sample_id is not null").mapInArrow(work, f"sample_id {kind}, key bigint, before smallint, after smallint, low int, high int")
 
-    return records.select("sample_id", "content").where("sample_id is not null").mapInArrow(work, f"sample_id {kind}, key bigint, low int, high int")
+
+def candidate_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b, low, high): the records of a key and its smallest id, and where several records have a key,
+    also those that have the context on one side in common and the smallest of these.
+
+    The smallest id of a key may hold its shingle in a sentence of its own. The records of one passage
+    share a context with the key and meet there.
+    """
+    shared = keys.groupBy("key").agg(F.min("sample_id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    members = settled(keys.join(shared, "key"), "members")
+    met = members.where("sample_id <> b").select("sample_id", "b", "low", "high")
+    for side in ("before", "after"):
+        rows = members.where(F.col("n") > 2).where(F.col(side).isNotNull()).select("sample_id", "b", "key", side, "low", "high")
+        closer = rows.groupBy("key", side).agg(F.min("sample_id").alias("c"), F.count("*").alias("m")).where("m > 1").drop("m")
+        met = met.unionAll(rows.join(closer, ["key", side]).where("sample_id <> c and c <> b").select("sample_id", "c", "low", "high"))
+    return met.groupBy(F.col("sample_id").alias("a"), "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> list[tuple[int, int, int, int]]:
@@ -161,8 +194,8 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     `component_start`, `kept` (the cluster's first passage stays, the others are removals).
 
     A paragraph is any stretch of `paragraph` words, since repeated passages often stand inside a longer
-    line. Its MinHash bands are shaped for high recall; a record has each key once. The records of a
-    key meet its smallest id only. For these pairs whole texts are compared: every stretch against the
+    line. Its MinHash bands are shaped for high recall. The records of a key meet its smallest id, and
+    the smallest id with the same context before or after the key, never each other. For these pairs whole texts are compared: every stretch against the
     stretch of the partner that its common shingles point to, by exact Jaccard of their shingles.
     Matching stretches join to passages, overlapping passages of a record to one, and components of the
     links between passages are the clusters.
@@ -172,9 +205,7 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     place. Further columns are ignored. An empty table gives an empty result.
     """
     keys = settled(paragraph_keys(records, paragraph, shingle, threshold), "paragraphs")
-    shared = keys.groupBy("key").agg(F.min("sample_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(shared, "key").where("sample_id <> b").groupBy(F.col("sample_id").alias("a"), "b").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"))
+    pairs = candidate_pairs(keys)
     links = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "stretches")
     ends = links.select(F.col("a").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionAll(
         links.select("b", "b_start", "b_end")).distinct()

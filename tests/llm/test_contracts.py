@@ -300,6 +300,20 @@ def test_planted_passages(spark):
     assert {(r["component_id"], r["kept"]) for r in found} == {(0, True), (0, False)}
 
 
+def test_passages_whose_shingles_stand_alone_in_a_smaller_id(spark):
+    """Record 0 holds every shingle of the passage in a sentence of its own, so it is the smallest id of every key."""
+    import random
+
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    passage = words(60)
+    alone = [w for k in range(len(passage) - 4) for w in (*words(48), *passage[k : k + 5], *words(48))]
+    rows = [(0, " ".join(alone))] + [(i, " ".join(words(70) + passage + words(70))) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "sample_id bigint, content string")
+    found = passages.repeated_passages(df).collect()
+    assert {(r["sample_id"], r["component_id"], r["kept"]) for r in found} == {(i, 1, i == 1) for i in range(1, 6)}
+
+
 def test_trees_learn_formats_and_context():
     table = [
         {"kind": 2, "digits": d, "breaks": b, "luhn": v, "octets": 0, "left": 0, "right": 0, "keyword": 0, "spread": 2, "total": 50, "positive": 50 * v}
