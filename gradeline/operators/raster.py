@@ -102,8 +102,14 @@ def image_qc(df: DataFrame, image: str, v: str) -> DataFrame:
 
 
 def grey_histogram(df: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
-    """Counts per grey level 0..255; everything later works on these at most 256 rows per key."""
-    level = F.floor(F.col(v)).cast("int")
+    """Counts per grey level 0..255; everything later works on these at most 256 rows per key.
+
+    A value that is no such level (missing, fractional, out of range) stops the job: it is neither
+    rounded nor left out.
+    """
+    known = F.coalesce(F.col(v).between(0, 255) & (F.floor(F.col(v)) == F.col(v)), F.lit(False))
+    message = F.concat(F.lit("not a grey level: "), F.coalesce(F.col(v).cast("string"), F.lit("null")))
+    level = F.when(known, F.col(v).cast("int")).otherwise(F.raise_error(message))
     return df.groupBy(*keys, level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -147,7 +153,7 @@ def weibull_fit_by_group(df: DataFrame, keys: Sequence[str], v: str, min_px: int
     histogram, not pixels. Fewer than `min_px` pixels, or a level at or below 0, give nulls.
     """
     keys = list(keys)
-    hist = grey_histogram(df.where(F.col(v).between(0, 255)), keys, v).withColumnRenamed("level", "value")
+    hist = grey_histogram(df, keys, v).withColumnRenamed("level", "value")
     schema = f"{_field_types(df, keys)}, c double, loc double, scale double, n_px bigint"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

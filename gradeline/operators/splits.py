@@ -185,11 +185,22 @@ def unimodal_check(df: DataFrame, keys: Sequence[str], pos: str, value: str, tol
 
 
 def representative_sample(df: DataFrame, strata: Sequence[str], tag: str, n: int) -> DataFrame:
-    """One row per stratum in key order, then the remaining rows by tag, n in total."""
-    first = df.groupBy(*strata).agg(F.min(tag).alias(tag)).withColumn("_first", F.lit(0))
-    ranked = df.join(first, [*strata, tag], "left").withColumn("_first", F.coalesce("_first", F.lit(1)))
-    order = [F.col("_first"), *[F.when(F.col("_first") == 0, F.col(s)) for s in strata], F.col(tag)]
-    return ranked.orderBy(*order).limit(n).drop("_first")
+    """One row per stratum in key order, then the remaining rows by tag, n in total.
+
+    Rows tied on a stratum's smallest tag are told apart by a hash of the row, copies of a row by their
+    number; a missing tag comes last, and missing stratum values form strata of their own.
+    """
+    place = F.struct(F.col(tag).isNull().alias("none"), F.col(tag).alias("tag"), F.col("_row").alias("row"))
+    hashed = df.withColumn("_row", F.xxhash64(*df.columns))
+    first = hashed.groupBy(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(strata)]).agg(F.min(place).alias("_top"))
+    same: Column = F.lit(True)
+    for i, s in enumerate(strata):
+        same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
+    copy = F.row_number().over(Window.partitionBy(*strata, tag, "_row").orderBy("_row"))
+    ranked = hashed.withColumn("_copy", copy).join(first, same).withColumn(
+        "_first", F.when((F.col("_copy") == 1) & place.eqNullSafe(F.col("_top")), 0).otherwise(1))
+    order = [F.col("_first"), *[F.when(F.col("_first") == 0, F.col(s)) for s in strata], F.col(tag).asc_nulls_last(), F.col("_row")]
+    return ranked.orderBy(*order).limit(n).select(*df.columns)
 
 
 def merge_verified(a: DataFrame, b: DataFrame, id_col: str, digest: str, copies: Sequence[DataFrame] = ()) -> DataFrame:

@@ -27,19 +27,19 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, else a private one for local runs.
+    """Folder every executor can reach: the one `spark.checkpoint.dir` names, else the context's own.
 
-    Only an unset `spark.checkpoint.dir` on a local master falls back to a temporary folder; on a
-    cluster such a folder would be invisible to the other machines, so that is an error.
+    Where neither is set, a local session gets a private folder of its own; on a cluster such a folder
+    would be invisible to the other machines, so that is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="gradeline-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gradeline-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

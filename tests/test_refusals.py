@@ -2,7 +2,7 @@
 
 import pytest
 
-from gradeline.operators import grid, health, inference, metrics, raster, running
+from gradeline.operators import grid, health, inference, metrics, raster, running, splits
 from gradeline.sources import writers
 
 
@@ -88,3 +88,36 @@ def test_strict_pairing(spark):
     df = _means(spark, [(1, 0, "m", 0.5)])
     assert grid.pair_against(df, "arm", 0, ["metric"], "seed", "value").count() == 0
     stops(grid.pair_against(df, "arm", 0, ["metric"], "seed", "value", strict=True), "lacks seed")
+
+
+def test_tied_tags_enter_once(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("b", 5, "z"), (None, None, "w")]
+    df = spark.createDataFrame(rows, "g string, tag int, v string")
+    three = splits.representative_sample(df, ["g"], "tag", 3).collect()
+    assert sorted(str(r["g"]) for r in three) == ["None", "a", "b"]
+    whole = splits.representative_sample(df, ["g"], "tag", 9).collect()
+    assert sorted(map(str, map(tuple, whole))) == sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("value", [256.0, -1.0, 3.5, None])
+def test_what_is_no_grey_level_is_refused(spark, value):
+    df = spark.createDataFrame([("g", float(v)) for v in range(1, 80)] + [("g", value)], "g string, v double")
+    for fn in (raster.weibull_fit_by_group, raster.otsu_by_group):
+        with pytest.raises(Exception, match="not a grey level"):
+            fn(df, ["g"], "v").collect()
+
+
+def test_an_unset_shared_folder_on_a_local_master(monkeypatch):
+    from types import SimpleNamespace
+
+    from gradeline import session
+
+    held = {}
+    context = SimpleNamespace(
+        getConf=lambda: {}, master="local[2]", getCheckpointDir=lambda: held.get("dir"), setCheckpointDir=lambda d: held.update(dir=d))
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    assert session.shared_dir(spark) == session.shared_dir(spark) == held["dir"]
+    held.clear()
+    context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="shared by all executors"):
+        session.shared_dir(spark)
