@@ -147,17 +147,6 @@ def class_index(label: ColumnLike, classes: Sequence[str]) -> Column:
     return F.when(position > 0, (position - 1).cast("int"))
 
 
-def strict_number(c: ColumnLike) -> Column:
-    """JSON-safe text of a double: infinities by name, NaN refused."""
-    v = f64(c)
-    return (
-        F.when(F.isnan(v), F.raise_error(F.lit("refusing to write NaN")))
-        .when(v == F.lit(math.inf), F.lit("Infinity"))
-        .when(v == F.lit(-math.inf), F.lit("-Infinity"))
-        .otherwise(v.cast("string"))
-    )
-
-
 def inverse_decay(base: ColumnLike, progress: ColumnLike, alpha: float = 10.0, beta: float = 0.75) -> Column:
     """Learning rate base*(1 + alpha*p)^(-beta)."""
     return f64(base) * F.pow(F.lit(1.0) + F.lit(alpha) * f64(progress), F.lit(-beta))

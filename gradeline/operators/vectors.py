@@ -102,6 +102,7 @@ def logistic_fits(
     trained on the other folds, and the result is keyed that way. Without it there is one model, keyed
     (-1,). Each step sends per-task gradient and Hessian sums of fixed size; the driver only solves
     (D+1)-sized systems. The objective is |w|^2/2 + cost*sum(weight*loss), intercept penalised too.
+    Models that still move after `max_iter` steps stop the job.
     """
     models = list(models)
     spark = rows.sparkSession
@@ -162,5 +163,5 @@ def logistic_fits(
             if np.abs(step * move).max() < tol:
                 active.discard(ident)
         if not active:
-            break
-    return betas
+            return betas
+    raise RuntimeError(f"{len(active)} of {len(betas)} logistic fits did not settle in {max_iter} steps")

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import strict_number
-
 
 def write_splits(splits: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Split table partitioned by (domain, fold), so readers of one fold list one directory."""
@@ -31,16 +30,32 @@ def splits_hash(splits: DataFrame, columns: Sequence[str] = ("domain", "fold", "
     )
 
 
+def _holds_nan(c: Column, kind: T.DataType) -> Column | None:
+    """Whether a value of this type holds NaN at any depth; None where the type can not."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(F.isnan(c), F.lit(False))
+    if isinstance(kind, T.StructType):
+        parts = [x for x in (_holds_nan(c[f.name], f.dataType) for f in kind.fields) if x is not None]
+        return reduce(lambda x, y: x | y, parts) if parts else None
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType if isinstance(kind, T.MapType) else None
+    if inner is None or _holds_nan(F.lit(None).cast(inner), inner) is None:
+        return None
+    values = F.map_values(c) if isinstance(kind, T.MapType) else c
+    return F.coalesce(F.exists(values, lambda x: _holds_nan(x, inner)), F.lit(False))
+
+
 def strict_json_columns(df: DataFrame) -> DataFrame:
-    """Doubles as JSON-safe text where infinite, NaN refused; other columns unchanged."""
+    """The same columns; NaN at any depth of one stops the job."""
     out = {}
     for field in df.schema.fields:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            out[field.name] = strict_number(field.name)
+        bad = _holds_nan(F.col(field.name), field.dataType)
+        if bad is not None:
+            out[field.name] = F.when(bad, F.raise_error(F.lit(f"refusing to write NaN in {field.name}"))).otherwise(F.col(field.name))
     return df.withColumns(out) if out else df
 
 
 def write_strict_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON object a row: finite numbers as numbers, infinities by name as text, no NaN."""
     strict_json_columns(df).write.mode(mode).json(path)
 
 

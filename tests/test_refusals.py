@@ -121,3 +121,14 @@ def test_an_unset_shared_folder_on_a_local_master(monkeypatch):
     context.master = "spark://host:7077"
     with pytest.raises(RuntimeError, match="shared by all executors"):
         session.shared_dir(spark)
+
+
+def test_json_numbers_are_numbers_and_nan_is_refused_at_any_depth(spark, tmp_path):
+    kind = "a double, b array<double>, c struct<d:float,e:map<string,double>>, f string"
+    inf, nan = float("inf"), float("nan")
+    writers.write_strict_json(spark.createDataFrame([(0.5, [1.5, inf, None], (2.0, {"k": -inf}), "x"), (None, None, None, None)], kind).coalesce(1), str(tmp_path / "a"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "a")).collect()]
+    assert lines[0] == '{"a":0.5,"b":[1.5,"Infinity",null],"c":{"d":2.0,"e":{"k":"-Infinity"}},"f":"x"}'
+    for i, row in enumerate([(nan, [], None, "x"), (1.0, [1.0, nan], None, "x"), (1.0, [], (nan, {}), "x"), (1.0, [], (1.0, {"k": nan}), "x")]):
+        with pytest.raises(Exception, match="refusing to write NaN"):
+            writers.write_strict_json(spark.createDataFrame([row], kind), str(tmp_path / f"b{i}"))
