@@ -197,7 +197,7 @@ def content_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], digest: str, s
     state = F.when(F.col("digest_a") == F.col("digest_b"), "unchanged").otherwise("changed")
     if strict:
         one_sided = F.col("digest_a").isNull() | F.col("digest_b").isNull()
-        state = F.when(one_sided, F.raise_error(F.lit("rosters must match exactly"))).otherwise(state)
+        state = F.when(one_sided, F.raise_error(F.lit("an entry is on one roster only"))).otherwise(state)
     return joined.select(*keys, state.alias("state"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, col, entropy, equal_width_bin, f64, is_finite, total
-from .metrics import classification_metrics
+from .metrics import confusion_counts, with_class_metrics
 from .running import quantiles, with_summary
 
 PROBS = ("p0", "p1")
@@ -95,10 +95,11 @@ def confidence_entropy(df: DataFrame, keys: Sequence[str], probs: Sequence[str]
 
 
 def quantile_edges(df: DataFrame, value: str, n_bins: int) -> DataFrame:
-    """One row with the distinct linear-interpolation quantile edges of the finite values."""
+    """One row with the distinct linear-interpolation quantile edges of the finite values, none without any."""
     points = {f"e{i}": i / n_bins for i in range(n_bins + 1)}
     edges = quantiles(df, [], value, points).select(F.array_distinct(F.array(*points)).alias("edges"))
-    return with_summary(edges, df.agg(F.count(F.when(~is_finite(value), 1)).alias("excluded")))
+    counted = df.agg(F.count(F.when(F.col(value).isNull() | ~is_finite(value), 1)).alias("excluded"))
+    return with_summary(counted, edges).select(F.coalesce("edges", F.array().cast("array<double>")).alias("edges"), "excluded")
 
 
 def stratified_metrics(
@@ -107,19 +108,24 @@ def stratified_metrics(
 ) -> DataFrame:
     """Per-class metrics inside quantile bins of a covariate.
 
-    A value equal to an inner edge goes to the upper bin; missing values are excluded and counted.
-    Edges are shared by all keys and computed from `df` unless given.
+    A value equal to an inner edge goes to the upper bin; null and NaN values are excluded and counted,
+    infinite ones stop the job. Edges are shared by all keys and computed from `df` unless given. Every
+    key has a row for every bin, with zero support where it is empty. Without any valid value there is
+    one row per key with a null bin and status 'no_valid_covariates'.
     """
+    value = col(cov).cast("double")
+    df = df.withColumn(cov, F.when(F.abs(value) == F.lit(float("inf")), F.raise_error(F.lit(f"{cov} has an infinite value"))).otherwise(F.col(cov)))
     cut = edges if edges is not None else quantile_edges(df, cov, n_bins)
     inner = F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-    binned = with_summary(df, cut).where(is_finite(cov)).withColumns({
-        "bin": F.size(F.filter(inner, lambda e: e <= col(cov).cast("double"))),
-        "n_edges": F.size("edges"),
-    })
-    bounds = binned.withColumns({
-        "lo": F.element_at("edges", F.col("bin") + 1),
-        "hi": F.element_at("edges", F.least(F.col("bin") + 2, F.col("n_edges"))),
-    })
-    scored = classification_metrics(bounds, [*keys, "bin", "lo", "hi", "n_edges", "excluded"], y=y, yhat=yhat)
-    degenerate = F.when(F.col("n_edges") == 1, "degenerate_equal_covariate").otherwise("ok")
-    return scored.withColumn("status", degenerate).withColumn("sparse", F.least("support_0", "support_1") < 10)
+    binned = with_summary(df, cut).withColumn("bin", F.when(is_finite(cov), F.size(F.filter(inner, lambda e: e <= value))))
+    cells = ["c00", "c01", "c10", "c11"]
+    counts = confusion_counts(binned, [*keys, "edges", "excluded", "bin"], y=y, yhat=yhat)
+    # at most n_bins + 1 entries per key
+    held = F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct(*cells).alias("c")))))
+    per_key = counts.groupBy(*keys, "edges", "excluded").agg(held.alias("_held")).withColumn("n_edges", F.size(F.array_compact("edges")))
+    bins = F.when(F.col("n_edges") > 0, F.sequence(F.lit(0), F.greatest(F.col("n_edges") - 2, F.lit(0)))).otherwise(F.array(F.lit(None).cast("int")))
+    rows = per_key.withColumn("bin", F.explode(bins)).select(
+        *keys, "bin", F.get("edges", F.col("bin")).alias("lo"), F.get("edges", F.least(F.col("bin") + 1, F.col("n_edges") - 1)).alias("hi"),
+        "n_edges", "excluded", *[F.coalesce(F.try_element_at("_held", F.coalesce("bin", F.lit(-1)))[c], F.lit(0)).alias(c) for c in cells])
+    status = F.when(F.col("n_edges") == 0, "no_valid_covariates").when(F.col("n_edges") == 1, "degenerate_equal_covariate").otherwise("ok")
+    return with_class_metrics(rows).withColumn("status", status).withColumn("sparse", F.least("support_0", "support_1") < 10)

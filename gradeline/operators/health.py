@@ -25,7 +25,7 @@ def collapse_from_counts(df: DataFrame, n0: str, n1: str, low: float = LOW, high
     Counts must be non-negative integers with a positive total, anything else stops the job.
     """
     if not 0.0 <= low < high <= 1.0:
-        raise ValueError("collapse thresholds must satisfy 0 <= low < high <= 1")
+        raise ValueError("the low share must lie below the high one, both within [0, 1]")
     valid = is_integral(n0) & is_integral(n1) & (f64(n0) >= 0) & (f64(n1) >= 0) & (f64(n0) + f64(n1) > 0)
     share = f64(n0) / (f64(n0) + f64(n1))
     checked = F.when(valid, share).otherwise(F.raise_error(F.lit("prediction counts must be non-negative integers with a positive total")))
@@ -102,7 +102,7 @@ def collapse_enrich(
     routes = epoch_collapse_routes(epochs, keys, epoch, n0, n1)
     joined = first.join(routes, list(keys), "full")  # a run that one side lacks must not vanish
     same = F.when(F.col("_total") == F.col("total"), F.col("total")).otherwise(
-        F.raise_error(F.lit("epoch and last-K routes must cover the same target count"))
+        F.raise_error(F.lit("epoch rows and last-K counts disagree on the number of targets"))
     )
     votes = triangulate(
         joined.withColumn("total", same), ["last_epoch_collapsed", "last_k_collapsed", "any_epoch_single_class"]

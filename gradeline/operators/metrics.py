@@ -126,7 +126,7 @@ def extract_metric(df: DataFrame, keys: Sequence[str], path: str, root: str = "m
     """One number per record by dotted path; missing, boolean or non-finite values stop the job."""
     schema = df.select(F.col(f"{root}.{path}").alias("v")).schema["v"].dataType.typeName()
     if schema not in ("byte", "short", "integer", "long", "float", "double", "decimal"):
-        raise ValueError(f"metric '{path}' must be numeric, found {schema}")
+        raise ValueError(f"{path} holds {schema}; a metric must be numeric")
     value = f64(F.col(f"{root}.{path}"))
     checked = F.when(is_finite(value), value).otherwise(F.raise_error(F.lit(f"metric '{path}' must be finite")))
     return df.select(*keys, F.lit(path).alias("metric"), checked.alias("value"))
@@ -193,6 +193,15 @@ def require_authorisation(authorized: bool, reason: str) -> None:
         raise PermissionError("reading target labels needs authorized=True and a non-empty reason")
 
 
+def _count_reached(score: Column, cuts: Sequence[float], before: int = 0) -> Column:
+    """How many of the ascending cuts the score reaches, by halving; a null score reaches none."""
+    if not cuts:
+        return F.lit(before)
+    middle = len(cuts) // 2
+    return F.when(score >= cuts[middle], _count_reached(score, cuts[middle + 1 :], before + middle + 1)).otherwise(
+        _count_reached(score, cuts[:middle], before))
+
+
 def threshold_sweep(
     df: DataFrame, keys: Sequence[str], thresholds: Sequence[float], score: str = "p0", y: str = "y_true",
     *, authorized: bool, reason: str,
@@ -201,14 +210,15 @@ def threshold_sweep(
 
     A diagnostic on target labels: refused without authorisation and a reason.
 
-    Each row is counted once, under the number of thresholds its score reaches; cumulating those
-    counts over the (keys x thresholds) table gives every confusion matrix without multiplying rows.
+    Each row is counted once, under the number of thresholds its score reaches, which a balanced tree
+    of comparisons finds; cumulating those counts over the (keys x thresholds) table gives every
+    confusion matrix without multiplying rows.
     """
     require_authorisation(authorized, reason)
     cuts = sorted(float(t) for t in thresholds)
     if not cuts or len(set(cuts)) != len(cuts) or cuts[0] < 0 or cuts[-1] > 1:
         raise ValueError("thresholds must be non-empty, unique and within [0, 1]")
-    reached = total([F.when(col(score) >= t, 1).otherwise(0) for t in cuts])
+    reached = _count_reached(col(score), cuts)
     counts = df.groupBy(*keys, reached.alias("reached")).agg(
         F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("n0"),
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("n1"),

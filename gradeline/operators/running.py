@@ -167,9 +167,14 @@ def number_rows(
 
 
 def number_by_id(df: DataFrame, keys: Sequence[str], id_col: str, width: int = 1 << 18, name: str = "rn") -> DataFrame:
-    """Row number in the order of a unique integer id; a bucket holds at most `width` ids."""
-    bucket = F.floor(F.col(id_col) / F.lit(width)).cast("bigint")
-    return number_rows(df, keys, [F.floor(bucket / F.lit(4096)).cast("bigint"), bucket], [F.col(id_col)], name)
+    """Row number in the order of a unique integer id; a bucket holds at most `width` ids.
+
+    Ids may be dense or spread over all 64-bit values: each level groups 2^15 buckets of the next, so
+    no window over bucket totals exceeds that, and the outermost has at most 2^16 at the default width.
+    """
+    fine = F.floor(F.col(id_col) / F.lit(width)).cast("bigint")
+    levels = [F.shiftright(fine, 30), F.shiftright(fine, 15), fine]
+    return number_rows(df, keys, levels, [F.col(id_col)], name)
 
 
 def number_by_hash(df: DataFrame, keys: Sequence[str], seed: int, id_col: str, name: str = "rn") -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, f64, hash_text, is_finite
+from ..session import cut_lineage
 from .ranking import roc_auc
 from .running import number_by_hash, with_summary
 from .vectors import logistic_fits, moments
@@ -59,9 +60,36 @@ def branch_divergence(df: DataFrame, domain: str, features: str, source: str = "
 
 
 def domain_means(df: DataFrame, domain: str, features: str) -> DataFrame:
-    """Long (domain, pos, mean, var): population moments of every feature, combined on the map side."""
-    long = df.select(domain, F.posexplode(F.col(features).cast("array<double>")).alias("pos", "v"))
-    return long.groupBy(domain, "pos").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"), F.count(F.lit(1)).alias("n"))
+    """Long (domain, pos, mean, var, n): population moments of every feature.
+
+    A task sends one vector of sums per domain; rows are never multiplied by their features. Squares
+    are taken around the task's own mean, so only differences between task means can cancel.
+    """
+    slim = df.select(domain, F.col(features).cast("array<double>").alias("f"))
+    kind = slim.schema[domain].dataType.simpleString()
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        for pdf in batches:
+            for key, rows in pdf.groupby(domain, sort=False):
+                x = np.stack(rows["f"].to_numpy()).astype(np.float64)
+                n, mean, square = len(x), x.mean(axis=0), ((x - x.mean(axis=0)) ** 2).sum(axis=0)
+                if key in state:
+                    m, other, before = state[key]
+                    gap = mean - other
+                    square, mean, n = before + square + gap * gap * (m * n / (m + n)), other + gap * (n / (m + n)), m + n
+                state[key] = (n, mean, square)
+        if state:
+            yield pd.DataFrame([{domain: k, "n": n, "mean": mean, "square": square} for k, (n, mean, square) in state.items()])
+
+    parts = slim.where(F.col(domain).isNotNull()).mapInPandas(partial, f"`{domain}` {kind}, n bigint, mean array<double>, square array<double>")
+    # one row per task, domain and feature from here on, in one exchange
+    long = parts.select(domain, "n", F.posexplode(F.arrays_zip("mean", "square")).alias("pos", "s"))
+    whole = Window.partitionBy(domain, "pos")
+    centred = long.withColumn("_mean", F.sum(F.col("n") * F.col("s.mean")).over(whole) / F.sum("n").over(whole))
+    gap = F.col("s.mean") - F.col("_mean")
+    return centred.groupBy(domain, "pos").agg(
+        F.first("_mean").alias("mean"), (F.sum(F.col("s.square") + F.col("n") * gap * gap) / F.sum("n")).alias("var"), F.sum("n").alias("n"))
 
 
 def domain_standardize(
@@ -94,58 +122,75 @@ def domain_standardize(
 # --- maximum mean discrepancy ----------------------------------------------------------------
 
 
-def _block_pairs(df: DataFrame, id_col: str, domain: str, features: str, source: str, block_rows: int) -> tuple[DataFrame, int]:
-    """Rows keyed by unordered block pair (lo, hi); a pair holds about two blocks of rows.
+#: Rows of a tile, and of the sub-blocks that a task compares at a time.
+TILE_ROWS, SUB_ROWS = 16384, 1024
+
 
-    Blocks are hash-assigned, so their size does not depend on the data. No pair of rows is emitted.
+def _block_pairs(df: DataFrame, id_col: str, domain: str, features: str, source: str, block_rows: int) -> DataFrame:
+    """Rows keyed by unordered tile pair (lo, hi), written once; a pair holds about two tiles of rows.
+
+    Tiles are hash-assigned, so their size does not depend on the data. No pair of rows is emitted. A row
+    is copied once per tile, so tiles are large; a small input has enough of them to use every core.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n // block_rows), min(-(-n // 256), int(np.ceil(np.sqrt(2 * cores)))), 1)
     own = F.conv(F.substring(hash_text(0, id_col), 1, 8), 16, 10).cast("bigint") % blocks
     rows = df.select(
         own.cast("int").alias("own"), (F.col(domain) == source).cast("int").alias("src"),
         F.col(features).cast("array<double>").alias("f"),
     )
     other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return other.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "src", "f"), n
+    tiles = other.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "src", "f")
+    return cut_lineage(tiles.repartition(max(cores, blocks * (blocks + 1) // 2), "lo", "hi"))
+
 
+def _distances(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Squared distances between sub-blocks of the two tiles of a pair, and the source flags of both sides.
 
-def _distances(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
-    """Squared distances between the two blocks of a pair, and the source flags of both sides."""
+    Sub-blocks of a tile with itself come once per unordered pair; the last field marks those on the diagonal.
+    """
     same = bool(pdf["lo"].iloc[0] == pdf["hi"].iloc[0])
     left = pdf[pdf["own"] == pdf["lo"]]
     right = left if same else pdf[pdf["own"] == pdf["hi"]]
     if len(left) == 0 or len(right) == 0:
-        return np.zeros((0, 0)), np.zeros(0), np.zeros(0), same
+        return
     a, b = np.stack(left["f"].to_numpy()), np.stack(right["f"].to_numpy())
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(sq, 0.0), left["src"].to_numpy(), right["src"].to_numpy(), same
+    u, v = left["src"].to_numpy(), right["src"].to_numpy()
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    for i in range(0, len(a), SUB_ROWS):
+        for j in range(i if same else 0, len(b), SUB_ROWS):
+            x, y = slice(i, i + SUB_ROWS), slice(j, j + SUB_ROWS)
+            sq = aa[x, None] + bb[None, y] - 2.0 * (a[x] @ b[y].T)
+            yield np.maximum(sq, 0.0), u[x], v[y], same and i == j
 
 
 def _radix_counts(prefix_bits: int, prefixes: list[int]):
     """Histogram of the next 16 bits of each positive distance whose leading bits equal a prefix."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        sq, _, _, same = _distances(pdf)
-        values = sq[np.triu_indices(sq.shape[0], 1)] if same else sq.ravel()
-        bits = np.sqrt(values[values > 0]).view(np.uint64)
-        rows = []
-        for prefix in prefixes:
-            chosen = bits if prefix_bits == 0 else bits[(bits >> np.uint64(64 - prefix_bits)) == np.uint64(prefix)]
-            slot, n = np.unique((chosen >> np.uint64(48 - prefix_bits)) & np.uint64(0xFFFF), return_counts=True)
-            rows += [(int(prefix), int(s), int(c)) for s, c in zip(slot, n)]
+        found = {prefix: np.zeros(1 << 16, np.int64) for prefix in prefixes}
+        for sq, _, _, same in _distances(pdf):
+            values = sq[np.triu_indices(sq.shape[0], 1)] if same else sq.ravel()
+            bits = np.sqrt(values[values > 0]).view(np.uint64)
+            for prefix in prefixes:
+                chosen = bits if prefix_bits == 0 else bits[(bits >> np.uint64(64 - prefix_bits)) == np.uint64(prefix)]
+                found[prefix] += np.bincount(((chosen >> np.uint64(48 - prefix_bits)) & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+        rows = [(int(prefix), int(s), int(n[s])) for prefix, n in found.items() for s in np.flatnonzero(n)]
         return pd.DataFrame(rows, columns=["prefix", "slot", "n"]).astype({"prefix": "int64", "slot": "int64", "n": "int64"})
 
     return count
 
 
-def median_distance(df: DataFrame, id_col: str, domain: str, features: str, source: str = "source", block_rows: int = 2048) -> float:
+def median_distance(df: DataFrame, id_col: str, domain: str, features: str, source: str = "source", block_rows: int = TILE_ROWS) -> float:
     """Exact median of the positive pairwise Euclidean distances of the pooled rows.
 
     Positive doubles sort like their bit patterns, so four passes of 16 bits select the middle values
     from histograms; no list of distances exists anywhere.
     """
-    pairs, _ = _block_pairs(df, id_col, domain, features, source, block_rows)
+    return _median_of(_block_pairs(df, id_col, domain, features, source, block_rows))
+
+
+def _median_of(pairs: DataFrame) -> float:
     targets: list[tuple[int, int]] = []  # (prefix so far, zero-based rank inside it)
     for level in range(4):
         prefixes = sorted({t[0] for t in targets}) or [0]
@@ -157,7 +202,7 @@ def median_distance(df: DataFrame, id_col: str, domain: str, features: str, sour
         if level == 0:
             total = sum(r["n"] for r in hist)
             if total == 0:
-                raise ValueError("automatic bandwidth is undefined because all pooled features coincide")
+                raise ValueError("no bandwidth: all rows have equal features")
             targets = [(0, (total - 1) // 2), (0, total // 2)]
         narrowed = []
         for prefix, rank in targets:
@@ -173,30 +218,31 @@ def median_distance(df: DataFrame, id_col: str, domain: str, features: str, sour
 
 def rbf_mmd2(
     df: DataFrame, id_col: str, domain: str, features: str, bandwidth: float | None = None,
-    source: str = "source", block_rows: int = 2048,
+    source: str = "source", block_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Unbiased squared MMD with an RBF kernel over all pairs of rows.
 
-    Work is quadratic by definition. It is cut into block pairs that each return three kernel sums;
-    without `bandwidth` the exact pooled median distance is used.
+    Work is quadratic by definition. It is cut into tile pairs that each return three kernel sums;
+    without `bandwidth` the exact pooled median distance is used. All passes read the same tiles.
     """
-    sigma = median_distance(df, id_col, domain, features, source, block_rows) if bandwidth is None else float(bandwidth)
+    pairs = _block_pairs(df, id_col, domain, features, source, block_rows)
+    sigma = _median_of(pairs) if bandwidth is None else float(bandwidth)
     if not sigma > 0:
         raise ValueError("bandwidth must be positive")
     gamma = 1.0 / (2.0 * sigma * sigma)
-    pairs, _ = _block_pairs(df, id_col, domain, features, source, block_rows)
 
     def kernel_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-        sq, left, right, same = _distances(pdf)
-        if sq.size == 0:
-            return pd.DataFrame({"ss": [0.0], "tt": [0.0], "st": [0.0]})
-        k = np.exp(-gamma * sq)
-        if same:
-            np.fill_diagonal(k, 0.0)
-        twice = 1.0 if same else 2.0
-        s, t = left == 1, right == 1
-        cross = k[s][:, ~t].sum() if same else k[s][:, ~t].sum() + k[~s][:, t].sum()
-        return pd.DataFrame({"ss": [twice * k[s][:, t].sum()], "tt": [twice * k[~s][:, ~t].sum()], "st": [cross]})
+        ss = tt = st = 0.0
+        for sq, left, right, same in _distances(pdf):
+            k = np.exp(-gamma * sq)
+            if same:
+                np.fill_diagonal(k, 0.0)
+            twice = 1.0 if same else 2.0
+            s, t = left == 1, right == 1
+            ss += twice * k[s][:, t].sum()
+            tt += twice * k[~s][:, ~t].sum()
+            st += k[s][:, ~t].sum() if same else k[s][:, ~t].sum() + k[~s][:, t].sum()
+        return pd.DataFrame({"ss": [ss], "tt": [tt], "st": [st]})
 
     sums = pairs.groupBy("lo", "hi").applyInPandas(kernel_sums, "ss double, tt double, st double").agg(
         F.sum("ss").alias("ss"), F.sum("tt").alias("tt"), F.sum("st").alias("st")
@@ -206,6 +252,7 @@ def rbf_mmd2(
     return with_summary(sums, sizes).select(
         (F.col("ss") / (m * (m - 1)) + F.col("tt") / (n * (n - 1)) - F.lit(2.0) * F.col("st") / (m * n)).alias("mmd2"),
         F.lit(sigma).alias("bandwidth"),
+        # The two names of the bandwidth's source.
         F.lit("pooled median pairwise Euclidean distance" if bandwidth is None else "explicit").alias("bandwidth_source"),
     )
 
@@ -259,8 +306,8 @@ def bbse(
         "condition_number": F.when(det != 0, top / F.abs(det)).otherwise(F.lit(float("inf"))),
         "raw_w0": F.try_divide(m0 * j11 - m1 * j01, det), "raw_w1": F.try_divide(m1 * j00 - m0 * j10, det),
     })
-    problem = F.when((F.col("prior0") == 0) | (F.col("prior1") == 0), "source labels must contain both classes").when(
-        F.col("condition_number") > condition_limit, "confusion matrix is singular or ill-conditioned"
+    problem = F.when((F.col("prior0") == 0) | (F.col("prior1") == 0), "the source has no row of one class").when(
+        F.col("condition_number") > condition_limit, "ill-conditioned source confusion"
     )
     w0 = F.greatest(F.col("raw_w0"), F.lit(0.0))
     w1 = F.greatest(F.col("raw_w1"), F.lit(0.0))
@@ -339,7 +386,7 @@ def proxy_a_distance(
 ) -> DataFrame:
     """2*(1-2*error) of a balanced linear domain classifier on a stratified holdout, unclipped."""
     if not 0.0 < holdout < 1.0:
-        raise ValueError("holdout must be strictly between 0 and 1")
+        raise ValueError("the held-out share must lie inside (0, 1)")
     rows = df.select(id_col, (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"))
     sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     split = number_by_hash(rows, ["y"], seed, id_col).join(sizes, "y")
@@ -408,16 +455,22 @@ def format_probe(
     shipped = df.sparkSession.sparkContext.broadcast(betas)
 
     def held_out_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = list(shipped.value)
+        place = {m: i for i, m in enumerate(models)}
+        weights = np.column_stack([shipped.value[m] for m in models]) if models else np.zeros((1, 0))
         for pdf in batches:
-            score = [
-                1.0 / (1.0 + np.exp(-np.clip(np.dot(f, shipped.value[(c, r, k)][:-1]) + shipped.value[(c, r, k)][-1], -500, 500)))
-                for c, r, k, f in zip(pdf["cls"], pdf["resample"], pdf["fold"], pdf["f"])
-            ]
-            yield pdf[["cls", "resample", "fold", "y"]].assign(score=score)
+            if not len(pdf):
+                continue
+            z = np.stack(pdf["f"].to_numpy()) @ weights[:-1] + weights[-1]  # every model on one copy of the features
+            picked = [(i, p["cls"], p["resample"], p["fold"]) for i, ps in enumerate(pdf["picks"]) for p in ps]
+            row = np.array([p[0] for p in picked], int)
+            column = np.array([place[p[1:]] for p in picked], int)
+            yield pd.DataFrame({
+                "cls": [p[1] for p in picked], "resample": [p[2] for p in picked], "fold": [p[3] for p in picked],
+                "y": pdf["y"].to_numpy()[row], "score": 1.0 / (1.0 + np.exp(-np.clip(z[row, column], -500, 500)))})
 
     cls_type = df.schema[cls].dataType.simpleString()
-    data = rows.withColumn("m", F.explode("picks")).select("m.cls", "m.resample", "m.fold", "y", "f")
-    scored = data.mapInPandas(
+    scored = rows.select("picks", "y", "f").mapInPandas(
         held_out_scores, f"cls {cls_type}, resample int, fold int, y int, score double"
     )
     auc = roc_auc(scored, ["cls", "resample", "fold"], "score", "y", positive=1)

@@ -11,6 +11,11 @@ from ..functions.scalars import f64, hash_index, hash_text, hash_uniform, total
 from .running import number_by_hash, number_by_id, quantiles, with_summary
 
 
+#: Rows of one class that a task may rank. Up to it every task keeps only its own first rows of a class
+#: before the exchange; beyond it rows are numbered across buckets. Both give the same rows.
+TASK_QUOTA = 10_000
+
+
 def stratified_kfold(df: DataFrame, strata: Sequence[str], label: str, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Fold in which each row is tested, stratified by label inside each stratum.
 
@@ -81,13 +86,21 @@ def per_class_sample(df: DataFrame, label: str, id_col: str, quotas: dict, seed:
     quota: Column = F.lit(0)
     for value, n in quotas.items():
         quota = F.when(F.col(label) == value, n).otherwise(quota)
-    ranked = number_by_hash(df, [label], seed, id_col)
+    most = max(quotas.values(), default=0)
+    if most <= TASK_QUOTA:
+        first = Window.partitionBy(label).orderBy("_hash", id_col)
+        ranked = df.withColumn("_hash", hash_text(seed, id_col)).withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= most).drop("_hash")
+    else:
+        ranked = number_by_hash(df, [label], seed, id_col)
     return ranked.where(F.col("rn") <= quota).withColumn("order_hash", hash_text(seed + 1, id_col))
 
 
 def per_class_head(df: DataFrame, label: str, id_col: str, n: int) -> DataFrame:
     """The first n ids of every class, by integer id."""
-    return number_by_id(df, [label], id_col).where(F.col("rn") <= n).drop("rn")
+    if n > TASK_QUOTA:
+        return number_by_id(df, [label], id_col).where(F.col("rn") <= n).drop("rn")
+    first = Window.partitionBy(label).orderBy(id_col)
+    return df.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= n).drop("rn")
 
 
 def truncate(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:

@@ -57,8 +57,8 @@ def _(spark, folder):
 
 
 def _run_records(spark, folder):
-    """Run records per (arm, seed) with the fold-0 confusion matrix; some records are corrupted."""
-    counts = metrics.confusion_counts(scored(spark, folder).where("fold = 0"), ["arm", "seed"])
+    """Run records per (arm, seed) with the confusion matrix over all folds; some records are corrupted."""
+    counts = metrics.confusion_counts(scored(spark, folder), ["arm", "seed"])
     m = metrics.metrics_from_confusion(counts)
     arm, seed = F.col("arm"), F.col("seed")
     loss = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.lit(1.0) / (i + arm))
@@ -77,13 +77,30 @@ def _run_records(spark, folder):
     )
 
 
-@query("validate_run_record", """
-select * from (values (2, 0, 'protocol_epochs'), (1, 2, 'metric_recomputed_macro_f1'), (3, 3, 'matrix_row_1'), (3, 3, 'metric_recomputed_accuracy'),
-  (3, 3, 'metric_recomputed_macro_f1'), (3, 3, 'metric_recomputed_balanced_accuracy'), (4, 4, 'loss_endpoints'), (0, 1, 'digest_signature'), (0, 4, 'digest_target_md5')) v(arm, seed, rule)
-where exists (select 1 from conf where conf.arm = v.arm and conf.seed = v.seed and fold = 0)""")
+@query("validate_run_record", """select * from (
+with p as (select arm, seed, sum(c00) as c00, sum(c01) as c01, sum(c10) as c10, sum(c11) as c11, sum(c11) + max(case when arm = 3 and seed = 3 then 1 else 0 end) as d11 from conf group by 1, 2),
+m as (select *, (c00 + c11) / (c00 + c01 + c10 + c11) as acc, (c00 + d11) / (c00 + c01 + c10 + d11) as acc2,
+             (c00 / (c00 + c01) + c11 / (c10 + c11)) / 2 as bal, (c00 / (c00 + c01) + d11 / (c10 + d11)) / 2 as bal2,
+             (2e0 * c00 / (2 * c00 + c01 + c10) + 2e0 * c11 / (2 * c11 + c01 + c10)) / 2 + case when arm = 1 and seed = 2 then 0.01e0 else 0e0 end as mac,
+             (2e0 * c00 / (2 * c00 + c01 + c10) + 2e0 * d11 / (2 * d11 + c01 + c10)) / 2 as mac2,
+             case when arm = 2 and seed = 0 then 39 else 40 end as epochs,
+             case when arm = 0 and seed = 1 then 'xyz' else sha256(arm || '|' || seed) end as signature,
+             case when arm = 0 and seed = 4 then null else md5('target') end as target_md5,
+             [1e0 / (i + arm) for i in range(1, 41)] as losses from p),
+e as (select *, case when arm = 4 and seed = 4 then [9e0, losses[40]] else [losses[1], losses[40]] end as ends from m),
+n as (select sum(case when y_true = 0 then 1 else 0 end) as n0, sum(case when y_true = 1 then 1 else 0 end) as n1 from shift)
+select arm, seed, 'protocol_epochs' as rule from e where epochs <> 40
+union all select arm, seed, 'digest_signature' from e where not regexp_full_match(signature, '[0-9a-f]{64}')
+union all select arm, seed, 'digest_target_md5' from e where target_md5 is null or not regexp_full_match(target_md5, '[0-9a-f]{32}')
+union all select arm, seed, 'matrix_row_0' from e, n where c00 + c01 <> n0 union all select arm, seed, 'matrix_row_1' from e, n where c10 + d11 <> n1
+union all select arm, seed, 'metric_recomputed_accuracy' from e where abs(acc - acc2) > 1e-12
+union all select arm, seed, 'metric_recomputed_macro_f1' from e where abs(mac - mac2) > 1e-12
+union all select arm, seed, 'metric_recomputed_balanced_accuracy' from e where abs(bal - bal2) > 1e-12
+union all select arm, seed, 'loss_endpoints' from e where abs(ends[1] - losses[1]) > 1e-12 or abs(ends[2] - losses[40]) > 1e-12
+union all select arm, seed, 'loss_decreased' from e where losses[40] >= losses[1])""")
 def _(spark, folder):
     records = _run_records(spark, folder)
-    sizes = tables.shift(spark, folder).where("sample_id % 5 = 0").groupBy().agg(
+    sizes = tables.shift(spark, folder).groupBy().agg(
         F.count_if(F.col("y_true") == 0).alias("n0"), F.count_if(F.col("y_true") == 1).alias("n1")
     ).first()
     cells = records.withColumns({f"c{i}{j}": F.col("matrix")[i][j] for i in (0, 1) for j in (0, 1)})
@@ -381,12 +398,13 @@ def _(spark, folder):
 
 
 @query("softmax_entropy", """select * from (
-with z as (select vec_id, [cast(x as double) for x in embedding[1:3]] as z from embeddings),
+with z as (select vec_id, [list_sum([cast(x as double) for x in embedding[1:22]]) / 8, list_sum([cast(x as double) for x in embedding[23:43]]) / 8,
+                           list_sum([cast(x as double) for x in embedding[44:64]]) / 8] as z from embeddings),
 e as (select vec_id, list_transform(z, lambda x: exp((x - list_max(z)) / 0.25e0)) as e from z), p as (select vec_id, list_transform(e, lambda x: x / list_sum(e)) as p from e)
 select vec_id, round(p[1], 9) as p0, round(p[2], 9) as p1, round(p[3], 9) as p2, round(-list_sum(list_transform(p, lambda x: x * ln(x))), 9) as h_skip,
        round(-list_sum(list_transform(p, lambda x: greatest(x, 1e-12) * ln(greatest(x, 1e-12)))), 9) as h_clip, round(-list_sum(list_transform(p, lambda x: x * ln(x + 1e-5))), 9) as h_offset from p)""")
 def _(spark, folder):
-    z = [F.col("embedding")[i].cast("double") for i in range(3)]
+    z = [tables.part_sum("embedding", start, n) / 8 for start, n in ((1, 22), (23, 21), (44, 21))]
     probs = tables.table(spark, folder, "embeddings").select("vec_id", *[p.alias(f"p{i}") for i, p in enumerate(scalars.softmax(z, 0.25))])
     cols = ["p0", "p1", "p2"]
     out = probs.withColumns({f"h_{g}": scalars.entropy(cols, g) for g in ("skip", "clip", "offset")})

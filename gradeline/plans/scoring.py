@@ -180,23 +180,22 @@ with e as (select quantile_cont(cov, 0e0) as e0, quantile_cont(cov, 1 / 3e0) as
 b as (select s.*, case when cov >= e2 then 2 when cov >= e1 then 1 else 0 end as bin,
              case when cov >= e2 then e2 when cov >= e1 then e1 else e0 end as lo,
              case when cov >= e2 then e3 when cov >= e1 then e2 else e1 end as hi
-      from scored s join covariate c using (sample_id), e where cov is not null and arm = 0 and seed = 0),
-k as (select bin, lo, hi, sum(case when y_true = 0 and y_pred = 0 then 1 else 0 end)::bigint as c00,
+      from scored s join covariate c using (sample_id), e where cov is not null),
+k as (select arm, seed, bin, lo, hi, sum(case when y_true = 0 and y_pred = 0 then 1 else 0 end)::bigint as c00,
              sum(case when y_true = 0 and y_pred = 1 then 1 else 0 end)::bigint as c01,
              sum(case when y_true = 1 and y_pred = 0 then 1 else 0 end)::bigint as c10,
-             sum(case when y_true = 1 and y_pred = 1 then 1 else 0 end)::bigint as c11 from b group by 1, 2, 3),
+             sum(case when y_true = 1 and y_pred = 1 then 1 else 0 end)::bigint as c11 from b group by 1, 2, 3, 4, 5),
 m as (select *, c00 / (c00 + c10) as p0, c00 / (c00 + c01) as r0, c11 / (c11 + c01) as p1, c11 / (c11 + c10) as r1 from k)
-select bin, round(lo, 6) as lo, round(hi, 6) as hi, c00 + c01 as support_0, c10 + c11 as support_1,
+select arm, seed, bin, round(lo, 6) as lo, round(hi, 6) as hi, c00 + c01 as support_0, c10 + c11 as support_1,
        round(2 * p0 * r0 / (p0 + r0), 9) as f1_0, round(2 * p1 * r1 / (p1 + r1), 9) as f1_1,
        (select count(*) from covariate where cov is null) as excluded, 'ok' as status, least(c00 + c01, c10 + c11) < 10 as sparse
 from m)""")
 def _(spark, folder):
-    run = tables.predictions(spark, folder, arms=(0, 0), seeds=(0, 0))
-    rows = predictions.predict(predictions.mean_checkpoints(run, SAMPLE, expected_k=5))
-    joined = rows.join(tables.covariate(spark, folder), "sample_id")
-    out = calibration.stratified_metrics(joined, "cov", 3)
+    values = tables.covariate(spark, folder)
+    joined = scored(spark, folder).join(values, "sample_id")
+    out = calibration.stratified_metrics(joined, "cov", 3, ["arm", "seed"], edges=calibration.quantile_edges(values, "cov", 3))
     return out.select(
-        "bin", rnd("lo", 6).alias("lo"), rnd("hi", 6).alias("hi"), "support_0", "support_1",
+        "arm", "seed", "bin", rnd("lo", 6).alias("lo"), rnd("hi", 6).alias("hi"), "support_0", "support_1",
         rnd("f1_0").alias("f1_0"), rnd("f1_1").alias("f1_1"), "excluded", "status", "sparse",
     )
 

@@ -55,24 +55,29 @@ _CELL = "seed int, epochs int, c00 bigint, c01 bigint, c10 bigint, c11 bigint, m
 
 
 def _write_cells(spark, folder, path):
-    runs = metrics.classification_metrics(scored(spark, folder).where("fold = 0"), ["arm", "seed"])
+    runs = metrics.classification_metrics(scored(spark, folder), ["arm", "seed"])
     cell = F.concat(F.col("arm").cast("string"), F.lit("_seed"), F.col("seed").cast("string"))
     rows = runs.select(cell.alias("cell"), F.lit(40).alias("epochs"), "c00", "c01", "c10", "c11", "macro_f1")
     rows.write.partitionBy("cell").json(path)
 
 
-@query("read_run_records", "select arm, seed, 40 as epochs, c00, c01, c10, c11, round(macro_f1, 9) as macro_f1 from run_metrics where fold = 0")
+_POOLED = """p as (select arm, seed, sum(c00)::bigint as c00, sum(c01)::bigint as c01, sum(c10)::bigint as c10, sum(c11)::bigint as c11 from conf group by 1, 2)"""
+
+
+@query("read_run_records", f"""select * from (
+with {_POOLED}
+select arm, seed, 40 as epochs, c00, c01, c10, c11, round((2e0 * c00 / (2 * c00 + c01 + c10) + 2e0 * c11 / (2 * c11 + c01 + c10)) / 2, 9) as macro_f1 from p)""")
 def _(spark, folder):
     path = scratch_path(spark, "records")
     _write_cells(spark, folder, path)
     return rounded(records.read_run_records(spark, path, _CELL, {"arm": range(5), "seed": range(5)}), "macro_f1")
 
 
-@query("read_run_records_loose", "select arm, seed, c00 + c11 as hits from run_metrics where fold = 0")
+@query("read_run_records_loose", f"select * from (with {_POOLED} select arm, seed, c00 + c11 as hits from p)")
 def _(spark, folder):
     path = scratch_path(spark, "records")
     _write_cells(spark, folder, path)
-    extra = metrics.confusion_counts(scored(spark, folder).where("fold = 1"), ["arm", "seed"])
+    extra = metrics.confusion_counts(scored(spark, folder), ["arm", "seed"])
     extra.withColumn("cell", F.lit("notes")).write.mode("append").partitionBy("cell").json(path)
     return records.read_run_records(spark, path, _CELL).select("arm", "seed", (F.col("c00") + F.col("c11")).alias("hits"))
 
@@ -87,11 +92,12 @@ def _(spark, folder):
 
 
 @query("read_format_probes", """
-select label as arm, 'arm' || label as arm_dir, class, round(avg(case when class = 'airplane' then embedding[1] else embedding[2] end), 9) as auc_mean, count(*)::int as n_real
+select label as arm, 'arm' || label as arm_dir, class, round(avg(case when class = 'airplane' then list_sum([cast(x as double) for x in embedding[1:32]])
+       else list_sum([cast(x as double) for x in embedding[33:64]]) end), 9) as auc_mean, count(*)::int as n_real
 from embeddings, (select unnest(['airplane', 'ship']) as class) group by 1, 2, 3""")
 def _(spark, folder):
     path = scratch_path(spark, "probes")
-    emb = tables.table(spark, folder, "embeddings").withColumns({"a": F.col("embedding")[0].cast("double"), "s": F.col("embedding")[1].cast("double")})
+    emb = tables.table(spark, folder, "embeddings").withColumns({"a": tables.part_sum("embedding", 1, 32), "s": tables.part_sum("embedding", 33, 32)})
     side = lambda c: F.struct(F.avg(c).alias("auc_mean"), F.count(F.lit(1)).cast("int").alias("n_real"))
     docs = emb.groupBy(F.col("label").alias("arm")).agg(side("a").alias("airplane"), side("s").alias("ship"))
     docs.withColumn("arm_dir", F.concat(F.lit("arm"), "arm")).write.json(path)
@@ -127,10 +133,10 @@ def _(spark, folder):
 
 @query("write_churn_matrix", """
 select arm, epoch, seed as slot, max(case when n0 > n1 * 0.4e0 then 1 else 0 end) as pred from (
-  select arm, seed, epoch, sum(case when p0 >= p1 then 1 else 0 end) as n0, sum(case when p0 < p1 then 1 else 0 end) as n1 from preds where fold = 0 group by 1, 2, 3) group by 1, 2, 3""")
+  select arm, seed, epoch, sum(case when p0 >= p1 then 1 else 0 end) as n0, sum(case when p0 < p1 then 1 else 0 end) as n1 from preds group by 1, 2, 3) group by 1, 2, 3""")
 def _(spark, folder):
     path = scratch_path(spark, "matrix")
-    hist = epoch_histograms(spark, folder).where("fold = 0")
+    hist = epoch_histograms(spark, folder).groupBy("arm", "seed", "epoch").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rows = hist.withColumn("pred", F.when(F.col("n0") > F.col("n1") * 0.4, 1).otherwise(0))
     writers.write_churn_matrix(rows, ["arm", "epoch"], "seed", "pred", 5, path)
     schema = "arm int, epoch int, " + ", ".join(f"a{i} int" for i in range(5))

@@ -86,8 +86,8 @@ def _linear_model(scale: float):
 
     def factory():
         def predict(batch: np.ndarray) -> np.ndarray:
-            z = batch[:, :2].astype(np.float64) * scale
-            return np.stack([z[:, 0], z[:, 1]], axis=1)
+            x = batch.astype(np.float64) * scale
+            return np.stack([x[:, :32].sum(axis=1), x[:, 32:].sum(axis=1)], axis=1)
 
         return predict
 
@@ -95,7 +95,7 @@ def _linear_model(scale: float):
 
 
 @query("scoring_hook", """select * from (
-with z as (select vec_id, cast(embedding[1] as double) as a, cast(embedding[2] as double) as b, k from embeddings, (select unnest([1e0, 2e0, 3e0]) as k)),
+with z as (select vec_id, list_sum([cast(x as double) for x in embedding[1:32]]) as a, list_sum([cast(x as double) for x in embedding[33:64]]) as b, k from embeddings, (select unnest([1e0, 2e0, 3e0]) as k)),
 s as (select vec_id, 1e0 / (1e0 + exp((b - a) * k)) as p from z)
 select vec_id, round(avg(p), 9) as p0, count(*) as n_checkpoints from s group by 1)""")
 def _(spark, folder):

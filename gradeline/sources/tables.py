@@ -60,6 +60,11 @@ def predictions(spark: SparkSession, folder: str, arms=(0, 4), seeds=(0, 4), epo
     ).withColumn("p1", F.lit(1.0) - F.col("p0"))
 
 
+def part_sum(vector: str, start: int, n: int):
+    """Sum of `n` consecutive entries of a vector, the first being 1."""
+    return F.aggregate(F.slice(F.col(vector).cast("array<double>"), start, n), F.lit(0.0), lambda a, x: a + x)
+
+
 def covariate(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     return orders.select(

@@ -60,7 +60,7 @@ def test_declared_comparison_without_pairs(spark):
 def test_collapse_enrich_refuses_a_lost_run(spark):
     last_k = spark.createDataFrame([(1, 5, 5), (2, 5, 5)], "run int, n0 int, n1 int")
     epochs = spark.createDataFrame([(1, 0, 5, 5)], "run int, epoch int, n0 int, n1 int")
-    stops(health.collapse_enrich(last_k, epochs, ["run"]), "same target count")
+    stops(health.collapse_enrich(last_k, epochs, ["run"]), "disagree on the number")
 
 
 def test_image_without_a_gap(spark):

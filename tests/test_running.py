@@ -89,3 +89,11 @@ def test_run_metrics_reads_predictions_once(spark, sf_dir):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan[: plan.index("Initial Plan")]
+
+
+def test_numbers_of_ids_spread_over_all_longs(spark):
+    df = spark.range(3000).select(F.xxhash64("id").alias("i"))
+    got = {r["i"]: r["rn"] for r in running.number_by_id(df, [], "i").collect()}
+    assert got == {v: k + 1 for k, v in enumerate(sorted(r["i"] for r in df.collect()))}
+    outer = df.select(F.shiftright(F.floor(F.col("i") / F.lit(1 << 18)).cast("bigint"), 30).alias("b")).agg(F.min("b"), F.max("b")).first()
+    assert outer[1] - outer[0] < 1 << 16

@@ -153,3 +153,26 @@ def test_select_last_k_is_numeric_and_refuses_duplicates(spark):
     twice = spark.createDataFrame([("r", "run_epoch9.pth"), ("r", "run_epoch009.pth")], "run string, name string")
     with pytest.raises(Exception, match="duplicate epoch"):
         predictions.select_last_k(twice, ["run"], "name", "run", 3).collect()
+
+
+def test_stratified_metrics_returns_every_bin(spark):
+    """A key without rows in a bin keeps it with zero support; infinities stop, nothing valid is a status."""
+    rows = [("a", float(i), i % 2, i % 2) for i in range(1, 5)] + [("b", 1.0, 0, 0), ("b", None, 1, 1)]
+    df = spark.createDataFrame(rows, "run string, cov double, y_true int, y_pred int")
+    out = {(r["run"], r["bin"]): r for r in calibration.stratified_metrics(df, "cov", 2, ["run"]).collect()}
+    assert set(out) == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    assert out["b", 1]["support_0"] == out["b", 1]["support_1"] == 0 and out["b", 1]["f1_0"] == 0.0
+    assert out["a", 0]["support_0"] + out["a", 0]["support_1"] + out["a", 1]["support_0"] + out["a", 1]["support_1"] == 4
+    none = calibration.stratified_metrics(df.withColumn("cov", F.lit(None).cast("double")), "cov", 2).collect()
+    assert [(r["bin"], r["status"], r["support_0"], r["excluded"]) for r in none] == [(None, "no_valid_covariates", 0, 6)]
+    with pytest.raises(Exception, match="infinite value"):
+        calibration.stratified_metrics(df.withColumn("cov", F.lit(float("inf"))), "cov", 2).collect()
+
+
+def test_threshold_sweep_counts_as_single_comparisons_do(spark):
+    df = spark.range(2000).select(F.lit("r").alias("run"), (F.col("id") % 2).cast("int").alias("y_true"), (F.col("id") * 37 % 1001 / F.lit(1000.0)).alias("p0"))
+    cuts = [i / 40 for i in range(41)]
+    got = {r["threshold"]: (r["c00"], r["c01"], r["c10"], r["c11"]) for r in metrics.threshold_sweep(df, ["run"], cuts, authorized=True, reason="test").collect()}
+    rows = [(r["y_true"], r["p0"]) for r in df.collect()]
+    for t in cuts:
+        assert got[t] == tuple(sum(1 for y, p in rows if y == c and (p >= t) == hit) for c in (0, 1) for hit in (True, False))
