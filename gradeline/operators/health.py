@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, entropy, f64, inverse_decay, is_finite, is_integral, pick, ramp, softmax, total
 from .metrics import require_authorisation
+from .running import with_group_stats
 
 # Closed collapse bounds on the share of class 0.
 LOW, HIGH = 0.02, 0.60
@@ -332,4 +333,4 @@ def entropy_domain_weights(
     """
     raw = df.withColumn("_w", F.lit(1.0) + F.exp(-entropy(probs, "offset")))
     sums = raw.groupBy(*keys, domain).agg(F.sum("_w").alias("_sum"))
-    return raw.join(sums, [*keys, domain]).withColumn("weight", F.col("_w") / F.col("_sum")).drop("_w", "_sum")
+    return with_group_stats(raw, sums, [*keys, domain]).withColumn("weight", F.col("_w") / F.col("_sum")).drop("_w", "_sum")

@@ -140,8 +140,10 @@ def flatten_metrics(df: DataFrame, keys: Sequence[str], fields: dict[str, str])
     return long.withColumn("value", F.when(is_finite("value"), F.col("value")).otherwise(bad))
 
 
-def class_weights(counts: DataFrame, cls: str, n: str, scheme: str = "inverse", beta: float = 0.999) -> DataFrame:
-    """Class weights from one row per class; an empty class stops the job.
+def class_weights(
+    counts: DataFrame, cls: str, n: str, scheme: str = "inverse", beta: float = 0.999, classes: Sequence | None = None,
+) -> DataFrame:
+    """Class weights from one row per class; an empty class stops the job, and so does one of `classes` without a row.
 
     inverse           n / (C * n_c)
     effective_number  (1-beta)/(1-beta^n_c), scaled to mean 1
@@ -149,6 +151,11 @@ def class_weights(counts: DataFrame, cls: str, n: str, scheme: str = "inverse",
     size = f64(n)
     checked = F.when(size > 0, size).otherwise(F.raise_error(F.concat(F.lit("empty class "), F.col(cls).cast("string"))))
     table = counts.withColumn("_n", checked)
+    if classes is not None:
+        seen = counts.agg(F.collect_set(F.when(F.col(cls).isin(list(classes)), F.col(cls))).alias("_seen"))  # at most the declared classes
+        lacking = F.array_except(F.array(*[F.lit(c) for c in classes]), F.col("_seen"))
+        message = F.concat(F.lit("empty class "), F.array_join(F.transform(lacking, lambda c: c.cast("string")), ", "))
+        table = with_summary(table, seen).withColumn("_n", F.when(F.size(lacking) == 0, F.col("_n")).otherwise(F.raise_error(message))).drop("_seen")
     if scheme == "inverse":
         raw = F.col("_n")
         summary = table.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64
-from .running import number_rows, quantiles, with_summary
+from .running import number_rows, quantiles, with_group_stats, with_summary
 from .vectors import _field_types
 
 
@@ -24,7 +24,7 @@ def affine_match(df: DataFrame, keys: Sequence[str], value: str, mean: Column |
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     matched = (f64(value) - F.col("_m")) / F.col("_s") * to(std) + to(mean)
     out = F.when(F.col("_s") < 1e-6, to(mean)).otherwise(matched)
-    return df.join(stats, list(keys)).withColumn(value, out).drop("_m", "_s")
+    return with_group_stats(df, stats, list(keys)).withColumn(value, out).drop("_m", "_s")
 
 
 def widest_gap(df: DataFrame, image: str, x: str, v: str, ratio: float = 0.4, margin: float = 0.5) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_text
+from ..session import cut_lineage
 
 
 def with_summary(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -29,6 +30,26 @@ def with_summary(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return packed.select(*df.columns, *[F.col("_summary")[n].alias(n) for n in names])
 
 
+#: Rows of a statistics table up to which it may be broadcast.
+SMALL_ROWS = 20_000
+
+
+def with_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Attach the row of `stats` with the same keys, nulls included, to every row of a much larger table.
+
+    `stats` has one row per key. It is written once and counted: up to `SMALL_ROWS` rows it is broadcast,
+    so a few hot keys do not gather the large table; more keys than that spread by themselves.
+    """
+    names = [f"_on{i}" for i in range(len(keys))]
+    other = [c for c in stats.columns if c not in keys]
+    kept = cut_lineage(stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *other))
+    small = F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(small, same).drop(*names)
+
+
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 

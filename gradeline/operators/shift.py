@@ -6,14 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import argmax, f64, hash_text, is_finite
 from ..session import cut_lineage
 from .ranking import roc_auc
-from .running import number_by_hash, with_summary
-from .vectors import logistic_fits, moments
+from .running import number_by_hash, with_group_stats, with_summary
+from .vectors import _field_types, logistic_fits, moments
 
 PROBS = ("p0", "p1")
 
@@ -107,7 +108,7 @@ def domain_standardize(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))), lambda s: F.struct(s["mean"], s["var"])).alias("_stats")
     )
     if mode == "per_domain":
-        joined = df.join(packed, domain)
+        joined = with_group_stats(df, packed, [domain])
     elif mode in ("target", "frozen"):
         chosen = packed.where(F.col(domain) == (target if mode == "target" else source)).select("_stats")
         joined = with_summary(df, chosen)
@@ -361,20 +362,28 @@ def solve_importance_weights(stats: DataFrame) -> DataFrame:
 def ema_over_epochs(df: DataFrame, keys: Sequence[str], epoch: str, value: str, ma: float = 0.5, start: float = 1.0) -> DataFrame:
     """w <- (1-ma)*new + ma*w over epochs in order; a null epoch keeps the previous value.
 
-    Emits one row per epoch. A run has few epochs, so its history travels as one array.
+    Emits one row per epoch. Rows stream in order through the task of their run, which holds one weight
+    and one batch of rows however long the history is.
     """
-    history = F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), f64(value).alias("v"))))
-    packed = df.groupBy(*keys).agg(history.alias("_h"))
-
-    def step(acc: Column, item: Column) -> Column:
-        moved = F.lit(1.0 - ma) * item["v"] + F.lit(ma) * acc["w"]
-        w = F.coalesce(moved, acc["w"])
-        return F.struct(w.alias("w"), F.concat(acc["out"], F.array(F.struct(item["e"].alias("e"), w.alias("w")))).alias("out"))
-
-    element = f"struct<e:{df.schema[epoch].dataType.simpleString()},w:double>"
-    zero = F.struct(F.lit(float(start)).alias("w"), F.array().cast(f"array<{element}>").alias("out"))
-    trail = F.aggregate("_h", zero, step, lambda acc: acc["out"])
-    return packed.select(*keys, F.explode(trail).alias("s")).select(*keys, F.col("s.e").alias(epoch), F.col("s.w").alias("ema"))
+    keys = list(keys)
+    rows = df.select(*keys, epoch, f64(value).alias("_v"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, w = None, float(start)
+        for batch in batches:
+            out = []
+            for *key, _, v in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != run:
+                    run, w = key, float(start)
+                if v is not None:
+                    w = (1.0 - ma) * v + ma * w
+                out.append(w)
+            names = [*keys, epoch]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.float64())], [*names, "ema"])
+
+    ordered = rows.repartition(partitions, *keys).sortWithinPartitions(*keys, epoch)
+    return ordered.mapInArrow(fold, f"{_field_types(df, [*keys, epoch])}, ema double")
 
 
 # --- separability probes ----------------------------------------------------------------------
@@ -389,7 +398,7 @@ def proxy_a_distance(
         raise ValueError("the held-out share must lie inside (0, 1)")
     rows = df.select(id_col, (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"))
     sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
-    split = number_by_hash(rows, ["y"], seed, id_col).join(sizes, "y")
+    split = with_group_stats(number_by_hash(rows, ["y"], seed, id_col), sizes, ["y"])
     split = split.withColumn("test", F.col("rn") <= F.round(F.col("_n") * F.lit(holdout)))
     train = split.where(~F.col("test"))
     stats = domain_means(train.withColumn("_all", F.lit(1)), "_all", "f")
@@ -403,7 +412,7 @@ def proxy_a_distance(
     fit = scaled.where(~F.col("test"))
     balance = fit.groupBy("y").agg(F.count(F.lit(1)).alias("_c"))
     total = fit.agg(F.count(F.lit(1)).alias("_t"))
-    weighted = with_summary(fit.join(balance, "y"), total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
+    weighted = with_summary(with_group_stats(fit, balance, ["y"]), total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
     beta = logistic_fits(weighted, [], "f", "y", "w")[(-1,)]
     decision = _linear_score("f", beta)
     test = scaled.where(F.col("test"))

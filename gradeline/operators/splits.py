@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64, hash_index, hash_text, hash_uniform, total
-from .running import number_by_hash, number_by_id, quantiles, with_summary
+from .running import number_by_hash, number_by_id, quantiles, with_group_stats, with_summary
 
 
 #: Rows of one class that a task may rank. Up to it every task keeps only its own first rows of a class
@@ -28,7 +28,7 @@ def stratified_kfold(df: DataFrame, strata: Sequence[str], label: str, id_col: s
     before = Window.partitionBy(*(strata or [F.lit(0)])).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     # one row per class: the offset table is tiny whatever the number of rows
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = ranked.join(offsets, [*strata, label])
+    joined = with_group_stats(ranked, offsets, [*strata, label])
     return joined.withColumn("fold", ((F.col("_rn") - 1 + F.col("_off")) % k).cast("int")).drop("_rn", "_off")
 
 

@@ -365,9 +365,17 @@ def _(spark, folder):
 
 
 @query("local_path_leak_scan", """
-select doc_id from documents where regexp_matches(text, '/home/|/Users/') or regexp_matches(text, '[A-Za-z]:[\\\\/]([^\\\\/]|$)') or regexp_matches(text, '\\\\\\\\[A-Za-z0-9]')""")
-def _(spark, folder):
-    return tables.table(spark, folder, "documents").where(digests.leaks_local_path("text")).select("doc_id")
+with d as (select doc_id, text || case doc_id % 9 when 1 then ' /home/x' when 2 then ' C:\\x' when 3 then ' \\\\host' when 4 then ' D:/y' when 5 then ' /homes/x'
+  when 6 then ' C:\\\\' when 7 then ' \\host' when 8 then ' http://home' else '' end as text from documents)
+select doc_id from d where regexp_matches(text, '/home/|/Users/') or regexp_matches(text, '[A-Za-z]:[\\\\/]([^\\\\/]|$)') or regexp_matches(text, '\\\\\\\\[A-Za-z0-9]')""")
+def _(spark, folder):
+    # hits and near misses by id, after the whole text
+    ends = [" /home/x", " C:\\x", " \\\\host", " D:/y", " /homes/x", " C:\\\\", " \\host", " http://home"]
+    tail = F.lit("")
+    for i, end in enumerate(ends, 1):
+        tail = F.when(F.col("doc_id") % 9 == i, F.lit(end)).otherwise(tail)
+    documents = tables.table(spark, folder, "documents").withColumn("text", F.concat("text", tail))
+    return documents.where(digests.leaks_local_path("text")).select("doc_id")
 
 
 @query("verify_sha256sums", """

@@ -232,7 +232,7 @@ def _(spark, folder):
 select y_true as cls, count(*) as n, round(sum(count(*)) over () / (count(*) over () * count(*)), 9) as weight from shift group by y_true""")
 def _(spark, folder):
     counts = tables.shift(spark, folder).groupBy(F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(metrics.class_weights(counts, "cls", "n"), "weight")
+    return rounded(metrics.class_weights(counts, "cls", "n", classes=[0, 1]), "weight")
 
 
 @query("class_weights_effective", """
@@ -240,7 +240,7 @@ select cls, n, round(w / sum(w) over () * count(*) over (), 9) as weight
 from (select y_true as cls, count(*) as n, (1 - 0.999e0) / (1 - power(0.999e0, count(*))) as w from shift group by y_true)""")
 def _(spark, folder):
     counts = tables.shift(spark, folder).groupBy(F.col("y_true").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-    return rounded(metrics.class_weights(counts, "cls", "n", "effective_number"), "weight")
+    return rounded(metrics.class_weights(counts, "cls", "n", "effective_number", classes=[0, 1]), "weight")
 
 
 @query("oof_summary", """

@@ -197,3 +197,19 @@ def test_mmd_does_not_depend_on_tiles(spark):
     x = np.array([r[2] for r in rows])
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))[np.triu_indices(1500, 1)]
     assert a["bandwidth"] == pytest.approx(np.median(d), rel=1e-9)
+
+
+def test_ema_over_batches_and_null_keys(spark):
+    rows = [(k, e, None if e % 3 == 0 else float(e)) for k in (None, 1, 2) for e in range(1, 400)]
+    df = spark.createDataFrame(rows, "run bigint, epoch int, v double").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r["run"], r["epoch"]): r["ema"] for r in shift.ema_over_epochs(df, ["run"], "epoch", "v", 0.9, 0.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for k in (None, 1, 2):
+        w = 0.5
+        for e in range(1, 400):
+            w = w if e % 3 == 0 else (1.0 - 0.9) * e + 0.9 * w
+            assert got[k, e] == pytest.approx(w, rel=1e-12)

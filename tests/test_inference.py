@@ -138,3 +138,19 @@ def test_decide_and_effect(spark):
     got = {r["k"]: r for r in inference.effect_over_se(inference.decide(df)).collect()}
     assert got["up"]["verdict"] == "EFFECTIVE" and got["up"]["direction"] == "improve" and got["up"]["effect_over_se"] == pytest.approx(4.0)
     assert got["flat"]["verdict"] == "INCONCLUSIVE" and got["flat"]["direction"] == "n/a" and got["flat"]["effect_over_se"] == math.inf
+
+
+# Macro F1 per seed 0..11 of two arms, and the published result of their comparison.
+ARM_0 = [0.3091155473294553, 0.5499799717496258, 0.36592956592956594, 0.4649735449735449, 0.5383449505592479, 0.35325538766742737,
+         0.27771724862168545, 0.15918532213731434, 0.22601700457815566, 0.3967550400441867, 0.41121310199678107, 0.20252121449943594]
+ARM_2 = [0.535385983987348, 0.6210021321961621, 0.4943906296332905, 0.6025368480725624, 0.5758311551896818, 0.5169094442935066,
+         0.6094632768361582, 0.5773531777956558, 0.4561341571050309, 0.5885919856508092, 0.517141544117647, 0.48552003816793887]
+DELTA, LOW, HIGH = 0.193771039413280, 0.123311926195007, 0.264230152631554
+
+
+def test_published_comparison_of_two_arms(spark):
+    side = lambda values: spark.createDataFrame([("macro_f1", s, v) for s, v in enumerate(values)], "metric string, seed int, value double")
+    pairs = grid.pair_runs(side(ARM_2), side(ARM_0), ["metric"], "seed", "value")
+    r = inference.paired_t(pairs, ["metric"]).first()
+    assert (r["n"], r["mean_difference"]) == (12, pytest.approx(DELTA, rel=1e-9))
+    assert (r["ci_lo"], r["ci_hi"]) == (pytest.approx(LOW, rel=1e-9), pytest.approx(HIGH, rel=1e-9))

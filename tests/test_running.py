@@ -97,3 +97,14 @@ def test_numbers_of_ids_spread_over_all_longs(spark):
     assert got == {v: k + 1 for k, v in enumerate(sorted(r["i"] for r in df.collect()))}
     outer = df.select(F.shiftright(F.floor(F.col("i") / F.lit(1 << 18)).cast("bigint"), 30).alias("b")).agg(F.min("b"), F.max("b")).first()
     assert outer[1] - outer[0] < 1 << 16
+
+
+def test_group_stats_reach_every_row(spark, monkeypatch):
+    """Null keys keep their rows; above the bound the join is planned without a hint and gives the same rows."""
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("b", 4), ("b", 5)], "k string, v int")
+    stats = df.groupBy("k").agg(F.sum("v").alias("s"))
+    want = [("None", 1, 3), ("None", 2, 3), ("a", 3, 3), ("b", 4, 9), ("b", 5, 9)]
+    for bound in (running.SMALL_ROWS, 1):
+        monkeypatch.setattr(running, "SMALL_ROWS", bound)
+        out = running.with_group_stats(df, stats, ["k"])
+        assert sorted((str(r["k"]), r["v"], r["s"]) for r in out.collect()) == want and out.columns == ["k", "v", "s"]

@@ -127,6 +127,9 @@ def test_class_weights(spark):
     eff = [r["weight"] for r in metrics.class_weights(counts, "cls", "n", "effective_number").collect()]
     assert sum(eff) == pytest.approx(2.0)
     empty = spark.createDataFrame([(0, 0), (1, 4)], "cls int, n bigint")
+    with pytest.raises(Exception, match="empty class ship"):
+        two = spark.createDataFrame([("airplane", 3)], "cls string, n bigint")
+        metrics.class_weights(two, "cls", "n", classes=["airplane", "ship"]).collect()
     with pytest.raises(Exception, match="empty class"):
         metrics.class_weights(empty, "cls", "n").collect()
 
