@@ -21,13 +21,19 @@ def _event_stream(spark, folder):
     )
 
 
-@query("monitor_runs", """
-select run_id % 10 as run_group, sum(case when p >= 0.5 then 1 else 0 end)::bigint as n0, sum(case when p < 0.5 then 1 else 0 end)::bigint as n1 from
-  (select user_id as run_id, event_id % 1024 / 1024e0 as p from events) group by 1""")
+@query("monitor_runs", """select * from (
+with e as (select user_id % 10 as run_group, event_id % 40 + 1 as epoch, cast(floor(epoch(ts) / 31536000) as bigint) as window_no, event_id % 101 = 0 as bad, event_id % 1024 / 1024e0 as p from events),
+c as (select *, case when bad then 1e0 else greatest(p, 1e-12) end as a, case when bad then 1e0 else greatest(1 - p, 1e-12) end as b from e),
+g as (select run_group, epoch, window_no, sum(case when bad or p >= 0.5 then 1 else 0 end)::bigint as n0, sum(case when bad or p >= 0.5 then 0 else 1 end)::bigint as n1,
+             round(avg(-a * ln(a) - b * ln(b)), 9) as mean_entropy, bool_or(bad) as has_nan from c group by 1, 2, 3)
+select *, n0 / (n0 + n1) <= 0.02e0 or n0 / (n0 + n1) >= 0.60e0 as collapsed from g)""")
 def _(spark, folder):
     out = scratch_path(spark, "monitor")
-    stream = _event_stream(spark, folder).withColumn("run_group", F.col("run_id") % 10)
-    watched = monitors.monitor_runs(stream, ["run_group"], delay="30 days", window="365 days")
+    bad = F.col("event_id") % 101 == 0
+    stream = _event_stream(spark, folder).select(
+        "ts", (F.col("run_id") % 10).alias("run_group"), (F.col("event_id") % 40 + 1).alias("epoch"),
+        *[F.when(bad, F.lit(float("nan"))).otherwise(F.col(p)).alias(p) for p in ("p0", "p1")])
+    watched = monitors.monitor_runs(stream, ["run_group", "epoch"], delay="30 days", window="365 days")
     # complete results of every window: update mode into a per-batch table
     def keep_latest(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
@@ -37,8 +43,10 @@ def _(spark, folder):
         .trigger(availableNow=True).start()
     )
     job.awaitTermination()
-    latest = spark.read.parquet(out).groupBy("window_start", "run_group").agg(F.max_by(F.struct("n0", "n1"), "batch").alias("v"))
-    return latest.groupBy("run_group").agg(F.sum("v.n0").alias("n0"), F.sum("v.n1").alias("n1"))
+    values = ["n0", "n1", "mean_entropy", "has_nan", "collapsed"]
+    latest = spark.read.parquet(out).groupBy("window_start", "run_group", "epoch").agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    number = F.floor(F.unix_timestamp("window_start") / 31536000).cast("bigint")
+    return rounded(latest.select("run_group", "epoch", number.alias("window_no"), *[F.col(f"v.{v}").alias(v) for v in values]), "mean_entropy")
 
 
 @query("monitor_churn", """

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.scalars import argmax, entropy, f64, is_finite
 from ..operators.health import HIGH, LOW
@@ -19,7 +19,8 @@ def monitor_runs(
 ) -> DataFrame:
     """Predicted histogram, entropy, collapse and NaN flags per key and event-time window.
 
-    The expressions are those of the batch operators; run with output mode 'update' or 'append'.
+    The expressions are those of the batch operators; run with output mode 'update' or 'append'. Rows
+    behind the watermark have no window any more; `late_rows` counts those that a query left out.
     """
     pred = argmax(probs)
     bad = ~is_finite(probs[0])
@@ -35,6 +36,15 @@ def monitor_runs(
     )
 
 
+def late_rows(job: StreamingQuery) -> int:
+    """Rows behind the watermark that a query has left out, over the batches whose progress the session keeps.
+
+    The session keeps `spark.sql.streaming.numRecentProgressUpdates` of them; a listener that adds up the
+    same field serves queries that run for longer.
+    """
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in job.recentProgress for s in p["stateOperators"])
+
+
 class _LastPrediction(StatefulProcessor):
     """Keeps (epoch, prediction) per sample of a run; emits flips, counts late epochs."""
 

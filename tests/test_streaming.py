@@ -50,3 +50,40 @@ def test_log_append_and_stream(spark, folder):
     assert sorted(r["step"] for r in records.read_log(spark, path).collect()) == [1, 2]
     monitors.run_available(records.stream_log(spark, path, files_per_trigger=1), str(folder / "out"), str(folder / "ckpt"))
     assert spark.read.parquet(str(folder / "out")).count() == 2
+
+
+def test_runs_over_batches_out_of_order(spark, folder):
+    """Each file is a batch; epochs come out of order, one row comes after its window is closed and is counted."""
+    src, out = str(folder / "in"), str(folder / "out")
+    schema = "ts timestamp, run int, epoch int, p0 double, p1 double"
+    batches = [
+        [("2024-01-01 10:05:00", 1, 2, 0.9, 0.1), ("2024-01-01 10:10:00", 1, 1, 0.2, 0.8)],
+        [("2024-01-01 10:01:00", 1, 1, float("nan"), float("nan")), ("2024-01-01 10:59:00", 1, 2, 0.3, 0.7)],
+        [("2024-01-01 15:00:00", 1, 3, 0.5, 0.5)],
+        [("2024-01-01 15:10:00", 1, 3, 0.4, 0.6)],  # the filter of late rows follows the watermark one batch later
+        [("2024-01-01 10:02:00", 1, 1, 0.6, 0.4), ("2024-01-01 15:30:00", 1, 3, 0.1, 0.9)],
+    ]
+    rows = F.to_timestamp("ts")
+    for batch in batches:
+        spark.createDataFrame(batch, schema.replace("ts timestamp", "ts string")).withColumn("ts", rows).coalesce(1).write.mode("append").parquet(src)
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    import os
+    import time
+
+    files = sorted((f for f in os.listdir(src) if f.endswith(".parquet")), key=lambda f: os.path.getmtime(f"{src}/{f}"))
+    for k, name in enumerate(files):  # one file a batch, in the order written
+        os.utime(f"{src}/{name}", (time.time() + k, time.time() + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    job = (
+        monitors.monitor_runs(stream, ["run", "epoch"], delay="1 hour", window="1 hour").writeStream.outputMode("update")
+        .foreachBatch(keep).option("checkpointLocation", str(folder / "ckpt")).trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    last = {}
+    for r in spark.read.parquet(out).orderBy("batch").collect():
+        last[r["epoch"], r["window_start"].hour] = (r["n0"], r["n1"], r["has_nan"], r["collapsed"])
+    assert last == {(2, 10): (1, 1, False, False), (1, 10): (1, 1, True, False), (3, 15): (1, 2, False, False)}
+    assert monitors.late_rows(job) == 1
