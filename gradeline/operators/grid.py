@@ -111,11 +111,14 @@ def unmatched_seeds(a: DataFrame, b: DataFrame, keys: Sequence[str], seed: str)
     )
 
 
-def pair_against(values: DataFrame, arm: str, reference, keys: Sequence[str], seed: str, value: str, strict: bool = False) -> DataFrame:
+def pair_against(
+    values: DataFrame, arm: str, reference, keys: Sequence[str], seed: str, value: str, strict: bool = False, keep_reference: bool = False,
+) -> DataFrame:
     """reference - arm for every other arm, matched on keys and seed.
 
     One exchange by (keys, seed) in place of a self-join, so the inputs are computed once. A seed the
-    reference lacks is skipped, or stops the job when `strict`.
+    reference lacks is skipped, or stops the job when `strict`. With `keep_reference` it is paired with
+    itself as well.
     """
     cell = Window.partitionBy(*keys, seed)
     ref = F.max(F.when(F.col(arm) == reference, f64(value))).over(cell)
@@ -124,7 +127,7 @@ def pair_against(values: DataFrame, arm: str, reference, keys: Sequence[str], se
         ref = F.coalesce(ref, F.raise_error(message).cast("double"))
     return (
         values.withColumn("value_a", ref)
-        .where((F.col(arm) != reference) & F.col("value_a").isNotNull())
+        .where(F.col("value_a").isNotNull() if keep_reference else (F.col(arm) != reference) & F.col("value_a").isNotNull())
         .select(
             arm, *keys, seed, "value_a", f64(value).alias("value_b"),
             (F.col("value_a") - f64(value)).alias("difference"),

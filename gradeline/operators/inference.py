@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import f64, hash_index, is_finite
 from ..functions.student import critical_value, two_sided_p
-from .running import running_folds, running_totals, score_buckets
+from .running import running_folds, score_buckets
 
 
 def paired_t(diffs: DataFrame, keys: Sequence[str], diff: str = "difference", confidence: float = 0.95) -> DataFrame:
@@ -133,8 +133,8 @@ def _steps(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
     message = F.concat(F.lit("invalid p-value "), F.coalesce(F.col(p).cast("string"), F.lit("null")))
     valid = F.when(is_finite(p) & f64(p).between(0.0, 1.0), f64(p)).otherwise(F.raise_error(message))
     steps = df.groupBy(*family, valid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(steps, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], ["_n"])
-    return cum.join(steps.groupBy(*family).agg(F.sum("_n").alias("_m")), list(family))
+    cum = running_folds(steps, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], {"_n": "sum"}, whole=True)
+    return cum.withColumnRenamed("all__n", "_m")
 
 
 def _adjusted(df: DataFrame, steps: DataFrame, family: Sequence[str], p: str, name: str, alpha: float) -> DataFrame:
@@ -201,12 +201,16 @@ def compare_arms(
     if seeds is not None:
         known = F.col(seed).isin(list(seeds))
         seed_means = seed_means.withColumn(seed, F.when(known, F.col(seed)).otherwise(F.raise_error(F.concat(F.lit("unexpected seed "), F.col(seed).cast("string")))))
-    reference_seeds = seed_means.where(F.col(arm) == reference).groupBy(metric).agg(F.count(seed).alias("_expected"))
-    tested = paired_t(pair_against(seed_means, arm, reference, [metric], seed, value, strict=True), [arm, metric], confidence=confidence)
+    # the reference paired with itself tells how many seeds it has, without a second pass over the input
+    pairs = pair_against(seed_means, arm, reference, [metric], seed, value, strict=True, keep_reference=True)
+    own = F.max(F.when(F.col(arm) == reference, F.col("n"))).over(Window.partitionBy(metric))
+    tested = paired_t(pairs, [arm, metric], confidence=confidence)
+    columns = tested.columns
+    tested = tested.withColumn("_expected", own).where(F.col(arm) != reference)
     wanted = F.col("_expected") if seeds is None else F.lit(len(set(seeds)))
     message = F.concat(F.lit("seed sets differ for arm "), F.col(arm).cast("string"), F.lit(", metric "), F.col(metric))
-    checked = F.when((F.col("n") == F.col("_expected")) & (F.col("n") == wanted), F.col("n")).otherwise(F.raise_error(message))
-    tested = tested.join(reference_seeds, metric, "left").withColumn("n", checked).select(*tested.columns)
+    checked = F.when(F.col("n").eqNullSafe(F.col("_expected")) & (F.col("n") == wanted), F.col("n")).otherwise(F.raise_error(message))
+    tested = tested.withColumn("n", checked).select(*columns)
     in_headline = F.col(metric).isin(list(headline))
     families = F.explode(F.when(in_headline, F.array(F.lit("all"), F.lit("headline"))).otherwise(F.array(F.lit("all"))))
     rows = tested.withColumn("family", families)

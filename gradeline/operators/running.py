@@ -61,19 +61,22 @@ def _merge(fold: str, a: Column, b: Column) -> Column:
 
 
 def _offsets(totals: DataFrame, keys: list[str], levels: list[str], folds: dict[str, str]) -> DataFrame:
-    """Exclusive prefix of every bucket path, one level at a time from the outermost."""
+    """Exclusive prefix of every bucket path and the result of the whole group, one level at a time from the outermost."""
     outer = levels[:-1]
     order = Window.partitionBy(*keys, *outer) if keys or outer else Window.partitionBy(F.lit(0))
     before = order.orderBy(levels[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    local = totals.select(*keys, *levels, *[_FOLDS[f](s).over(before).alias(f"_before_{s}") for s, f in folds.items()])
+    prefix = [_FOLDS[f](s).over(before).alias(f"_before_{s}") for s, f in folds.items()]
     if not outer:
-        return local
+        group = Window.partitionBy(*(keys or [F.lit(0)]))
+        return totals.select(*keys, *levels, *prefix, *[_FOLDS[f](s).over(group).alias(f"_all_{s}") for s, f in folds.items()])
+    local = totals.select(*keys, *levels, *prefix)
     upper = _offsets(
         totals.groupBy(*keys, *outer).agg(*[_FOLDS[f](s).alias(s) for s, f in folds.items()]), keys, outer, folds
     ).withColumnsRenamed({f"_before_{s}": f"_upper_{s}" for s in folds})
     return local.join(upper, [*keys, *outer]).select(
         *keys, *levels,
         *[_merge(f, F.col(f"_before_{s}"), F.col(f"_upper_{s}")).alias(f"_before_{s}") for s, f in folds.items()],
+        *[f"_all_{s}" for s in folds],
     )
 
 
@@ -84,10 +87,12 @@ def running_folds(
     order: Sequence[Column],
     folds: dict[str, str],
     prefix: str = "cum_",
+    whole: bool = False,
 ) -> DataFrame:
     """Add the inclusive running sum, max or min `cum_<column>` of each column, per key group in `order`.
 
-    `folds` maps column to 'sum', 'max' or 'min'. `buckets` are expressions that never decrease along
+    `folds` maps column to 'sum', 'max' or 'min'; with `whole`, `all_<column>` is the result of the
+    whole group, which the bucket totals give for nothing. `buckets` are expressions that never decrease along
     `order`, coarsest first. `order` must be unique inside a group, or the results of tied rows are
     arbitrary. A null key or bucket has no place in the order and stops the job; no row is dropped.
     """
@@ -107,6 +112,7 @@ def running_folds(
     return joined.select(
         *df.columns,
         *[_merge(f, F.col(f"{prefix}{s}"), F.col(f"_before_{s}")).alias(f"{prefix}{s}") for s, f in folds.items()],
+        *([F.col(f"_all_{s}").alias(f"all_{s}") for s in folds] if whole else []),
     )
 
 
