@@ -34,16 +34,17 @@ def with_summary(df: DataFrame, one_row: DataFrame) -> DataFrame:
 SMALL_ROWS = 20_000
 
 
-def with_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], small_rows: int | None = None) -> DataFrame:
     """Attach the row of `stats` with the same keys, nulls included, to every row of a much larger table.
 
-    `stats` has one row per key. It is written once and counted: up to `SMALL_ROWS` rows it is broadcast,
-    so a few hot keys do not gather the large table; more keys than that spread by themselves.
+    `stats` has one row per key. It is written once and counted: up to `small_rows` (else `SMALL_ROWS`)
+    rows it is broadcast, so a few hot keys do not gather the large table; more keys than that spread by
+    themselves. Statistics with wide rows state a lower bound.
     """
     names = [f"_on{i}" for i in range(len(keys))]
     other = [c for c in stats.columns if c not in keys]
     kept = cut_lineage(stats.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *other))
-    small = F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+    small = F.broadcast(kept) if kept.count() <= (SMALL_ROWS if small_rows is None else small_rows) else kept
     same = F.lit(True)
     for k, n in zip(keys, names):
         same = same & F.col(k).eqNullSafe(F.col(n))

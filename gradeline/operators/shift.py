@@ -108,7 +108,7 @@ def domain_standardize(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))), lambda s: F.struct(s["mean"], s["var"])).alias("_stats")
     )
     if mode == "per_domain":
-        joined = with_group_stats(df, packed, [domain])
+        joined = with_group_stats(df, packed, [domain], small_rows=256)  # a row holds two values per feature
     elif mode in ("target", "frozen"):
         chosen = packed.where(F.col(domain) == (target if mode == "target" else source)).select("_stats")
         joined = with_summary(df, chosen)
