@@ -21,6 +21,8 @@ PARAGRAPH = 50
 VALUES, RECALL = 3, 0.98
 #: Code points that travel on either side of the stretches in common.
 MARGIN = 400
+#: Places of shingles of one pair of texts that are laid on diagonals at a time.
+STEP = 1 << 20
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -115,41 +117,97 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
     return met.groupBy(F.col("sample_id").alias("a"), "b").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: float) -> list[tuple[int, int, int, int]]:
+def _repeats(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of every `width` neighbours, and the first of the consecutive stretches with the same set."""
+    n = len(v) - width + 1
+    order = np.argsort(v, kind="stable")
+    before, after = np.full(len(v), -1), np.full(len(v), len(v) + width)
+    same = v[order[1:]] == v[order[:-1]]
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    i = np.flatnonzero((before >= 0) & (np.arange(len(v)) - before < width))
+    steps = np.zeros(len(v) + 1, np.int64)
+    np.add.at(steps, np.maximum(i - width + 1, 0), 1)
+    np.add.at(steps, before[i] + 1, -1)
+    s = np.arange(n - 1)
+    alike = np.concatenate(([False], (after[s] <= s + width) & (before[s + width] >= s)))
+    return width - np.cumsum(steps)[:n], np.maximum.accumulate(np.where(alike, 0, np.arange(n)))
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distinct values that each row of `x` has in common with the same row of `y`."""
+    both = np.sort(np.concatenate((2 * x, 2 * y + 1), axis=1), axis=1)
+    return ((both[:, :-1] & 1 == 0) & (both[:, 1:] == both[:, :-1] + 1)).sum(axis=1)
+
+
+def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: float, turned: bool = False) -> list[tuple[int, int, int, int]]:
     """Runs (start, end, start there, end there) of shingles of `a` whose stretches have a match in `b`.
 
-    A stretch of `a` is laid on `b` where its middle common shingle says. With n shingles on both sides
-    and c of them common and within the laid stretch, it matches when c / (2n - c) reaches the threshold.
-    Matching stretches that overlap and are laid alike join.
+    A stretch of `a` is laid on `b` on every diagonal on which one of its shingles has a place in `b`, and
+    every place where the sets of shingles of both stretches have a Jaccard similarity of `threshold` is a
+    match. Consecutive stretches with one set are compared once; where there are some, the stretches of
+    `b` are laid on `a` as well. Matching stretches of a diagonal that overlap join.
     """
     if len(a) < width or len(b) < width:
         return []
-    known, place = np.unique(b, return_index=True)
+    known, code = np.unique(b, return_inverse=True)
     near = np.minimum(np.searchsorted(known, a), len(known) - 1)
-    hits = np.flatnonzero(known[near] == a)
-    need = int(np.ceil(2 * width * threshold / (1 + threshold) - 1e-9))
-    low = np.searchsorted(hits, np.arange(len(a) - width + 1))
-    high = np.searchsorted(hits, np.arange(width, len(a) + 1))
-    starts = np.flatnonzero(high - low >= need)
-    if not len(starts):
+    hit = known[near] == a
+    if hit.sum() == 0:
         return []
-    there = place[near[hits]]
-    lo, n = low[starts], high[starts] - low[starts]
-    shift = (there - hits)[(lo + high[starts]) // 2]
-    flat = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    begin = np.repeat(starts + shift, n)
-    inside = (there[flat] >= begin) & (there[flat] < begin + width)
-    common = np.add.reduceat(inside.astype(np.int64), np.concatenate(([0], np.cumsum(n)[:-1])))
-    good = common >= need
-    starts, shift = starts[good], shift[good]
-    if not len(starts):
+    own = np.where(hit, near, -1)
+    size_a, first_a = _repeats(a, width)
+    share = threshold / (1 + threshold)
+    total = np.concatenate(([0], np.cumsum(hit)))
+    met = total[width:] - total[:-width]  # shingles with a place in b, repeats included
+    at = np.arange(len(met))
+    good = np.flatnonzero((met >= np.ceil(threshold * size_a - 1e-9)) & (first_a == at))
+    if not len(good):
         return []
-    cut = np.flatnonzero((np.diff(starts) > width) | (np.abs(np.diff(shift)) > width)) + 1
-    out = []
-    for s, d in zip(np.split(starts, cut), np.split(shift, cut)):
-        t = s + d
-        out.append((int(s[0]), int(s[-1]) + width, max(0, int(t.min())), min(len(b), int(t.max()) + width)))
-    return out
+    back = [] if turned or (first_a == at).all() else [(u, v, x, y) for x, y, u, v in matching_stretches(b, a, width, threshold, True)]
+    size_b, first_b = _repeats(b, width)
+    last_a, last_b = (np.append(np.flatnonzero(np.diff(f)), len(f) - 1) for f in (first_a, first_b))
+    places = np.argsort(code, kind="stable")
+    bounds = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(known)))))
+    near_good = np.searchsorted(good, np.arange(len(a)), "right") > np.searchsorted(good, np.arange(len(a)) - width + 1)
+    asked = np.flatnonzero(hit & near_good)
+    count = bounds[own[asked] + 1] - bounds[own[asked]]
+    done = np.cumsum(count)
+    out, low, span = [], 0, len(a) + len(b) + 2 * width
+    while low < len(asked):
+        high = max(low + 1, int(np.searchsorted(done, (done[low - 1] if low else 0) + STEP, "right")))
+        i, n = asked[low:high], count[low:high]
+        place = places[np.repeat(bounds[own[i]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        i = np.repeat(i, n)
+        vote = np.sort((place - i + len(a)) * span + i)
+        diagonal, i = vote // span, vote % span
+        since = np.where(np.concatenate(([False], diagonal[1:] == diagonal[:-1])), np.concatenate(([0], i[:-1])) + 1, 0)
+        lo, hi = np.searchsorted(good, np.maximum(i - width + 1, since)), np.searchsorted(good, i, "right")
+        n = np.maximum(hi - lo, 0)
+        s = good[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        d = np.repeat(diagonal, n)
+        laid = s + d - len(a)
+        t = np.clip(laid, 0, len(b) - width)
+        votes = np.searchsorted(vote, d * span + s + width) - np.searchsorted(vote, d * span + s)
+        least = np.ceil(share * (size_a[s] + size_b[t]) - 1e-9)
+        sure = (votes >= least) & (size_a[s] == width) & (laid == t)
+        open_ = ~sure & (met[s] >= least)
+        if open_.any():
+            s_t = np.unique(s[open_] * span + first_b[t[open_]])
+            for part in np.array_split(s_t, len(s_t) // 8192 + 1):
+                x, y = part // span, part % span
+                yes = _common(own[x[:, None] + np.arange(width)], code[y[:, None] + np.arange(width)]) >= np.ceil(share * (size_a[x] + size_b[y]) - 1e-9)
+                out.append(np.stack((x[yes], y[yes])))
+        out.append(np.stack((s[sure], first_b[t[sure]])))
+        low = high
+    s, t = np.concatenate(out, axis=1)
+    s_t = np.unique((t - s + len(a)) * span + s)
+    s, d = s_t % span, s_t // span - len(a)
+    if not len(s):
+        return back
+    t = s + d
+    s_end, t_end = last_a[np.searchsorted(last_a, s)], last_b[np.searchsorted(last_b, t)]
+    cut = np.flatnonzero((np.diff(d) != 0) | (s[1:] - s_end[:-1] > width)) + 1
+    return back + [(int(w.min()), int(x.max()) + width, int(y.min()), int(z.max()) + width) for w, x, y, z in zip(*(np.split(c, cut) for c in (s, s_end, t, t_end)))]
 
 
 def shared_stretches(pairs: DataFrame, records: DataFrame, paragraph: int, shingle: int, threshold: float) -> DataFrame:
@@ -196,7 +254,7 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     A paragraph is any stretch of `paragraph` words, since repeated passages often stand inside a longer
     line. Its MinHash bands are shaped for high recall. The records of a key meet its smallest id, and
     the smallest id with the same context before or after the key, never each other. For these pairs whole texts are compared: every stretch against the
-    stretch of the partner that its common shingles point to, by exact Jaccard of their shingles.
+    stretches of the partner on all diagonals of its common shingles, by exact Jaccard of their sets of shingles.
     Matching stretches join to passages, overlapping passages of a record to one, and components of the
     links between passages are the clusters.
 
