@@ -19,7 +19,7 @@ SIMILARITY = 0.75
 PARAGRAPH = 50
 #: Hash values a stretch may spend on bands, and the least probability that they find a pair at the threshold.
 VALUES, RECALL = 3, 0.98
-#: Code points that travel on either side of the stretches in common.
+#: Code points that travel on either side of the stretches in common, to find whether a pair matches there.
 MARGIN = 400
 #: Places of shingles of one pair of texts that are laid on diagonals at a time.
 STEP = 1 << 20
@@ -211,14 +211,17 @@ def matching_stretches(a: np.ndarray, b: np.ndarray, width: int, threshold: floa
 
 
 def shared_stretches(pairs: DataFrame, records: DataFrame, paragraph: int, shingle: int, threshold: float) -> DataFrame:
-    """(a, a_start, a_end, b, b_start, b_end) in code points, for pairs (a, b, low, high) of records.
+    """(a, a_start, a_end, b, b_start, b_end) in code points, for pairs (a, b) of records.
 
-    Only the part of `a` that its common keys bound travels to `b`; texts share one exchange on the id.
+    Where pairs have `low` and `high`, only that part of `a` and a margin travel to `b`, which decides
+    whether their common keys stand in a match; otherwise whole texts meet. Texts share one exchange on
+    the id.
     """
     texts = records.select(F.col("sample_id").alias("_id"), F.col("content").alias("_text")).where("_id is not null")
-    skip = F.greatest(F.lit(0), F.col("low") - MARGIN)
-    left = texts.join(pairs, F.col("_id") == F.col("a")).select(
-        "a", "b", skip.alias("skip"), F.substring("_text", skip + 1, F.col("high") + MARGIN - skip).alias("text_a"))
+    part = "low" in pairs.columns
+    skip = F.greatest(F.lit(0), F.col("low") - MARGIN) if part else F.lit(0)
+    sent = F.substring("_text", skip + 1, F.col("high") + MARGIN - skip) if part else F.col("_text")
+    left = texts.join(pairs, F.col("_id") == F.col("a")).select("a", "b", skip.alias("skip"), sent.alias("text_a"))
     both = texts.join(left, F.col("_id") == F.col("b")).select("a", "b", "skip", "text_a", F.col("_text").alias("text_b"))
     width = paragraph - shingle + 1
     kind = pairs.select("a").dtypes[0][1]
@@ -253,8 +256,9 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
 
     A paragraph is any stretch of `paragraph` words, since repeated passages often stand inside a longer
     line. Its MinHash bands are shaped for high recall. The records of a key meet its smallest id, and
-    the smallest id with the same context before or after the key, never each other. For these pairs whole texts are compared: every stretch against the
-    stretches of the partner on all diagonals of its common shingles, by exact Jaccard of their sets of shingles.
+    the smallest id with the same context before or after the key, never each other. The part of a record
+    that its common keys bound is compared with the partner; where a stretch matches, whole texts are
+    compared: every stretch against the stretches of the partner on all diagonals of its common shingles, by exact Jaccard of their sets of shingles.
     Matching stretches join to passages, overlapping passages of a record to one, and components of the
     links between passages are the clusters.
 
@@ -264,7 +268,8 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     """
     keys = settled(paragraph_keys(records, paragraph, shingle, threshold), "paragraphs")
     pairs = candidate_pairs(keys)
-    links = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "stretches")
+    met = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "met").select("a", "b").distinct()
+    links = settled(shared_stretches(met, records, paragraph, shingle, threshold), "stretches")
     ends = links.select(F.col("a").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionAll(
         links.select("b", "b_start", "b_end")).distinct()
     order = Window.partitionBy("id").orderBy("start", "end")

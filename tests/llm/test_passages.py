@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from gradeline.llm import passages
 
@@ -35,6 +36,20 @@ def reported(a, b):
     return {k for s, e, _, _ in runs for k in range(s, e)}, {k for _, _, s, e in runs for k in range(s, e)}
 
 
+def pieces(passage, words):
+    """A record that holds every shingle of the passage with half a stretch before or after it, never a match."""
+    out = []
+    for k in range(len(passage)):
+        out += [*words(30), *passage[max(0, k - 23) : k + 5], *words(30), *passage[k : k + 28]]
+    return out + words(30)
+
+
+@pytest.fixture
+def words():
+    rng = random.Random(8)
+    return lambda n: [f"w{rng.randrange(10**6):06d}" for _ in range(n)]
+
+
 def test_stretches_with_repeated_lines_and_several_places():
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
@@ -51,3 +66,14 @@ def test_stretches_with_repeated_lines_and_several_places():
         passage = (words(period) * 90)[:80]
         a, b = words(30) + passage + words(20), words(50) + passage + words(10)
         assert reported(a, b) == covered(a, b)
+
+
+def test_passages_are_whole_where_their_keys_have_another_smallest_id(spark, words):
+    passage = words(300)
+    edited = [w if k % 44 else "edited" for k, w in enumerate(passage)]
+    rows = [(0, pieces(passage[80:], words)), (1, words(40) + passage + words(40)), (2, words(90) + edited + words(40)), (3, words(50))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "sample_id bigint, content string")
+    found = {r["sample_id"]: (r["start"], r["end"]) for r in passages.repeated_passages(df).collect()}
+    want = covered(rows[1][1], rows[2][1])
+    at = lambda i, c: (sum(len(w) + 1 for w in rows[i][1][: min(c)]), sum(len(w) + 1 for w in rows[i][1][: max(c) + passages.SHINGLE]) - 1)
+    assert len(want[0]) > 250 and found == {1: at(1, want[0]), 2: at(2, want[1])}
