@@ -23,6 +23,8 @@ VALUES, RECALL = 3, 0.98
 MARGIN = 400
 #: Places of shingles of one pair of texts that are laid on diagonals at a time.
 STEP = 1 << 20
+#: Places of a key on one side of a block when they are compared with each other.
+BLOCK = 2048
 
 
 def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -50,10 +52,10 @@ def _text_rolls(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray,
 
 def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE,
                    threshold: float = SIMILARITY, values: int = VALUES, recall: float = RECALL) -> DataFrame:
-    """(sample_id, key, before, after, low, high): the band keys of all stretches of a record, each context once.
+    """(sample_id, key, before, after, low, high): the band keys of all stretches of a record, once for each place.
 
-    `low` and `high` bound the code points of the stretches with that key. Neighbouring stretches mostly
-    have the same least shingle, so a text has few keys. `before` and `after` are 16 bits of the least
+    `low` and `high` bound the code points of neighbouring stretches with that key, at most as many as a
+    stretch has shingles. Neighbouring stretches mostly have the same least shingle, so a text has few keys. `before` and `after` are 16 bits of the least
     hash in half a stretch on either side of the shingle that gave the key, null where the text ends
     sooner. Two copies of a stretch agree on one of them, as one half lies inside the stretch.
     """
@@ -80,35 +82,35 @@ def paragraph_keys(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int
                     hashed = rolls * mult[k] + plus[k]
                     least = _sliding_min(hashed, width)
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[at])
-                opens = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+                fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
+                since = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                opens = np.flatnonzero((np.arange(len(at)) - since) % width == 0)
                 closes = np.concatenate((opens[1:], [len(at)])) - 1
-                own, keys, start = text[opens], key[opens], at[opens]
+                own, start = text[opens], at[opens]
                 low, high = begin[start] - base[own], finish[at[closes] + paragraph - 1] - base[own]
                 place = start + np.argmax(hashed[start[:, None] + np.arange(width)] == least[start][:, None], axis=1)
                 sides = [_at(around, place - half, place - half >= first[own]), _at(around, place + 1, place + half + shingle <= first[own + 1])]
-                order = np.lexsort((sides[1], sides[0], keys, own))
-                own, keys, left, right = own[order], keys[order], sides[0][order], sides[1][order]
-                fresh = [c[1:] != c[:-1] for c in (own, keys, left, right)]
-                once = np.flatnonzero(np.concatenate(([True], np.any(fresh, axis=0))))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("sample_id").take(pa.array(own[once])), pa.array(keys[once].view(np.int64)),
-                    *[pa.array(c[once], mask=c[once] < 0) for c in (left, right)],
-                    pa.array(np.minimum.reduceat(low[order], once).astype(np.int32)),
-                    pa.array(np.maximum.reduceat(high[order], once).astype(np.int32))],
+                    batch.column("sample_id").take(pa.array(own)), pa.array(key[opens].view(np.int64)),
+                    *[pa.array(c, mask=c < 0) for c in sides], pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
                     ["sample_id", "key", "before", "after", "low", "high"])
 
     return records.select("sample_id", "content").where("sample_id is not null").mapInArrow(work, f"sample_id {kind}, key bigint, before smallint, after smallint, low int, high int")
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
+def key_members(keys: DataFrame) -> DataFrame:
+    """The places of all keys that several records have, with the key's smallest id `b` and its number of places `n`."""
+    shared = keys.groupBy("key").agg(F.min("sample_id").alias("b"), F.count("*").alias("n"), F.max("sample_id").alias("_last")).where("b < _last").drop("_last")
+    return keys.join(shared, "key")
+
+
+def candidate_pairs(members: DataFrame) -> DataFrame:
     """(a, b, low, high): the records of a key and its smallest id, and where several records have a key,
     also those that have the context on one side in common and the smallest of these.
 
     The smallest id of a key may hold its shingle in a sentence of its own. The records of one passage
-    share a context with the key and meet there.
+    share a context with the key and meet there. `members` are those of `key_members`.
     """
-    shared = keys.groupBy("key").agg(F.min("sample_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    members = settled(keys.join(shared, "key"), "members")
     met = members.where("sample_id <> b").select("sample_id", "b", "low", "high")
     for side in ("before", "after"):
         rows = members.where(F.col("n") > 2).where(F.col(side).isNotNull()).select("sample_id", "b", "key", side, "low", "high")
@@ -247,29 +249,168 @@ def shared_stretches(pairs: DataFrame, records: DataFrame, paragraph: int, shing
     return both.mapInArrow(work, f"a {kind}, a_start bigint, a_end bigint, b {kind}, b_start bigint, b_end bigint")
 
 
-def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
-    """Passages of at least `paragraph` words that several records share, clustered.
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 1 << 12) -> Iterator[pa.Table]:
+    """Tables of at least so many rows, the last one but for it, that cut no group of rows with equal leading columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cols = [table.column(i).to_numpy() for i in range(keys)]
+        last = np.flatnonzero(np.any([c != c[-1] for c in cols], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, least: np.ndarray, width: int, threshold: float) -> np.ndarray:
+    """Whether a stretch of each window of `x` has so many distinct shingles in the window of `y` that it may match there."""
+    out = np.zeros(len(x), bool)
+    at = np.arange(x.shape[1])
+    rows, inverse = np.unique(x, axis=0, return_inverse=True)
+    seen = np.where((rows[:, :, None] == rows[:, None, :]) & (at < at[:, None]), (at + 1).astype(np.uint8 if len(at) < 255 else np.int64), 0).max(axis=2)
+    seen, shared = seen[inverse.ravel()], (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
+    share = threshold / (1 + threshold)
+    for s in range(len(at) - width + 1):
+        new = seen[:, s : s + width] <= s  # no earlier place inside the stretch
+        size, met = np.count_nonzero(new, axis=1), np.count_nonzero(new & shared[:, s : s + width], axis=1)
+        out |= (x[:, s + width - 1] >= 0) & (met >= share * (size + least) - 1e-9) & (met >= threshold * size - 1e-9)
+    return out
 
-    Reads `sample_id` (an integer type), `content`; returns one row per passage that has a partner:
-    `sample_id`, `start`, `end` (code points, end exclusive), `component_id` (smallest id in its cluster),
-    `component_start`, `kept` (the cluster's first passage stays, the others are removals).
 
-    A paragraph is any stretch of `paragraph` words, since repeated passages often stand inside a longer
-    line. Its MinHash bands are shaped for high recall. The records of a key meet its smallest id, and
-    the smallest id with the same context before or after the key, never each other. The part of a record
-    that its common keys bound is compared with the partner; where a stretch matches, whole texts are
-    compared: every stretch against the stretches of the partner on all diagonals of its common shingles, by exact Jaccard of their sets of shingles.
-    Matching stretches join to passages, overlapping passages of a record to one, and components of the
-    links between passages are the clusters.
+def _likely(table: pa.Table, width: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (x, y) of a group in different components whose windows share enough shingles, with the windows and the group of a row.
 
-    Null, empty and shorter texts share nothing, and repeats inside one text do not count. Rows repeated
-    with one id are one record; null ids are left out. Ties go to the smaller id, then the earlier
-    place. Further columns are ignored. An empty table gives an empty result.
+    Windows contain the stretches of a key at a place, so they share at least what two matching stretches do.
+    Small groups are compared together. In larger ones shingles in 1,024 buckets bound what windows share.
     """
-    keys = settled(paragraph_keys(records, paragraph, shingle, threshold), "paragraphs")
-    pairs = candidate_pairs(keys)
-    met = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "met").select("a", "b").distinct()
-    links = settled(shared_stretches(met, records, paragraph, shingle, threshold), "stretches")
+    n, share = table.num_rows, threshold / (1 + threshold)
+    side, ids, part, least = (table.column(c).to_numpy() for c in ("side", "id", "component", "least"))
+    cols = [table.column(c).to_numpy() for c in ("key", "i", "j")]
+    edges = np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1, [n]))
+    group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    held = table.column("window").to_pylist()
+    sizes = np.array([len(w) // 4 for w in held])
+    windows = np.full((n, sizes.max()), -1, np.int64)
+    windows[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer(b"".join(held), np.uint32)
+    need = lambda x, y: np.ceil(share * (least[x] + least[y]) - 1e-9)
+
+    def decided(x: np.ndarray, y: np.ndarray):
+        open_ = (part[x] != part[y]) & (ids[x] != ids[y])
+        x, y = x[open_], y[open_]
+        for k in range(0, len(x), 8192):
+            u, v = x[k : k + 8192], y[k : k + 8192]
+            yes = _common(windows[u], np.where(windows[v] < 0, -2, windows[v])) >= need(u, v)
+            u, v = u[yes], v[yes]
+            for q in range(0, len(u), 512):
+                a, b = u[q : q + 512], v[q : q + 512]
+                for _ in range(2):  # from either side
+                    if len(a):
+                        near = _reaches(windows[a], windows[b], least[b], width, threshold)
+                        b, a = a[near], b[near]
+                if len(a):
+                    yield a, b, windows, group
+
+    size = np.diff(edges)
+    small = (size <= 64) & (side[edges[:-1]] == 2)
+    for m in np.unique(size[small]):
+        x, y = np.triu_indices(m, 1)
+        starts = edges[:-1][small & (size == m)]
+        yield from decided((starts[:, None] + x).ravel(), (starts[:, None] + y).ravel())
+    for g in np.flatnonzero(~small):
+        rows = np.arange(edges[g], edges[g + 1])
+        asking, asked = rows[side[rows] != 1], rows[side[rows] != 0]
+        bucket = np.zeros((len(rows), 1024), np.float32)
+        r, c = np.nonzero(windows[rows] >= 0)
+        np.add.at(bucket, (r, windows[rows][r, c] & 1023), 1)
+        other = bucket[asked - edges[g]].T
+        for k in range(0, len(asking), 64):
+            xs = asking[k : k + 64]
+            bound = bucket[xs - edges[g]] @ other
+            x, y = np.nonzero((bound >= need(xs[:, None], asked[None, :])) & (part[xs][:, None] != part[asked][None, :]))
+            x, y = xs[x], asked[y]
+            once = (side[x] != 2) | (x < y)
+            yield from decided(x[once], y[once])
+
+
+def _across(members: DataFrame, passages: DataFrame, records: DataFrame, paragraph: int, shingle: int, threshold: float,
+            block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of records that match at a key whose places are in more than one component so far.
+
+    `passages` are (id, start, end, component). A place belongs to the passage over its middle, or stands
+    alone. Smallest ids have met all records of their keys and stay out. The shingle hashes of all stretches
+    of a place, at most two stretches wide, are its window. Up to a block of places of a key meet in one
+    group; of more, the places outside the largest component are dealt into blocks, and each meets each
+    block of all places. Within a group every pair in different components is compared, and what leaves
+    are pairs that join components of the group, so a key whose places are in one component sends nothing.
+    """
+    width = paragraph - shingle + 1
+    middle = F.floor((F.col("low") + F.col("high")) / 2)
+    named = passages.select(F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.xxhash64("component").alias("_component"))
+    rows = members.where("n > 2 and sample_id <> b").join(named, (F.col("sample_id") == F.col("_id")) & (middle >= F.col("_start")) & (middle < F.col("_end")), "left").select(
+        "key", F.col("sample_id").alias("id"), "low", "high", F.coalesce("_component", F.xxhash64(F.lit("alone"), "sample_id", "low")).alias("component"))
+    rows = settled(rows, "placed")
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1").select(
+        "key", "n", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("asking"))
+    texts = records.select(F.col("sample_id").alias("_id"), F.col("content").alias("_text")).where("_id is not null")
+    placed = texts.join(rows.join(open_, "key"), F.col("_id") == F.col("id")).select(
+        "key", "id", "component", "n", "main", "asking", F.substring("_text", F.col("low") + 1, F.col("high") - F.col("low")).alias("part"))
+    kept = ["key", "id", "component", "n", "main", "asking"]
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "part"):
+            rolls, _, _, first, _ = _text_rolls(batch.column("part"), shingle)
+            held, least = [], []
+            full = np.flatnonzero(np.diff(first) >= paragraph)  # the other rows are those of another text with the id
+            for a, b in zip(first[full], first[full + 1]):
+                own = (rolls[a : b - shingle + 1] >> np.uint64(32)).astype(np.uint32)
+                held.append(own.tobytes())
+                least.append(int(_repeats(own.astype(np.int64), width)[0].min()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(full)) for c in kept), pa.array(held, pa.binary()), pa.array(least, pa.int32())], [*kept, "window", "least"])
+
+    kinds = dict(placed.dtypes)
+    windows = settled(placed.mapInArrow(open_windows, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", window binary, least int"), "windows")
+    cells = lambda c: F.ceil(F.col(c) / block).cast("int")
+    cell = lambda seed, c: F.pmod(F.xxhash64(F.lit(seed), "id", "window"), cells(c).cast("bigint")).cast("int")
+    held = ["id", "component", "window", "least"]
+    zero, many = F.lit(0), F.col("n") > block
+    dealt = (windows.where(~many).select("key", zero.alias("i"), zero.alias("j"), F.lit(2).alias("side"), *held)
+             .unionAll(windows.where(many).where("component <> main").select("key", cell(1, "asking").alias("i"), F.explode(F.sequence(zero, cells("n") - 1)).alias("j"), zero.alias("side"), *held))
+             .unionAll(windows.where(many).select("key", F.explode(F.sequence(zero, cells("asking") - 1)).alias("i"), cell(2, "n").alias("j"), F.lit(1).alias("side"), *held)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3):
+            ids, part = table.column("id").to_numpy(), table.column("component").to_numpy()
+            root: dict = {}
+
+            def top(c):
+                while c in root:
+                    c = root[c]
+                return c
+
+            links = set()
+            for xs, ys, hashes, group in _likely(table, width, threshold):
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    a, b = top((group[x], part[x])), top((group[y], part[y]))
+                    if a != b and matching_stretches(hashes[x][hashes[x] >= 0], hashes[y][hashes[y] >= 0], width, threshold):
+                        root[max(a, b)] = min(a, b)
+                        links.add((max(ids[x], ids[y]), min(ids[x], ids[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*sorted(links))], ["a", "b"])
+
+    keys = ["key", "i", "j"]
+    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = kinds["id"]
+    return dealt.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(meet, f"a {kind}, b {kind}").distinct()
+
+
+def _clusters(links: DataFrame) -> DataFrame:
+    """(id, start, end, component) of the passages that links (a, a_start, a_end, b, b_start, b_end) show."""
     ends = links.select(F.col("a").alias("id"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).unionAll(
         links.select("b", "b_start", "b_end")).distinct()
     order = Window.partitionBy("id").orderBy("start", "end")
@@ -284,6 +425,38 @@ def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: i
     labels = connected_components(edges)
     passages = places.groupBy("passage").agg(F.max("passage_end").alias("end"))
     return passages.join(labels, passages["passage"] == labels["node"]).select(
-        F.col("passage.id").alias("sample_id"), F.col("passage.start").alias("start"), "end",
+        F.col("passage.id").alias("id"), F.col("passage.start").alias("start"), "end", "component")
+
+
+def repeated_passages(records: DataFrame, paragraph: int = PARAGRAPH, shingle: int = SHINGLE, threshold: float = SIMILARITY) -> DataFrame:
+    """Passages of at least `paragraph` words that several records share, clustered.
+
+    Reads `sample_id` (an integer type), `content`; returns one row per passage that has a partner:
+    `sample_id`, `start`, `end` (code points, end exclusive), `component_id` (smallest id in its cluster),
+    `component_start`, `kept` (the cluster's first passage stays, the others are removals).
+
+    A paragraph is any stretch of `paragraph` words, since repeated passages often stand inside a longer
+    line. Its MinHash bands are shaped for high recall. The records of a key meet its smallest id and
+    the smallest id with the same context before or after the key. Where a key's places are in several
+    components after that, they meet each other; only places in passages of one cluster do not. The part of
+    a record that its common keys bound is compared with the partner; where a stretch matches, whole texts
+    are: every stretch against the stretches of the partner on all diagonals of its common shingles, by
+    exact Jaccard of their sets of shingles.
+    Matching stretches join to passages, overlapping passages of a record to one, and components of the
+    links between passages are the clusters.
+
+    Null, empty and shorter texts share nothing, and repeats inside one text do not count. Rows repeated
+    with one id are one record; null ids are left out. Ties go to the smaller id, then the earlier
+    place. Further columns are ignored. An empty table gives an empty result.
+    """
+    keys = settled(paragraph_keys(records, paragraph, shingle, threshold), "paragraphs")
+    members = settled(key_members(keys), "members")
+    pairs = candidate_pairs(members)
+    met = settled(shared_stretches(pairs, records, paragraph, shingle, threshold), "met")
+    more = _across(members, settled(_clusters(met), "clusters"), records, paragraph, shingle, threshold)
+    linked = settled(met.select("a", "b").unionAll(more).distinct(), "linked")
+    found = _clusters(settled(shared_stretches(linked, records, paragraph, shingle, threshold), "stretches"))
+    return found.select(
+        F.col("id").alias("sample_id"), "start", "end",
         F.col("component.id").alias("component_id"), F.col("component.start").alias("component_start"),
-        (F.col("passage") == F.col("component")).alias("kept"))
+        ((F.col("id") == F.col("component.id")) & (F.col("start") == F.col("component.start"))).alias("kept"))

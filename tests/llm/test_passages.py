@@ -77,3 +77,29 @@ def test_passages_are_whole_where_their_keys_have_another_smallest_id(spark, wor
     want = covered(rows[1][1], rows[2][1])
     at = lambda i, c: (sum(len(w) + 1 for w in rows[i][1][: min(c)]), sum(len(w) + 1 for w in rows[i][1][: max(c) + passages.SHINGLE]) - 1)
     assert len(want[0]) > 250 and found == {1: at(1, want[0]), 2: at(2, want[1])}
+
+
+def test_near_copies_around_a_hot_phrase_meet(spark, words):
+    """Smaller ids hold every key in every context, so no star joins the copies; single blocks and several find them."""
+    from gradeline.llm.records import settled
+
+    rng, phrase = random.Random(2), words(7)
+    originals = [words(28) + phrase + words(35) for _ in range(8)]
+    rows = [(i, pieces(p, words)) for i, p in enumerate(originals)] + [(20 + i, words(30) + phrase + words(30)) for i in range(90)]
+    for k, passage in enumerate(originals):
+        for copy in range(3):
+            edited = list(passage)
+            for at in rng.sample((3, 20, 45, 66), copy):
+                edited[at] = words(1)[0]
+            rows.append((1000 + 10 * k + copy, words(rng.randint(20, 60)) + edited + words(rng.randint(20, 60))))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "sample_id bigint, content string")
+    got = {(r["sample_id"], r["component_id"]) for r in passages.repeated_passages(df).collect()}
+    assert got == {(i, i // 10 * 10) for i, _ in rows if i >= 1000}
+    text = dict(rows)
+    assert all(covered(text[1000 + 10 * k], text[1000 + 10 * k + c])[0] for k in range(8) for c in (1, 2))
+    members = settled(passages.key_members(passages.paragraph_keys(df)), "members")
+    alone = spark.createDataFrame([], "id bigint, start bigint, end bigint, component struct<id: bigint, start: bigint>")
+    for block in (4, 70, 2048):
+        met = {(r["a"], r["b"]) for r in passages._across(members, alone, df, 50, 5, 0.75, block).collect()}
+        assert {a for a, _ in met} | {b for _, b in met} >= {i for i, _ in got}
+        assert all(a // 10 == b // 10 and covered(text[a], text[b])[0] for a, b in met if a >= 1000)
