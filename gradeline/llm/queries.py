@@ -11,7 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licences, near_dedup, packing, passages, pii, quality, secrets, sharding, spans, sql
+from . import (
+    bpe, exact_dedup, filter_audit, licences, log_trie, near_dedup, packing, passages, pii, quality, secrets, sharding, spans, sql,
+    token_counts)
+from .records import settled
+
+#: Tokens of the context that `op13_token_counts` asks about.
+TOKEN_LIMIT = 1024
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -105,4 +111,42 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(passages.repeated_passages(_records(spark, sf_dir)))
 
 
+@registered
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+        F.col("doc_id").alias("sample_id"), F.col("text").alias("content"), F.col("lang").alias("domain"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("sample_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    failed = filter_audit.labelled(filter_audit.text_failures(records), labels, ["good", "toxic"])
+    survivors = filter_audit.subset_survivors(failed, len(filter_audit.TEXT_FILTERS), ["good", "toxic"])
+    return filter_audit.interactions(survivors, filter_audit.TEXT_FILTERS, ["good", "toxic"]).withColumnRenamed("domain", "part")
+
+
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """The first h steps of run c - c % 5, then run c's own steps after its first h; h is crc32(c) % 9."""
+    run = F.col("run_id")
+    paths = settled(paths, "paths")
+    heads = paths.select(run.alias("_head_id"), F.slice("steps", 1, 8).alias("_head"))
+    h = (F.crc32(run.cast("string")) % 9).cast("int")
+    none = F.array().cast(paths.schema["steps"].dataType)
+    return paths.join(heads, run - run % 5 == F.col("_head_id"), "left").select("run_id", F.concat(
+        F.slice(F.coalesce("_head", none), F.lit(1), h), F.slice("steps", h + 1, F.greatest(F.size("steps") - h, F.lit(0)))).alias("steps"))
+
+
+@registered
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("step"), F.col("role").alias("event"), F.col("text").alias("content"))
+    nodes = log_trie.prefix_trie(rebuilt(log_trie.run_paths(steps)))
+    return nodes.withColumnsRenamed({
+        "run_id": "conv_id", "parent_run_id": "parent_conv_id", "n_runs": "n_convs", "saved_bytes": "saved_tokens"})
+
+
+@registered
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = F.lit(TOKEN_LIMIT)
+    return _named(token_counts.prefix_counts(_records(spark, sf_dir), tokenizer_path()).select(
+        "sample_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), token_counts.chars_within(limit).alias("limit_chars")))
+
+
 ORACLES = dict(sql.ORACLES)
