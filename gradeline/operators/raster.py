@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import f64
-from .running import number_rows, quantiles, with_group_stats, with_summary
+from .running import quantiles, running_totals, with_group_stats, with_summary
 from .vectors import _field_types
 
 
@@ -182,29 +182,55 @@ def weibull_fit_by_group(df: DataFrame, keys: Sequence[str], v: str, min_px: int
     return hist.groupBy(*keys).applyInPandas(fit, schema)
 
 
+#: Ranks whose margin values one task adds up.
+RANK_CHUNK = 1 << 16
+#: Ids of equal values that are placed in one window.
+TIED_IDS = 1 << 12
+
+
+def _rank_moments(sizes: DataFrame, grey) -> DataFrame:
+    """Mean and population SD of grey((rank - 1/2) / n) over the ranks 1..n, for every distinct group size `_n`.
+
+    They depend on the size alone, so no row is read: the ranks are generated in chunks, spread over the tasks.
+    """
+    last = F.floor((F.col("_n") - 1) / F.lit(RANK_CHUNK)).cast("bigint")
+    chunks = sizes.select("_n").distinct().select("_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_chunk")).repartition("_n", "_chunk")
+    first = F.col("_chunk") * RANK_CHUNK + 1
+    ranks = chunks.select("_n", F.explode(F.sequence(first, F.least(F.col("_n"), first + (RANK_CHUNK - 1)))).alias("_r"))
+    value = grey((F.col("_r") - F.lit(0.5)) / F.col("_n"))
+    return ranks.groupBy("_n").agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+
+
 def weibull_rank_map(
     df: DataFrame, keys: Sequence[str], value: str, id_col: str, shape: float, loc: float, scale: float,
     target_mean: float, target_std: float, lo: float, hi: float, floor: float = 1.5,
 ) -> DataFrame:
     """Map values by rank onto a Weibull margin, match moments, round and clip to 0..255.
 
-    `lo` and `hi` bound the values; they only cut the ranking into buckets, ranks are exact.
+    The rank of a row is the number of rows with smaller values, cumulated over the counts of distinct values, plus
+    its place among its ties by the unique integer `id_col`. Ties are cut by ranges of `TIED_IDS` ids, so an image
+    with one value for most of its pixels spreads like any other. `lo` and `hi` bound the values; they only cut the
+    cumulation into buckets, ranks are exact. The moments of the margin follow from the size of the group alone; sizes and moments
+    of the groups reach the rows by a counted broadcast.
     """
     keys = list(keys)
-    span = (f64(value) - F.lit(lo)) / F.lit(max(hi - lo, 1e-300))
+    grey = lambda p: F.lit(loc) + F.lit(scale) * F.pow(-F.log(F.lit(1.0) - p), F.lit(1.0 / max(shape, floor)))
+    cut = df.withColumns({"_v": f64(value), "_ids": F.floor(F.col(id_col) / F.lit(TIED_IDS)).cast("bigint")})
+    tied = [*keys, "_v", "_ids"]
+    span = (F.col("_v") - F.lit(lo)) / F.lit(max(hi - lo, 1e-300))
     fine = F.least(F.greatest(F.floor(span * F.lit(float(2**20))), F.lit(-1)), F.lit(2**20)).cast("bigint")
-    ranked = number_rows(df, keys, [F.shiftright(fine, 10), fine], [f64(value), F.col(id_col)], "_rank")
+    counts = running_totals(
+        cut.groupBy(*tied).agg(F.count(F.lit(1)).alias("_c")), keys, [F.shiftright(fine, 10), fine], [F.col("_v"), F.col("_ids")], ["_c"], prefix="_upto")
+    placed = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*tied).orderBy(id_col)))
+    ranked = placed.join(counts, tied).withColumn("_rank", F.col("_upto_c") - F.col("_c") + F.col("_at")).drop("_v", "_ids", "_at", "_c", "_upto_c")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-    joined = ranked.join(sizes, keys) if keys else with_summary(ranked, sizes)
-    p = (F.col("_rank") - F.lit(0.5)) / F.col("_n")
-    grey = F.lit(loc) + F.lit(scale) * F.pow(-F.log(F.lit(1.0) - p), F.lit(1.0 / max(shape, floor)))
-    mapped = joined.withColumn("_g", grey)
-    stats = mapped.groupBy(*keys).agg(F.avg("_g").alias("_m"), F.stddev_pop("_g").alias("_s"))
-    both = mapped.join(stats, keys) if keys else with_summary(mapped, stats)
+    stats = sizes.join(_rank_moments(sizes, grey), "_n")
+    joined = with_group_stats(ranked, stats, keys) if keys else with_summary(ranked, stats)
+    g = grey((F.col("_rank") - F.lit(0.5)) / F.col("_n"))
     spread = F.when(F.col("_s") < 1e-6, F.lit(1.0)).otherwise(F.col("_s"))
-    matched = (F.col("_g") - F.col("_m")) / spread * F.lit(target_std) + F.lit(target_mean)
+    matched = (g - F.col("_m")) / spread * F.lit(target_std) + F.lit(target_mean)
     out = F.least(F.greatest(F.bround(matched, 0), F.lit(0.0)), F.lit(255.0))
-    return both.withColumn("grey", out).drop("_rank", "_n", "_g", "_m", "_s")
+    return joined.withColumn("grey", out).drop("_rank", "_n", "_m", "_s")
 
 
 def lowlevel_features(df: DataFrame, image: str, x: str, y: str, v: str, size: int, bins: int = 32, grid: int = 8) -> DataFrame:
@@ -225,24 +251,52 @@ def lowlevel_features(df: DataFrame, image: str, x: str, y: str, v: str, size: i
     return parts.groupBy(image).agg(F.array(*hist, *thumb).alias("features"))
 
 
-def gmm_segment(df: DataFrame, v: str, components: int = 3, seed: int = 42, max_iter: int = 100) -> DataFrame:
-    """Gaussian-mixture labels of grey values, renumbered by ascending component mean.
+def gmm_segment(
+    df: DataFrame, v: str, components: int = 3, max_iter: int = 100, tol: float = 1e-3, keys: Sequence[str] = (), floor: float = 1e-6,
+) -> DataFrame:
+    """Gaussian-mixture label of every grey value, per key; labels ascend with the component means.
+
+    Expectation-maximisation on the grey histogram of each key, at most 256 weighted levels: equal weights, means at
+    the levels that hold the quantiles (k + 1/2)/components, and the variance of all values to start with; it ends
+    when the mean log-likelihood rises by less than `tol`, or after `max_iter` steps. Variances have `floor` added.
+    Equal posteriors go to the lower label. A value that is no grey level stops the job.
 
-    The mixture is fitted on the weighted grey histogram; labels are assigned per level and joined back.
+    A key's mixture is a row with the label of each level; rows get it by a counted broadcast over the keys, so
+    grey values are never joined on.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector
-
-    hist = df.groupBy(f64(v).alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    rows = hist.withColumn("_x", array_to_vector(F.array("_v")))
-    model = GaussianMixture(k=components, featuresCol="_x", weightCol="_n", predictionCol="_raw", seed=seed, maxIter=max_iter).fit(rows)
-    means = [float(g.mean[0]) for g in model.gaussians]
-    order = sorted(range(components), key=lambda i: means[i])
-    label: Column = F.lit(None).cast("int")
-    for rank, component in enumerate(order):
-        label = F.when(F.col("_raw") == component, rank).otherwise(label)
-    levels = model.transform(rows).select("_v", label.alias("label"))
-    return df.join(levels, f64(v) == F.col("_v")).drop("_v")
+    names = [f"_k{i}" for i in range(len(keys))]
+    hist = grey_histogram(df.withColumns(dict(zip(names, map(F.col, keys)))), names, v)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("level")
+        x, n = pdf["level"].to_numpy().astype(np.float64), pdf["n"].to_numpy().astype(np.float64)
+        total = n.sum()
+        centre = (n * x).sum() / total
+        mean = x[[int(np.searchsorted(n.cumsum(), (k + 0.5) / components * total)) for k in range(components)]]
+        var = np.full(components, (n * (x - centre) ** 2).sum() / total + floor)
+        share, before = np.full(components, 1.0 / components), -np.inf
+        for _ in range(max_iter):
+            part = np.log(share) - 0.5 * np.log(2 * np.pi * var) - 0.5 * (x[:, None] - mean) ** 2 / var
+            top = part.max(axis=1)
+            whole = top + np.log(np.exp(part - top[:, None]).sum(axis=1))
+            held = n[:, None] * np.exp(part - whole[:, None])
+            size = np.maximum(held.sum(axis=0), 1e-300)
+            mean = (held * x[:, None]).sum(axis=0) / size
+            var = (held * (x[:, None] - mean) ** 2).sum(axis=0) / size + floor
+            share = size / total
+            now = float((n * whole).sum() / total)
+            if abs(now - before) < tol:
+                break
+            before = now
+        order = np.argsort(mean, kind="stable")
+        levels = np.arange(256.0)[:, None]
+        part = (np.log(share) - 0.5 * np.log(var) - 0.5 * (levels - mean) ** 2 / var)[:, order]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in names}, "_labels": part.argmax(axis=1).tolist()}])
+
+    kind = "".join(f"`{n}` {df.schema[k].dataType.simpleString()}, " for n, k in zip(names, keys))
+    fits = hist.groupBy(*names).applyInPandas(fit, f"{kind}_labels array<int>").withColumnsRenamed(dict(zip(names, keys)))
+    joined = with_group_stats(df, fits, list(keys), small_rows=2_000) if keys else with_summary(df, fits)
+    return joined.withColumn("label", F.element_at("_labels", F.col(v).cast("int") + 1)).drop("_labels")
 
 
 def explode_images(images: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

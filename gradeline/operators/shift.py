@@ -6,7 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..functions.scalars import argmax, f64, hash_text, is_finite
 from ..session import cut_lineage
 from .ranking import roc_auc
 from .running import number_by_hash, with_group_stats, with_summary
-from .vectors import _field_types, logistic_fits, moments
+from .vectors import logistic_fit_columns, logistic_fits, masked_logistic_fits, moments
 
 PROBS = ("p0", "p1")
 
@@ -359,67 +358,138 @@ def solve_importance_weights(stats: DataFrame) -> DataFrame:
     })
 
 
+#: Epochs whose maps are composed in one array, and such arrays composed in one of the next level.
+EMA_FAN = 256
+
+
 def ema_over_epochs(df: DataFrame, keys: Sequence[str], epoch: str, value: str, ma: float = 0.5, start: float = 1.0) -> DataFrame:
     """w <- (1-ma)*new + ma*w over epochs in order; a null epoch keeps the previous value.
 
-    Emits one row per epoch. Rows stream in order through the task of their run, which holds one weight
-    and one batch of rows however long the history is.
+    Emits one row per epoch. Every row is the affine map w -> a*w + b, and maps compose: arrays of at most
+    `EMA_FAN` epochs are composed each by itself, then arrays of their results, then those of a run, one for
+    every 65,536 epochs. The weight before each array comes down the same way. No task holds a run.
+
+    Epochs are integers, negative ones included. A null epoch number comes first, repeated ones go by value, nulls first.
     """
     keys = list(keys)
-    rows = df.select(*keys, epoch, f64(value).alias("_v"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, w = None, float(start)
-        for batch in batches:
-            out = []
-            for *key, _, v in zip(*[c.to_pylist() for c in batch.columns]):
-                if key != run:
-                    run, w = key, float(start)
-                if v is not None:
-                    w = (1.0 - ma) * v + ma * w
-                out.append(w)
-            names = [*keys, epoch]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.float64())], [*names, "ema"])
-
-    ordered = rows.repartition(partitions, *keys).sortWithinPartitions(*keys, epoch)
-    return ordered.mapInArrow(fold, f"{_field_types(df, [*keys, epoch])}, ema double")
+    at = F.col(epoch).cast("bigint")
+    arrays, blocks = F.floor(at / F.lit(EMA_FAN)).cast("bigint"), F.floor(F.col("_array") / F.lit(EMA_FAN)).cast("bigint")
+    v = f64(value)
+    rows = df.select(
+        *keys, arrays.alias("_array"),
+        F.struct(F.col(epoch).alias("at"), v.alias("v"), F.when(v.isNull(), 1.0).otherwise(F.lit(float(ma))).alias("a"),
+                 F.when(v.isNull(), 0.0).otherwise(F.lit(1.0 - ma) * v).alias("b")).alias("_m"))
+
+    def composed(maps: Column, kind: str) -> Column:
+        """Each entry with the composition of all maps up to and including its own."""
+        none = F.array().cast(f"array<struct<at:{kind},a:double,b:double>>")
+
+        def then(done: Column, m: Column) -> Column:
+            last = F.element_at(done, -1)
+            first = F.size(done) == 0
+            a = F.when(first, m["a"]).otherwise(m["a"] * last["a"])
+            b = F.when(first, m["b"]).otherwise(m["a"] * last["b"] + m["b"])
+            return F.concat(done, F.array(F.struct(m["at"].alias("at"), a.alias("a"), b.alias("b"))))
+
+        return F.aggregate(maps, none, then)
+
+    def gathered(table: DataFrame, by: Sequence[str], kind: str) -> DataFrame:
+        lists = table.groupBy(*by).agg(F.array_sort(F.collect_list("_m")).alias("_maps"))
+        return lists.select(*by, composed(F.col("_maps"), kind).alias("_maps"))
+
+    def whole(level: str) -> Column:
+        last = F.element_at("_maps", -1)
+        return F.struct(F.col(level).alias("at"), last["a"].alias("a"), last["b"].alias("b")).alias("_m")
+
+    def weights_before(table: DataFrame, before: Column, level: str) -> DataFrame:
+        """The weight that stands before each entry of the arrays, given the one before the whole array."""
+        shifted = F.transform("_maps", lambda m, i: F.struct(
+            m["at"].alias(level), F.when(i == 0, before).otherwise(
+                F.try_element_at("_maps", i)["a"] * before + F.try_element_at("_maps", i)["b"]).alias("_before")))
+        return table.select(*names, F.inline(shifted))
+
+    def met(left: DataFrame, right: DataFrame, level: str) -> DataFrame:
+        renamed = right.withColumnsRenamed({c: f"{c}__" for c in (*names, level)})
+        same = F.lit(True)
+        for c in (*names, level):
+            same = same & F.col(c).eqNullSafe(F.col(f"{c}__"))
+        return left.join(renamed, same).drop(*[f"{c}__" for c in (*names, level)])
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "_array", "_m")
+    low = gathered(rows, [*names, "_array"], df.schema[epoch].dataType.simpleString())
+    middle = gathered(low.select(*names, blocks.alias("_block"), whole("_array")), [*names, "_block"], "bigint")
+    high = gathered(middle.select(*names, whole("_block")), names, "bigint")
+    upper = met(middle, weights_before(high, F.lit(float(start)), "_block"), "_block")
+    lower = met(low, weights_before(upper, F.col("_before"), "_array"), "_array")
+    out = F.transform("_maps", lambda m: F.struct(m["at"].alias(epoch), (m["a"] * F.col("_before") + m["b"]).alias("ema")))
+    return lower.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], F.inline(out))
 
 
 # --- separability probes ----------------------------------------------------------------------
 
 
+def _is_target(df: DataFrame, domain: str, source: str) -> Column:
+    """1 for the target domain, 0 for the source. A null domain stops the job, a third one is refused."""
+    named = F.when(F.col(domain) != source, F.col(domain))
+    low, high = df.agg(F.min(named), F.max(named)).first()
+    if low != high:
+        raise ValueError(f"more than two domains: {source}, {low}, {high}")
+    return F.when(F.col(domain).isNull(), F.raise_error(F.lit("a row without a domain"))).otherwise((F.col(domain) != source).cast("int"))
+
+
 def proxy_a_distance(
-    df: DataFrame, id_col: str, domain: str, features: str, seed: int = 0, holdout: float = 0.3,
+    df: DataFrame, id_col: str, domain: str, features: str | Sequence[str], seed: int = 0, holdout: float = 0.3,
     source: str = "source",
 ) -> DataFrame:
-    """2*(1-2*error) of a balanced linear domain classifier on a stratified holdout, unclipped."""
+    """2*(1-2*error) of a balanced linear domain classifier on a stratified holdout, unclipped.
+
+    `features` is a column of equally long arrays, or a list of a few numeric columns. Columns are standardised
+    and fitted by aggregates of the JVM, arrays by vector sums. The result tells sizes, seed and convention.
+    Each domain needs two rows at least; rows without a domain, and a third domain, are refused.
+    """
     if not 0.0 < holdout < 1.0:
         raise ValueError("the held-out share must lie inside (0, 1)")
-    rows = df.select(id_col, (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"))
+    wide = not isinstance(features, str)
+    columns = [f"_x{i}" for i in range(len(features))] if wide else ["f"]
+    values = [f64(c).alias(n) for c, n in zip(features, columns)] if wide else [F.col(features).cast("array<double>").alias("f")]
+    rows = df.select(id_col, _is_target(df, domain, source).alias("y"), *values)
     sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     split = with_group_stats(number_by_hash(rows, ["y"], seed, id_col), sizes, ["y"])
     split = split.withColumn("test", F.col("rn") <= F.round(F.col("_n") * F.lit(holdout)))
     train = split.where(~F.col("test"))
-    stats = domain_means(train.withColumn("_all", F.lit(1)), "_all", "f")
-    packed = stats.agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))),
-        lambda s: F.struct(s["mean"].alias("m"), F.when(s["var"] > 0, F.sqrt(s["var"])).otherwise(F.lit(1.0)).alias("d")),
-    ).alias("_stats"))
-    scaled = with_summary(split, packed).withColumn(
-        "f", F.zip_with("f", "_stats", lambda x, s: (x - s["m"]) / s["d"])
-    )
+    deviation = lambda v: F.when(v > 0, F.sqrt(v)).otherwise(F.lit(1.0))
+    if wide:
+        stats = train.agg(*[s for c in columns for s in (F.avg(c).alias(f"{c}_m"), F.var_pop(c).alias(f"{c}_v"))])
+        scaled = with_summary(split, stats).withColumns({c: (F.col(c) - F.col(f"{c}_m")) / deviation(F.col(f"{c}_v")) for c in columns})
+    else:
+        stats = domain_means(train.withColumn("_all", F.lit(1)), "_all", "f")
+        packed = stats.agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))),
+            lambda s: F.struct(s["mean"].alias("m"), deviation(s["var"]).alias("d")),
+        ).alias("_stats"))
+        scaled = with_summary(split, packed).withColumn("f", F.zip_with("f", "_stats", lambda x, s: (x - s["m"]) / s["d"]))
     fit = scaled.where(~F.col("test"))
     balance = fit.groupBy("y").agg(F.count(F.lit(1)).alias("_c"))
     total = fit.agg(F.count(F.lit(1)).alias("_t"))
     weighted = with_summary(with_group_stats(fit, balance, ["y"]), total).withColumn("w", F.col("_t") / (F.lit(2.0) * F.col("_c")))
-    beta = logistic_fits(weighted, [], "f", "y", "w")[(-1,)]
-    decision = _linear_score("f", beta)
-    test = scaled.where(F.col("test"))
-    return test.agg(
+    if wide:
+        beta = logistic_fit_columns(weighted, columns, "y", "w")
+        decision = sum((F.col(c) * float(b) for c, b in zip(columns, beta)), F.lit(float(beta[-1])))
+    else:
+        decision = _linear_score("f", logistic_fits(weighted, [], "f", "y", "w")[(-1,)])
+    test = scaled.where(F.col("test")).agg(
         F.avg(((decision > 0).cast("int") != F.col("y")).cast("double")).alias("domain_classifier_error"),
         F.count(F.lit(1)).alias("n_holdout"),
-    ).withColumn("proxy_a_distance", F.lit(2.0) * (F.lit(1.0) - F.lit(2.0) * F.col("domain_classifier_error")))
+    )
+    side = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("_n"))), F.lit(0))
+    counted = with_summary(test, sizes.agg(side(0).alias("n_source"), side(1).alias("n_target")))
+    few = F.least("n_source", "n_target") < 2
+    return counted.select(
+        F.when(few, F.raise_error(F.lit("each domain needs at least two rows"))).otherwise(F.col("domain_classifier_error")).alias("domain_classifier_error"),
+        "n_holdout", (F.lit(2.0) * (F.lit(1.0) - F.lit(2.0) * F.col("domain_classifier_error"))).alias("proxy_a_distance"),
+        "n_source", "n_target", F.lit(float(holdout)).alias("holdout_fraction"), F.lit(int(seed)).alias("seed"),
+        F.lit("2*(1-2*error) of the held-out rows, not clipped").alias("convention"))
 
 
 def _linear_score(features: str, beta: np.ndarray) -> Column:
@@ -438,7 +508,7 @@ def balanced_downsample(df: DataFrame, keys: Sequence[str], domain: str, id_col:
     spread = df.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     keyed = spread.withColumn("_pick", F.concat_ws("|", "resample", id_col))
     ranked = number_by_hash(keyed, [*keys, "resample", domain], seed, "_pick")
-    limited = ranked.join(smaller, list(keys)) if keys else with_summary(ranked, smaller)
+    limited = with_group_stats(ranked, smaller, list(keys)) if keys else with_summary(ranked, smaller)
     return limited.where((F.col("rn") <= F.col("_min")) & (F.col("_domains") == 2)).drop("_pick", "_min", "_domains")
 
 
@@ -448,41 +518,60 @@ def format_probe(
 ) -> DataFrame:
     """How well a linear model tells the two domains apart, per class.
 
-    Balanced resamples, stratified folds, logistic regression; mean and population SD of all fold AUCs.
+    Balanced resamples, stratified folds (as many as the smaller domain has rows, `folds` at most), logistic
+    regression; mean and population SD of all fold AUCs, with the counts behind them. A class whose smaller
+    domain has less than two rows has no AUC. Rows without a domain, and a third domain, are refused.
+
+    Ranks are drawn on ids alone. A row then stands once with its features and two bit masks per resample: the
+    folds whose model it trains, and the fold it is held out from; `masked_logistic_fits` fits all models of
+    all classes in the same passes.
     """
-    # ranks are drawn on ids alone; a row then carries its few (resample, fold) picks next to one copy
-    # of its features
-    drawn = balanced_downsample(df.select(cls, domain, id_col), [cls], domain, id_col, resamples, seed)
-    fold = ((F.col("rn") - 1) % folds).cast("int")
+    target = _is_target(df, domain, source)
+    sides = df.groupBy(F.col(cls).alias("cls")).agg(
+        F.count_if(F.col(domain) == source).alias("n_synthetic"), F.count_if(F.col(domain) != source).alias("n_real"))
+    counts = cut_lineage(sides.withColumn("n_balanced_per_domain", F.least("n_synthetic", "n_real")).withColumn(
+        "folds_per_resample", F.when(F.col("n_balanced_per_domain") >= 2, F.least(F.lit(folds), F.col("n_balanced_per_domain"))).otherwise(0).cast("int")))
+    drawn = with_group_stats(
+        balanced_downsample(df.select(F.col(cls).alias("cls"), domain, id_col), ["cls"], domain, id_col, resamples, seed),
+        counts.select("cls", F.col("folds_per_resample").alias("_folds")), ["cls"]).where("_folds > 0")
     picks = drawn.groupBy(id_col).agg(
-        F.collect_list(F.struct(F.col(cls).alias("cls"), "resample", fold.alias("fold"))).alias("picks")
-    )
-    rows = df.select(
-        id_col, (F.col(domain) != source).cast("int").alias("y"), F.col(features).cast("array<double>").alias("f"), F.lit(1.0).alias("w")
-    ).join(picks, id_col)
-    betas = logistic_fits(rows, ["cls", "resample"], "f", "y", "w", "picks")
-    shipped = df.sparkSession.sparkContext.broadcast(betas)
+        F.map_from_entries(F.collect_list(F.struct("resample", ((F.col("rn") - 1) % F.col("_folds")).cast("int").alias("fold")))).alias("_fold"), F.max("_folds").alias("_folds"))
+    one = F.lit(1).cast("bigint")
+    words = F.sequence(F.lit(0), F.lit(resamples - 1))
+    fold_of = lambda r: F.try_element_at("_fold", r)
+    bit = lambda r: F.call_function("shiftleft", one, fold_of(r))
+    every = F.call_function("shiftleft", one, F.col("_folds")) - one
+    held = F.transform(words, lambda r: F.coalesce(bit(r), F.lit(0).cast("bigint")))
+    trained = F.transform(words, lambda r: F.coalesce(every - bit(r), F.lit(0).cast("bigint")))
+    masks = picks.select(F.col(id_col).alias("_id"), held.alias("held"), trained.alias("trained"))
+    rows = cut_lineage(df.select(
+        id_col, F.col(cls).alias("cls"), target.alias("y"), F.col(features).cast("array<double>").alias("f"), F.lit(1.0).alias("w")
+    ).join(masks, F.col(id_col) == F.col("_id")).drop(id_col, "_id"))
+    shipped = df.sparkSession.sparkContext.broadcast(masked_logistic_fits(rows, "cls", "f", "y", "w", "trained", folds))
 
     def held_out_scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = list(shipped.value)
-        place = {m: i for i, m in enumerate(models)}
-        weights = np.column_stack([shipped.value[m] for m in models]) if models else np.zeros((1, 0))
+        weights: dict = {}
+        for (g, _, _), beta in sorted(shipped.value.items(), key=lambda m: m[0][1:]):
+            weights.setdefault(g, []).append(beta)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            z = np.stack(pdf["f"].to_numpy()) @ weights[:-1] + weights[-1]  # every model on one copy of the features
-            picked = [(i, p["cls"], p["resample"], p["fold"]) for i, ps in enumerate(pdf["picks"]) for p in ps]
-            row = np.array([p[0] for p in picked], int)
-            column = np.array([place[p[1:]] for p in picked], int)
-            yield pd.DataFrame({
-                "cls": [p[1] for p in picked], "resample": [p[2] for p in picked], "fold": [p[3] for p in picked],
-                "y": pdf["y"].to_numpy()[row], "score": 1.0 / (1.0 + np.exp(-np.clip(z[row, column], -500, 500)))})
+            for key, part in pdf.groupby("cls", sort=False, dropna=False):
+                key = next(k for k in weights if k == key or k is None and pd.isna(key))
+                beta = np.column_stack(weights[key])
+                z = np.stack(part["f"].to_numpy()) @ beta[:-1] + beta[-1]  # every model on one copy of the features
+                bits = np.stack(part["held"].to_numpy()).astype(np.int64)[:, :, None] >> np.arange(folds) & 1
+                row, model = np.nonzero(bits.reshape(len(part), -1))
+                yield pd.DataFrame({
+                    "cls": [key] * len(row), "resample": model // folds, "fold": model % folds,
+                    "y": part["y"].to_numpy()[row], "score": 1.0 / (1.0 + np.exp(-np.clip(z[row, model], -500, 500)))})
 
     cls_type = df.schema[cls].dataType.simpleString()
-    scored = rows.select("picks", "y", "f").mapInPandas(
+    scored = rows.select("cls", "held", "y", "f").mapInPandas(
         held_out_scores, f"cls {cls_type}, resample int, fold int, y int, score double"
     )
-    auc = roc_auc(scored, ["cls", "resample", "fold"], "score", "y", positive=1)
-    return auc.groupBy(F.col("cls").alias(cls)).agg(
-        F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"), F.count("roc_auc").alias("n_auc_values")
-    )
+    auc = roc_auc(scored, ["cls", "resample", "fold"], "score", "y", positive=1).groupBy("cls").agg(
+        F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std"), F.count("roc_auc").alias("n_auc_values"))
+    named = auc.withColumnRenamed("cls", "_cls")
+    joined = counts.join(named, F.col("cls").eqNullSafe(F.col("_cls")), "left")
+    return joined.select(
+        F.col("cls").alias(cls), "auc_mean", "auc_std", F.coalesce("n_auc_values", F.lit(0)).alias("n_auc_values"), "n_synthetic", "n_real",
+        "n_balanced_per_domain", F.lit(resamples).alias("n_resamples"), "folds_per_resample")

@@ -91,77 +91,136 @@ def moments(df: DataFrame, keys: Sequence[str], features: str) -> DataFrame:
     return summed.mapInPandas(finish, out.lstrip(", "))
 
 
-def logistic_fits(
-    rows: DataFrame, models: Sequence[str], features: str, y: str, weight: str, memberships: str | None = None,
+#: Rows whose products of features are held at once.
+BLOCK_ROWS = 512
+#: Doubles of Newton sums that a task holds before it sends them on.
+HELD_SUMS = 1 << 23
+
+
+def masked_logistic_fits(
+    rows: DataFrame, group: str, features: str, y: str, weight: str, train: str, folds: int,
     cost: float = 1.0, max_iter: int = 50, tol: float = 1e-8,
 ) -> dict[tuple, np.ndarray]:
-    """L2-penalised logistic regressions, all trained together by distributed Newton steps.
-
-    `rows` carries a 0/1 target and a weight. With `memberships`, an array of structs holding the
-    `models` fields and a fold, a row takes part in several models; one model per (models, fold) is
-    trained on the other folds, and the result is keyed that way. Without it there is one model, keyed
-    (-1,). Each step sends per-task gradient and Hessian sums of fixed size; the driver only solves
-    (D+1)-sized systems. The objective is |w|^2/2 + cost*sum(weight*loss), intercept penalised too.
-    Models that still move after `max_iter` steps stop the job.
+    """L2-penalised logistic regressions of many overlapping row sets, all trained together by Newton steps.
+
+    `train` is an array of bit masks, one word for each set: bit k says that the row trains model k of the
+    set, k below `folds`. So a row stands once, next to its features, however many models it takes part in,
+    and one pass over the rows serves all models of a step: scores, gradients and Hessians of all of them are
+    matrix products with the mask. Models of different values of `group` share no rows. The result is keyed
+    (group, set, k) and ends with the intercept. The objective is |w|^2/2 + cost*sum(weight*loss), intercept penalised too.
+
+    A step sends sums of fixed size for each group and set, merged in two steps and solved where they
+    meet; the driver holds the coefficients only. Models that still move after `max_iter` steps stop the job.
     """
-    models = list(models)
     spark = rows.sparkSession
-    # every step reads these rows again: write them once where any executor can find them, before
-    # memberships multiply them
+    # every step reads these rows again: write them once where any executor can find them
     kept = cut_lineage(rows.select(
-        F.col(features).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"),
-        F.col(weight).cast("double").alias("w"), *([F.col(memberships).alias("_m")] if memberships else []),
-    ))
+        F.col(group).alias("g"), F.col(features).cast("array<double>").alias("f"), F.col(y).cast("double").alias("y"),
+        F.col(weight).cast("double").alias("w"), F.col(train).cast("array<bigint>").alias("t")))
     cores = spark.sparkContext.defaultParallelism
     if kept.rdd.getNumPartitions() < cores:  # small input: adaptive coalescing left cores without rows
         kept = cut_lineage(kept.repartition(cores, "f"))
-    if memberships:
-        slim = kept.withColumn("_m", F.explode("_m")).select(*[F.col(f"_m.{m}").alias(m) for m in models], "f", "y", "w", F.col("_m.fold").alias("fold"))
-    else:
-        slim = kept.withColumn("fold", F.lit(-1))
-    ids = [tuple(r) for r in slim.select(*models, "fold").distinct().collect()]
-    dim = slim.select(F.max(F.size("f"))).first()[0] + 1
-    betas = {i: np.zeros(dim) for i in ids}
-    key_types = _field_types(slim, models)
-    schema = f"{key_types + ', ' if models else ''}fold int, vec array<double>, n bigint"
-    active = set(ids)
-    for _ in range(max_iter):
-        shipped = spark.sparkContext.broadcast({i: betas[i] for i in active})
+    shape = kept.groupBy("g").agg(F.max(F.size("f")).alias("width"), F.max(F.size("t")).alias("sets")).collect()
+    dim = max((r["width"] for r in shape), default=0) + 1
+    betas = {r["g"]: np.zeros((dim, r["sets"] * folds)) for r in shape}
+    one, other = np.triu_indices(dim)
+    kind = _field_types(kept, ["g"])
 
-        def partial(batches: Iterator[pd.DataFrame], current=shipped) -> Iterator[pd.DataFrame]:
-            coefs = current.value
-            state: dict[tuple, np.ndarray] = {}
+    def step(current) -> dict:
+        shipped = spark.sparkContext.broadcast(current)
+
+        def packed(key, sums: np.ndarray) -> Iterator[dict]:
+            for i in range(sums.shape[1] // folds):
+                yield {"g": key, "set": i, "vec": sums[:, i * folds : (i + 1) * folds].ravel(), "n": 1}
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state: dict = {}
             for pdf in batches:
-                groups = pdf.groupby(models, sort=False) if models else [((), pdf)]
-                for key, part in groups:
-                    key = key if isinstance(key, tuple) else (key,)
-                    x = np.column_stack([np.stack(part["f"].to_numpy()), np.ones(len(part))])
-                    target, weights, folds = part["y"].to_numpy(), part["w"].to_numpy(), part["fold"].to_numpy()
-                    for ident, beta in coefs.items():
-                        if ident[:-1] != key:
-                            continue
-                        w = weights * (folds != ident[-1]) if ident[-1] >= 0 else weights
+                for key, part in pdf.groupby("g", sort=False, dropna=False):
+                    key = next(k for k in shipped.value if k == key or k is None and pd.isna(key))
+                    beta = shipped.value[key]
+                    for a in range(0, len(part), BLOCK_ROWS):
+                        block = part.iloc[a : a + BLOCK_ROWS]
+                        x = np.column_stack([np.stack(block["f"].to_numpy()), np.ones(len(block))])
+                        bits = np.stack(block["t"].to_numpy()).astype(np.int64)[:, :, None] >> np.arange(folds) & 1
+                        w = bits.reshape(len(block), -1) * block["w"].to_numpy()[:, None]
                         p = 1.0 / (1.0 + np.exp(-np.clip(x @ beta, -500, 500)))
-                        grad = x.T @ (w * (p - target))
-                        hess = (x * (w * p * (1 - p))[:, None]).T @ x
-                        state[ident] = state.get(ident, 0.0) + np.concatenate([grad, hess.ravel()])
+                        sums = np.vstack([x.T @ (w * (p - block["y"].to_numpy()[:, None])), (x[:, one] * x[:, other]).T @ (w * p * (1 - p))])
+                        state[key] = state[key] + sums if key in state else sums
+                if sum(v.size for v in state.values()) > HELD_SUMS:
+                    yield pd.DataFrame([r for k, v in state.items() for r in packed(k, v)])
+                    state = {}
             if state:
-                yield pd.DataFrame([
-                    {**dict(zip(models, i[:-1])), "fold": i[-1], "vec": v, "n": 1} for i, v in state.items()
-                ])
-
-        sums = sum_vectors(slim.mapInPandas(partial, schema), [*models, "fold"]).collect()
-        for r in sums:
-            ident = (*[r[m] for m in models], r["fold"])
-            vec = np.asarray(r["vec"])
-            beta = betas[ident]
-            grad = cost * vec[:dim] + beta
-            hess = cost * vec[dim:].reshape(dim, dim) + np.eye(dim)
-            move = np.linalg.solve(hess, grad)
-            step = 1.0 if np.abs(move).max() < 5 else 5 / np.abs(move).max()
-            betas[ident] = beta - step * move
-            if np.abs(step * move).max() < tol:
-                active.discard(ident)
-        if not active:
-            return betas
-    raise RuntimeError(f"{len(active)} of {len(betas)} logistic fits did not settle in {max_iter} steps")
+                yield pd.DataFrame([r for k, v in state.items() for r in packed(k, v)])
+
+        def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for r in pdf.to_dict("records"):
+                    key = next(k for k in shipped.value if k == r["g"] or k is None and pd.isna(r["g"]))
+                    sums = np.asarray(r["vec"]).reshape(-1, folds)
+                    now = shipped.value[key][:, r["set"] * folds : (r["set"] + 1) * folds].copy()
+                    far = 0.0
+                    for k in range(folds):
+                        hess = np.zeros((dim, dim))
+                        hess[one, other] = hess[other, one] = cost * sums[dim:, k]
+                        move = np.linalg.solve(hess + np.eye(dim), cost * sums[:dim, k] + now[:, k])
+                        move *= min(1.0, 5 / max(np.abs(move).max(), 1e-300))
+                        now[:, k] -= move
+                        far = max(far, float(np.abs(move).max()))
+                    out.append({"g": r["g"], "set": r["set"], "beta": now.ravel(), "moved": far})
+                yield pd.DataFrame(out)
+
+        sums = sum_vectors(kept.mapInPandas(partial, f"{kind}, set int, vec array<double>, n bigint"), ["g", "set"])
+        return sums.mapInPandas(solve, f"{kind}, set int, beta array<double>, moved double").collect()
+
+    for _ in range(max_iter):
+        moved = 0.0
+        for r in step(betas):
+            betas[r["g"]][:, r["set"] * folds : (r["set"] + 1) * folds] = np.asarray(r["beta"]).reshape(dim, folds)
+            moved = max(moved, r["moved"])
+        if moved < tol:
+            return {(g, i // folds, i % folds): b[:, i].copy() for g, b in betas.items() for i in range(b.shape[1])}
+    raise RuntimeError(f"logistic fits still move by {moved} after {max_iter} steps")
+
+
+def logistic_fits(
+    rows: DataFrame, models: Sequence[str], features: str, y: str, weight: str,
+    cost: float = 1.0, max_iter: int = 50, tol: float = 1e-8,
+) -> dict[tuple, np.ndarray]:
+    """One logistic regression per value of the columns `models`, keyed by them and -1; see `masked_logistic_fits`."""
+    packed = rows.select(
+        (F.to_json(F.struct(*models)) if models else F.lit("")).alias("_g"), *models, features, y, weight, F.array(F.lit(1).cast("bigint")).alias("_t"))
+    fits = masked_logistic_fits(packed, "_g", features, y, weight, "_t", 1, cost, max_iter, tol)
+    named = {r["_g"]: tuple(r[m] for m in models) for r in packed.select("_g", *models).distinct().collect()}
+    return {(*named[g], -1): b for (g, _, _), b in fits.items()}
+
+
+def logistic_fit_columns(
+    rows: DataFrame, features: Sequence[str], y: str, weight: str, cost: float = 1.0, max_iter: int = 50, tol: float = 1e-8,
+) -> np.ndarray:
+    """The regression of `logistic_fits` on a few numeric columns; every Newton step is one aggregate of the JVM.
+
+    Gradient and Hessian of k columns are (k + 1)(k + 4)/2 plain sums, combined before they are shuffled, so
+    no row leaves the JVM. Meant for up to about ten columns.
+    """
+    kept = cut_lineage(rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(y).cast("double").alias("y"), F.col(weight).cast("double").alias("w")))
+    dim = len(features) + 1
+    x = [*[F.col(f"x{i}") for i in range(dim - 1)], F.lit(1.0)]
+    beta = np.zeros(dim)
+    for _ in range(max_iter):
+        z = sum((x[i] * float(beta[i]) for i in range(1, dim)), x[0] * float(beta[0]))
+        scored = kept.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+        pull, curve = F.col("w") * (F.col("p") - F.col("y")), F.col("w") * F.col("p") * (F.lit(1.0) - F.col("p"))
+        pairs = [(i, j) for i in range(dim) for j in range(i, dim)]
+        sums = scored.agg(*[F.sum(pull * x[i]).alias(f"g{i}") for i in range(dim)], *[F.sum(curve * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+        hess = np.eye(dim)
+        for i, j in pairs:
+            hess[i, j] += cost * (sums[f"h{i}_{j}"] or 0.0)
+            hess[j, i] = hess[i, j]
+        move = np.linalg.solve(hess, cost * np.array([sums[f"g{i}"] or 0.0 for i in range(dim)]) + beta)
+        move *= min(1.0, 5 / max(np.abs(move).max(), 1e-300))
+        beta = beta - move
+        if np.abs(move).max() < tol:
+            return beta
+    raise RuntimeError(f"the logistic fit did not settle in {max_iter} steps")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bank, raster
 from ..sources import files, tables
-from .registry import query, rounded
+from .registry import off_tie, query, rounded
 
 
 @query("widest_gap", """select * from (
@@ -110,10 +110,52 @@ def _(spark, folder):
     return rounded(out.select("image_id", F.posexplode("features").alias("pos", "f")), "f").withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("gmm_segment")
+def _mixture(key: str) -> str:
+    """Recursive SQL: three weighted components on the grey histogram `h` of every `key`."""
+    logp = lambda k: f"(ln(w{k}) - 0.5e0 * ln(2 * pi() * s{k}) - 0.5e0 * power(level - m{k}, 2) / s{k})"
+    share = ", ".join(f"sum(r{k}) as n{k}, sum(r{k} * level) / sum(r{k}) as c{k}" for k in "123")
+    return f"""
+c as (select *, sum(n) over (partition by {key} order by level) as upto, sum(n) over (partition by {key}) as total,
+             sum(n * level) over (partition by {key}) / sum(n) over (partition by {key}) as centre from h),
+i as (select {key}, 0 as it, 0 as over, -1e300 as ll, 1 / 3e0 as w1, 1 / 3e0 as w2, 1 / 3e0 as w3,
+             cast(min(level) filter (where upto >= total / 6e0) as double) as m1, cast(min(level) filter (where upto >= total / 2e0) as double) as m2,
+             cast(min(level) filter (where upto >= total * 5 / 6e0) as double) as m3, sum(n * power(level - centre, 2)) / max(total) + 1e-6 as s1,
+             sum(n * power(level - centre, 2)) / max(total) + 1e-6 as s2, sum(n * power(level - centre, 2)) / max(total) + 1e-6 as s3 from c group by {key}),
+em as (
+  select * from i
+  union all
+  select {key}, it + 1, case when abs(now - ll) < 1e-3 then 1 else 0 end, now, n1 / total, n2 / total, n3 / total, c1, c2, c3, v1, v2, v3
+  from (
+    select {key}, any_value(it) as it, any_value(ll) as ll, any_value(total) as total, sum(n * whole) / any_value(total) as now, any_value(n1) as n1, any_value(n2) as n2, any_value(n3) as n3,
+           any_value(c1) as c1, any_value(c2) as c2, any_value(c3) as c3, {", ".join(f"sum(r{k} * power(level - c{k}, 2)) / any_value(n{k}) + 1e-6 as v{k}" for k in "123")}
+    from (
+      select *, {", ".join(f"sum(r{k}) over (partition by {key}) as n{k}, sum(r{k} * level) over (partition by {key}) / sum(r{k}) over (partition by {key}) as c{k}" for k in "123")}
+      from (select *, n * exp(p1 - whole) as r1, n * exp(p2 - whole) as r2, n * exp(p3 - whole) as r3
+            from (select *, greatest(p1, p2, p3) + ln(exp(p1 - greatest(p1, p2, p3)) + exp(p2 - greatest(p1, p2, p3)) + exp(p3 - greatest(p1, p2, p3))) as whole
+                  from (select c.*, it, ll, {", ".join(f"{logp(k)} as p{k}" for k in "123")} from em join c using ({key}) where over = 0 and it < 100))))
+    group by {key})),
+f as (select {key}, unnest([struct_pack(m := m1, w := w1, s := s1), struct_pack(m := m2, w := w2, s := s2), struct_pack(m := m3, w := w3, s := s3)]) as g
+      from (select *, row_number() over (partition by {key} order by it desc) as rk from em) where rk = 1),
+o as (select {key}, g.m as m, g.w as w, g.s as s, row_number() over (partition by {key} order by g.m) - 1 as label from f),
+l as (select {key}, level, arg_max(label, ln(w) - 0.5e0 * ln(s) - 0.5e0 * power(level - m, 2) / s) as label from o join h using ({key}) group by 1, 2)"""
+
+
+@query("gmm_segment", f"""select * from (
+with recursive h as (select 0 as image, cast(v as integer) as level, count(*) as n from strip group by 1, 2),
+{_mixture("image").strip()}
+select cast(label as integer) as label, cast(sum(n) as bigint) as n, round(sum(n * level) / sum(n) + 3.7e-12, 9) as mean from l join h using (image, level) group by 1)""")
 def _(spark, folder):
     out = raster.gmm_segment(tables.strip(spark, folder).select("image_id", "v"), "v")
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    return off_tie(out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean")), "mean")
+
+
+@query("gmm_segment_by_image", f"""select * from (
+with recursive h as (select image_id as image, cast(v as integer) as level, count(*) as n from strip group by 1, 2),
+{_mixture("image").strip()}
+select image as image_id, level, cast(label as integer) as label, n from l join h using (image, level))""")
+def _(spark, folder):
+    out = raster.gmm_segment(tables.strip(spark, folder).select("image_id", "v"), "v", keys=["image_id"])
+    return out.groupBy("image_id", F.col("v").cast("int").alias("level"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- banks ----------------------------------------------------------------------------------------------

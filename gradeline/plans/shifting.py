@@ -148,6 +148,54 @@ def _(spark, folder):
     return shift.proxy_a_distance(tables.features(spark, folder), "vec_id", "domain", "embedding")
 
 
+def _blocks(rows):
+    """The 64 dimensions as two sums of 32, for the fits that SQL can repeat."""
+    return rows.withColumns({f"x{i + 1}": tables.part_sum("embedding", 32 * i + 1, 32) for i in range(2)}).drop("embedding")
+
+
+_HALVES = ", ".join(f"list_sum(list_transform(embedding[{a}:{a + 31}], lambda v: cast(v as double))) as x{i}" for i, a in ((1, 1), (2, 33)))
+
+
+def _newton(model: str) -> str:
+    """Recursive SQL: damped Newton steps of the penalised logistic regression on x1, x2 and 1, for every `model` of the view train."""
+    key = f"{model}, " if model else ""
+    same = f"using ({model})" if model else "on true"
+    group = f"group by {key}it, b1, b2, b0"
+    return f"""
+fit as (
+  select {f"distinct {key}" if model else ""}0 as it, 0e0 as b1, 0e0 as b2, 0e0 as b0 from {"train" if model else "(select 1)"}
+  union all
+  select {key}it + 1, b1 - m1 * least(1e0, 5e0 / greatest(abs(m1), abs(m2), abs(m0), 1e-300)), b2 - m2 * least(1e0, 5e0 / greatest(abs(m1), abs(m2), abs(m0), 1e-300)),
+         b0 - m0 * least(1e0, 5e0 / greatest(abs(m1), abs(m2), abs(m0), 1e-300))
+  from (select *, (g1 * (h22 * h00 - h20 * h20) - h12 * (g2 * h00 - h20 * g0) + h10 * (g2 * h20 - h22 * g0)) / det as m1,
+               (h11 * (g2 * h00 - h20 * g0) - g1 * (h12 * h00 - h20 * h10) + h10 * (h12 * g0 - g2 * h10)) / det as m2,
+               (h11 * (h22 * g0 - g2 * h20) - h12 * (h12 * g0 - g2 * h10) + g1 * (h12 * h20 - h22 * h10)) / det as m0
+        from (select *, h11 * (h22 * h00 - h20 * h20) - h12 * (h12 * h00 - h20 * h10) + h10 * (h12 * h20 - h22 * h10) as det
+              from (select {key}it, b1, b2, b0, sum(w * (p - y) * x1) + b1 as g1, sum(w * (p - y) * x2) + b2 as g2, sum(w * (p - y)) + b0 as g0,
+                           sum(w * p * (1 - p) * x1 * x1) + 1 as h11, sum(w * p * (1 - p) * x1 * x2) as h12, sum(w * p * (1 - p) * x1) as h10,
+                           sum(w * p * (1 - p) * x2 * x2) + 1 as h22, sum(w * p * (1 - p) * x2) as h20, sum(w * p * (1 - p)) + 1 as h00
+                    from (select train.*, it, b1, b2, b0, 1e0 / (1e0 + exp(-(x1 * b1 + x2 * b2 + b0))) as p from fit join train {same} where it < 25)
+                    {group}))))"""
+
+
+@query("proxy_a_distance_halves", f"""select * from (
+with recursive r as (
+  select vec_id, case when domain <> 'source' then 1 else 0 end as y, {_HALVES} from feats),
+k as (select *, row_number() over (partition by y order by md5('0|' || vec_id), vec_id) as rn, count(*) over (partition by y) as n from r),
+t as (select *, rn <= round(n * 0.3e0) as test from k),
+st as (select avg(x1) as m1, stddev_pop(x1) as s1, avg(x2) as m2, stddev_pop(x2) as s2 from t where not test),
+z as (select y, test, (x1 - m1) / s1 as x1, (x2 - m2) / s2 as x2 from t, st),
+train as (select y, x1, x2, cast((select count(*) from z where not test) as double) / (2 * count(*) over (partition by y)) as w from z where not test),
+{_newton("").strip()}
+select round(avg(case when (case when x1 * b1 + x2 * b2 + b0 > 0 then 1 else 0 end) <> y then 1e0 else 0e0 end), 9) as domain_classifier_error,
+       count(*) as n_holdout, round(2 * (1 - 2 * avg(case when (case when x1 * b1 + x2 * b2 + b0 > 0 then 1 else 0 end) <> y then 1e0 else 0e0 end)), 9) as proxy_a_distance,
+       (select count(*) from r where y = 0) as n_source, (select count(*) from r where y = 1) as n_target, 0.3e0 as holdout_fraction, 0 as seed
+from z, fit where test and it = 25)""")
+def _(spark, folder):
+    out = shift.proxy_a_distance(_blocks(tables.features(spark, folder)), "vec_id", "domain", ["x1", "x2"])
+    return rounded(out.drop("convention"), "domain_classifier_error", "proxy_a_distance")
+
+
 @query("balanced_downsample", """select * from (
 with f as (select vec_id, domain, label % 2 as cls from feats join embeddings using (vec_id)),
 s as (select cls, min(n) as n from (select cls, domain, count(*) as n from f group by 1, 2) group by 1),
@@ -169,3 +217,23 @@ def _labelled(spark, folder):
 @query("format_probe")
 def _(spark, folder):
     return shift.format_probe(_labelled(spark, folder), "cls", "domain", "vec_id", "embedding")
+
+
+@query("format_probe_halves", f"""select * from (
+with recursive f as (select vec_id, label % 2 as cls, case when label < 5 then 'source' else 'target' end as domain, {_HALVES} from embeddings),
+s as (select cls, count(*) filter (where domain = 'source') as n_synthetic, count(*) filter (where domain <> 'source') as n_real from f group by 1),
+k as (select f.*, rs, row_number() over (partition by cls, rs, domain order by md5('42|' || rs || '|' || vec_id), rs || '|' || vec_id) as rn from f, (select unnest(range(0, 20)) as rs)),
+d as (select cls || '/' || rs as id, cls, rs, case when domain = 'source' then 0 else 1 end as y, x1, x2, (rn - 1) % least(5, n_synthetic, n_real) as fold,
+             least(5, n_synthetic, n_real) as folds from k join s using (cls) where rn <= least(n_synthetic, n_real) and least(n_synthetic, n_real) >= 2),
+train as (select id || '/' || m as model, y, x1, x2, 1e0 as w from (select *, unnest(range(0, folds)) as m from d) where m <> fold),
+{_newton("model").strip()},
+e as (select model, cls, y, x1 * b1 + x2 * b2 + b0 as z from d join fit on fit.model = id || '/' || fold where it = 25),
+q as (select model, cls, y, rank() over (partition by model order by z) + (count(*) over (partition by model, z) - 1) / 2e0 as rk from e),
+a as (select model, cls, (sum(case when y = 1 then rk end) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2e0)
+             / (count(*) filter (where y = 1) * count(*) filter (where y = 0)) as auc from q group by 1, 2)
+select cls, round(avg(auc), 9) as auc_mean, round(stddev_pop(auc), 9) as auc_std, count(auc) as n_auc_values, any_value(n_synthetic) as n_synthetic, any_value(n_real) as n_real,
+       any_value(least(n_synthetic, n_real)) as n_balanced_per_domain, 20 as n_resamples, cast(any_value(least(5, n_synthetic, n_real)) as integer) as folds_per_resample
+from a join s using (cls) group by cls)""")
+def _(spark, folder):
+    halves = _blocks(_labelled(spark, folder)).withColumn("f", F.array("x1", "x2"))
+    return rounded(shift.format_probe(halves, "cls", "domain", "vec_id", "f"), "auc_mean", "auc_std")
