@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,39 +63,92 @@ def _length_prefixed(name: ColumnLike) -> Column:
     return F.concat(size, F.encode(col(name), "UTF-8"))
 
 
+#: Bytes of joined entries that travel as one row.
+CHUNK_BYTES = 1 << 20
+
+
+def ordered_digest(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], entry: Column, algorithm: str, separator: bytes, digest: str, counted: str,
+) -> DataFrame:
+    """Digest of the entries of every key in `order`, joined by `separator`, and the number of rows.
+
+    The digest of a key is sequential by definition, but no row, array or task holds the key's entries: rows are
+    range-partitioned and sorted by key and order, so a large key sorts in many tasks; each task joins
+    neighbours to chunks of about `CHUNK_BYTES`; a key's chunks then stream in order through one hash
+    state, carried from batch to batch. A null entry is counted and not digested. Null keys are keys.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    by = [*names, *[f"_o{i}" for i in range(len(order))]]
+    rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *[c.alias(f"_o{i}") for i, c in enumerate(order)], entry.cast("binary").alias("_entry"))
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*names, F.spark_partition_id().alias("_shard"), "_entry")
+    kinds = "".join(f"{n} {df.schema[k].dataType.simpleString()}, " for n, k in zip(names, keys))
+    nothing = lambda batch: [tuple()] * batch.num_rows
+    key_rows = lambda batch: list(zip(*[batch.column(n).to_pylist() for n in names])) if names else nothing(batch)
+
+    def table(types: pa.Schema, found: list[tuple], rest: dict[str, pa.DataType]) -> pa.RecordBatch:
+        fields = [pa.field(n, types.field(n).type) for n in names] + [pa.field(n, t) for n, t in rest.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, size, n, at = None, [], 0, 0, 0
+        fields = {"_shard": pa.int32(), "_at": pa.int64(), "_n": pa.int64(), "_chunk": pa.binary()}
+        types = shard = None
+        for batch in batches:
+            types, out = batch.schema, []
+            for own, shard, data in zip(key_rows(batch), batch.column("_shard").to_pylist(), batch.column("_entry").to_pylist()):
+                if n and (own != key or size >= CHUNK_BYTES):
+                    out.append((*key, shard, at, n, separator.join(parts) if parts else None))
+                    parts, size, n, at = [], 0, 0, at + 1
+                key, n = own, n + 1
+                if data is not None:
+                    parts.append(data)
+                    size += len(data)
+            if out:
+                yield table(types, out, fields)
+        if n:
+            yield table(types, [(*key, shard, at, n, separator.join(parts) if parts else None)], fields)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, n, begun = None, None, 0, False
+        types = None
+        for batch in batches:
+            types, out = batch.schema, []
+            for own, rows_of, chunk in zip(key_rows(batch), batch.column("_n").to_pylist(), batch.column("_chunk").to_pylist()):
+                if own != key or state is None:
+                    if state is not None:
+                        out.append((*key, state.hexdigest(), n))
+                    key, state, n, begun = own, hashlib.new(algorithm), 0, False
+                n += rows_of
+                if chunk is not None:
+                    state.update(separator + chunk if begun else chunk)
+                    begun = True
+            if out:
+                yield table(types, out, {"_digest": pa.string(), "_rows": pa.int64()})
+        if state is not None:
+            yield table(types, [(*key, state.hexdigest(), n)], {"_digest": pa.string(), "_rows": pa.int64()})
+
+    chunks = ordered.mapInArrow(joined, f"{kinds}_shard int, _at bigint, _n bigint, _chunk binary")
+    placed = (chunks.repartition(*names) if names else chunks.repartition(1)).sortWithinPartitions(*names, "_shard", "_at")
+    out = placed.select(*names, "_n", "_chunk").mapInArrow(hashed, f"{kinds}_digest string, _rows bigint")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_digest").alias(digest), F.col("_rows").alias(counted))
+
+
 def name_set_signature(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """SHA-256 over the sorted names, each preceded by its byte length (4 bytes, big endian).
+    """SHA-256 over the sorted names, each preceded by its byte length (4 bytes, big endian); see `ordered_digest`.
 
-    The digest is sequential by definition, so the names of one key meet in one row. Use it for
-    rosters whose text fits a row; `tree_signature` is the distributed form for whole snapshots.
+    A null name is counted and not digested. `tree_signature` is the order-free form, whose digest is parallel too.
     """
-    return df.groupBy(*keys).agg(
-        F.sha2(
-            F.aggregate(
-                F.array_sort(F.collect_list(name)),
-                F.unhex(F.lit("")),
-                lambda acc, item: F.concat(acc, _length_prefixed(item)),
-            ),
-            256,
-        ).alias("signature"),
-        F.count(F.lit(1)).alias("n_names"),
-    )
+    return ordered_digest(df, keys, [F.col(name)], _length_prefixed(name), "sha256", b"", "signature", "n_names")
 
 
 def manifest_fingerprint(df: DataFrame, keys: Sequence[str], cls: str, name: str, digest: str) -> DataFrame:
-    """MD5 over `class/name:md5` entries sorted by class then name and joined with a bar.
+    """MD5 over `class/name:md5` entries sorted by class then name and joined with a bar; see `ordered_digest`.
 
-    Byte-compatible and therefore sequential, like `name_set_signature`.
+    An entry with a null part is counted and not digested.
     """
-    entry = F.struct(
-        F.col(cls).alias("c"), F.col(name).cast("string").alias("n"), F.col(digest).alias("d")
-    )
-    lines = F.transform(
-        F.array_sort(F.collect_list(entry)), lambda e: F.concat(e["c"], F.lit("/"), e["n"], F.lit(":"), e["d"])
-    )
-    return df.groupBy(*keys).agg(
-        F.md5(F.array_join(lines, "|")).alias("fingerprint"), F.count(F.lit(1)).alias("n_entries")
-    )
+    text = F.col(name).cast("string")
+    line = F.concat(F.col(cls).cast("string"), F.lit("/"), text, F.lit(":"), F.col(digest))
+    return ordered_digest(df, keys, [F.col(cls), text, F.col(digest)], F.encode(line, "UTF-8"), "md5", b"|", "fingerprint", "n_entries")
 
 
 def tree_signature(

@@ -314,28 +314,21 @@ def _(spark, folder):
     return docs.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha"), F.md5(F.encode("text", "UTF-8")).alias("md"))
 
 
-# The sequential digests run per directory: ids are unique, so a directory has at most 500 files.
-
-
 @query("manifest_fingerprint", """
-select dir, md5(string_agg(source || '/' || doc_id || ':' || md5(text), '|' order by source, cast(doc_id as varchar))) as fingerprint, count(*) as n_entries
-from (select *, doc_id // 500 as dir from documents) group by 1""")
+select source, md5(string_agg(lang || '/' || doc_id || ':' || md5(text), '|' order by lang, cast(doc_id as varchar))) as fingerprint, count(*) as n_entries
+from documents group by 1""")
 def _(spark, folder):
-    docs = tables.table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / 500).alias("dir"), "source", "doc_id", F.md5("text").alias("digest")
-    )
-    return digests.manifest_fingerprint(docs, ["dir"], "source", "doc_id", "digest")
+    docs = tables.table(spark, folder, "documents").select("source", "lang", "doc_id", F.md5("text").alias("digest"))
+    return digests.manifest_fingerprint(docs, ["source"], "lang", "doc_id", "digest")
 
 
 @query("name_set_signature", """
-select dir, sha256(string_agg(chr(0) || chr(0) || chr(0) || chr(octet_length(encode(n))::int) || n, '' order by n)) as signature, count(*) as n_names
-from (select doc_id // 500 as dir, 'doc_' || lang || '_' || doc_id || '.txt' as n from documents) group by 1""")
+select source, sha256(string_agg(chr(0) || chr(0) || chr(0) || chr(octet_length(encode(n))::int) || n, '' order by n)) as signature, count(*) as n_names
+from (select source, 'doc_' || lang || '_' || doc_id || '.txt' as n from documents) group by 1""")
 def _(spark, folder):
     docs = tables.table(spark, folder, "documents")
-    names = docs.select(
-        F.floor(F.col("doc_id") / 500).alias("dir"), F.concat(F.lit("doc_"), "lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("name")
-    )
-    return digests.name_set_signature(names, ["dir"], "name")
+    names = docs.select("source", F.concat(F.lit("doc_"), "lang", F.lit("_"), "doc_id", F.lit(".txt")).alias("name"))
+    return digests.name_set_signature(names, ["source"], "name")
 
 
 @query("tree_signature", """select * from (
