@@ -67,12 +67,8 @@ def _(spark, folder):
     )
     path, out = scratch_path(spark, "preds"), scratch_path(spark, "flips")
     rows.write.parquet(path)
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", monitors.ROCKSDB)
-    try:
-        monitors.run_available(monitors.monitor_churn(spark.readStream.schema(rows.schema).parquet(path)), out, scratch_path(spark, "ckpt"))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    own = monitors.state_session(spark)
+    monitors.run_available(monitors.monitor_churn(own.readStream.schema(rows.schema).parquet(path)), out, scratch_path(spark, "ckpt"))
     return spark.read.parquet(out).groupBy("run_id", "epoch").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("flipped").alias("flips")
     )

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.scalars import argmax, entropy, f64, is_finite
 from ..operators.health import HIGH, LOW
@@ -20,7 +21,7 @@ def monitor_runs(
     """Predicted histogram, entropy, collapse and NaN flags per key and event-time window.
 
     The expressions are those of the batch operators; run with output mode 'update' or 'append'. Rows
-    behind the watermark have no window any more; `late_rows` counts those that a query left out.
+    behind the watermark have no window any more; `LateRowLog` counts those that a query left out.
     """
     pred = argmax(probs)
     bad = ~is_finite(probs[0])
@@ -39,21 +40,80 @@ def monitor_runs(
 def late_rows(job: StreamingQuery) -> int:
     """Rows behind the watermark that a query has left out, over the batches whose progress the session keeps.
 
-    The session keeps `spark.sql.streaming.numRecentProgressUpdates` of them; a listener that adds up the
-    same field serves queries that run for longer.
+    The session keeps `spark.sql.streaming.numRecentProgressUpdates` of them; `LateRowLog` serves queries that
+    run for longer or are restarted.
     """
     return sum(int(s["numRowsDroppedByWatermark"]) for p in job.recentProgress for s in p["stateOperators"])
 
 
+class LateRowLog(StreamingQueryListener):
+    """Writes the rows that every batch left out behind the watermark to a table that outlives queries and sessions.
+
+    Spark drops late rows where they reach the state, after each task has combined its rows of one group and
+    window, so late rows of one task, group and window count once.
+
+    Register with `spark.streams.addListener`. A query keeps its id when it restarts from its checkpoint, and a batch
+    that is done over after a failure reports once more, so `total` takes one count for each query and batch. Batches that lost
+    nothing are not written. Events come a little after their batch: `settled` waits until a run's end was seen.
+    """
+
+    SCHEMA = "query_id string, batch_id bigint, late_rows bigint"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._ended: dict[str, threading.Event] = {}
+
+    def _end(self, run_id) -> threading.Event:
+        return self._ended.setdefault(str(run_id), threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self._end(event.runId)
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(int(s.numRowsDroppedByWatermark) for s in event.progress.stateOperators)
+        if late:
+            row = (str(event.progress.id), int(event.progress.batchId), late)
+            self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._end(event.runId).set()
+
+    def settled(self, job: StreamingQuery, timeout: float = 60.0) -> bool:
+        """True once all events of an ended run were taken in."""
+        return self._end(job.runId).wait(timeout)
+
+    @classmethod
+    def total(cls, spark: SparkSession, path: str) -> DataFrame:
+        """`late_rows` per query_id; a query that lost none has no row."""
+        batches = spark.read.schema(cls.SCHEMA).parquet(path).groupBy("query_id", "batch_id").agg(F.max("late_rows").alias("late_rows"))
+        return batches.groupBy("query_id").agg(F.sum("late_rows").alias("late_rows"))
+
+
 class _LastPrediction(StatefulProcessor):
-    """Keeps (epoch, prediction) per sample of a run; emits flips, counts late epochs."""
+    """Keeps (epoch, prediction) per sample of a run; emits flips, counts late epochs, forgets idle samples."""
 
-    def __init__(self, ttl_ms: int | None):
-        self._ttl = ttl_ms
+    def __init__(self, ttl_ms: int | None, idle_ms: int | None = None):
+        self._ttl, self._idle = ttl_ms, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._last = handle.getValueState("last", "epoch bigint, pred bigint, late bigint", self._ttl)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        newest = initialState.sort_values("epoch", kind="stable").iloc[-1]
+        self._last.update((int(newest["epoch"]), int(newest["pred"]), 0))
+        self._touch(timerValues)
+
+    def _touch(self, timerValues) -> None:
+        """The only timer of a key is the one set by its newest rows."""
+        if self._idle:
+            for at in list(self._handle.listTimers()):
+                self._handle.deleteTimer(at)
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         epoch, pred, late = self._last.get() if self._last.exists() else (None, None, 0)
         merged = pd.concat(list(rows)).sort_values("epoch", kind="stable")
@@ -66,9 +126,14 @@ class _LastPrediction(StatefulProcessor):
                 out.append((*key, int(e), int(pred), int(q), bool(q != pred), int(late)))
             epoch, pred = int(e), int(q)
         self._last.update((epoch, pred, late))
+        self._touch(timerValues)
         columns = ["run_id", "sample_id", "epoch", "before", "after", "flipped", "late_rows"]
         yield pd.DataFrame(out, columns=columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._last.clear()
+        yield pd.DataFrame(columns=["run_id", "sample_id", "epoch", "before", "after", "flipped", "late_rows"])
+
     def close(self) -> None:
         pass
 
@@ -76,22 +141,40 @@ class _LastPrediction(StatefulProcessor):
 CHURN_SCHEMA = "run_id bigint, sample_id bigint, epoch bigint, before bigint, after bigint, flipped boolean, late_rows bigint"
 
 
-def monitor_churn(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def monitor_churn(stream: DataFrame, ttl_ms: int | None = None, idle_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """One row per prediction that follows an earlier one of the same (run_id, sample_id).
 
     Expects run_id, sample_id, epoch, pred. State is one small value per sample, partitioned by
     (run, sample), so a hot run spreads over all tasks. An epoch at or before the last seen one is
-    ignored and counted. Needs the RocksDB state store.
+    ignored and counted. `initial`, a batch table of the same columns, says what was predicted before the stream
+    began: its newest epoch of a sample is where that sample goes on. A sample without rows for `idle_ms` belongs to a
+    finished run; a timer forgets it. With `idle_ms` or `ttl_ms` Spark plans batches for as long as the query runs, so
+    start it with a processing-time trigger, not with `run_available`. Needs the RocksDB state store, see `state_session`.
     """
-    mode = "ProcessingTime" if ttl_ms else "None"
-    return stream.select("run_id", "sample_id", "epoch", "pred").groupBy("run_id", "sample_id").transformWithStateInPandas(
-        statefulProcessor=_LastPrediction(ttl_ms), outputStructType=CHURN_SCHEMA, outputMode="append", timeMode=mode
+    names = ["run_id", "sample_id", "epoch", "pred"]
+    mode = "ProcessingTime" if ttl_ms or idle_ms else "None"
+    return stream.select(*names).groupBy("run_id", "sample_id").transformWithStateInPandas(
+        statefulProcessor=_LastPrediction(ttl_ms, idle_ms), outputStructType=CHURN_SCHEMA, outputMode="append", timeMode=mode,
+        initialState=None if initial is None else initial.select(*names).groupBy("run_id", "sample_id"),
     )
 
 
+def held_predictions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a churn monitor holds, read from its checkpoint by the state data source: newest epoch and prediction of every sample."""
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.select("key.run_id", "key.sample_id", "value.epoch", "value.pred", F.col("value.late").alias("late_rows"))
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of the same context whose streams keep state in RocksDB; settings of `spark` itself stay as they are."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
+
 def monitor_label_access(stream: DataFrame, training_ends: DataFrame, key: str = "run_id", ts: str = "ts") -> DataFrame:
     """Alerts for label reads at or before the end of training, or of a run without a recorded end.
 
