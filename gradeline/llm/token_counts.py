@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, byte_letters
 
 #: Words whose prefix counts a task remembers, twice over: a full memory becomes the older one, and its words come back when used.
-MEMORY = 200_000
+MEMORY = 400_000
 #: A longer word is counted each time anew.
 LONGEST_REMEMBERED = 64
 #: Code points of one Arrow batch of results, unless one text alone has more.
@@ -47,12 +47,13 @@ class PrefixCounter:
             self.ranks[raw(a), raw(b)] = rank
         # a token that merging does not give back from its own bytes never ends an encoding
         tokens = {t for t in map(raw, model["model"]["vocab"]) if self._merged([t[i : i + 1] for i in range(len(t))]) == [t]}
-        self.starts: dict[bytes, bool] = {t[:n]: False for t in tokens for n in range(1, len(t))}
-        self.starts.update(dict.fromkeys(tokens, True))
+        # what begins a token: False, or for a token itself what is known of tokens that follow it
+        self.starts: dict[bytes, bool | dict[bytes, bool]] = {t[:n]: False for t in tokens for n in range(1, len(t))}
+        self.starts.update((t, {}) for t in tokens)
+        self.pairs = 0
         self.special = [t["content"] for t in model["added_tokens"]]
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(PATTERN)
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -70,9 +71,13 @@ class PrefixCounter:
     def _follows(self, a: bytes, b: bytes) -> bool:
         both = a + b
         known = self._merged([both[i : i + 1] for i in range(len(both))]) == [a, b]
-        if len(self.pairs) >= MEMORY:
-            self.pairs.clear()
-        self.pairs[a, b] = known
+        if self.pairs >= MEMORY:
+            for follow in self.starts.values():
+                if follow:
+                    follow.clear()
+            self.pairs = 0
+        self.pairs += 1
+        self.starts[a][b] = known
         return known
 
     def _word(self, word: str) -> bytes:
@@ -81,22 +86,22 @@ class PrefixCounter:
         if packed is None:
             data = word.encode()
             n = len(data)
-            count, last = [0] * (n + 1), [b""] * (n + 1)
-            starts, pairs = self.starts.get, self.pairs.get
+            count, size, last = [0] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+            starts = self.starts.get
             for start in range(n):
                 before, more = last[start], count[start] + 1
-                last[start] = b""
+                last[start] = None
                 for end in range(start + 1, n + 1):
                     token = data[start:end]
-                    whole = starts(token)
-                    if whole is None:
+                    follow = starts(token)
+                    if follow is None:
                         break
-                    if whole and not count[end]:
+                    if follow is not False and not count[end]:
                         if start:
-                            known = pairs((before, token))
-                            if not (self._follows(before, token) if known is None else known):
+                            known = before.get(token)
+                            if not (self._follows(data[start - size[start] : start], token) if known is None else known):
                                 continue
-                        last[end], count[end] = token, more
+                        last[end], count[end], size[end] = follow, more, end - start
             ends = [i for i in range(1, n + 1) if i == n or data[i] & 0xC0 != 0x80] if n > len(word) else range(1, n + 1)
             out = [count[i] for i in ends]
             if word in CONTRACTIONS:
