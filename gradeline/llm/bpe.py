@@ -6,6 +6,9 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -13,8 +16,9 @@ from pyspark.sql import DataFrame
 
 # Fixed value: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers; a full memory starts anew.
-MEMORY = 200_000
+#: Words whose ids a worker remembers, twice over: a full memory becomes the older one, and its words come back when used.
+MEMORY = 300_000
+IDS, TEXT = itemgetter(0), itemgetter(1)
 
 
 def byte_letters() -> list[str]:
@@ -46,7 +50,8 @@ class Codec:
         self.words = regex.compile(PATTERN)
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.memory: dict[str, tuple[int, str]] = {}
+        self.memory: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token.
@@ -86,32 +91,48 @@ class Codec:
                     heapq.heappush(heap, (found[0], h, ids[h], new, found[1]))
         return [x for x in ids if x >= 0]
 
-    def _remember(self, word: str) -> tuple[int, ...]:
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        out = tuple(self.merge(word.encode()))
+    def _remember(self, word: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a word and their decimal text, from the older memory or merged anew."""
+        out = self.older.get(word)
+        if out is None:
+            ids = self.merge(word.encode())
+            out = tuple(ids), ",".join(map(str, ids))
         if len(word) <= 64:
+            if len(self.memory) >= MEMORY:
+                self.older, self.memory = self.memory, {}
             self.memory[word] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of the whole text; a special token's string in it is that token."""
+    def encoded(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """Ids of each word of the whole text, with their decimal text; a special token's string in it is that token."""
         parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
-        out: list[int] = []
-        get, miss, add = self.memory.get, self._remember, out.extend
+        out: list[tuple[tuple[int, ...], str]] = []
         for part in parts:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(((self.special[part],), str(self.special[part])))
                 continue
-            for found in self.words.finditer(part):
-                word = found[0]
-                add(get(word) or miss(word))
+            words = self.words.findall(part)
+            known = list(map(self.memory.get, words))
+            if None in known:
+                for i, found in enumerate(known):
+                    if found is None:
+                        known[i] = self.memory.get(words[i]) or self._remember(words[i])
+            out += known
         return out
 
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(IDS, self.encoded(text))))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str) -> Codec:
+    """The worker process keeps one, with its memory, from task to task."""
+    return Codec(path)
+
+
 def encode_texts(records: DataFrame, tokenizer: str) -> DataFrame:
     """Token ids of every whole text, and the text decoded from them.
 
@@ -132,11 +153,9 @@ def encode_texts(records: DataFrame, tokenizer: str) -> DataFrame:
 def encode_digests(records: DataFrame, tokenizer: str) -> DataFrame:
     """As `encode_texts`, with the results as digests made where they arise: `n_tokens`, `ids_sha256`, `decoded_sha256`."""
     def run(codec: Codec, text: str) -> tuple[int, str, str]:
-        ids = codec.encode(text)
-        joined = hashlib.sha256()
-        for a in range(0, len(ids), 65536):
-            joined.update((("," if a else "") + str(ids[a : a + 65536])[1:-1].replace(" ", "")).encode())
-        return len(ids), joined.hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+        found = codec.encoded(text)
+        ids = list(chain.from_iterable(map(IDS, found)))
+        return len(ids), hashlib.sha256(",".join(map(TEXT, found)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
     return _map(records, tokenizer, run, [
         ("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())])
@@ -146,7 +165,7 @@ def _map(records: DataFrame, tokenizer: str, run, fields) -> DataFrame:
     kind = records.select("sample_id").dtypes[0][1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer)
+        codec = codec_of(tokenizer)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
