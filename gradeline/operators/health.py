@@ -37,9 +37,11 @@ def collapse_from_counts(df: DataFrame, n0: str, n1: str, low: float = LOW, high
 
 
 def collapse_from_predictions(df: DataFrame, keys: Sequence[str], pred: str = "y_pred") -> DataFrame:
-    counts = df.groupBy(*keys).agg(
-        F.count_if(F.col(pred) == 0).alias("n0"), F.count_if(F.col(pred) == 1).alias("n1")
-    )
+    """Collapse of every key from its predictions; one that is null or no class stops the job with their number."""
+    n0, n1 = F.count_if(F.col(pred) == 0), F.count_if(F.col(pred) == 1)
+    foreign = F.count(F.lit(1)) - n0 - n1
+    message = F.concat(foreign.cast("string"), F.lit(" predictions are neither class 0 nor class 1"))
+    counts = df.groupBy(*keys).agg(F.when(foreign > 0, F.raise_error(message)).otherwise(n0).alias("n0"), n1.alias("n1"))
     return collapse_from_counts(counts, "n0", "n1")
 
 

@@ -133,7 +133,7 @@ def _steps(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
     message = F.concat(F.lit("invalid p-value "), F.coalesce(F.col(p).cast("string"), F.lit("null")))
     valid = F.when(is_finite(p) & f64(p).between(0.0, 1.0), f64(p)).otherwise(F.raise_error(message))
     steps = df.groupBy(*family, valid.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_folds(steps, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], {"_n": "sum"}, whole=True)
+    cum = running_folds(steps, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], {"_n": "sum"}, whole=True, keep_buckets=True)
     return cum.withColumnRenamed("all__n", "_m")
 
 
@@ -147,11 +147,12 @@ def holm(df: DataFrame, family: Sequence[str], p: str = "p_value", order: Sequen
     """Holm step-down adjustment inside each family.
 
     Works on distinct p-values: the first rank of a tie decides for all of it, so `order` is not needed.
-    Running counts and maxima are cut into p buckets, so one family may hold most of the rows.
+    Running counts and maxima are cut into the same p buckets, so one family may hold most of the rows and the
+    second fold finds the steps where the first has left them.
     """
     first = F.col("cum__n") - F.col("_n") + 1
     scaled = _steps(df, family, p).withColumn("_scaled", (F.col("_m") - first + 1) * F.col("_p"))
-    run = running_folds(scaled, family, [-b for b in score_buckets(F.col("_p"))], [F.col("_p")], {"_scaled": "max"}, prefix="_run")
+    run = running_folds(scaled, family, ["_bucket0"], [F.col("_p")], {"_scaled": "max"}, prefix="_run")
     return _adjusted(df, run, family, p, "holm_p", alpha)
 
 

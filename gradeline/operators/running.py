@@ -84,11 +84,12 @@ def _offsets(totals: DataFrame, keys: list[str], levels: list[str], folds: dict[
 def running_folds(
     df: DataFrame,
     keys: Sequence[str],
-    buckets: Sequence[Column],
+    buckets: Sequence[Column | str],
     order: Sequence[Column],
     folds: dict[str, str],
     prefix: str = "cum_",
     whole: bool = False,
+    keep_buckets: bool = False,
 ) -> DataFrame:
     """Add the inclusive running sum, max or min `cum_<column>` of each column, per key group in `order`.
 
@@ -96,12 +97,18 @@ def running_folds(
     whole group, which the bucket totals give for nothing. `buckets` are expressions that never decrease along
     `order`, coarsest first. `order` must be unique inside a group, or the results of tied rows are
     arbitrary. A null key or bucket has no place in the order and stops the job; no row is dropped.
+
+    With `keep_buckets` the buckets stay as columns `_bucket0`, ...; a later fold over the same rows and keys that
+    names them as its `buckets` finds its rows where they are and needs no exchange of them.
     """
     keys = list(keys)
-    levels = [f"_bucket{i}" for i in range(len(buckets))]
-    cut = df.withColumns(dict(zip(levels, buckets)))
-    refuse = lambda name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"null in {name}: rows without a key or an order value can not be accumulated"))).otherwise(F.col(name))
-    cut = cut.withColumns({name: refuse(name) for name in (*keys, *levels)})
+    named = all(isinstance(b, str) for b in buckets)
+    levels = list(buckets) if named else [f"_bucket{i}" for i in range(len(buckets))]
+    cut = df
+    if not named:
+        cut = cut.withColumns(dict(zip(levels, buckets)))
+        refuse = lambda name: F.when(F.col(name).isNull(), F.raise_error(F.lit(f"null in {name}: rows without a key or an order value can not be accumulated"))).otherwise(F.col(name))
+        cut = cut.withColumns({name: refuse(name) for name in (*keys, *levels)})
     # stated once here, the null filters that the joins imply are the same in every branch, so the
     # branches share one exchange of the rows instead of recomputing them; nulls never get this far
     for name in (*keys, *levels):
@@ -110,8 +117,9 @@ def running_folds(
     inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({f"{prefix}{s}": _FOLDS[f](s).over(inside) for s, f in folds.items()})
     joined = local.join(_offsets(totals, keys, levels, folds), [*keys, *levels])
+    kept = [c for c in df.columns if keep_buckets or c not in levels] + ([c for c in levels if c not in df.columns] if keep_buckets else [])
     return joined.select(
-        *df.columns,
+        *kept,
         *[_merge(f, F.col(f"{prefix}{s}"), F.col(f"_before_{s}")).alias(f"{prefix}{s}") for s, f in folds.items()],
         *([F.col(f"_all_{s}").alias(f"all_{s}") for s in folds] if whole else []),
     )
@@ -158,6 +166,9 @@ def value_buckets(value: Column) -> list[Column]:
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per key, one column per entry of `points`; adds the count `n`.
 
+    Only finite values count: nulls, NaN and infinities are left out of the quantiles and of `n`, and a key without a finite
+    value has no row. `left_out` counts them.
+
     The built-in exact percentile keeps all distinct values of a group in one buffer. Here they stay
     rows: counts per distinct value are accumulated across buckets and the bracketing ranks are
     picked by an aggregate.
@@ -186,6 +197,30 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str,
     return out.select(*keys, *cols, "n")
 
 
+def left_out(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Per key, the rows that `quantiles` and `approx_quantiles` leave out and those that they take."""
+    v = F.col(value).cast("double")
+    finite = F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), F.lit(False))
+    return df.groupBy(*keys).agg(F.count_if(~finite).alias("n_left_out"), F.count_if(finite).alias("n"))
+
+
+def approx_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], k: int = 800) -> DataFrame:
+    """Approximate quantiles per key from mergeable sketches: one pass, one exchange of a few kilobytes per task and key.
+
+    A KLL sketch keeps about 3k values whatever the size of the group. The value given for a point is one of the
+    group's, and its rank is off by at most about 2.3 / k^0.9 of the group (0.6 % at k = 800) with 99 % confidence; it is not
+    interpolated. Which values a sketch keeps is random, so results may differ from run to run. For exact results use
+    `quantiles`. Null and values that are not finite are left out, see `left_out`; adds the count `n`.
+    """
+    keys = list(keys)
+    v = F.col(value).cast("double")
+    finite = df.where(F.coalesce(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), F.lit(False)))
+    sketches = finite.groupBy(*keys).agg(F.kll_sketch_agg_double(v, F.lit(k)).alias("_sketch"), F.count(F.lit(1)).alias("n"))
+    if not keys:
+        sketches = sketches.where("n > 0")
+    return sketches.select(*keys, *[F.kll_sketch_get_quantile_double("_sketch", F.lit(float(q))).alias(name) for name, q in points.items()], "n")
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], name: str = "rn"
 ) -> DataFrame:

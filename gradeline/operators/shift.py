@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -101,7 +102,12 @@ def domain_standardize(
     target      every row with target-domain statistics
     frozen      every row with source-domain statistics
     per_domain  every row with the statistics of its own domain
+
+    Statistics come from rows with a domain; with per_domain a row without one stops the job, no row is lost.
     """
+    if mode == "per_domain":
+        missing = F.raise_error(F.lit("a row without a domain has no statistics"))
+        df = df.withColumn(domain, F.when(F.col(domain).isNull(), missing).otherwise(F.col(domain)))
     stats = domain_means(df, domain, features)
     packed = stats.groupBy(domain).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean", "var"))), lambda s: F.struct(s["mean"], s["var"])).alias("_stats")
@@ -223,12 +229,16 @@ def rbf_mmd2(
     """Unbiased squared MMD with an RBF kernel over all pairs of rows.
 
     Work is quadratic by definition. It is cut into tile pairs that each return three kernel sums;
-    without `bandwidth` the exact pooled median distance is used. All passes read the same tiles.
+    without `bandwidth` the exact pooled median distance is used. All passes read the same tiles. Rows without a
+    domain, a third domain, less than two rows of a domain and a bandwidth that is not finite are refused.
     """
+    if bandwidth is not None and not (bandwidth > 0 and math.isfinite(bandwidth)):
+        raise ValueError("bandwidth must be positive and finite")
+    _refuse_domains(df, domain, source, 2)
     pairs = _block_pairs(df, id_col, domain, features, source, block_rows)
     sigma = _median_of(pairs) if bandwidth is None else float(bandwidth)
-    if not sigma > 0:
-        raise ValueError("bandwidth must be positive")
+    if not (sigma > 0 and math.isfinite(sigma)):
+        raise ValueError("the pooled median distance is no bandwidth: it must be positive and finite")
     gamma = 1.0 / (2.0 * sigma * sigma)
 
     def kernel_sums(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -429,6 +439,19 @@ def ema_over_epochs(df: DataFrame, keys: Sequence[str], epoch: str, value: str,
 # --- separability probes ----------------------------------------------------------------------
 
 
+def _refuse_domains(df: DataFrame, domain: str, source: str, at_least: int) -> None:
+    """Stop before any work where a row has no domain, a third domain appears or a domain has too few rows."""
+    other = F.when(F.col(domain) != source, F.col(domain))
+    low, high, null, m, n = df.agg(
+        F.min(other), F.max(other), F.count_if(F.col(domain).isNull()), F.count_if(F.col(domain) == source), F.count(other)).first()
+    if null:
+        raise ValueError(f"{null} rows without a domain")
+    if low != high:
+        raise ValueError(f"more than two domains: {source}, {low}, {high}")
+    if min(m, n) < at_least:
+        raise ValueError(f"each domain needs at least {at_least} rows, found {m} and {n}")
+
+
 def _is_target(df: DataFrame, domain: str, source: str) -> Column:
     """1 for the target domain, 0 for the source. A null domain stops the job, a third one is refused."""
     named = F.when(F.col(domain) != source, F.col(domain))
