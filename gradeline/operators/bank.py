@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,3 +115,46 @@ def fit_rollup(bank: DataFrame) -> DataFrame:
         ]
     table: Sequence[Column] = [F.struct(F.lit(c).alias("check"), s.alias("status"), F.col(v).alias("value")) for c, s, v in rows]
     return agg.select(F.explode(F.array(*table)).alias("r")).select("r.check", "r.status", "r.value")
+
+
+def _rules(checks: Sequence[tuple[str, Column, Column]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(c).alias("check"), s.alias("status"), f64(v).alias("value")) for c, s, v in checks])).alias("r")
+
+
+def mask_rollup(
+    masks: DataFrame, label: str, targets: Mapping[str, int], width: str, height: str, damage: str, max_side: int, share: float = 0.9,
+) -> DataFrame:
+    """Rule table (check, status, value) over generated masks, verdict included.
+
+    A class short of `share` of its target warns, a side above `max_side` fails; sizes and the number of masks
+    of every kind of damage are for information. The verdict fails where a rule fails; without masks the size rule does. One
+    aggregation gives the rules, a second one the kinds of damage, a row each; a null kind is named `none`.
+    """
+    names = list(targets)
+    agg = masks.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(label) == c).alias(f"n{i}") for i, c in enumerate(names)],
+        *[f(c).alias(f"{tag}_{side}") for side, c in (("width", width), ("height", height)) for tag, f in (("min", F.min), ("max", F.max))])
+    side = F.greatest("max_width", "max_height")
+    counts = [(f"count_{c}", F.when(F.col(f"n{i}") >= share * targets[c], "PASS").otherwise("WARN"), F.col(f"n{i}")) for i, c in enumerate(names)]
+    ranges = [(f"{a}_{tag}", F.lit("INFO"), F.col(f"{tag}_{a}")) for a in ("width", "height") for tag in ("min", "max")]
+    rules = agg.select(_rules([
+        ("masks", F.lit("INFO"), F.col("n")), *counts, *ranges, ("max_side", F.when(side <= max_side, "PASS").otherwise("FAIL"), side)])).select("r.*")
+    kinds = masks.groupBy(F.concat(F.lit("damage_"), F.coalesce(F.col(damage).cast("string"), F.lit("none"))).alias("check")).agg(F.count(F.lit(1)).alias("value"))
+    return with_verdict(rules, ("FAIL",)).unionByName(kinds.select("check", F.lit("INFO").alias("status"), f64("value").alias("value")))
+
+
+def with_verdict(rules: DataFrame, failing: Sequence[str] = ("FAIL", "WARN")) -> DataFrame:
+    """The rule table and a row `verdict`: FAIL, with their number, where rules have one of the `failing` states, else PASS."""
+    bad = F.count_if(F.col("status").isin(list(failing)))
+    verdict = rules.agg(F.lit("verdict").alias("check"), F.when(bad > 0, "FAIL").otherwise("PASS").alias("status"), f64(bad).alias("value"))
+    return rules.select("check", "status", "value").unionByName(verdict)
+
+
+def site_rollup(bank: DataFrame, site: str) -> DataFrame:
+    """Usable entries (highlight fit and spectrum both there) in all and per site, and the sites that have one."""
+    usable = bank.where(F.col("hl_c").isNotNull() & ~F.isnan(f64("hl_c")) & (F.col("hl_psd_size") > 0))
+    per_site = usable.groupBy(F.coalesce(F.col(site).cast("string"), F.lit("none")).alias("site")).agg(F.count(F.lit(1)).alias("value"))
+    sums = per_site.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("sites"))
+    info = F.lit("INFO")
+    return sums.select(_rules([("usable_entries", info, F.col("n")), ("effective_sites", info, F.col("sites"))])).select("r.*").unionByName(
+        per_site.select(F.concat(F.lit("site_"), "site").alias("check"), info.alias("status"), f64("value").alias("value")))

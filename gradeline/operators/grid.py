@@ -102,6 +102,23 @@ def pair_runs(
     return joined.withColumn("difference", F.col("value_a") - F.col("value_b"))
 
 
+def loose_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], seed: str, value: str) -> DataFrame:
+    """One row per key of either side: how many seeds pair, which ones, and the mean of a-b.
+
+    Seeds of one side only, or without a value, are skipped. A key with fewer than two pairs has its row too: it is
+    `insufficient` and has no mean. Without keys there is one row, also where nothing pairs.
+    """
+    left = a.select(*keys, seed, f64(value).alias("_a"))
+    right = b.select(*keys, seed, f64(value).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    joined = left.join(right, [*keys, seed], "full")
+    agg = joined.groupBy(*keys).agg(
+        F.count_if(both).alias("n_pairs"), F.sort_array(F.collect_list(F.when(both, F.col(seed)))).alias("used_seeds"),  # bounded by the seeds
+        F.avg(F.when(both, F.col("_a") - F.col("_b"))).alias("_mean"))
+    few = F.col("n_pairs") < 2
+    return agg.select(*keys, "n_pairs", "used_seeds", few.alias("insufficient"), F.when(~few, F.col("_mean")).alias("mean_difference"))
+
+
 def unmatched_seeds(a: DataFrame, b: DataFrame, keys: Sequence[str], seed: str) -> DataFrame:
     """Seeds found in only one of two arms."""
     on = [*keys, seed]

@@ -115,6 +115,20 @@ def _(spark, folder):
     return rounded(out, "value_a", "value_b", "difference")
 
 
+@query("loose_pairs", """select * from (
+with y as (select fold, seed, macro_f1 as v from run_metrics where arm = 3 and seed <> 2 and (fold <> 1 or seed = 0) and fold <> 2),
+x as (select fold, seed, macro_f1 as v from run_metrics where arm = 0 and seed <> 4),
+p as (select fold, seed, y.v - x.v as d from y join x using (fold, seed)),
+f as (select fold from y union select fold from x)
+select fold, count(d) as n_pairs, coalesce(string_agg(seed, ',' order by seed), '') as used_seeds, count(d) < 2 as insufficient,
+       case when count(d) >= 2 then round(avg(d), 9) end as mean_difference from f left join p using (fold) group by 1)""")
+def _(spark, folder):
+    runs = run_table(spark, folder)
+    y = runs.where("arm = 3 and seed <> 2 and (fold <> 1 or seed = 0) and fold <> 2")
+    out = grid.loose_pairs(y, runs.where("arm = 0 and seed <> 4"), ["fold"], "seed", "macro_f1")
+    return rounded(out.withColumn("used_seeds", F.array_join("used_seeds", ",")), "mean_difference")
+
+
 @query("unmatched_seeds", """
 select distinct seed, 'b' as only_in from preds where seed = 2 union all select distinct seed, 'a' from preds where seed = 4""")
 def _(spark, folder):

@@ -269,3 +269,29 @@ g as (select image_id, gx as x, gy as y from (select distinct image_id from stri
 select image_id, x, y, coalesce(v, 0) as v from g left join p using (image_id, x, y))""")
 def _(spark, folder):
     return raster.explode_images(_image_table(spark, folder), ["image_id"]).drop("origin")
+
+
+@query("mask_rollup", """select * from (
+with m as (select case when p_partkey % 3 = 0 then 'ship' else 'airplane' end as label, p_size * 4 as w, p_partkey % 90 + 20 as h, case when p_partkey % 7 <> 0 then substr(p_type, 1, 5) end as damage from part),
+a as (select count(*) as n, count(*) filter (where label = 'airplane') as planes, count(*) filter (where label = 'ship') as ships, min(w) as w0, max(w) as w1, min(h) as h0, max(h) as h1 from m)
+select 'masks' as chk, 'INFO' as status, cast(n as double) as value from a
+union all select 'count_airplane', case when planes >= 0.9e0 * 120 then 'PASS' else 'WARN' end, planes from a union all select 'count_ship', case when ships >= 0.9e0 * 100000000 then 'PASS' else 'WARN' end, ships from a
+union all select 'width_min', 'INFO', w0 from a union all select 'width_max', 'INFO', w1 from a union all select 'height_min', 'INFO', h0 from a union all select 'height_max', 'INFO', h1 from a
+union all select 'max_side', case when greatest(w1, h1) <= 150 then 'PASS' else 'FAIL' end, greatest(w1, h1) from a union all select 'verdict', case when greatest(w1, h1) <= 150 then 'PASS' else 'FAIL' end, case when greatest(w1, h1) <= 150 then 0 else 1 end from a
+union all select 'damage_' || coalesce(damage, 'none'), 'INFO', count(*) from m group by damage)""")
+def _(spark, folder):
+    key = F.col("p_partkey")
+    masks = tables.table(spark, folder, "part").select(
+        F.when(key % 3 == 0, "ship").otherwise("airplane").alias("label"), (F.col("p_size") * 4).alias("w"), (key % 90 + 20).alias("h"),
+        F.when(key % 7 != 0, F.substring("p_type", 1, 5)).alias("damage"))
+    out = bank.mask_rollup(masks, "label", {"airplane": 120, "ship": 100_000_000}, "w", "h", "damage", 150)
+    return out.withColumnRenamed("check", "chk")
+
+
+@query("site_rollup", """select * from (
+with u as (select p_brand as site, count(*) as n from bank join part on p_partkey = entry_id where hl_c is not null and hl_psd_size > 0 group by 1)
+select 'usable_entries' as chk, 'INFO' as status, cast(sum(n) as double) as value from u union all select 'effective_sites', 'INFO', count(*) from u
+union all select 'site_' || site, 'INFO', n from u)""")
+def _(spark, folder):
+    sites = tables.frames(spark, folder).select(F.col("frame_id").alias("entry_id"), "site")
+    return bank.site_rollup(tables.bank(spark, folder).join(sites, "entry_id"), "site").withColumnRenamed("check", "chk")
