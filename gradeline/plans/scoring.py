@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import calibration, metrics, predictions, ranking
+from ..session import scratch_path
 from ..sources import tables
+from ..sources.writers import store_predictions
 from .registry import off_tie, query, rnd, rounded
 
 RUN = ["arm", "seed", "fold"]
@@ -31,6 +33,16 @@ def _(spark, folder):
     return averaged(spark, folder)
 
 
+@query("mean_checkpoints_stored", """
+select arm, seed, fold, sample_id, min(y_true) as y_true, avg(p0) as p0, avg(p1) as p1, count(*) as n_checkpoints
+from preds group by arm, seed, fold, sample_id""")
+def _(spark, folder):
+    path = scratch_path(spark, "predictions")
+    rows = tables.predictions(spark, folder).select(*RUN, "sample_id", "epoch", "y_true", "p0", "p1")
+    stored = store_predictions(rows, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=16, sort=[*RUN, "epoch"])
+    return predictions.mean_checkpoints(stored, [*RUN, "sample_id"])
+
+
 @query("predict_argmax", "select arm, seed, fold, y_pred, count(*) as n from scored group by arm, seed, fold, y_pred")
 def _(spark, folder):
     return scored(spark, folder).groupBy(*RUN, "y_pred").agg(F.count(F.lit(1)).alias("n"))

@@ -102,3 +102,15 @@ def persist_bank(bank: DataFrame, id_col: str, path: str) -> None:
     from ..operators.splits import reindex
 
     reindex(bank, id_col).write.mode("errorifexists").parquet(path)
+
+
+def store_predictions(preds: DataFrame, table: str, path: str, sample: str = "sample_id", buckets: int = 64, sort: Sequence[str] = ()) -> DataFrame:
+    """Predictions as a table bucketed by sample and sorted inside buckets; returned as it reads back.
+
+    Rows of one sample lie in one bucket, so averages over checkpoints, churn and joins by sample need no exchange,
+    however many runs and epochs follow. `path` must be in storage that every executor reaches; an existing table stops the write.
+    Take as many buckets as make a bucket fit a task: the count stays with the table. A null sample is a bucket's like any other.
+    """
+    writer = preds.repartition(buckets, sample).write.mode("errorifexists").format("parquet").option("path", path)
+    writer.bucketBy(buckets, sample).sortBy(sample, *sort).saveAsTable(table)
+    return preds.sparkSession.table(table)
