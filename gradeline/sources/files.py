@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 def scan_labeled_tree(spark: SparkSession, root: str, extensions: Sequence[str] = ("png",)) -> DataFrame:
     """Files below `root` with their label (parent folder), relative path, size and digests.
 
-    Ordered by relative path. Contents are read by the tasks that digest them and dropped at once.
+    Ordered by relative path. Contents are read by the tasks that digest them and dropped at once. Spark's
+    binary source leaves out empty files and fails above 2 GiB; `ranges.digest_files` takes both.
     """
     pattern = "|".join(extensions)
     files = (
@@ -77,7 +78,10 @@ def read_sha256sums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def directory_digests(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> DataFrame:
-    """(path, digest) of every file below `root`, relative, for comparison with a manifest."""
+    """(path, digest) of every file below `root`, relative, for comparison with a manifest.
+
+    As in `scan_labeled_tree`, empty files and those above 2 GiB need `ranges.directory_digests_of_any_size`.
+    """
     path = F.regexp_replace("path", "^file:/*", "/")
     relative: Column = F.regexp_extract(path, f"{_quoted(root)}/?(.*)$", 1)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
