@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -79,10 +80,10 @@ def expression_postfix(text: str) -> list[str]:
     return out
 
 
-def choices(postfix: list[str], most: int = 256) -> frozenset[frozenset[str]]:
+def choices(postfix: list[str]) -> frozenset[frozenset[str]]:
     """Sets of licence terms that each satisfy the expression: OR unites them, AND combines them, WITH joins a term to its exception.
 
-    Beyond `most` alternatives the terms are kept as one set, so no term gets lost.
+    Their number can double with every AND, so the scan does not list them; see `decided`.
     """
     stack: list[frozenset[frozenset[str]]] = []
     for item in postfix:
@@ -95,14 +96,47 @@ def choices(postfix: list[str], most: int = 256) -> frozenset[frozenset[str]]:
         if item == "or":
             found = a | b
         elif item == "and":
-            found = frozenset(x | y for x in a for y in b) if len(a) * len(b) <= most else frozenset([frozenset().union(*a, *b)])
+            found = frozenset(x | y for x in a for y in b)
         else:
             right = " ".join(sorted(frozenset().union(*b)))
             found = frozenset(frozenset(f"{t} with {right}" for t in x) for x in a)
-        stack.append(found if len(found) <= most else frozenset([frozenset().union(*found)]))
+        stack.append(found)
     return stack[0] if stack else frozenset()
 
 
+@dataclass(frozen=True)
+class Decision:
+    """What an expression asks for: `needed` terms stand in every alternative, `chosen` in some only."""
+
+    needed: frozenset[str]
+    chosen: frozenset[str]
+
+
+def decided(postfix: list[str]) -> Decision:
+    """The terms that every alternative of the expression needs, and those that a choice can avoid.
+
+    Equal to intersection and union of `choices` without listing them: AND unites what its sides need,
+    OR keeps what both need, WITH joins each term to its exception.
+    """
+    stack: list[tuple[frozenset[str], frozenset[str]]] = []  # needed, all
+    for item in postfix:
+        if item not in _PRECEDENCE:
+            stack.append((frozenset([item]), frozenset([item])))
+            continue
+        if len(stack) < 2:
+            break
+        (need_b, all_b), (need_a, all_a) = stack.pop(), stack.pop()
+        if item == "or":
+            stack.append((need_a & need_b, all_a | all_b))
+        elif item == "and":
+            stack.append((need_a | need_b, all_a | all_b))
+        else:
+            right = " ".join(sorted(all_b))
+            stack.append((frozenset(f"{t} with {right}" for t in need_a), frozenset(f"{t} with {right}" for t in all_a)))
+    needed, every = stack[0] if stack else (frozenset(), frozenset())
+    return Decision(needed, every - needed)
+
+
 def family(term: str) -> str:
     return next((label for start, label in FAMILIES if term.startswith(start)), term.split(" ")[0])
 
@@ -132,12 +166,15 @@ def scan_text(text: str, machine: ahocorasick.Automaton) -> dict:
             label, strength = NOTICE_PHRASES[phrase]
             labels.add(label)
             score = 1 - (1 - score) * (1 - strength)
-    expressions = []
+    expressions, needed, chosen = [], set(), set()
     for found in _TAG.finditer(text) if tagged else ():
         postfix = expression_postfix(found[1])
         if postfix:
             expressions.append(" ".join(postfix))
-            labels.update(family(t) for terms in choices(postfix) for t in terms)
+            decision = decided(postfix)
+            needed |= decision.needed
+            chosen |= decision.chosen
+            labels.update(family(t) for t in decision.needed | decision.chosen)
             score = 1.0
     starts, at, seen = [], 0, 0
     for place, _ in sorted(places):
@@ -147,24 +184,28 @@ def scan_text(text: str, machine: ahocorasick.Automaton) -> dict:
     return {
         "n_words": len(words), "n_base": len(places), "first_word": starts[0] if starts else None,
         "last_word": starts[-1] if starts else None, "base_labels": ",".join(sorted(base)),
-        "labels": ",".join(sorted(base | labels)), "expressions": expressions, "score": round(score, 6)}
+        "labels": ",".join(sorted(base | labels)), "expressions": expressions,
+        "needed_terms": sorted(needed), "chosen_terms": sorted(chosen - needed), "score": round(score, 6)}
 
 
 _SCHEMA = pa.schema([
     ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
-    ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())), ("score", pa.float64())])
+    ("base_labels", pa.string()), ("labels", pa.string()), ("expressions", pa.list_(pa.string())),
+    ("needed_terms", pa.list_(pa.string())), ("chosen_terms", pa.list_(pa.string())), ("score", pa.float64())])
 
 
 def scan_licences(records: DataFrame) -> DataFrame:
     """Licence phrases, identifier tags and expressions of every whole text.
 
     Reads `sample_id`, `content`; returns one row per input row: `sample_id`, `n_words`, `n_base`,
-    `first_word`, `last_word`, `base_labels`, `labels`, `expressions` (postfix), `score`.
+    `first_word`, `last_word`, `base_labels`, `labels`, `expressions` (postfix), `needed_terms`,
+    `chosen_terms` (licence terms, an exception joined by "with"), `score`.
 
     An Aho-Corasick automaton finds all phrases in one pass over the words (letters A-Z lowered, runs
     of letters, digits and characters beyond ASCII). Where the identifier tag occurs, the rest of its
-    line is parsed by a shunting-yard and evaluated to the terms that satisfy it; their families are
-    labels. The score combines the strengths of the notices as independent evidence; an identifier is 1.
+    line is parsed by a shunting-yard and evaluated: terms that every alternative of one of the text's
+    expressions needs, and terms that stand in some alternatives only. The families of both are labels.
+    Alternatives are not listed, so an expression may have any number of them. The score combines the strengths of the notices as independent evidence; an identifier is 1.
 
     Null counts as empty: no words, no places, empty labels, score 0. Overlapping places all count.
     Rows are independent, so repeated rows and ids have a row each and ties do not arise. Further
@@ -182,4 +223,4 @@ def scan_licences(records: DataFrame) -> DataFrame:
 
     return records.select("sample_id", "content").mapInArrow(work, (
         f"sample_id {kind}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-        "base_labels string, labels string, expressions array<string>, score double"))
+        "base_labels string, labels string, expressions array<string>, needed_terms array<string>, chosen_terms array<string>, score double"))

@@ -93,4 +93,4 @@ def pack(records: DataFrame, n_tokens: Column | None = None, max_tokens: int = M
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens")))
     return joined.select(
         F.col("_id").alias("sample_id"), "piece", "start_token", "n_tokens", "bucket_tokens",
-        F.floor((F.col("_before") + F.col("_rank")) / per_batch).cast("bigint").alias("batch"))
+        F.when(F.col("bucket_tokens").isNotNull(), F.floor((F.col("_before") + F.col("_rank")) / per_batch)).cast("bigint").alias("batch"))

@@ -19,12 +19,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 LOOSE_PHONE = r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
 LOOSE_EMAIL = r"[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?[\[(]dot[\])]\x20?|\.)[A-Za-z]{2,24}"
+LOOSE_IP = r"(?<![0-9.])[0-9]{1,3}(?:\x20?(?:[\[(]\.[\])]|[\[(]dot[\])])\x20?[0-9]{1,3}){3}(?![0-9])"
+LOOSE_CARD = r"(?<![0-9])[0-9]{4}(?:[./_\x20-]{1,3}[0-9]{4}){2,3}(?:[./_\x20-]{1,3}[0-9]{1,3})?(?![0-9])"
 KINDS = ("email", "ip", "card", "phone")
 KEYWORDS = r"(?i)(tel|phone|call|fax|mail|contact|card|visa|address|host)[^A-Za-z]*$"
 
-# Bins of each feature; their product bounds the table that the fit reads.
-FEATURES = {"kind": 4, "digits": 6, "breaks": 5, "luhn": 2, "octets": 2, "left": 4, "right": 4, "keyword": 2, "spread": 3}
-#: Share of held-out candidates above a kind's threshold that must be right.
+# Bins of each feature; their product, once per fold, bounds the table that the fit reads.
+FEATURES = {"kind": 4, "digits": 5, "breaks": 5, "left": 4, "right": 4, "keyword": 2, "spread": 3}
+#: Parts of the texts; each is scored by trees fitted to the others.
+FOLDS = 5
+#: Share of the candidates above a kind's threshold that must be right.
 PRECISION = 0.95
 
 
@@ -42,7 +46,18 @@ def _luhn(digits: Column) -> Column:
 
 
 def _octets(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda part: (F.length(F.ltrim(part, F.lit("0"))) <= 3) & (F.coalesce(F.right(part, F.lit(3)).cast("int"), F.lit(0)) <= 255))
+    parts = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0))
+    return (F.size(parts) == 4) & F.forall(parts, lambda part: (F.length(F.ltrim(part, F.lit("0"))) <= 3) & (F.coalesce(F.right(part, F.lit(3)).cast("int"), F.lit(0)) <= 255))
+
+
+def _plausible(s: Column) -> Column:
+    """The verdict on a candidate that no feature knows: check digit, octets, top-level domain, length of a number."""
+    n = F.length(_digits(s["value"]))
+    return (
+        F.when(s["kind"] == "email", s["value"].rlike(r"(\.|[\])]\x20?)[A-Za-z]{2,24}$"))
+        .when(s["kind"] == "ip", _octets(s["value"]))
+        .when(s["kind"] == "card", n.between(13, 19) & _luhn(_digits(s["value"])))
+        .otherwise(n.between(9, 15)))
 
 
 def _valid(s: Column) -> Column:
@@ -72,10 +87,8 @@ def _described(s: Column) -> Column:
     return F.struct(
         s["kind"].alias("name"), s["start"].alias("start"), s["end"].alias("end"),
         sum((F.when(s["kind"] == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0)).alias("kind"),
-        _bin(n, 7, 9, 13, 16, 20).alias("digits"),
+        _bin(n, 8, 11, 14, 18).alias("digits"),
         _bin(F.regexp_count(s["value"], F.lit(r"[\x20().-]")), 1, 2, 3, 4).alias("breaks"),
-        ((s["kind"] == "card") & n.between(13, 19) & _luhn(_digits(s["value"]))).cast("int").alias("luhn"),
-        ((s["kind"] == "ip") & _octets(s["value"])).cast("int").alias("octets"),
         _char(F.right(s["before"], F.lit(1))).alias("left"), _char(s["after"]).alias("right"),
         s["before"].rlike(KEYWORDS).cast("int").alias("keyword"),
         _bin(F.size(F.array_distinct(F.split(_digits(s["value"]), ""))), 4, 7).alias("spread"))
@@ -93,7 +106,9 @@ def _bounded_pool(text: Column) -> Column:
 def _loose_pool(text: Column) -> Column:
     mail = F.when(text.rlike(r"[\[(]at[\])]"), spans.found(text, "email", LOOSE_EMAIL)).otherwise(F.array().cast(spans.NONE))
     phone = F.when(text.rlike(r"[0-9][\x20.-][0-9]{3}"), spans.found(text, "phone", LOOSE_PHONE)).otherwise(F.array().cast(spans.NONE))
-    return F.concat(mail, phone)
+    address = F.when(text.rlike(r"[0-9]\x20?[\[(](\.|dot)[\])]"), spans.found(text, "ip", LOOSE_IP)).otherwise(F.array().cast(spans.NONE))
+    card = F.when(text.rlike(r"[0-9]{4}[./_\x20-]{1,3}[0-9]{4}"), spans.found(text, "card", LOOSE_CARD)).otherwise(F.array().cast(spans.NONE))
+    return F.concat(mail, address, card, phone)
 
 
 @dataclass(frozen=True)
@@ -158,20 +173,43 @@ def tree_scores(trees: list[Tree], get) -> Column | float:
     return total
 
 
-def thresholds(held: list[dict], precision: float = PRECISION) -> dict[str, float]:
-    """Per kind, the lowest score from which on held-out candidates are right often enough; infinite where none are."""
-    out = {}
-    for i, kind in enumerate(KINDS):
-        rows = sorted((r for r in held if r["kind"] == i), key=lambda r: -r["score"])
-        best, good, seen, k = float("inf"), 0, 0, 0
-        while k < len(rows):
-            at = rows[k]["score"]
-            while k < len(rows) and rows[k]["score"] == at:
-                good, seen, k = good + rows[k]["positive"], seen + rows[k]["total"], k + 1
-            if good >= precision * seen:
-                best = at
-        out[kind] = best
-    return out
+def _limit(rows: list[dict], precision: float) -> float:
+    """The lowest score from which on the rows are right often enough; infinite where none is, 0 without rows."""
+    if not rows:
+        return 0.0
+    rows = sorted(rows, key=lambda r: -r["score"])
+    best, good, seen, k = float("inf"), 0, 0, 0
+    while k < len(rows):
+        at = rows[k]["score"]
+        while k < len(rows) and rows[k]["score"] == at:
+            good, seen, k = good + rows[k]["positive"], seen + rows[k]["total"], k + 1
+        if good >= precision * seen:
+            best = at
+    return best
+
+
+def thresholds(scored: list[dict], precision: float = PRECISION) -> dict[str, float]:
+    """Per kind, the lowest score from which on its candidates are right often enough, infinite where none is.
+
+    A kind without candidates takes the threshold of all kinds together; without any candidate nothing
+    speaks against a score of 0.
+    """
+    of_kind = {k: [r for r in scored if r["kind"] == i] for i, k in enumerate(KINDS)}
+    return {k: _limit(rows or scored, precision) for k, rows in of_kind.items()}
+
+
+def calibrated(table: list[dict], precision: float = PRECISION) -> tuple[list[Tree], dict[str, float]]:
+    """Trees fitted to all counts, and thresholds from scores of trees that did not see the counted fold.
+
+    Every candidate takes part in both, so no kind goes uncalibrated because a held-out part misses it.
+    """
+    scored = []
+    for fold in range(FOLDS):
+        here = [r for r in table if r["fold"] == fold]
+        if here:
+            trees = fit_trees([r for r in table if r["fold"] != fold])
+            scored += [r | {"score": _score(trees, r)} for r in here]
+    return fit_trees(table), thresholds(scored, precision)
 
 
 def find_personal_data(records: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -181,12 +219,15 @@ def find_personal_data(records: DataFrame, precision: float = PRECISION) -> Data
     of kind, start, end; code points, end exclusive).
 
     Generators propose overlapping candidates: the base formats before their rules, and loose formats of
-    phone numbers and written-out mail addresses. What the rules say about the former labels them.
-    Trees are boosted on binned format and context features from counts of all candidates per
-    combination of bins, a table bounded by the product of the bins (`FEATURES`), so the fit reads the
-    whole corpus and moves little. A fifth of the candidates, chosen by a hash of their bins' place, is held out; on
-    it each kind's threshold is set for the wanted precision. A loose candidate that reaches it and
-    overlaps no base span is added.
+    all four kinds (written-out mail addresses, defanged addresses, cards with other breaks, national
+    numbers). Candidates of the base formats are labelled by what no feature holds: check digit, octets,
+    top-level domain, exact length. Trees are boosted on binned format and context features from counts
+    of all candidates per fold and combination of bins, a table bounded by `FOLDS` and the product of the
+    bins (`FEATURES`), so the fit reads the whole corpus and moves little. A text's fold is a hash of the
+    text, so copies stand in one. Each kind's threshold is set for the wanted precision on all its
+    candidates, each scored by trees of the other folds; see `thresholds` for kinds without candidates.
+    A loose candidate that reaches it, passes the label's check and overlaps no base span is added; added
+    spans of different kinds may overlap each other.
 
     Null counts as empty, without spans. Rows are independent but for the fit, so repeated rows and ids
     have a row each. Equal scores count together. Further columns are ignored. An empty table gives an
@@ -195,16 +236,13 @@ def find_personal_data(records: DataFrame, precision: float = PRECISION) -> Data
     text = F.col("_text")
     rows = settled(
         records.select(F.col("sample_id").alias("_id"), F.coalesce("content", F.lit("")).alias("_text"))
-        .select("_id", _bounded_pool(text).alias("pool"), _loose_pool(text).alias("loose")).select(
-            "_id",
-            F.transform("pool", lambda s: F.struct(_valid(s).alias("valid"), _described(s).alias("c"))).alias("pool"),
-            F.transform("loose", _described).alias("loose")), "candidates")
-    each = rows.select(F.explode("pool").alias("p")).select(
-        "p.valid", (F.pmod(F.xxhash64("p.c.start", "p.c.end"), F.lit(5)) == 0).alias("held"), *[f"p.c.{n}" for n in FEATURES])
-    counts = each.groupBy("held", *FEATURES).agg(F.count("*").alias("total"), F.sum(F.col("valid").cast("bigint")).alias("positive"))
-    table = [r.asDict() for r in counts.orderBy("held", *FEATURES).collect()]
-    trees = fit_trees([r for r in table if not r["held"]])
-    limits = thresholds([r | {"score": _score(trees, r)} for r in table if r["held"]], precision)
+        .select("_id", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("fold"), _bounded_pool(text).alias("pool"), _loose_pool(text).alias("loose")).select(
+            "_id", "fold",
+            F.transform("pool", lambda s: F.struct(_valid(s).alias("valid"), _plausible(s).alias("label"), _described(s).alias("c"))).alias("pool"),
+            F.transform(F.filter("loose", _plausible), _described).alias("loose")), "candidates")
+    each = rows.select("fold", F.explode("pool").alias("p")).select("fold", "p.label", *[f"p.c.{n}" for n in FEATURES])
+    counts = each.groupBy("fold", *FEATURES).agg(F.count("*").alias("total"), F.sum(F.col("label").cast("bigint")).alias("positive"))
+    trees, limits = calibrated([r.asDict() for r in counts.orderBy("fold", *FEATURES).collect()], precision)
 
     base = F.transform(F.filter("pool", lambda p: p["valid"]), lambda p: F.struct(
         p["c"]["name"].alias("kind"), p["c"]["start"].alias("start"), p["c"]["end"].alias("end")))

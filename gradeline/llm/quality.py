@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .records import SPACE, WORD
+from .records import SPACE, WORD, settled
 from .spans import bind
 
 SYMBOLS = r"[#*$%&|<>]"
+#: Rows that the sample behind the order holds on average; it steers only the order.
 SAMPLE_ROWS = 1000
+SAMPLE_PARTS = 8
+SAMPLE_SEED = 5
 
 
 def n_words(text: Column) -> Column:
@@ -94,43 +98,59 @@ def _pack(h: Column, bits: Column, i: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is evaluated on the text only when no cheaper rule has rejected it; `cost` in passes over the text."""
+    """`rejects` is evaluated on the text only when no rule before it has rejected it."""
 
     name: str
     rejects: Callable[[Column], Column]
-    cost: Callable[[Column], Column]
-
-
-def _passes(n: float) -> Callable[[Column], Column]:
-    return lambda text: F.length(text) * F.lit(float(n))
 
 
 # Thresholds of the rules.
 RULES = (
-    Rule("few_words", lambda t: n_words(t) < 50, _passes(1)),
-    Rule("repeated_words", lambda t: bind(n_words(t), lambda n: (n > 0) & (100 * n_repeat_words(t) > 50 * n)), lambda t: F.length(t) * F.log2(F.length(t) + 2.0)),
-    Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t), _passes(2)),
-    Rule("word_length", lambda t: bind(n_words(t), lambda n: (n > 0) & ~word_chars(t).between(3 * n, 10 * n)), _passes(2)),
-    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > n_lines(t), _passes(2)),
-    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) > F.regexp_count(t, F.lit(r"\p{Ll}")), _passes(3)),
+    Rule("few_words", lambda t: n_words(t) < 50),
+    Rule("repeated_words", lambda t: bind(n_words(t), lambda n: (n > 0) & (100 * n_repeat_words(t) > 50 * n))),
+    Rule("symbols", lambda t: 10 * n_symbols(t) > n_words(t)),
+    Rule("word_length", lambda t: bind(n_words(t), lambda n: (n > 0) & ~word_chars(t).between(3 * n, 10 * n))),
+    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > n_lines(t)),
+    Rule("capitals", lambda t: F.regexp_count(t, F.lit(r"\p{Lu}")) > F.regexp_count(t, F.lit(r"\p{Ll}"))),
 )
 BASE_RULES = ("few_words", "repeated_words")
 
 
-def cascade_order(records: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejections per cost, both estimated on at most `sample_rows` rows, best first.
+def order_sample(records: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About `sample_rows` whole texts, drawn row by row from all of the table and written once.
 
-    The order steers only how early a row stops; no verdict depends on it. Ties and an empty sample
-    keep the given order.
+    Rows are drawn where they lie, so only the sample itself travels, whatever the number of partitions.
     """
+    share = min(1.0, sample_rows / max(records.count(), 1))
     text = F.coalesce(F.col("content"), F.lit(""))
-    sample = records.select(text.alias("content")).limit(sample_rows)
-    row = sample.agg(*[F.avg(r.rejects(F.col("content")).cast("double")).alias(f"r{i}") for i, r in enumerate(rules)],
-                     *[F.avg(r.cost(F.col("content"))).alias(f"c{i}") for i, r in enumerate(rules)]).first()
-    gain = [(row[f"r{i}"] or 0.0) / max(row[f"c{i}"] or 0.0, 1e-9) for i in range(len(rules))]
+    return settled(records.sample(share, SAMPLE_SEED).select(text.alias("content")).repartition(SAMPLE_PARTS), "order-sample")
+
+
+def measured(sample: DataFrame, rule: Rule) -> tuple[float, float]:
+    """Share of the sample that the rule rejects, and the seconds that it takes; a first run compiles it."""
+    job = sample.agg(F.avg(F.coalesce(rule.rejects(F.col("content")), F.lit(False)).cast("double")).alias("share"))
+    job.first()
+    begin = time.perf_counter()
+    share = job.first()["share"]
+    return share or 0.0, time.perf_counter() - begin
+
+
+def best_first(rules: Sequence[Rule], figures: Sequence[tuple[float, float]]) -> list[Rule]:
+    """The rules by rejections per cost, from (share rejected, cost) of each; ties keep the given order."""
+    gain = [share / max(cost, 1e-9) for share, cost in figures]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -gain[i])]
 
 
+def cascade_order(records: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per cost, both measured on a sample of about `sample_rows` rows, best first.
+
+    The order steers only how early a row stops; no verdict depends on it. An empty sample keeps the
+    given order.
+    """
+    sample = order_sample(records, sample_rows)
+    return best_first(rules, [measured(sample, r) for r in rules])
+
+
 def verdict(text: Column, order: Sequence[Rule]) -> Column:
     """True when no rule rejects the text; evaluation stops at the first that does."""
     out = F.lit(True)
@@ -149,20 +169,20 @@ def quality_report(records: DataFrame, rules: Sequence[Rule] = RULES, sample_row
     """Text statistics and verdict of every record.
 
     Reads `sample_id`, `content`; returns one row per input row: `sample_id`, `n_words`, `word_chars`,
-    `n_symbols`, `n_dup_lines`, `n_repeat_words`, `base_failed`, `kept`. The two base rules read the
-    statistics; the others run as a cascade ordered by rejections per cost, and stop at the first
-    rejection.
+    `n_symbols`, `n_dup_lines`, `n_repeat_words`, `base_failed`, `kept`. The report returns what the two
+    base rules count, so they cost nothing more and lead the cascade; the others follow by rejections
+    per cost, each evaluated only on texts that no rule before it has rejected.
 
     Null counts as empty: no words, base failed. Repeated rows and ids have a row each; no result
     depends on other rows, so ties do not arise. An empty table gives an empty result.
     """
-    order = [r for r in cascade_order(records, rules, sample_rows) if r.name not in BASE_RULES]
+    order = cascade_order(records, [r for r in rules if r.name not in BASE_RULES], sample_rows)
     text = F.col("_text")
     stats = records.select(F.col("sample_id").alias("_id"), F.coalesce("content", F.lit("")).alias("_text")).select(
         F.col("_id").alias("sample_id"), n_words(text).alias("n_words"), word_chars(text).alias("word_chars"),
         n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"),
-        n_repeat_words(text).alias("n_repeat_words"), verdict(text, order).alias("_rest"))
+        n_repeat_words(text).alias("n_repeat_words"), "_text")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return stats.select(
         "sample_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & F.col("_rest")).alias("kept"))
+        failed.alias("base_failed"), F.when(failed, False).otherwise(verdict(text, order)).alias("kept"))

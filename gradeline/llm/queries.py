@@ -18,7 +18,6 @@ from .records import settled
 
 #: Tokens of the context that `op13_token_counts` asks about.
 TOKEN_LIMIT = 1024
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -84,12 +83,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(sharding.assign_shards(_records(spark, sf_dir)))
+    return _named(sharding.assign_shards(_records(spark, sf_dir), sql.SHARD_BYTES))
 
 
 @registered
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(licences.scan_licences(_records(spark, sf_dir)).drop("expressions"))
+    found = licences.scan_licences(_records(spark, sf_dir)).drop("expressions")
+    return _named(found.withColumns({c: F.array_join(c, ",") for c in ("needed_terms", "chosen_terms")}))
 
 
 @registered

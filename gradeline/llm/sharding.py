@@ -79,7 +79,12 @@ def assign_shards(records: DataFrame, limit_bytes: int = LIMIT_BYTES, key: str =
 
 
 def write_shards(records: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:
-    """Write the records below `path`, one folder per shard; ids must be unique there."""
-    shards = assign_shards(records, limit_bytes).select(F.col("sample_id").alias("_id"), "shard")
-    placed = records.join(shards, F.col("sample_id").eqNullSafe(F.col("_id"))).drop("_id")
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the records below `path`, one folder per shard; ids must be unique there.
+
+    The folders' column is `shard`, with as many underscores in front as keep it apart from the records' own columns.
+    """
+    taken = {c.lower() for c in records.columns}
+    name, key = (next(p + word for p in ("_" * i for i in range(len(taken) + 1)) if p + word not in taken) for word in ("shard", "placed_id"))
+    shards = assign_shards(records, limit_bytes).select(F.col("sample_id").alias(key), F.col("shard").alias(name))
+    placed = records.join(shards, F.col("sample_id").eqNullSafe(F.col(key))).drop(key)
+    placed.repartition(name).write.partitionBy(name).parquet(path)

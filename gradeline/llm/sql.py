@@ -1,7 +1,7 @@
 """SQL counterparts of the numbered queries that SQL can express."""
 
 from .near_dedup import SHINGLE, SIMILARITY
-from .sharding import BITS, LIMIT_BYTES
+from .sharding import BITS
 
 NEAR = f"""
 with recursive t as (
@@ -49,6 +49,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from stats
 """
 
+#: Bytes of a shard in `op6_shards`: small enough that the given tables need several depths.
+SHARD_BYTES = 256 << 10
+
 SHARDS = f"""
 with t as (
   select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes,
@@ -59,7 +62,7 @@ sums as (
     min(h) over (partition by d, prefix) as low, max(h) over (partition by d, prefix) as high from levels),
 placed as (
   select doc_id, any_value(n_bytes) as n_bytes, min(d) as depth, arg_min(prefix, d) as prefix
-  from sums where held <= {LIMIT_BYTES} or low = high group by doc_id)
+  from sums where held <= {SHARD_BYTES} or low = high group by doc_id)
 select doc_id, n_bytes, case when depth = 0 then '' else lpad(bin(prefix), cast(depth as integer), '0') end as shard, cast(depth as integer) as depth
 from placed
 """

@@ -1,12 +1,13 @@
 """Operators and queries against brute force, on the given documents and on odd texts."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from gradeline.llm import bpe, exact_dedup, licences, near_dedup, packing, passages, pii, quality, queries, secrets, sharding, spans
+from gradeline.llm import bpe, exact_dedup, licences, near_dedup, packing, passages, pii, quality, queries, secrets, sharding, spans, sql
 
 
 def by_id(df, key="sample_id"):
@@ -108,6 +109,19 @@ def test_quality_order_changes_no_verdict(odd_records):
     assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}
 
 
+def test_order_by_rejections_per_cost(spark, odd_records):
+    rules = quality.RULES[:4]
+    assert quality.best_first(rules, [(0.1, 1.0), (0.9, 10.0), (0.3, 1.0), (0.1, 1.0)]) == [rules[2], rules[0], rules[3], rules[1]]
+    assert quality.order_sample(odd_records, 10**6).count() == odd_records.count()
+    many = spark.range(0, 20000, numPartitions=40).select(F.lit("same text in all rows").alias("content"))
+    assert 800 < quality.order_sample(many, 1000).count() < 1200
+    sample = quality.order_sample(many, 100)
+    share, seconds = quality.measured(sample, rules[0])
+    assert share == 1 and seconds > 0
+    assert quality.measured(sample.limit(0), rules[0])[0] == 0
+    assert [r.name for r in quality.cascade_order(many.limit(0))] == [r.name for r in quality.RULES]
+
+
 def test_licences(spark, documents, small_dir, odd_records, odd_texts):
     got = by_id(queries.QUERIES["op7_licence_scan"](spark, small_dir), "doc_id")
     odd = by_id(licences.scan_licences(odd_records))
@@ -120,6 +134,9 @@ def test_licences(spark, documents, small_dir, odd_records, odd_texts):
     tagged = next(r for r in odd.values() if r["expressions"])
     assert tagged["expressions"] == ["mit apache-2.0 or gpl-2.0-only classpath-exception-2.0 with and"]
     assert tagged["labels"] == "apache,gpl,mit"
+    assert tagged["needed_terms"] == ["gpl-2.0-only with classpath-exception-2.0"] and tagged["chosen_terms"] == ["apache-2.0", "mit"]
+    bare = next(r for r in odd.values() if not r["expressions"])
+    assert bare["needed_terms"] == bare["chosen_terms"] == []
 
 
 def test_licence_expressions():
@@ -128,6 +145,19 @@ def test_licence_expressions():
     assert read("(MIT OR Apache-2.0) AND BSD-3-Clause") == {frozenset(["mit", "bsd-3-clause"]), frozenset(["apache-2.0", "bsd-3-clause"])}
     assert read("((MIT") == {frozenset(["mit"])} == read("MIT )") == read("MIT OR")
     assert read("AND MIT") == read("") == frozenset()
+    rng = random.Random(3)
+    for _ in range(300):
+        postfix = licences.expression_postfix(_expression(rng, 4))
+        ways, decision = licences.choices(postfix), licences.decided(postfix)
+        assert decision.needed == frozenset.intersection(*ways) and decision.needed | decision.chosen == frozenset.union(*ways)
+    wide = licences.decided(licences.expression_postfix(" AND ".join(f"(a{i} OR b{i} OR mit AND c)" for i in range(400)) + " AND mit"))
+    assert wide.needed == {"mit"} and len(wide.chosen) == 801
+
+
+def _expression(rng, depth):
+    if not depth or rng.random() < 0.2:
+        return rng.choice(["MIT", "Apache-2.0", "GPL-2.0", "BSD-3-Clause WITH x-exception"])
+    return f"({_expression(rng, depth - 1)} {rng.choice(['AND', 'OR'])} {_expression(rng, depth - 1)})"
 
 
 def test_exact_copies(spark, documents, small_dir, odd_records, odd_texts):
@@ -201,6 +231,7 @@ def test_packing(spark, documents, small_dir, odd_records, odd_texts):
         pieces, batches = {}, {}
         for r in found:
             pieces.setdefault(r["sample_id"], []).append((r["piece"], r["start_token"], r["n_tokens"]))
+            assert r["n_tokens"] or (r["bucket_tokens"] is None and r["batch"] is None)
             if r["n_tokens"]:
                 assert r["n_tokens"] <= r["bucket_tokens"]
                 batches.setdefault((r["bucket_tokens"], r["batch"]), []).append(r["bucket_tokens"])
@@ -240,7 +271,7 @@ def test_shards(spark, documents, small_dir, odd_records, odd_texts, tmp_path):
         assert {r["sample_id"]: r["shard"] for r in sharding.assign_shards(df, limit).collect()} == _directory(documents, limit)
         assert {r["sample_id"]: r["shard"] for r in sharding.assign_shards(odd_records, limit).collect()} == _directory(odd_texts, limit)
     query = queries.QUERIES["op6_shards"](spark, small_dir).collect()
-    assert {r["doc_id"]: r["shard"] for r in query} == _directory(documents, sharding.LIMIT_BYTES)
+    assert {r["doc_id"]: r["shard"] for r in query} == _directory(documents, sql.SHARD_BYTES)
     repeated = spark.createDataFrame([(1, "x" * 100)] * 25 + [(2, "y")], "sample_id bigint, content string")
     sums = {}
     for r in sharding.assign_shards(repeated, 1000).collect():
@@ -248,6 +279,10 @@ def test_shards(spark, documents, small_dir, odd_records, odd_texts, tmp_path):
     assert sum(sums.values()) == 2501 and max(sums.values()) <= 1000
     sharding.write_shards(df, str(tmp_path / "out"), 50_000)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(documents)
+    sharding.write_shards(df.withColumn("shard", F.lit("own")).withColumn("placed_id", F.lit(1)), str(tmp_path / "clash"), 50_000)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert back.columns == ["sample_id", "content", "shard", "placed_id", "_shard"]
+    assert {r["shard"] for r in back.collect()} == {"own"} and back.count() == len(documents)
 
 
 def _long_runs(a, b, n=50):
@@ -316,16 +351,46 @@ def test_passages_whose_shingles_stand_alone_in_a_smaller_id(spark):
 
 def test_trees_learn_formats_and_context():
     table = [
-        {"kind": 2, "digits": d, "breaks": b, "luhn": v, "octets": 0, "left": 0, "right": 0, "keyword": 0, "spread": 2, "total": 50, "positive": 50 * v}
+        {"kind": 2, "digits": d, "breaks": b, "left": 0, "right": 0, "keyword": v, "spread": 2, "total": 50, "positive": 50 * v}
         for d in (3, 4) for b in (0, 2) for v in (0, 1)]
     trees = pii.fit_trees(table)
     scores = [(pii._score(trees, r), r["positive"]) for r in table]
     assert min(s for s, p in scores if p) > 0 > max(s for s, p in scores if not p)
     limits = pii.thresholds([r | {"score": pii._score(trees, r)} for r in table])
-    assert 0 < limits["card"] < float("inf") and limits["email"] == float("inf")
+    assert 0 < limits["card"] < float("inf") and limits["email"] == limits["card"]
+    wrong = pii.thresholds([{"kind": 1, "score": s, "total": 10, "positive": 5} for s in (0.0, 1.0)])
+    assert set(wrong.values()) == {float("inf")} and set(pii.thresholds([]).values()) == {0.0}
+    folded = [r | {"fold": f} for r in table for f in range(pii.FOLDS)]
+    trees, limits = pii.calibrated(folded)
+    for r in folded:
+        assert (pii._score(trees, r) >= limits["card"]) == (r["positive"] > 0)
 
 
 def test_loose_candidates_are_added(spark):
     rows = [(i, f"call +1 {200 + i} 555 {1000 + i} now or card 12345678901{i:02d}9 end") for i in range(90)] + [(1000, "phone: (555) 123-4567 please")]
     got = by_id(pii.find_personal_data(spark.createDataFrame(rows, "sample_id bigint, content string")))
     assert [(s.kind, s.start, s.end) for s in got[1000]["added"]] == [("phone", 7, 21)]
+
+
+def test_small_tables_find_what_large_ones_find(spark):
+    """33 numbers in 31 texts, one written-out address and no plain one; then with 60 further texts that hold plain ones."""
+    rows = [(i, f"ring us: +49 30 {100 + i} {2000 + 7 * i} until noon") for i in range(30)]
+    rows += [(30, "numbers +49 30 555 1234 and +49 40 666 4321 and +49 50 777 1212"), (100, "tel 030 555 1234 or foo [at] bar.com"), (101, None), (102, "")]
+    plain = [(200 + i, f"write to user{i}@host{i}.example.com today") for i in range(60)]
+    for table in (rows, rows + plain):
+        got = by_id(pii.find_personal_data(spark.createDataFrame(table, "sample_id bigint, content string")))
+        assert [(s.kind, s.start, s.end) for s in sorted(got[100]["added"], key=lambda s: s.start)] == [("phone", 4, 16), ("email", 20, 36)]
+        assert got[101]["added"] == got[102]["added"] == []
+    alone = by_id(pii.find_personal_data(spark.createDataFrame([(1, "foo [at] bar.com")], "sample_id bigint, content string")))
+    assert [(s.kind, s.start, s.end) for s in alone[1]["added"]] == [("email", 0, 16)]
+
+
+def test_loose_cards_and_addresses(spark):
+    """Cards with other breaks need the check digit, defanged addresses their octets; what a base span covers is not added."""
+    base = [(i, f"card 4539 1488 0343 {n:04d} and 10.0.{i}.{j}") for i, (n, j) in enumerate([(6467, k) for k in range(40)])]
+    asked = {1000: "paid by 4539_1488_0343_6467 here", 1001: "paid by 4539_1488_0343_6468 here", 1002: "host 10[.]0[.]0[.]7 down",
+             1003: "host 10[.]0[.]0[.]777 down", 1004: "4539 1488 0343 6467", 1005: "99999999999999999999.1.1.1 " + "1[.]" * 5000}
+    got = by_id(pii.find_personal_data(spark.createDataFrame(base + list(asked.items()), "sample_id bigint, content string")))
+    named = {i: [f"{s.kind}:{s.start}:{s.end}" for s in got[i]["added"] if s.kind in ("card", "ip")] for i in asked}
+    assert named[1000] == ["card:8:27"] and named[1001] == [] and named[1002] == ["ip:5:18"] and named[1003] == [] and named[1004] == []
+    assert {(s.start, s.end) for s in got[1004]["base"]} == {(0, 19)} and len(named[1005]) > 1000

@@ -2,6 +2,8 @@
 
 import corpus_pipeline
 import brute
+from pyspark.sql import functions as F
+
 from gradeline.llm import quality
 
 
@@ -51,6 +53,39 @@ def test_nulls_and_clashing_names(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in docs.collect()} == set(range(3, 10))
     assert quality.BASE_RULES == ("few_words", "repeated_words")
-    empty = docs.limit(0)
+    again = spark.createDataFrame([], docs.schema)
+    empty = again
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """One id on a copy and on a text of its own, copies without ids, rows repeated with one id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    near = text(1).replace("w1x79", "other")
+    rows = [
+        (5, text(1)), (7, text(1)), (7, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (8, text(5)), (8, text(5)),
+        (9, near), (9, text(6)), (3, None), (3, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x") for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string")
+    some = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    one = corpus_pipeline.exact_stage(spark, docs, "")
+    assert one.columns == docs.columns
+    want = [(5, text(1)), (7, text(2)), (None, text(3)), (None, text(4)), (8, text(5)), (9, near), (9, text(6)), (3, None)]
+    assert some(one) == sorted(want, key=str)
+
+    two = corpus_pipeline.near_stage(spark, docs, "")
+    want = [(5, text(1)), (7, text(2)), (None, text(3)), (None, text(4)), (8, text(5)), (9, text(6)), (3, None), (4, "")]
+    assert two.columns == docs.columns and some(two) == sorted(want, key=str)
+
+    secret = docs.withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.lit("password=Zx81kq77 "), "text")).otherwise(F.col("text")))
+    three = corpus_pipeline.secret_stage(spark, secret, "")
+    assert three.columns == docs.columns and three.count() == len(rows)
+    assert {r["text"].split(" ")[0] for r in three.where("doc_id = 7").collect()} == {corpus_pipeline.MARK}
+
+
+def test_quality_stage_keeps_what_no_rule_rejects(spark, small_dir):
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, small_dir).collect()}
+    report = quality.quality_report(docs.select(F.col("doc_id").alias("sample_id"), F.col("text").alias("content")))
+    assert kept == {r["sample_id"] for r in report.where("kept").collect()}
