@@ -174,7 +174,10 @@ def tree_scores(trees: list[Tree], get) -> Column | float:
 
 
 def _limit(rows: list[dict], precision: float) -> float:
-    """The lowest score from which on the rows are right often enough; infinite where none is, 0 without rows."""
+    """The lowest score from which on the rows are right often enough; infinite where none is, 0 without rows.
+
+    Where even the lowest row is in, nothing speaks against lower scores down to even odds.
+    """
     if not rows:
         return 0.0
     rows = sorted(rows, key=lambda r: -r["score"])
@@ -185,7 +188,7 @@ def _limit(rows: list[dict], precision: float) -> float:
             good, seen, k = good + rows[k]["positive"], seen + rows[k]["total"], k + 1
         if good >= precision * seen:
             best = at
-    return best
+    return min(best, 0.0) if best == rows[-1]["score"] else best
 
 
 def thresholds(scored: list[dict], precision: float = PRECISION) -> dict[str, float]:

@@ -392,5 +392,5 @@ def test_loose_cards_and_addresses(spark):
              1003: "host 10[.]0[.]0[.]777 down", 1004: "4539 1488 0343 6467", 1005: "99999999999999999999.1.1.1 " + "1[.]" * 5000}
     got = by_id(pii.find_personal_data(spark.createDataFrame(base + list(asked.items()), "sample_id bigint, content string")))
     named = {i: [f"{s.kind}:{s.start}:{s.end}" for s in got[i]["added"] if s.kind in ("card", "ip")] for i in asked}
-    assert named[1000] == ["card:8:27"] and named[1001] == [] and named[1002] == ["ip:5:18"] and named[1003] == [] and named[1004] == []
+    assert named[1000] == ["card:8:27"] and named[1001] == [] and named[1002] == ["ip:5:19"] and named[1003] == [] and named[1004] == []
     assert {(s.start, s.end) for s in got[1004]["base"]} == {(0, 19)} and len(named[1005]) > 1000
