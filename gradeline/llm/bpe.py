@@ -123,6 +123,9 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(IDS, self.encoded(text))))
 
+    def count(self, text: str) -> int:
+        return sum(len(ids) for ids, _ in self.encoded(text))
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -150,6 +153,16 @@ def encode_texts(records: DataFrame, tokenizer: str) -> DataFrame:
     return _map(records, tokenizer, run, [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())])
 
 
+def encode_ids(records: DataFrame, tokenizer: str) -> DataFrame:
+    """As `encode_texts`, the ids alone: `sample_id`, `ids`."""
+    return _map(records, tokenizer, lambda codec, text: (codec.encode(text),), [("ids", "array<int>", pa.list_(pa.int32()))])
+
+
+def count_tokens(records: DataFrame, tokenizer: str) -> DataFrame:
+    """As `encode_texts`, the number of tokens alone: `sample_id`, `n_tokens`."""
+    return _map(records, tokenizer, lambda codec, text: (codec.count(text),), [("n_tokens", "bigint", pa.int64())])
+
+
 def encode_digests(records: DataFrame, tokenizer: str) -> DataFrame:
     """As `encode_texts`, with the results as digests made where they arise: `n_tokens`, `ids_sha256`, `decoded_sha256`."""
     def run(codec: Codec, text: str) -> tuple[int, str, str]:

@@ -20,33 +20,37 @@ def exact_copies(records: DataFrame) -> DataFrame:
     `kept`, `text_sha256`. Texts are equal when they are identical without white space; the record with
     the most code points, then the smallest `sample_id`, stays.
 
-    Groups form on a 128-bit hash. The group's leader is a partial aggregate, so a group of any size
-    passes through the shuffle as one row per task. Only the leaders of groups with copies bring their
-    bytes back; the copies meet them in a join that adaptive execution can split, and a member whose
-    bytes differ from its leader's (a hash collision) goes on with its own text as the key.
+    A narrow pass writes size and 128-bit hash of every record; groups form on these alone, and a group's
+    leader is a partial aggregate, so a group of any size passes through the shuffle as one row per task.
+    Only members of groups with copies bring their bytes, and meet their leader's in a join that adaptive
+    execution can split; texts without a copy stay where they are while the shared hashes are few enough
+    for an automatic broadcast, and move once otherwise. A member whose bytes differ from its leader's (a
+    hash collision) goes on with its own text as the key.
 
     Null text is empty, and all empty texts are one group. Ties of length go to the smaller id, null
     ids last; rows repeated with the same id and size are all counted and stay or go together. Further
     columns are ignored. An empty table gives an empty result.
     """
-    text = normalised(F.col("content"))
     rows = records.select(
         F.col("sample_id").alias("_id"),
         F.length(F.coalesce("content", F.lit(""))).cast("long").alias("_size"),
-        text.alias("_text"),
-    ).select("*", F.unhex(F.md5("_text")).alias("_hash")).where("_hash is not null")  # as the joins imply, so that they share one exchange
+        normalised(F.col("content")).alias("_text"),
+    ).select("*", F.unhex(F.md5("_text")).alias("_hash"))
+    narrow = settled(rows.select("_id", "_size", "_hash", F.sha2("_text", 256).alias("text_sha256")), "hashed")
     rank = F.struct((-F.col("_size")).alias("s"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))
-    groups = rows.groupBy("_hash").agg(F.min(rank).alias("_first"), F.count("*").alias("_n"))
-    shared = groups.where("_n > 1").select("_hash", F.col("_first").alias("_top"))
-    leaders = (
-        rows.join(shared, "_hash").where(rank == F.col("_top"))
-        .groupBy("_hash").agg(F.max("_text").alias("_lead"))
-    )
-    compared = rows.join(leaders, "_hash", "left").select(
+    groups = narrow.groupBy("_hash").agg(F.min(rank).alias("_top"), F.count("*").alias("_n"))
+    shared = settled(groups.where("_n > 1").select("_hash", "_top"), "shared")
+    members = settled(rows.join(shared, "_hash"), "members")
+    leaders = members.where(rank == F.col("_top")).groupBy("_hash").agg(F.max("_text").alias("_lead"))
+    compared = members.join(leaders, "_hash").select(
         "_id", "_size", "_hash", F.sha2("_text", 256).alias("text_sha256"),
         F.when(F.col("_lead") != F.col("_text"), F.col("_text")).alias("_odd"),
     )
-    return _leaders(settled(compared, "compared"))
+    single = narrow.join(shared, "_hash", "left_anti").select(
+        F.col("_id").alias("sample_id"), F.col("_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256",
+    )
+    return single.unionAll(_leaders(settled(compared, "compared")))
 
 
 def _leaders(compared: DataFrame) -> DataFrame:

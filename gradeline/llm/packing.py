@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .records import WORD
+from .bpe import count_tokens, encode_ids
+from .records import WORD, settled
 
 #: Longest sequence; a longer text goes on in a further piece. It bounds the histogram.
 MAX_TOKENS = 4096
@@ -54,12 +55,14 @@ def word_tokens(content: Column) -> Column:
     return F.regexp_count(F.coalesce(content, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
-def pack(records: DataFrame, n_tokens: Column | None = None, max_tokens: int = MAX_TOKENS, budget: int = BUDGET, buckets: int = BUCKETS) -> DataFrame:
+def pack(records: DataFrame, n_tokens: Column | None = None, max_tokens: int = MAX_TOKENS, budget: int = BUDGET, buckets: int = BUCKETS,
+         ids: str | None = None) -> DataFrame:
     """Pieces of every text with their length bucket and batch.
 
     Reads `sample_id` and, for the default token count (words), `content`; `n_tokens` may be any column
-    expression over the records. Returns a row per piece: `sample_id`, `piece` (from 0), `start_token`,
-    `n_tokens`, `bucket_tokens` (padded length), `batch` (from 0 within the bucket).
+    expression over the records, and `ids` the column that holds their tokens. Returns a row per piece: `sample_id`, `piece` (from 0), `start_token`,
+    `n_tokens`, `bucket_tokens` (padded length), `batch` (from 0 within the bucket);
+    with `ids` also `tokens`, the piece's own.
 
     The histogram of piece lengths over all records, at most `max_tokens` rows, goes to the driver, where
     dynamic programming picks the bounds. Inside a bucket, batches take `budget / bucket_tokens` pieces
@@ -70,11 +73,16 @@ def pack(records: DataFrame, n_tokens: Column | None = None, max_tokens: int = M
     (null, empty) has one row with 0 tokens and no bucket or batch. Repeated rows and ids are packed each.
     Ties of the hash go by id and piece. Further columns are ignored. An empty table gives an empty result.
     """
-    count = word_tokens(F.col("content")) if n_tokens is None else n_tokens.cast("bigint")
-    whole = records.select(F.col("sample_id").alias("_id"), F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
-    pieces = whole.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("_n") / max_tokens) - 1).cast("bigint"))).alias("piece")).select(
+    if n_tokens is not None:
+        count = n_tokens.cast("bigint")
+    else:
+        count = word_tokens(F.col("content")) if ids is None else F.size(F.coalesce(F.col(ids), F.array().cast(records.schema[ids].dataType)))
+    held = [F.col(ids).alias("_ids")] if ids else []
+    whole = records.select(F.col("sample_id").alias("_id"), *held, F.greatest(F.coalesce(count, F.lit(0)), F.lit(0)).cast("bigint").alias("_n"))
+    pieces = whole.select("_id", "_n", *(["_ids"] if ids else []), F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.ceil(F.col("_n") / max_tokens) - 1).cast("bigint"))).alias("piece")).select(
         "_id", "piece", (F.col("piece") * max_tokens).alias("start_token"),
-        F.least(F.lit(max_tokens).cast("bigint"), F.col("_n") - F.col("piece") * max_tokens).alias("n_tokens"))
+        F.least(F.lit(max_tokens).cast("bigint"), F.col("_n") - F.col("piece") * max_tokens).alias("n_tokens"),
+        *([F.slice("_ids", (F.col("piece") * max_tokens + 1).cast("int"), F.lit(max_tokens)).alias("tokens")] if ids else []))
     histogram = [(r["n_tokens"], r["n"]) for r in pieces.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n")).collect()]
     histogram.sort()
     bounds = bucket_bounds([x for x, _ in histogram], [c for _, c in histogram], buckets)
@@ -93,4 +101,17 @@ def pack(records: DataFrame, n_tokens: Column | None = None, max_tokens: int = M
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens")))
     return joined.select(
         F.col("_id").alias("sample_id"), "piece", "start_token", "n_tokens", "bucket_tokens",
-        F.when(F.col("bucket_tokens").isNotNull(), F.floor((F.col("_before") + F.col("_rank")) / per_batch)).cast("bigint").alias("batch"))
+        F.when(F.col("bucket_tokens").isNotNull(), F.floor((F.col("_before") + F.col("_rank")) / per_batch)).cast("bigint").alias("batch"),
+        *(["tokens"] if ids else []))
+
+
+def pack_texts(records: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, budget: int = BUDGET, buckets: int = BUCKETS,
+               tokens: bool = False) -> DataFrame:
+    """As `pack`, in tokens of the byte-level BPE file `tokenizer`; with `tokens`, every piece brings its token ids.
+
+    Texts are encoded once and the counts (or ids) written; what the passes of `pack` read is that table.
+    Null and empty texts, repeated rows, ties, further columns and empty tables are as stated there.
+    """
+    if tokens:
+        return pack(settled(encode_ids(records, tokenizer), "ids"), None, max_tokens, budget, buckets, "ids")
+    return pack(settled(count_tokens(records, tokenizer), "counts"), F.col("n_tokens"), max_tokens, budget, buckets)

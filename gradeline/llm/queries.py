@@ -52,7 +52,7 @@ def _digest(text: Column) -> Column:
 
 @registered
 def op1_pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(packing.pack(_records(spark, sf_dir)))
+    return _named(packing.pack_texts(_records(spark, sf_dir), tokenizer_path()))
 
 
 @registered
@@ -68,7 +68,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sample_id", *[spans.count(F.col("base"), k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
         _digest(spans.ordered(F.col("base"), secrets.KINDS, False)).alias("base_sha256"),
         spans.ordered(every, secrets.KINDS, False).alias("spans"),
-        F.size("owner_specific").cast("bigint").alias("n_owner_specific"), F.size("widely_copied").cast("bigint").alias("n_widely_copied")))
+        F.size("owner_specific").cast("bigint").alias("n_owner_specific"), F.size("widely_copied").cast("bigint").alias("n_widely_copied"),
+        F.size("live_credentials").cast("bigint").alias("live_count")))
 
 
 @registered

@@ -18,6 +18,13 @@ VENDOR = r"(?:gh[pousr]_|glpat-|sk_live_)[A-Za-z0-9_-]{16,}"
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "vendor")
 
+#: Words that stand in for a value; a value that holds one is no credential.
+STAND_IN = r"(?i)example|sample|dummy|placeholder|change_?me|replace|redacted|your[_-]|my[_-]|xxxx|\*\*\*|todo|test[_-]|fake|foobar|123456|abcdef|qwerty|password|secret"
+#: One piece over and over.
+REPEATED = r"^(.{1,32})\1+.{0,31}$"
+#: Bits a character: least entropy of a value, and of a long value in letters or digits alone.
+MIN_BITS, LONG_BITS, LONG = 2.2, 3.3, 20
+
 #: A value seen under at least so many owners is a copied example.
 MIN_OWNERS = 3
 
@@ -35,9 +42,30 @@ def added_spans(text: Column) -> Column:
         spans.gated(text, "-----BEGIN", spans.found(text, "pem", PEM)), vendor)
 
 
+def entropy_bits(value: Column) -> Column:
+    """Shannon entropy of a value's characters, in bits; an empty value has none."""
+    n = F.length(value).cast("double")
+    each = lambda c: n - F.length(F.replace(value, c, F.lit("")))
+    total = F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), lambda a, c: a + each(c) * F.log2(each(c)))
+    return F.when(n > 0, F.log2(n) - total / n).otherwise(F.lit(0.0))
+
+
+def looks_live(kind: Column, value: Column) -> Column:
+    """Whether a value could be a working credential, by its format and its entropy.
+
+    Stand-in words, one piece repeated, and values of low entropy are examples. Formats of a vendor, of an
+    access key or of a key file are live otherwise; hex runs too. An assigned value needs letters and
+    digits, or a length and an entropy that no word has.
+    """
+    mixed = value.rlike("[A-Za-z]") & value.rlike("[0-9]")
+    varied = lambda v: spans.bind(entropy_bits(v), lambda h: (h >= MIN_BITS) & ((kind != "assign") | mixed | ((F.length(v) >= LONG) & (h >= LONG_BITS))))
+    return (kind == "pem") | (~value.rlike(STAND_IN) & ~value.rlike(REPEATED) & varied(value))
+
+
 def _hashed(found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.md5(s["value"]).alias("hash")))
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.md5(s["value"]).alias("hash"),
+        looks_live(s["kind"], s["value"]).alias("live")))
 
 
 def scan_secrets(records: DataFrame, repository: str = "filepath", owner: str = "domain", min_owners: int = MIN_OWNERS) -> DataFrame:
@@ -45,8 +73,9 @@ def scan_secrets(records: DataFrame, repository: str = "filepath", owner: str =
 
     Reads `sample_id`, `content` and the two columns that name a record's repository and owner (as a
     rule the file's folder or path, and its domain). Returns one row per input row: `sample_id`,
-    `base` and `added` (array of kind, start, end, hash; code points, end exclusive), `owner_specific`
-    and `widely_copied` (the same structs with `repositories` and `owners`; each span is in one of them).
+    `base` and `added` (array of kind, start, end, hash, live; code points, end exclusive), `owner_specific`
+    and `widely_copied` (the same structs with `repositories` and `owners`; each span is in one of them),
+    and `live_credentials`, those of `owner_specific` whose format and entropy look live (`looks_live`).
 
     Values leave the text only as hashes. Their frequency over the corpus is counted in three partial
     aggregates (hash, owner and repository; hash and owner; hash), so a value that a third of all
@@ -71,10 +100,11 @@ def scan_secrets(records: DataFrame, repository: str = "filepath", owner: str =
         .groupBy("hash", "_owner").agg(F.count("*").alias("r"))
         .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories")))
     judged = each.join(frequency, "hash").groupBy("_row").agg(F.collect_list(F.struct(
-        F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "hash", "repositories", "owners")).alias("_all"))
-    shape = "array<struct<kind:string,start:bigint,end:bigint,hash:string,repositories:bigint,owners:bigint>>"
+        F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "hash", F.col("s.live").alias("live"), "repositories", "owners")).alias("_all"))
+    shape = "array<struct<kind:string,start:bigint,end:bigint,hash:string,live:boolean,repositories:bigint,owners:bigint>>"
     every = F.coalesce(F.array_sort("_all"), F.array().cast(shape))
     return rows.join(judged, "_row", "left").select("*", every.alias("_every")).select(
         F.col("_id").alias("sample_id"), "base", "added",
         F.filter("_every", lambda s: s["owners"] < min_owners).alias("owner_specific"),
-        F.filter("_every", lambda s: s["owners"] >= min_owners).alias("widely_copied"))
+        F.filter("_every", lambda s: s["owners"] >= min_owners).alias("widely_copied"),
+        F.filter("_every", lambda s: (s["owners"] < min_owners) & s["live"]).alias("live_credentials"))
