@@ -23,9 +23,8 @@ def exact_copies(records: DataFrame) -> DataFrame:
     A narrow pass writes size and 128-bit hash of every record; groups form on these alone, and a group's
     leader is a partial aggregate, so a group of any size passes through the shuffle as one row per task.
     Only members of groups with copies bring their bytes, and meet their leader's in a join that adaptive
-    execution can split; texts without a copy stay where they are while the shared hashes are few enough
-    for an automatic broadcast, and move once otherwise. A member whose bytes differ from its leader's (a
-    hash collision) goes on with its own text as the key.
+    execution can split. To find them all texts move once, by hash, alike at every size. A member whose bytes
+    differ from its leader's (a hash collision) goes on with its own text as the key.
 
     Null text is empty, and all empty texts are one group. Ties of length go to the smaller id, null
     ids last; rows repeated with the same id and size are all counted and stay or go together. Further
@@ -40,7 +39,7 @@ def exact_copies(records: DataFrame) -> DataFrame:
     rank = F.struct((-F.col("_size")).alias("s"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))
     groups = narrow.groupBy("_hash").agg(F.min(rank).alias("_top"), F.count("*").alias("_n"))
     shared = settled(groups.where("_n > 1").select("_hash", "_top"), "shared")
-    members = settled(rows.join(shared, "_hash"), "members")
+    members = settled(rows.join(shared.hint("merge"), "_hash"), "members")
     leaders = members.where(rank == F.col("_top")).groupBy("_hash").agg(F.max("_text").alias("_lead"))
     compared = members.join(leaders, "_hash").select(
         "_id", "_size", "_hash", F.sha2("_text", 256).alias("text_sha256"),
