@@ -13,6 +13,7 @@ from operator import itemgetter
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 # Fixed value: the pre-tokeniser's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -123,13 +124,51 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(IDS, self.encoded(text))))
 
-    def count(self, text: str) -> int:
-        return sum(len(ids) for ids, _ in self.encoded(text))
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Lengths:
+    """Token counts of texts, where nothing is asked of the ids: words not met lately are counted by the tokenizer library."""
+
+    def __init__(self, path: str):
+        self.codec, self.model = Codec(path), Tokenizer.from_file(path).model
+        self.letters = dict(enumerate(byte_letters()))
+        self.memory: dict[str, int] = {}
+        self.older: dict[str, int] = {}
+
+    def _remember(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            n = len(self.model.tokenize(word.encode().decode("latin-1").translate(self.letters)))
+        if len(word) <= 64:
+            if len(self.memory) >= MEMORY:
+                self.older, self.memory = self.memory, {}
+            self.memory[word] = n
+        return n
+
+    def count(self, text: str) -> int:
+        codec = self.codec
+        parts = codec.split.split(text) if codec.split and any(s in text for s in codec.special) else [text]
+        total = 0
+        for part in parts:
+            if part in codec.special:
+                total += 1
+                continue
+            words = codec.words.findall(part)
+            known = list(map(self.memory.get, words))
+            if None in known:
+                known = [self.memory.get(w) or self._remember(w) if n is None else n for w, n in zip(words, known)]
+            total += sum(known)
+        return total
+
+
+@lru_cache(maxsize=1)
+def lengths_of(path: str) -> Lengths:
+    """The worker process keeps one, with its memory, from task to task."""
+    return Lengths(path)
+
+
 @lru_cache(maxsize=1)
 def codec_of(path: str) -> Codec:
     """The worker process keeps one, with its memory, from task to task."""
@@ -160,7 +199,7 @@ def encode_ids(records: DataFrame, tokenizer: str) -> DataFrame:
 
 def count_tokens(records: DataFrame, tokenizer: str) -> DataFrame:
     """As `encode_texts`, the number of tokens alone: `sample_id`, `n_tokens`."""
-    return _map(records, tokenizer, lambda codec, text: (codec.count(text),), [("n_tokens", "bigint", pa.int64())])
+    return _map(records, tokenizer, lambda lengths, text: (lengths.count(text),), [("n_tokens", "bigint", pa.int64())], lengths_of)
 
 
 def encode_digests(records: DataFrame, tokenizer: str) -> DataFrame:
@@ -174,11 +213,11 @@ def encode_digests(records: DataFrame, tokenizer: str) -> DataFrame:
         ("n_tokens", "bigint", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())])
 
 
-def _map(records: DataFrame, tokenizer: str, run, fields) -> DataFrame:
+def _map(records: DataFrame, tokenizer: str, run, fields, reader=codec_of) -> DataFrame:
     kind = records.select("sample_id").dtypes[0][1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(tokenizer)
+        codec = reader(tokenizer)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
