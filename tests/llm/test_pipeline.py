@@ -3,8 +3,9 @@
 import corpus_pipeline
 import brute
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from gradeline.llm import quality
+from gradeline.llm import quality, queries
 
 
 def test_stages(spark, small_dir, documents):
@@ -35,7 +36,8 @@ def test_stages(spark, small_dir, documents):
         assert brute.secret(r["text"])[:3] == (0, 0, 0) or r["text"] == text[r["doc_id"]]
     five = corpus_pipeline.packing_stage(spark, four, small_dir)
     tokens = {r["doc_id"]: r["n"] for r in five.groupBy("doc_id").sum("n_tokens").withColumnRenamed("sum(n_tokens)", "n").collect()}
-    assert tokens == {r["doc_id"]: len(brute.WORD.findall(r["text"])) for r in four.collect()}
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    assert tokens == {r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) for r in four.collect()}
 
 
 def test_run(spark, small_dir):
