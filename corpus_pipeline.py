@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import exact_dedup, near_dedup, packing, quality, secrets, spans
-from gradeline.llm.queries import evidence
+from gradeline.llm.queries import evidence, tokenizer_path
 from gradeline.llm.records import settled
 from gradeline.session import scratch_path
 
@@ -92,7 +92,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; secrets of one owner are blanked out, widely copied examples stay.
+    """All documents; live-looking secrets of one owner are blanked out, examples stay: widely copied
+    values, and those whose format or entropy no credential has.
 
     Null and empty texts hold none. Repeated rows are blanked alike; ties do not arise. Whole texts are
     scanned, of any length. `n_chars` follows a changed text. An empty table stays empty.
@@ -101,7 +102,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = secrets.scan_secrets(rows.select(
         F.col("_key").alias("sample_id"), _content(), F.col("_doc.source").alias("domain"),
         F.concat_ws("/", "_doc.source", "_doc.lang").alias("filepath")))
-    found = found.where(F.size("owner_specific") > 0).select(F.col("sample_id").alias("_key"), F.col("owner_specific").alias("_spans")).dropDuplicates(["_key"])
+    found = found.where(F.size("live_credentials") > 0).select(F.col("sample_id").alias("_key"), F.col("live_credentials").alias("_spans")).dropDuplicates(["_key"])
     changed = F.col("_spans").isNotNull()
     text = F.when(changed, spans.blanked(F.col("_doc.text"), F.col("_spans"), MARK)).otherwise(F.col("_doc.text"))
     done = rows.join(found, "_key", "left").select("_doc", text.alias("_text"), changed.alias("_changed"))
@@ -111,13 +112,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents with their length bucket and batch.
+    """Pieces of the remaining documents, in tokens of the byte-level BPE, with their length bucket and batch.
 
-    A text above the longest piece goes on in further pieces; one without words (null, empty) has a row
+    A text above the longest piece goes on in further pieces; one without tokens (null, empty) has a row
     without bucket and batch. Rows that share an id are packed each. Ties of the hash go by id and piece.
     An empty table gives an empty result.
     """
-    return packing.pack(evidence(docs)).withColumnRenamed("sample_id", "doc_id")
+    return packing.pack_texts(evidence(docs), tokenizer_path()).withColumnRenamed("sample_id", "doc_id")
 
 
 STAGES = [
